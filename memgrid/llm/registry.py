@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 #: Query name and module.
 MODULES = {
+    "op3_simhash_pivots": "simhash",
     "op5_suffix_array": "suffixes",
     "op8_substring_dedup": "substrings",
 }
