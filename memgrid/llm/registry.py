@@ -9,6 +9,7 @@ from collections.abc import Callable
 MODULES = {
     "op3_simhash_pivots": "simhash",
     "op5_suffix_array": "suffixes",
+    "op6_sainte_lague": "mixture",
     "op8_substring_dedup": "substrings",
 }
 
