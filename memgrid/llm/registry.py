@@ -11,6 +11,7 @@ MODULES = {
     "op5_suffix_array": "suffixes",
     "op6_sainte_lague": "mixture",
     "op8_substring_dedup": "substrings",
+    "op9_credential_links": "secret_scan",
 }
 
 
