@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,18 @@ def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20) -> DataFrame:
     return bucketed(df, "block", max(8, min(1 << 16, math.ceil(size / (block_bytes * 1.3)))), what)
 
 
+def shared(spark: SparkSession, value: object) -> Callable:
+    """A function that gives the value on executors, where it is sent once; it must be of bounded size."""
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text."""
     for b in batches:
