@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 #: Query name and module.
 MODULES = {
+    "op1_quality_rules": "quality",
     "op2_language_id": "language_id",
     "op3_simhash_pivots": "simhash",
     "op5_suffix_array": "suffixes",
