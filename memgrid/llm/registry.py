@@ -9,6 +9,7 @@ from collections.abc import Callable
 MODULES = {
     "op1_quality_rules": "quality",
     "op2_language_id": "language_id",
+    "op10_html_text": "html_text",
     "op3_simhash_pivots": "simhash",
     "op5_suffix_array": "suffixes",
     "op6_sainte_lague": "mixture",
