@@ -13,6 +13,7 @@ MODULES = {
     "op3_simhash_pivots": "simhash",
     "op5_suffix_array": "suffixes",
     "op6_sainte_lague": "mixture",
+    "op7_class_model": "class_model",
     "op8_substring_dedup": "substrings",
     "op9_credential_links": "secret_scan",
 }
