@@ -11,6 +11,7 @@ MODULES = {
     "op2_language_id": "language_id",
     "op10_html_text": "html_text",
     "op3_simhash_pivots": "simhash",
+    "op4_decontamination": "decontaminate",
     "op5_suffix_array": "suffixes",
     "op6_sainte_lague": "mixture",
     "op7_class_model": "class_model",
