@@ -98,25 +98,28 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), again, repeated_words(words, REPEAT_WINDOW)
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, text_hash, the base counts, log_perplexity) for each row."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measured(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """docs with the base counts and log_perplexity of each row's text, as columns of these names after the prefix."""
     shared = base.shared(docs.sparkSession, model)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    more = [prefix + x for x in (*COUNTS, "log_perplexity")]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.slices(batches, limit=1 << 20):
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            texts = [t or "" for t in b.column("text").to_pylist()]
             codes, doc = coded(texts)
             n = np.bincount(doc, minlength=len(texts))
             nats = np.zeros(len(texts))
             for at in range(0, len(codes), 1 << 20):
                 nats -= np.bincount(doc[at : at + (1 << 20)], shared().scores(codes[at : at + (1 << 20)])[:, 0], len(texts))
             nats = pa.array(nats / np.maximum(n, 1), mask=n == 0)
-            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in counts.T), nats], ["doc_id", "lang", *names, "log_perplexity"])
+            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in counts.T), nats], [*b.schema.names, *more])
 
-    types = ", ".join(f"{x} long" for x in names)
-    return docs.select("doc_id", "lang", "text").mapInArrow(f, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {types}, log_perplexity double")
+    kinds = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema]
+    return docs.mapInArrow(f, ", ".join([*kinds, *(f"`{x}` long" for x in more[:-1]), f"`{more[-1]}` double"]))
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -128,23 +131,28 @@ def bands(rows: DataFrame) -> DataFrame:
     return off.where(F.col("texts") >= LEAST_TEXTS).select("_lang", "middle", wide(BELOW, FLOOR_BELOW).alias("below"), wide(ABOVE, FLOOR_ABOVE).alias("above"))
 
 
+def ruled(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """Measured rows with base_failed, low, high and kept, after the prefix."""
+    at = lambda name: F.col(prefix + name)
+    failed = (at("n_words") < LEAST_WORDS) | (100 * at("n_repeat_words") > MOST_REPEATED * at("n_words"))
+    found = bands(rows.select("lang", at("log_perplexity").alias("log_perplexity")))
+    rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    slack = 1 + F.lit(float(SHORT)) / F.greatest(at("n_words"), F.lit(1))
+    low, high = F.col("middle") - F.col("below") * slack, F.col("middle") + F.col("above") * slack
+    rows = rows.withColumns({f"{prefix}base_failed": failed, f"{prefix}low": low, f"{prefix}high": high}).drop(*found.columns)
+    inside = F.coalesce(at("log_perplexity").between(at("low"), at("high")), F.lit(True))
+    return rows.withColumn(f"{prefix}kept", ~at("base_failed") & inside)
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, base counts, base_failed, log_perplexity, low, high, kept) for each row."""
-    rows = base.written(measured(docs, learned(docs)), "measured")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).join(bands(rows), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    slack = 1 + F.lit(float(SHORT)) / F.greatest("n_words", F.lit(1))
-    rows = rows.withColumns({"low": F.col("middle") - F.col("below") * slack, "high": F.col("middle") + F.col("above") * slack}).drop("_lang", "middle", "below", "above")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & inside)
+    return ruled(base.written(measured(docs.select("doc_id", "lang", "text"), learned(docs)).drop("text"), "measured"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, all columns as they are."""
-    key = "_row_key"
-    keyed = base.written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    good = judged(keyed.select(F.col(key).alias("doc_id"), "lang", "text")).where("kept").select(F.col("doc_id").alias(key))
-    return keyed.join(good, key, "left_semi").drop(key)
+    rows = base.written(measured(docs, learned(docs), "_quality_"), "measured")
+    return ruled(rows, "_quality_").where("_quality_kept").select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
