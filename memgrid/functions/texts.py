@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ READ_ONLY_WORDS = "INSERT UPDATE UPSERT REMOVE REPLACE TRUNCATE DROP CREATE ALTE
 ALLOWED_PATH = r"^/_db/[^/]+/_api/(document|index|collection|import|cursor)(/|$)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keywords(text: Column) -> Column:
     """Distinct lower-case words of three or more letters a to z, without stop words, in order of appearance."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
@@ -37,10 +44,9 @@ def keyword_overlap(query: Column, text: Column) -> Column:
 def safe_key(path: Column) -> Column:
     """A path as a key: slashes and spaces become underscores, only letters, digits and -_.:@()+ stay, no ._- at the ends; long ones end in a hash."""
     key = F.regexp_replace(F.regexp_replace(path, "[/ ]", "_"), r"[^\p{L}\p{N}_.:@()+-]", "")
-    key = F.regexp_replace(key, "^[._-]+|[._-]+$", "")
-    key = F.when(key == "", F.lit("item")).otherwise(key)
-    long = F.concat(F.substring(key, 1, 243), F.lit("_"), F.substring(F.sha1(key), 1, 10))
-    return F.when(F.octet_length(key) > 254, long).otherwise(key)
+    key = F.coalesce(F.nullif(F.regexp_replace(key, "^[._-]+|[._-]+$", ""), F.lit("")), F.lit("item"))
+    cut = lambda k: F.concat(F.substring(k, 1, 243), F.lit("_"), F.substring(F.sha1(k), 1, 10))
+    return let(key, lambda k: F.when(F.octet_length(k) > 254, cut(k)).otherwise(k))
 
 
 def directory(path: Column) -> Column:
@@ -68,16 +74,19 @@ def reader(ext: Column) -> Column:
 
 def import_key(statement: Column, path: Column) -> Column:
     """The key of the file that an import statement names; null if it is outside of the project."""
-    module = F.coalesce(F.nullif(F.regexp_extract(statement, r"from\s+([\w.]+)", 1), F.lit("")), F.nullif(F.regexp_extract(statement, r"import\s+([\w.]+)", 1), F.lit("")))
-    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    rest = F.regexp_replace(module, r"^\.+", "")
-    parts = F.split(directory(path), "/")
-    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots + 1, F.lit(0))), "/")
-    own = F.when(directory(path) == ".", F.lit("")).otherwise(F.when(up == "", up).otherwise(F.concat(up, F.lit("/"))))
-    relative = F.concat(own, F.when(rest == "", F.lit("__init__")).otherwise(rest), F.lit(".py"))
-    absolute = F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))
-    outside = module.rlike("^(" + "|".join(OUTSIDE) + ")")
-    return F.when(module.isNull() | outside, F.lit(None)).otherwise(safe_key(F.when(dots > 0, relative).otherwise(absolute)))
+    named = lambda word: F.nullif(F.regexp_extract(statement, word + r"\s+([\w.]+)", 1), F.lit(""))
+    outside = "^(" + "|".join(OUTSIDE) + ")"
+
+    def relative(module: Column) -> Column:
+        dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+        rest = F.regexp_replace(module, r"^\.+", "")
+        up = let(F.split(directory(path), "/"), lambda parts: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots + 1, F.lit(0))), "/"))
+        own = F.when(up.isin("", "."), F.lit("")).otherwise(F.concat(up, F.lit("/")))
+        return F.concat(own, F.when(rest == "", F.lit("__init__")).otherwise(rest), F.lit(".py"))
+
+    absolute = lambda module: F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))
+    target = lambda module: F.when(module.isNotNull() & ~module.rlike(outside), F.when(module.startswith("."), relative(module)).otherwise(absolute(module)))
+    return let(let(F.coalesce(named("from"), named("import")), target), lambda x: F.when(x.isNotNull(), safe_key(x)))
 
 
 def called_names(text: Column) -> Column:
@@ -92,14 +101,14 @@ def window_words(text: Column) -> Column:
 def citations(text: Column) -> Column:
     """Keys of \\cite, \\citep and \\citet, the first of each kept."""
     groups = F.regexp_extract_all(text, F.lit(r"\\cite[pt]?\{([^}]+)\}"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), F.trim))))
+    return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x)))))
 
 
 def equations(text: Column) -> Column:
     """Bodies of equation and align environments, then up to a hundred inline formulas of 2 to 200 characters."""
     outer = F.regexp_extract_all(text, F.lit(r"(?s)\\begin\{(?:equation|align)\*?\}(.*?)\\end\{(?:equation|align)\*?\}"), F.lit(1))
     inline = F.slice(F.filter(F.regexp_extract_all(text, F.lit(r"\$([^$]+)\$"), F.lit(1)), lambda x: F.length(x).between(2, 200)), 1, 100)
-    return F.transform(F.concat(outer, inline), F.trim)
+    return F.transform(F.concat(outer, inline), lambda x: F.trim(x))
 
 
 def sections(text: Column) -> Column:

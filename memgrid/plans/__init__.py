@@ -1 +1,4 @@
 """Tables of the driver and the registered queries."""
+
+from . import extras, retrieval, scoring, writes  # noqa: F401  each registers its queries
+from .registry import oracle_sql, queries  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..functions.vectors import cosine, dot, norm, normalized, projected
 from ..operators import graph, memory
+from ..operators.indexing import dense_index
 from .registry import query
 from .tables import EPOCH, Tables
 
@@ -146,10 +147,10 @@ def edge_vertex_inner(t: Tables) -> DataFrame:
     return t.relationships.where("status = 'active'").join(t.vertices.select(F.col("id").alias("to_id"), "key"), "to_id").select("from_id", "to_id", "key")
 
 
-@query('select c.src, c.dst, n.n_name from containment c left join nation n on c.dst = \'nation/\' || n.n_nationkey where c.src like \'region/%\' or c.src like \'nation/1%\'', "containment")
+@query('select c.src, c.dst, n.n_name from containment c left join nation n on c.dst = \'nation/\' || n.n_nationkey', "containment")
 def edge_vertex_left(t: Tables) -> DataFrame:
     nations = t.read("nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("dst"), "n_name")
-    return t.containment.where("src like 'region/%' or src like 'nation/1%'").join(nations, "dst", "left").select("src", "dst", "n_name")
+    return t.containment.join(nations, "dst", "left").select("src", "dst", "n_name")
 
 
 _HOP = """select src, dst, weight, pattern from (
@@ -163,22 +164,22 @@ def expand_one_hop(t: Tables) -> DataFrame:
 
 
 @query(
-    """select s.id, e.src, e.dst, e.kind from (select 'nation/' || n_nationkey id from nation where n_regionkey = 1) s join (
+    """select s.id, e.src, e.dst, e.kind from (select 'nation/' || n_nationkey id from nation) s join (
     select src, dst, 'contains' kind from containment union all select from_id, to_id, kind from relationships) e on e.src = s.id where e.kind in ('contains', 'relates_to')
     qualify row_number() over (partition by e.src order by e.dst) <= 5""",
     "containment",
     "relationships",
 )
 def traversal_over_two_tables(t: Tables) -> DataFrame:
-    seeds = t.read("nation").where("n_regionkey = 1").select(F.concat(F.lit("nation/"), "n_nationkey").alias("src"))
+    seeds = t.read("nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("src"))
     edges = t.containment.withColumn("kind", F.lit("contains")).unionByName(t.relationships.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind"))
     rows = edges.where(F.col("kind").isin("contains", "relates_to")).join(seeds, "src")
     return rows.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where("n <= 5").select(F.col("src").alias("id"), "src", "dst", "kind")
 
 
-@query("select src, dst from (select src, dst, row_number() over (order by src, dst) n from containment where src like 'region/%') where n <= 3", "containment")
+@query("select src, dst from (select src, dst, row_number() over (order by src, dst) n from containment) where n <= 3", "containment")
 def scaffold_global_cap(t: Tables) -> DataFrame:
-    return t.containment.where("src like 'region/%'").orderBy("src", "dst").limit(3)
+    return t.containment.orderBy("src", "dst").limit(3)
 
 
 @query("select id, round(1.0 / (1 + length(coalesce(nullif(name, ''), id))), 6) score from (select 'nation/' || n_nationkey id, case when n_nationkey % 5 = 0 then '' else n_name end name from nation) order by score desc, id limit 8")
@@ -208,7 +209,7 @@ def unconsolidated(t: Tables) -> DataFrame:
     "observations",
 )
 def indexed_edges(t: Tables) -> DataFrame:
-    index = t.observations.where("embedding is not null").select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("n"))
+    index = dense_index(t.observations.where("embedding is not null").select("id"), "id")
     rows = t.relationships.select("from_id", "to_id").join(index.select(F.col("id").alias("from_id"), F.col("n").alias("src")), "from_id")
     return rows.join(index.select(F.col("id").alias("to_id"), F.col("n").alias("dst")), "to_id").select("src", "dst")
 
@@ -253,7 +254,7 @@ def _memory_hop(i: int) -> str:
     s{i} as (select list_append(path, dst) path, dst tail, round(0.6 * score + 0.3 * case when embedding is null then 0.5 when closest is null then list_cosine_similarity(embedding, q)
         else 0.4 * list_cosine_similarity(embedding, q) - 0.6 * closest end + 0.1 * exp(-(({AS_OF}.0 - created_at_unix) / 86400) / 30.0), 6) score, rank, n from c{i} left join m{i} using (seq) cross join q
         union all select path, tail, score, rank, 0 from b{i} where tail not in (select src from near)),
-    t{i} as (select path, tail, score, row_number() over (order by score desc, rank, n) rank from s{i} qualify rank <= 8),
+    t{i} as (select path, tail, score, place rank from (select *, row_number() over (order by score desc, rank, n) place from s{i}) where place <= 8),
     b{i + 1} as (select * from t{i} where (select max(score) from t{i}) >= 0.3 union all select path, tail, score, rank from b{i} where coalesce((select max(score) from t{i}), 0) < 0.3)"""
 
 
@@ -317,7 +318,7 @@ def _code_hop(i: int) -> str:
         case when v.embedding is null then b.vectors else list_append(b.vectors, v.embedding) end vectors
         from b{i} b join near e on e.src = b.tail join vertices v on v.id = e.dst left join observations o on o.id = e.dst
         union all select path, tail, seed, score, rank, 0, vectors from b{i} where tail not in (select src from near)),
-    b{i + 1} as (select path, tail, seed, score, vectors, row_number() over (order by score desc, rank, n) rank from s{i} qualify rank <= 8)"""
+    b{i + 1} as (select path, tail, seed, score, vectors, place rank from (select *, row_number() over (order by score desc, rank, n) place from s{i}) where place <= 8)"""
 
 
 _CODE = (
@@ -370,22 +371,24 @@ def mmr_prefix_score(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with a as (select id, {SIM.format('embedding')} sim from observations where embedding is not null order by sim desc, id limit 20)
+    f"""with a as (select id, {SIM.format('embedding')} sim from observations where embedding is not null)
     select a.id, a.sim, round(len(list_intersect({_KW.format("'" + WORDS + "'")}, {_KW.format("o.content")})) / len({_KW.format("'" + WORDS + "'")}), 6) overlap from a join observations o using (id)""",
     "observations",
 )
 def keyword_overlap(t: Tables) -> DataFrame:
-    rows = similar(t, t.observations).orderBy(F.desc("sim"), "id").limit(20)
+    rows = similar(t, t.observations)
     return rows.select("id", "sim", F.round(texts.keyword_overlap(F.lit(WORDS), F.col("content")), 6).alias("overlap"))
 
 
 @query(
-    """select a.conv_id, b.conv_id other, a.lang from (select distinct conv_id, conv_id % 5 lang from conversations where conv_id < 12) a
-    join (select distinct conv_id, conv_id % 5 lang from conversations where conv_id < 12) b on a.lang = b.lang and a.conv_id < b.conv_id"""
+    """with p as (select unnest([[tags[1], tags[2]], [tags[1], tags[3]], [tags[2], tags[3]]]) p from observations) select least(p[1], p[2]) a, greatest(p[1], p[2]) b, count(*) n from p group by 1, 2""",
+    "observations",
 )
 def entity_cooccurrence(t: Tables) -> DataFrame:
-    rows = t.read("conversations").where("conv_id < 12").select("conv_id", (F.col("conv_id") % 5).alias("lang")).distinct()
-    return rows.join(rows.withColumnRenamed("conv_id", "other"), "lang").where("conv_id < other").select("conv_id", "other", "lang")
+    """How often two tags stand on one observation: three pairs a row, counted."""
+    tag = lambda i: F.get("tags", F.lit(i))
+    pairs = F.array(*[F.struct(F.least(tag(i), tag(j)).alias("a"), F.greatest(tag(i), tag(j)).alias("b")) for i, j in ((0, 1), (0, 2), (1, 2))])
+    return t.observations.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select e.\"key\", e.mention_count, count(*) observations, count(distinct o.session_id) sessions from entities e join observations o on list_contains(o.tags, split_part(e.\"key\", '_', 1)) and list_contains(o.tags, split_part(e.\"key\", '_', 2)) group by e.\"key\", e.mention_count", "entities", "observations")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import memory
+from ..operators import indexing, memory
 from .registry import query
 from .tables import EPOCH, Tables
 
@@ -86,21 +86,21 @@ def recent_turns(t: Tables) -> DataFrame:
 
 
 @query(
-    """select session_id, turn_index, role, coalesce(tokens, 0) tokens from messages where session_id < 20
-    union all select session_id, -1, 'system', 0 from (select distinct session_id from messages where session_id < 20) where session_id not in (select session_id from messages where role = 'system')""",
+    """select session_id, turn_index, role, coalesce(tokens, 0) tokens from messages
+    union all select session_id, -1, 'system', 0 from (select distinct session_id from messages) where session_id not in (select session_id from messages where role = 'system')""",
     "messages",
 )
 def system_prompt_once(t: Tables) -> DataFrame:
-    rows = t.messages.where("session_id < 20").select("session_id", "turn_index", "role", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    rows = t.messages.select("session_id", "turn_index", "role", F.coalesce("tokens", F.lit(0)).alias("tokens"))
     without = rows.select("session_id").distinct().join(rows.where("role = 'system'").select("session_id"), "session_id", "left_anti")
     return rows.unionByName(without.select("session_id", F.lit(-1).cast("long").alias("turn_index"), F.lit("system").alias("role"), F.lit(0).cast("long").alias("tokens")))
 
 
-@query("select session_id, string_agg('[' || upper(role) || '] ' || substr(content, 1, 40), chr(10) order by turn_index) prompt from messages where session_id < 10 group by session_id", "messages")
+@query("select session_id, string_agg('[' || upper(role) || '] ' || content, chr(10) order by turn_index) prompt from messages group by session_id", "messages")
 def prompt_lines(t: Tables) -> DataFrame:
-    line = F.concat(F.lit("["), F.upper("role"), F.lit("] "), F.substring("content", 1, 40))
+    line = F.concat(F.lit("["), F.upper("role"), F.lit("] "), F.col("content"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("turn_index", line.alias("line")))), lambda x: x["line"])
-    return t.messages.where("session_id < 10").groupBy("session_id").agg(F.concat_ws("\n", lines).alias("prompt"))
+    return t.messages.groupBy("session_id").agg(F.concat_ws("\n", lines).alias("prompt"))
 
 
 @query(
@@ -148,33 +148,32 @@ def json_access(t: Tables) -> DataFrame:
     return t.spans.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
 
 
-@query("select epoch, loss, best, epoch - max(case when loss < coalesce(before, 1e300) then epoch end) over (order by epoch rows unbounded preceding) patience from (select event_id epoch, \"value\" loss, min(\"value\") over (order by event_id rows unbounded preceding) best, min(\"value\") over (order by event_id rows between unbounded preceding and 1 preceding) before from events where event_id < 60)")
+@query("select run, epoch, loss, best, epoch - max(case when loss < coalesce(before, 1e300) then epoch end) over (partition by run order by epoch rows unbounded preceding) patience from (select user_id run, event_id epoch, \"value\" loss, min(\"value\") over (partition by user_id order by event_id rows unbounded preceding) best, min(\"value\") over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) before from events)")
 def best_and_patience(t: Tables) -> DataFrame:
-    rows = t.read("events").where("event_id < 60").select(F.col("event_id").alias("epoch"), F.col("value").alias("loss"))
-    along = W.orderBy("epoch")
+    rows = t.read("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("loss"))
+    along = W.partitionBy("run").orderBy("epoch")
     before = F.min("loss").over(along.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumns({"best": F.min("loss").over(along.rowsBetween(W.unboundedPreceding, 0)), "_new": F.when(F.col("loss") < F.coalesce(before, F.lit(1e300)), F.col("epoch"))})
-    return rows.select("epoch", "loss", "best", (F.col("epoch") - F.max("_new").over(along.rowsBetween(W.unboundedPreceding, 0))).alias("patience"))
+    return rows.select("run", "epoch", "loss", "best", (F.col("epoch") - F.max("_new").over(along.rowsBetween(W.unboundedPreceding, 0))).alias("patience"))
 
 
 @query("select id, row_number() over (order by id) - 1 n from vertices where embedding is not null", "vertices")
 def dense_index(t: Tables) -> DataFrame:
-    return t.vertices.where("embedding is not null").select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("n"))
+    return indexing.dense_index(t.vertices.where("embedding is not null").select("id"), "id")
 
 
 @query("select a.doc_id negative, b.doc_id positive from (select doc_id, row_number() over (order by doc_id) - 1 n from labels where quality = 0) a join (select doc_id, row_number() over (order by doc_id) - 1 n, count(*) over () size from labels where quality = 1) b on a.n % b.size = b.n")
 def round_robin_pairs(t: Tables) -> DataFrame:
-    place = F.row_number().over(W.orderBy("doc_id")) - 1
     rows = t.read("labels")
-    a = rows.where("quality = 0").select(F.col("doc_id").alias("negative"), place.alias("n"))
-    b = rows.where("quality = 1").select(F.col("doc_id").alias("positive"), place.alias("m"))
+    a = indexing.dense_index(rows.where("quality = 0").select(F.col("doc_id").alias("negative")), "negative")
+    b = indexing.dense_index(rows.where("quality = 1").select(F.col("doc_id").alias("positive")), "positive", "m")
     size = b.agg(F.count(F.lit(1)).alias("size"))
     return a.crossJoin(F.broadcast(size)).withColumn("m", F.col("n") % F.col("size")).join(b, "m").select("negative", "positive")
 
 
-@query("select doc_id, case when m < 0.8 then 'train' else 'val' end part from (select doc_id, row_number() over (order by md5('split' || doc_id), doc_id) / count(*) over () m from labels)")
+@query("select doc_id, case when ('0x' || substr(md5('split' || doc_id), 1, 8))::bigint / 4294967296.0::double < 0.8 then 'train' else 'val' end part from labels")
 def seeded_split(t: Tables) -> DataFrame:
-    place = F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("split"), F.col("doc_id").cast("string"))), "doc_id")) / F.count(F.lit(1)).over(W.partitionBy())
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("split"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     return t.read("labels").select("doc_id", F.when(place < 0.8, "train").otherwise("val").alias("part"))
 
 
@@ -189,9 +188,9 @@ def non_blank(t: Tables) -> DataFrame:
     return t.observations.where(F.trim("content") != "").select("doc_id")
 
 
-@query("select \"key\", name, mention_count from entities order by mention_count desc, \"key\" limit 12", "entities")
+@query("select \"key\", name, mention_count from entities ", "entities")
 def entity_counts(t: Tables) -> DataFrame:
-    return t.entities.orderBy(F.desc("mention_count"), "key").limit(12)
+    return t.entities.select("key", "name", "mention_count")
 
 
 @query(
