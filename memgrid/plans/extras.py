@@ -148,3 +148,26 @@ def rolling_context_stream(t: Tables) -> DataFrame:
 @query("select path, coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), '.') directory, regexp_extract(path, '[^/]*$') file_name from repo_docs", "repo_docs")
 def path_parts(t: Tables) -> DataFrame:
     return t.repo_docs.select("path", texts.directory(F.col("path")).alias("directory"), texts.file_name(F.col("path")).alias("file_name"))
+
+
+@query("select * from (values ('x.py', 9, 6), ('z.py', 1, 1)) x(path, lines, at_least)")
+def code_metrics(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([("x.py", _PY), ("z.py", "def (")], "path string, text string")
+    return symbols.metrics(rows).select("path", "lines", F.when(F.col("nodes") > 6, 6).otherwise(1).alias("at_least"))
+
+
+@query()
+def surprise_chunks(t: Tables) -> DataFrame:
+    """Texts cut where unigram surprise peaks; the chunks of a text make up the whole text."""
+    from ..operators import surprise
+
+    docs = t.read("benchmark").select("item_id", "text")
+    return surprise.chunks(docs, surprise.boundaries(surprise.scored_words(docs, "item_id", "text"), "item_id"), "item_id", "text")
+
+
+@query(f'with old as (select "key", status from observations where doc_id % 3 <> 0), new as (select "key", status from observations) select * from new where "key" not in (select "key" from old)', "observations")
+def append_new(t: Tables) -> DataFrame:
+    from ..sources import sinks
+
+    rows = t.observations.select("key", "status", "doc_id")
+    return sinks.appended(rows.where("doc_id % 3 <> 0").select("key", "status"), rows.unionByName(rows), "key")

@@ -10,6 +10,7 @@ from ..functions import texts
 from ..functions.vectors import cosine, dot, norm, normalized, projected
 from ..operators import graph, memory
 from ..operators.indexing import dense_index
+from ..sources.stage import saved
 from .registry import query
 from .tables import EPOCH, Tables
 
@@ -231,6 +232,12 @@ def like_with_nested_edges(t: Tables) -> DataFrame:
     return doc.join(edges, "src", "left").groupBy("path").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
 
 
+def _memory_beam(t: Tables) -> DataFrame:
+    vertices = saved(t.vertices.select("id", "collection", "embedding", "created_at_unix"))
+    seeds = similar(t, vertices.where("collection = 'observations'")).orderBy(F.desc("sim"), "id").limit(6).select(F.lit(1).alias("query_id"), "id", F.col("sim").alias("score"))
+    return graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), vertices, asked(t).select(F.lit(1).alias("query_id"), "q"), as_of=float(AS_OF))
+
+
 def _beam_tables(t: Tables):
     seeds = similar(t, t.observations).orderBy(F.desc("sim"), "id").limit(6).select(F.lit(1).alias("query_id"), "id", F.col("sim").alias("score"))
     queries = asked(t).select(F.lit(1).alias("query_id"), "q", F.lit(WORDS).alias("words"))
@@ -263,8 +270,7 @@ _MEMORY = "with " + _SEEDS.format("pattern, ", _EDGES) + _memory_hop(0) + _memor
 
 @query(_MEMORY + " select array_to_string(path, '>') path, score, rank from b2", "relationships", "vertices")
 def beam_two_hop(t: Tables) -> DataFrame:
-    seeds, queries, content = _beam_tables(t)
-    beam = graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), content, queries, as_of=float(AS_OF))
+    beam = _memory_beam(t)
     return beam.select(F.array_join("path", ">").alias("path"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -273,8 +279,7 @@ _REACHED = """, u as (select id, score, rank, pos from (select unnest(path) id,
 
 @query(_MEMORY + _REACHED + " select id, score, row_number() over (order by rank, pos) place from u", "relationships", "vertices")
 def unique_docs(t: Tables) -> DataFrame:
-    seeds, queries, content = _beam_tables(t)
-    beam = graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), content, queries, as_of=float(AS_OF))
+    beam = _memory_beam(t)
     return graph.reached(beam).select("id", "score", F.col("place").cast("long").alias("place"))
 
 
@@ -285,8 +290,7 @@ def unique_docs(t: Tables) -> DataFrame:
 )
 def retrieve_memories(t: Tables) -> DataFrame:
     """The composed retrieval: seeds, beam, first-seen documents, payload joined last."""
-    seeds, queries, content = _beam_tables(t)
-    beam = graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), content, queries, as_of=float(AS_OF))
+    beam = _memory_beam(t)
     rows = graph.reached(beam).join(t.observations.select("id", "memory_type"), "id").where(F.col("score").between(0, 1))
     return rows.orderBy(F.desc("score"), "place").limit(5).select("id", "score", "memory_type")
 
@@ -300,8 +304,7 @@ def retrieve_memories(t: Tables) -> DataFrame:
     "vertices",
 )
 def context_pack(t: Tables) -> DataFrame:
-    seeds, queries, content = _beam_tables(t)
-    beam = graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), content, queries, as_of=float(AS_OF))
+    beam = _memory_beam(t)
     rows = graph.reached(beam).join(t.observations.select("id", "content"), "id")
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("place")))
     return graph.packed(rows).select("context")

@@ -60,3 +60,31 @@ def symbols(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "kind", "name", "line", "scope"])
 
     return rows.select("path", "text", "language").mapInPandas(f, SCHEMA)
+
+
+def python_metrics(text: str) -> tuple[int, int, int, int]:
+    """Lines, syntax nodes, depth of nesting, and one plus the branches."""
+    branches = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.ExceptHandler, ast.comprehension)
+
+    def walk(node: ast.AST, depth: int) -> tuple[int, int, int]:
+        nodes, deep, found = 1, depth, int(isinstance(node, branches))
+        for child in ast.iter_child_nodes(node):
+            n, d, f = walk(child, depth + 1)
+            nodes, deep, found = nodes + n, max(deep, d), found + f
+        return nodes, deep, found
+
+    try:
+        nodes, deep, found = walk(ast.parse(text), 0)
+    except (SyntaxError, ValueError, RecursionError):
+        nodes, deep, found = 0, 0, 0
+    return text.count("\n") + 1, nodes, deep, found + 1
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """(path, lines, nodes, depth, complexity) of Python files (path, text)."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(path, *python_metrics(text or "")) for path, text in zip(b["path"], b["text"], strict=True)], columns=["path", "lines", "nodes", "depth", "complexity"])
+
+    return rows.select("path", "text").mapInPandas(f, "path string, lines long, nodes long, depth long, complexity long")

@@ -129,3 +129,27 @@ def test_files(spark, tmp_path):
 def test_symbols():
     assert ("constant", "LIMIT", 1, "") in symbols.symbols_of("LIMIT = 3\n", "python")
     assert symbols.symbols_of("def (", "python") == []
+
+
+def test_surprise_chunks_make_up_the_text(spark):
+    from memgrid.operators import surprise
+
+    rows = spark.createDataFrame([(1, "the and the and the and the and zebra and the and the " * 9)], "id long, text string")
+    cuts = surprise.boundaries(surprise.scored_words(rows, "id", "text"), "id", least=40)
+    parts = [r["chunk"] for r in surprise.chunks(rows, cuts, "id", "text").orderBy("n").collect()]
+    assert len(parts) > 2 and "".join(parts) == rows.first()["text"]
+
+
+def test_sinks(spark, tmp_path):
+    from memgrid.sources import sinks
+
+    rows = spark.createDataFrame([("a", "b", "k", 1.0), ("a", "b", "k", 1.0)], "src string, dst string, kind string, weight double")
+    assert sinks.keyed_edges(rows).count() == 1
+    sinks.export_graph(rows.select("src").distinct(), rows, str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g/edges")).count() == 2
+    sinks.append_json(rows, str(tmp_path / "j"))
+    sinks.append_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    turns = spark.createDataFrame([(1, None)], "turn long, tokens long")
+    sinks.append_turn(turns, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).first()["tokens"] == 0
