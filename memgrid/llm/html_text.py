@@ -4,7 +4,8 @@ A page becomes a tree (tags close as browsers close them). Every block of text p
 each hundred characters, up to three) to its ancestors, its parent the whole and each further one a share, discounted by the share of
 the block's text that is link text. Elements that are page furniture by tag, role or by a word of their class or id give and get no
 points and are left out. The element with the most points is the article's container; siblings with a fair part of its points, or
-that are text of their own with few links, are kept with it. Of what is kept all blocks are put out, in page order.
+that are text of their own with few links, are kept with it. Of what is kept all blocks are put out, in page order, but for list items and bare boxes
+that are links alone.
 
 Defined results: null, empty or textless html gives an empty text; unclosed and stray tags are closed or dropped; a page without any
 container that stands out gives all its text outside of furniture; repeated rows each get their result; an empty table gives an empty
@@ -42,6 +43,7 @@ GOOD = frozenset("article body content entry main post story text".split())
 #: Words that say no more than that an element has or lacks furniture, and furniture words that article parts use as well.
 LAYOUT = frozenset("has no with without layout".split())
 MILD = frozenset("header banner masthead form search".split())
+MENU = frozenset("ul ol li div td tr dd dt".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/>]|\Z)", re.I)
@@ -227,7 +229,9 @@ def extracted(page: str | None) -> str:
                 if (x.points >= least and links < 0.3 * size) or (x.name == "p" and (size > 80 and links < 0.25 * size or links == 0 and size and own[-1][0].endswith("."))) or (x.name in ("h1", "h2") and not links):
                     kept.add(id(x))
     out = []
-    for owner, line, _ in found:
+    for owner, line, links in found:
+        if owner.name in MENU and links >= 0.9 * len(line):  # a menu without a name
+            continue
         up = owner
         while up is not None and id(up) not in kept:
             up = up.parent
