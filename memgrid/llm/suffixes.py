@@ -294,8 +294,8 @@ def repeated_bytes(docs: DataFrame, size: int = 50) -> DataFrame:
     if not 8 <= size < GRAM + 64:
         raise ValueError("size: 8 to 89")
     docs = docs.select("doc_id", "text")
-    parts = base.parts_for(docs, 4 << 20)
-    grouped = base.blocks(docs, "bytes", 4 << 20).groupBy("block")
+    parts = base.parts_for(docs, 2 << 20)
+    grouped = base.blocks(docs, "bytes", 3 << 20).groupBy("block")
     sent = grouped.applyInArrow(anchor_sender(size, parts), MESSAGE)
     first = base.written(sent.repartition(parts, "part").groupBy("part").applyInArrow(substrings.answers(False), substrings.REPLY), "anchors")
     sent = grouped.cogroup(first.groupBy("block")).applyInArrow(run_sender(size, parts), MESSAGE)
