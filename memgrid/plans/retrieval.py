@@ -221,7 +221,7 @@ def edge_type_weights(t: Tables) -> DataFrame:
 
 
 @query(
-    """select d.path, list(e.dst order by e.dst) targets from (select distinct path from repo_docs where path like '%/en/1%' order by path limit 1) d
+    """select d.path, array_to_string(list(e.dst order by e.dst), ',') targets from (select distinct path from repo_docs where path like '%/en/1%' order by path limit 1) d
     left join (select from_id src, to_id dst from relationships) e on e.src = 'observations/obs_' || 7 group by d.path""",
     "repo_docs",
     "relationships",
@@ -229,7 +229,7 @@ def edge_type_weights(t: Tables) -> DataFrame:
 def like_with_nested_edges(t: Tables) -> DataFrame:
     doc = t.repo_docs.where(F.col("path").like("%/en/1%")).select("path").distinct().orderBy("path").limit(1).withColumn("src", F.lit("observations/obs_7"))
     edges = t.relationships.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return doc.join(edges, "src", "left").groupBy("path").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
+    return doc.join(edges, "src", "left").groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("targets"))
 
 
 def _memory_beam(t: Tables) -> DataFrame:
@@ -347,13 +347,13 @@ def path_beam_by_diversity(t: Tables) -> DataFrame:
 
 @query(
     f"""with b as (select id, {SIM.format('embedding')} score from observations where embedding is not null order by score desc, id limit 12)
-    select list_filter([case when count(*) = 0 then 'empty_seeds' end, case when count(*) > 8 then 'cap_exceeded_initial' end, case when max(score) < 0.3 then 'coverage_reached' end], lambda x: x is not null) reasons, count(*) seeds from b""",
+    select array_to_string(list_filter([case when count(*) = 0 then 'empty_seeds' end, case when count(*) > 8 then 'cap_exceeded_initial' end, case when max(score) < 0.3 then 'coverage_reached' end], lambda x: x is not null), ',') reasons, count(*) seeds from b""",
     "observations",
 )
 def reason_codes(t: Tables) -> DataFrame:
     seeds = similar(t, t.observations).orderBy(F.desc("sim"), "id").limit(12)
     return seeds.agg(
-        F.array_compact(F.array(F.when(F.count(F.lit(1)) == 0, "empty_seeds"), F.when(F.count(F.lit(1)) > 8, "cap_exceeded_initial"), F.when(F.max("sim") < 0.3, "coverage_reached"))).alias("reasons"),
+        F.array_join(F.array_compact(F.array(F.when(F.count(F.lit(1)) == 0, "empty_seeds"), F.when(F.count(F.lit(1)) > 8, "cap_exceeded_initial"), F.when(F.max("sim") < 0.3, "coverage_reached"))), ",").alias("reasons"),
         F.count(F.lit(1)).alias("seeds"),
     )
 

@@ -177,10 +177,10 @@ def seeded_split(t: Tables) -> DataFrame:
     return t.read("labels").select("doc_id", F.when(place < 0.8, "train").otherwise("val").alias("part"))
 
 
-@query("select label, list(v order by v) kept from (select 1) a, (select 'x' label, unnest([0, 40, 100, 180, 200, 305]) v) b where v in (0, 100, 200, 305) group by label")
+@query("select label, array_to_string(list(v order by v), ',') kept from (select 1) a, (select 'x' label, unnest([0, 40, 100, 180, 200, 305]) v) b where v in (0, 100, 200, 305) group by label")
 def spaced_boundaries(t: Tables) -> DataFrame:
     rows = t.spark.createDataFrame([("x", [0, 40, 100, 180, 200, 305])], "label string, at array<int>")
-    return rows.select("label", memory.spaced(F.col("at"), 100).alias("kept"))
+    return rows.select("label", F.array_join(memory.spaced(F.col("at"), 100).cast("array<string>"), ",").alias("kept"))
 
 
 @query("select doc_id from observations where trim(content) <> ''", "observations")
@@ -194,13 +194,13 @@ def entity_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    """select "key", list_filter([case when length(content) not between 1 and 10000 then 'content' end, case when status not in ('active', 'superseded') then 'status' end, case when embedding is null then 'embedding' end], lambda x: x is not null) faults
+    """select "key", array_to_string(list_filter([case when length(content) not between 1 and 10000 then 'content' end, case when status not in ('active', 'superseded') then 'status' end, case when embedding is null then 'embedding' end], lambda x: x is not null), ',') faults
     from observations where length(content) not between 1 and 10000 or status not in ('active', 'superseded') or embedding is null""",
     "observations",
 )
 def validation_quarantine(t: Tables) -> DataFrame:
     faults = F.array_compact(F.array(F.when(~F.length("content").between(1, 10000), "content"), F.when(~F.col("status").isin("active", "superseded"), "status"), F.when(F.col("embedding").isNull(), "embedding")))
-    return t.observations.select("key", faults.alias("faults")).where(F.size("faults") > 0)
+    return t.observations.select("key", F.array_join(faults, ",").alias("faults")).where("faults <> ''")
 
 
 @query("select path, substr(content, 1, 200) head from repo_docs", "repo_docs")
