@@ -28,6 +28,8 @@ BELOW, ABOVE, FLOOR_BELOW, FLOOR_ABOVE = 4.5, 7.5, 0.09, 0.15
 #: A text of so many words gets twice the band.
 SHORT = 25
 LEAST_TEXTS = 30
+#: Bands (one a language) that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 #: Base rules. Fixed values.
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -135,7 +137,8 @@ def ruled(rows: DataFrame, prefix: str = "") -> DataFrame:
     """Measured rows with base_failed, low, high and kept, after the prefix."""
     at = lambda name: F.col(prefix + name)
     failed = (at("n_words") < LEAST_WORDS) | (100 * at("n_repeat_words") > MOST_REPEATED * at("n_words"))
-    found = bands(rows.select("lang", at("log_perplexity").alias("log_perplexity")))
+    found = base.written(bands(rows.select("lang", at("log_perplexity").alias("log_perplexity"))), "bands")
+    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     slack = 1 + F.lit(float(SHORT)) / F.greatest(at("n_words"), F.lit(1))
     low, high = F.col("middle") - F.col("below") * slack, F.col("middle") + F.col("above") * slack
