@@ -27,14 +27,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a frame's input; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own size estimate of a frame's input; no job runs. Where Spark can't tell (joins), 16 MB for each shuffle partition."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 50 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 24
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 16) -> int:
     return max(least, min(most, math.ceil(estimated_bytes(df) / bytes_each)))
 
 
+def split_bytes(docs: DataFrame) -> int:
+    """What an input split holds at most."""
+    most = str(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(most[-1], 1)
+    return max(1, min(int(most.rstrip("kmg")) * unit, estimated_bytes(docs)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. It is the cluster's spark.checkpoint.dir; only where that is unset (tests), an own one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -69,8 +77,7 @@ def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20) -> DataFrame:
     A block holds documents of one input split. Later stages deal with a block as one group and never shuffle texts.
     """
     size = estimated_bytes(docs)
-    split = int(str(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower().replace("mb", "m").rstrip("b").replace("k", "000").replace("m", "000000").replace("g", "000000000"))
-    per = max(1, math.ceil(min(split, max(size, 1)) / block_bytes))
+    per = max(1, math.ceil(split_bytes(docs) / block_bytes))
     part = F.spark_partition_id().cast("long") * per
     text = F.coalesce("text", F.lit("")).alias("text")
     df = docs.select((part + F.pmod(F.xxhash64("doc_id"), F.lit(per))).alias("block"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text)

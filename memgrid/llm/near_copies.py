@@ -28,7 +28,7 @@ from .components import components
 from .decontaminate import fingerprint, lowered
 from .simhash import PIVOTS, pivot_table, star
 
-KEYS, RADIUS, TILE = 4, 24, 1024
+KEYS, RADIUS, TILE = 4, 20, 1024
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -42,40 +42,67 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, n
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """docs and _row, _digest of the shingle set, _print, _keys."""
+    """docs and _row, _digest of the shingle set, _size of it, _print, _keys."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in base.slices(batches):
-            digest, prints, keys = [], [], []
+            digest, size, prints, keys = [], [], [], []
             for own, distinct in shingle_sets(base.byte_list(b.column("text")), words):
                 digest.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                size.append(len(distinct))
                 prints.append(fingerprint(own) if len(own) else 0)
                 keys.append([int(base.mix64(distinct, 100 + k).min().view(np.int64)) for k in range(KEYS)] if len(own) else [])
-            more = [pa.array(digest, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_digest", "_print", "_keys"])
+            more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_digest", "_size", "_print", "_keys"])
 
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    return docs.mapInArrow(f, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", _digest binary, _print long, _keys array<long>")
+    return docs.mapInArrow(f, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", _digest binary, _size long, _print long, _keys array<long>")
 
 
-def set_rows(words: int) -> Callable:
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.slices(batches):
-            sets = [np.unique(x.astype(np.uint32)).tobytes() for _, x in shingle_sets(base.byte_list(b.column(1)), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_row", "_set"])
+def set_sender(words: int) -> Callable:
+    """The shingle sets of a block's rows that are wanted, one for each meeting."""
 
-    return f
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        wanted = r.column("row").to_pylist()
+        place = {row: k for k, row in enumerate(t.column("_row").to_pylist())}
+        needed = sorted(set(wanted))
+        texts = base.byte_list(t.column("text").take(pa.array([place[x] for x in needed], pa.int64())).combine_chunks())
+        sets, at = {}, 0
+        for b in base.slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])]):
+            for _, own in shingle_sets(base.byte_list(b.column(0)), words):
+                sets[needed[at]] = np.unique(own.astype(np.uint32)).tobytes()
+                at += 1
+        return r.select(["key", "tiles", "tile", "print", "row"]).append_column("set", pa.array([sets[x] for x in wanted], pa.binary()))
 
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
+    return f
 
 
-def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float) -> np.ndarray:
-    """The class of each document, by pairs within left, or across left and right."""
-    label, table = np.arange(len(fps)), pivot_table(fps)
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows, sorted by their first columns, in groups of equal ones; a group of one is left out."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:keys] != r[:keys]:
+                if len(held) > 1:
+                    yield held
+                held = []
+            held.append(r)
+    if len(held) > 1:
+        yield held
+
+
+def sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Positions of the rows (key, lo, hi, tile, ...) of the two tiles; the second is None if they are one."""
+    n = np.arange(len(rows))
+    if rows[0][1] == rows[0][2]:
+        return n, None
+    first = np.array([r[3] == r[1] for r in rows])
+    return n[first], n[~first]
+
+
+def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> Iterator[tuple]:
+    """Pairs (i, j, distance), some of left at a time, that sizes, pivots and fingerprints don't rule out."""
+    table = pivot_table(fps)
     other = left if right is None else right
     other = other[np.argsort(table[other, 0], kind="stable")]
     along = table[other, 0].astype(np.int64)
@@ -97,11 +124,46 @@ def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
             i, j = i[near], j[near]
         far = np.bitwise_count(fps[i] ^ fps[j])
         near = far <= RADIUS
-        i, j, far = i[near], j[near], far[near]
+        yield i[near], j[near], far[near]
+
+
+def partnered(similarity: float) -> Callable:
+    """Of rows (key, lo, hi, tile, print, row, size, block, tiles), those with a survivor in their group."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        names = ["block", "row", "key", "tiles", "tile", "print"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for rows in groups_of(batches, 3):
+            fps, size = np.array([r[4] for r in rows], np.int64).view(np.uint64), np.array([r[6] for r in rows], np.int64)
+            hit = np.zeros(len(rows), bool)
+            for i, j, _ in survivors(fps, size, *sides(rows), similarity):
+                hit[i] = hit[j] = True
+            out.extend((r[7], r[5], r[0], r[8], r[3], r[4]) for r, ok in zip(rows, hit.tolist(), strict=True) if ok)
+            if len(out) > 1 << 14:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    return f
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float) -> np.ndarray:
+    """The class of each document, by pairs within left, or across left and right."""
+    label = np.arange(len(fps))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    for i, j, far in survivors(fps, size, left, right, similarity):
         order = np.lexsort((far, i))
         i, j = i[order], j[order]
         while len(i):
-            new = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+            new = np.r_[True, i[1:] != i[:-1]]
             for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
                 if label[x] != label[y] and alike(sets[x], sets[y], similarity):
                     star(label, np.array([x]), np.array([y]))
@@ -111,60 +173,58 @@ def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
 
 
 def linker(similarity: float) -> Callable:
-    def group(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        fps = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-        sets = [np.frombuffer(r[6], np.uint32) for r in rows]
-        ids = np.array([r[5] for r in rows], np.int64)
-        n = np.arange(len(rows))
-        if rows[0][1] == rows[0][2]:
-            label = verified(fps, sets, n, None, similarity)
-        else:
-            first = np.array([r[3] == r[1] for r in rows])
-            label = verified(fps, sets, n[first], n[~first], similarity)
-        child = np.flatnonzero(label != n)
-        return ids[child], ids[label[child]]
+    """Stars (a, b) of the verified links among rows (key, lo, hi, tile, print, row, set)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         a, b = [], []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    if len(held) > 1:
-                        x, y = group(held)
-                        a.append(x)
-                        b.append(y)
-                    held = []
-                held.append(r)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+        for rows in groups_of(batches, 3):
+            ids = np.array([r[5] for r in rows], np.int64)
+            label = verified(np.array([r[4] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[6], np.uint32) for r in rows], *sides(rows), similarity)
+            child = np.flatnonzero(label != np.arange(len(rows)))
+            a.append(ids[child])
+            b.append(ids[label[child]])
             if sum(map(len, a)) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+                yield batch()
                 a, b = [], []
-        if len(held) > 1:
-            x, y = group(held)
-            a.append(x)
-            b.append(y)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+            yield batch()
+
+    return f
+
+
+def tiled(met: DataFrame) -> DataFrame:
+    """Each row (key, tile, tiles, ...) once for every pair of tiles it is part of, groups of a pair together and in order."""
+    rows = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"lo": F.least("tile", "with"), "hi": F.greatest("tile", "with")})
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "row")
+
+
+def keeper(columns: list[str]) -> Callable:
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        return t.filter(pa.compute.is_in(t.column("_row"), value_set=r.column("row").combine_chunks())).select(columns)
 
     return f
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: that of the least doc_id."""
-    columns = docs.columns
-    rows = base.written(sketched(docs, words), "sketches")
-    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("_row").alias("row"))
-    classes = rows.groupBy("_digest").agg(F.min(place).alias("first"), F.min("_print").alias("_print"), F.min("_keys").alias("_keys"))
-    classes = base.written(classes.select("first.id", "first.row", "_print", "_keys"), "classes")
-    met = classes.select("row", "_print", F.explode(F.array_distinct("_keys")).alias("key"))
+    made = sketched(docs, words)
+    blocks = base.parts_for(docs, 8 << 20)
+    block = F.spark_partition_id().cast("long") * 64 + F.pmod(F.xxhash64("_row"), F.lit(max(1, min(64, base.split_bytes(docs) >> 22))))
+    rows = base.bucketed(made.withColumn("_block", block), "_block", blocks, "sketches")
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("_row").alias("row"), F.col("_block").alias("block"))
+    classes = rows.groupBy("_digest").agg(F.min(place).alias("first"), F.min("_print").alias("print"), F.min("_keys").alias("keys"), F.min("_size").alias("size"))
+    classes = base.written(classes.select("first.id", "first.row", "first.block", "print", "keys", "size"), "classes")
+    met = classes.select("row", "block", "print", "size", F.explode(F.array_distinct("keys")).alias("key"))
     busy = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = base.written(met.join(busy, "key"), "met")
-    sets = rows.select("_row", "text").join(met.select(F.col("row").alias("_row")).distinct(), "_row", "left_semi").mapInArrow(set_rows(words), "_row long, _set binary")
-    met = met.join(sets, F.col("row") == F.col("_row"))
-    met = met.withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles").cast("long")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("key", F.least("tile", "with").alias("lo"), F.greatest("tile", "with").alias("hi"), "tile", "_print", "row", "_set")
-    edges = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "row").mapInArrow(linker(similarity), "a long, b long")
+    met = met.join(busy, "key").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles").cast("long")).cast("int"))
+    met = tiled(met).select("key", "lo", "hi", "tile", "print", "row", "size", "block", "tiles")
+    met = met.mapInArrow(partnered(similarity), "block long, row long, key long, tiles int, tile int, print long")
+    met = base.written(met.distinct(), "met")
+    sets = rows.select("_block", "_row", "text").groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(set_sender(words), "key long, tiles int, tile int, print long, row long, set binary")
+    edges = tiled(sets).select("key", "lo", "hi", "tile", "print", "row", "set").mapInArrow(linker(similarity), "a long, b long")
     roots = components(edges)
-    named = classes.join(roots, F.col("row") == F.col("node"), "left").select("id", "row", F.coalesce("root", "row").alias("root"))
-    kept = named.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*columns)
+    named = classes.join(roots, F.col("row") == F.col("node"), "left").select("id", "row", "block", F.coalesce("root", "row").alias("root"))
+    kept = named.groupBy("root").agg(F.min(F.struct("id", "row", "block")).alias("first")).select("first.row", "first.block")
+    return rows.groupBy("_block").cogroup(kept.groupBy("block")).applyInArrow(keeper(docs.columns), docs.schema)
