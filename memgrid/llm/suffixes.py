@@ -29,7 +29,7 @@ from . import base, substrings
 GRAM = 26
 #: Depth in bytes of the multikey sort; what ties beyond it goes to blind tries.
 SHALLOW = 24
-MESSAGE = "level int, part int, block long, a binary, lens binary, text binary, least binary"
+MESSAGE = "level int, part int, block long, a binary, lens binary, text binary, least binary, hash binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -193,13 +193,14 @@ class Block:
         new = np.ones(len(runs), bool)
         new[1:] = (np.diff(p[order]) != 0) | (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
         heads = order[np.flatnonzero(new)]
+        self.hashes = first[heads]
         content = np.empty(len(runs), np.int64)
         content[order] = np.cumsum(new) - 1
         return runs, content, p[heads], runs[heads], doc[heads]
 
 
 def empty() -> pa.Schema:
-    return pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("least", pa.binary())])
+    return pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("least", pa.binary()), ("hash", pa.binary())])
 
 
 def anchor_sender(size: int, parts: int) -> Callable:
@@ -219,15 +220,33 @@ def run_sender(size: int, parts: int) -> Callable:
         block = Block(t, size, parts)
         _, _, part, run, least = block.contents(substrings.replies_of(r))
         rows = []
-        for p, (own, low) in substrings.by_part(part, run, least):
+        for p, (own, low, hashes) in substrings.by_part(part, run, least, block.hashes):
             lens = block.count[own] + size - 1
             at = np.repeat(block.at[own] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
-            rows.append({"level": 1, "part": p, "block": t["block"][0].as_py(), "a": block.key[own].tobytes(), "lens": lens.astype(np.uint32).tobytes(), "text": block.buf[at].tobytes(), "least": low.tobytes()})
+            rows.append({"level": 1, "part": p, "block": t["block"][0].as_py(), "a": block.key[own].tobytes(), "lens": lens.astype(np.uint32).tobytes(), "text": block.buf[at].tobytes(), "least": low.tobytes(), "hash": hashes.tobytes()})
         return pa.Table.from_pylist(rows, schema=empty())
 
     return f
 
 
+def equal_runs(buf: np.ndarray, begin: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each run of equal bytes, and the first run of each class. Hashes propose, bytes decide."""
+    order = np.lexsort((hashes, lens))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(lens[order]) != 0)
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    for at in range(0, len(order), 1 << 14):
+        some = np.arange(at, min(at + (1 << 14), len(order)))
+        own = lens[some]
+        inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        differs = buf[np.repeat(begin[some], own) + inside] != buf[np.repeat(begin[head[some]], own) + inside]
+        wrong = some[np.add.reduceat(differs, np.cumsum(own) - own) > 0]
+        head[wrong] = wrong
+    first, same = np.unique(head, return_inverse=True)
+    return same, first
+
+
 def suffix_sorter(size: int) -> Callable:
     def f(t: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x, np.uint32) for x in t["lens"].to_pylist()]
@@ -238,17 +257,22 @@ def suffix_sorter(size: int) -> Callable:
         begin = np.cumsum(lens) - lens
         _, which, times = np.unique(key, return_inverse=True, return_counts=True)
         kept = np.flatnonzero(times[which] > 1)
-        each = lens[kept] - size + 1
-        run = np.repeat(kept, each)
-        offset = np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each)
-        order, new = deep_shallow(buf, begin[run] + offset, size)
         mask = np.zeros(len(lens), np.uint64)
-        if len(order):
+        if len(kept):
+            same, first = equal_runs(buf, begin[kept], lens[kept], np.frombuffer(b"".join(t["hash"].to_pylist()), np.uint64)[kept])
+            low = np.full(len(first), substrings.NO_ID)
+            np.minimum.at(low, same, least[kept])
+            each = lens[kept[first]] - size + 1
+            place = np.cumsum(each) - each
+            run = np.repeat(np.arange(len(first)), each)
+            order, new = deep_shallow(buf, begin[kept[first]][run] + np.arange(len(run)) - place[run], size)
             heads = np.flatnonzero(new)
-            low = least[run[order]]
-            earlier = np.repeat(np.minimum.reduceat(low, heads), np.diff(np.r_[heads, len(order)])) < low
-            hit = order[earlier]
-            np.bitwise_or.at(mask, run[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+            earliest = np.empty(len(run), np.int64)
+            earliest[order] = np.repeat(np.minimum.reduceat(low[run[order]], heads), np.diff(np.r_[heads, len(order)]))
+            for j in range(int(each.max())):
+                some = each[same] > j
+                hit = earliest[np.where(some, place[same] + j, 0)] < least[kept]
+                mask[kept[some & hit]] |= np.uint64(1) << np.uint64(j)
         bits = [x.tobytes() for x in np.split(mask, np.cumsum([len(x) for x in sent])[:-1])]
         return pa.table({"level": t["level"], "part": t["part"], "block": t["block"], "bits": pa.array(bits, pa.binary())})
 
