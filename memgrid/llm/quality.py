@@ -3,8 +3,9 @@
 N-grams are of characters folded to 64 symbols (letters a to z, digits, kinds of punctuation, hashed classes of other letters). So
 the model has at most 64^ORDER entries however large the corpus is, which is what makes its broadcast safe; n-grams of words have no
 such bound. Spark counts them over all rows. A text's perplexity is that of its symbols. For each language (the lang column) the band
-is the median of the logarithm over all its texts, minus BELOW and plus ABOVE robust standard deviations, at least the floors, and
-wider for short texts, whose mean varies more: it follows the corpus and rejects what lies far out, not a share of the rows.
+lies around the median of the logarithm over all its texts, in robust standard deviations, wider for short texts, whose mean varies
+more. How many deviations it reaches down and up is read from the scores of all texts that pass the base rules: each tail is cut where
+it has left the body, at its first valley or gap from TAIL deviations on. No label is used, and no share of the rows is fixed.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages are a language of their own; a language
 of few texts (LEAST_TEXTS) has no band and rejects none by it; repeated rows each get their result; an empty table gives an empty one;
@@ -24,7 +25,10 @@ from . import base
 from .kneser_ney import Model, code_points, counted, padded_codes
 
 ORDER, BITS = 4, 6
-BELOW, ABOVE, FLOOR_BELOW, FLOOR_ABOVE = 4.5, 7.5, 0.09, 0.15
+#: Deviations from which a score may be an outlier (the usual cut of median-based z-scores); the least standard deviation.
+TAIL, LEAST_SPREAD = 3.5, 0.02
+#: Scores are counted in steps of 1 / STEPS deviations, those over FAR steps together.
+STEPS, FAR = 4, 400
 #: A text of so many words gets twice the band.
 SHORT = 25
 LEAST_TEXTS = 30
@@ -124,24 +128,41 @@ def measured(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     return docs.mapInArrow(f, ", ".join([*kinds, *(f"`{x}` long" for x in more[:-1]), f"`{more[-1]}` double"]))
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(lang, middle, below, above) of log_perplexity, from all rows (lang, log_perplexity)."""
+def scales(rows: DataFrame) -> DataFrame:
+    """(lang, middle, spread) of log_perplexity, from all rows (lang, log_perplexity)."""
     middle = rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"), F.count("log_perplexity").alias("texts"))
     middle = middle.select(F.col("lang").alias("_lang"), "middle", "texts")
     off = rows.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "middle", "texts").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000).alias("off"))
-    wide = lambda times, least: F.greatest(F.lit(least), F.col("off") * 1.4826 * times)
-    return off.where(F.col("texts") >= LEAST_TEXTS).select("_lang", "middle", wide(BELOW, FLOOR_BELOW).alias("below"), wide(ABOVE, FLOOR_ABOVE).alias("above"))
+    return off.where(F.col("texts") >= LEAST_TEXTS).select("_lang", "middle", F.greatest(F.lit(LEAST_SPREAD), F.col("off") * 1.4826).alias("spread"))
+
+
+def tail_limit(counts: dict[int, int]) -> float:
+    """Where a tail leaves the body: the first place from TAIL deviations on around which (half a deviation to each side) lie no more
+    scores than around any place up to a deviation further out. counts: scores by whole steps outward."""
+    around = lambda k: sum(counts.get(x, 0) for x in range(k - STEPS // 2, k + STEPS // 2))
+    k = round(TAIL * STEPS)
+    while any(around(k + x) < around(k) for x in range(1, STEPS + 1)):
+        k += 1
+    return k / STEPS
+
+
+def limits(far: DataFrame) -> tuple[float, float]:
+    """Deviations below and above the middle that the bands reach, from all rows (far)."""
+    step = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.floor(F.col("far") * STEPS)))
+    counts = {r["step"]: r["n"] for r in far.where("far is not null").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return tail_limit({-1 - k: n for k, n in counts.items() if k < 0}), tail_limit({k: n for k, n in counts.items() if k >= 0})
 
 
 def ruled(rows: DataFrame, prefix: str = "") -> DataFrame:
     """Measured rows with base_failed, low, high and kept, after the prefix."""
     at = lambda name: F.col(prefix + name)
     failed = (at("n_words") < LEAST_WORDS) | (100 * at("n_repeat_words") > MOST_REPEATED * at("n_words"))
-    found = base.written(bands(rows.select("lang", at("log_perplexity").alias("log_perplexity"))), "bands")
+    found = base.written(scales(rows.select("lang", at("log_perplexity").alias("log_perplexity"))), "bands")
     found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    slack = 1 + F.lit(float(SHORT)) / F.greatest(at("n_words"), F.lit(1))
-    low, high = F.col("middle") - F.col("below") * slack, F.col("middle") + F.col("above") * slack
+    unit = F.col("spread") * (1 + F.lit(float(SHORT)) / F.greatest(at("n_words"), F.lit(1)))
+    below, above = limits(rows.where(~failed).select(((at("log_perplexity") - F.col("middle")) / unit).alias("far")))
+    low, high = F.col("middle") - below * unit, F.col("middle") + above * unit
     rows = rows.withColumns({f"{prefix}base_failed": failed, f"{prefix}low": low, f"{prefix}high": high}).drop(*found.columns)
     inside = F.coalesce(at("log_perplexity").between(at("low"), at("high")), F.lit(True))
     return rows.withColumn(f"{prefix}kept", ~at("base_failed") & inside)

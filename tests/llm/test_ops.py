@@ -73,6 +73,29 @@ def test_op1_perplexity_rejects_what_lies_far_out(spark):
     assert not got[999] and all(got[i] for i in range(80))
 
 
+def test_op1_tails_are_cut_where_they_leave_the_body():
+    from memgrid.llm.quality import tail_limit
+
+    body = {k: round(40_000 / 2 ** (k * k / 8)) for k in range(14)}
+    assert tail_limit(body) == 3.5
+    assert 3.5 <= tail_limit(body | {k: 40 for k in range(18, 26)}) <= 4
+    heavy = {k: round(40_000 / 1.5**k) for k in range(25)}
+    assert 4.5 <= tail_limit(heavy | {k: 90 for k in range(21, 29)}) < 6.5
+    assert tail_limit({}) == 3.5
+
+
+def test_op1_rejects_lists_and_symbols(spark):
+    from memgrid.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = [r for r in quality.judged(docs).collect() if not r["base_failed"] and r["doc_id"] in labels]
+    lists = [r["kept"] for r in rows if labels[r["doc_id"]] == 0 and " | " in text[r["doc_id"]]]
+    good = [r["kept"] for r in rows if labels[r["doc_id"]] == 1]
+    assert lists and not all(lists) and sum(good) >= 0.995 * len(good)
+
+
 def test_kneser_ney_sums_to_one(spark):
     import numpy as np
 
