@@ -1,7 +1,7 @@
 """Near copies by SimHash at a similarity that short fingerprint radii don't reach.
 
-A Jaccard similarity of 0.8 of five-word shingles leaves 64-bit fingerprints about 10, at times 17 bits apart. Blocks of bits cannot
-index such a radius, so documents meet where one of KEYS seeded least shingle hashes agrees (two of that similarity share none with
+A Jaccard similarity of 0.8 of five-word shingles leaves 64-bit fingerprints of the distinct ones about 10, at times 20 bits apart.
+Blocks of bits cannot index such a radius, so documents meet where one of KEYS seeded least shingle hashes agrees (two of that similarity share none with
 probability 0.2 ^ KEYS). There pivot distance tables discard pairs whose distances to any pivot differ by more than RADIUS, the
 fingerprints' own distance is checked, and what survives is verified exactly on the shingle sets.
 
@@ -28,7 +28,7 @@ from .components import components
 from .decontaminate import fingerprint, lowered
 from .simhash import PIVOTS, pivot_table, star
 
-KEYS, RADIUS, TILE = 4, 20, 1024
+KEYS, RADIUS, TILE = 4, 24, 1024
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,7 +50,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             for own, distinct in shingle_sets(base.byte_list(b.column("text")), words):
                 digest.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                 size.append(len(distinct))
-                prints.append(fingerprint(own) if len(own) else 0)
+                prints.append(fingerprint(distinct) if len(own) else 0)
                 keys.append([int(base.mix64(distinct, 100 + k).min().view(np.int64)) for k in range(KEYS)] if len(own) else [])
             more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_digest", "_size", "_print", "_keys"])

@@ -1,6 +1,7 @@
 """Stages of the pipeline against plain versions."""
 
 import itertools
+import random
 
 import pytest
 
@@ -39,6 +40,18 @@ def test_near_copies(spark, folder, docs, monkeypatch, tile):
     assert sorted((1 << 63) if r["doc_id"] is None else r["doc_id"] for r in out.collect()) == groups([(i, t) for i, t, *_ in docs])
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    """Sets alike at 0.8 or more, however often one of the two texts repeats a passage."""
+    r = random.Random(6)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        body, passage = say(560), say(r.randint(8, 30))
+        rows += [(2 * k, " ".join(body + passage)), (2 * k + 1, " ".join(body + passage * (210 // len(passage))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in near_copies.deduplicated(docs).collect()) == groups(rows) == list(range(0, 80, 2))
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
