@@ -140,6 +140,42 @@ def test_surprise_chunks_make_up_the_text(spark):
     assert len(parts) > 2 and "".join(parts) == rows.first()["text"]
 
 
+def test_surprise_chunks_of_whole_documents(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from compare import DATA
+    from memgrid import plans
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    counts = Counter(w for x in texts.values() for w in (x or "").split(" ") if w)
+    total = sum(counts.values())
+    want = {}
+    for key, text in texts.items():
+        words, at = [], 0
+        for w in (text or "").split(" "):
+            if w:
+                words.append((at, -math.log(counts[w] / total)))
+            at += len(w) + 1
+        if not words:
+            continue
+        limit = np.percentile([s for _, s in words], 85)
+        cuts = [0]
+        for at, s in words:
+            if s > limit + 1e-12 and at - cuts[-1] >= 100:
+                cuts.append(at)
+        for n, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(text)], strict=True)):
+            near = [s for at, s in words if a - 100 <= at < a + 100]
+            want[key, n] = (a, text[a:z], round(sum(near) / len(near), 6) if near else 0.0)
+    got = {(r["doc_id"], r["n"]): (r["start"], r["chunk"], round(r["surprise"], 6)) for r in plans.queries()["surprise_chunks"](spark, DATA).collect()}
+    assert max(n for _, n in want) > 10
+    assert got.keys() == want.keys()
+    for k, (a, chunk, mean) in want.items():
+        assert got[k][:2] == (a, chunk) and abs(got[k][2] - mean) < 2e-6
+
+
 def test_sinks(spark, tmp_path):
     from memgrid.sources import sinks
 
