@@ -7,9 +7,9 @@ lies around the median of the logarithm over all its texts, in robust standard d
 more. How many deviations it reaches down and up is read from the scores of all texts that pass the base rules: each tail is cut where
 it has left the body, at its first valley or gap from TAIL deviations on. No label is used, and no share of the rows is fixed.
 
-Defined results: a null or empty text has no words and fails the base rules; null languages are a language of their own; a language
-of few texts (LEAST_TEXTS) has no band and rejects none by it; repeated rows each get their result; an empty table gives an empty one;
-extra columns are kept by `filtered` and ignored by `judged`.
+Defined results: a null or empty text has no words and fails the base rules; null languages are a language of their own; the middle and
+spread of a language lean towards those of all texts, the more the fewer texts it has (PRIOR_TEXTS); repeated rows each get their
+result; an empty table gives an empty one; extra columns are kept by `filtered` and ignored by `judged`.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ TAIL, LEAST_SPREAD = 3.5, 0.02
 STEPS, FAR = 4, 400
 #: A text of so many words gets twice the band.
 SHORT = 25
-LEAST_TEXTS = 30
+#: All texts together count as so many texts of each language.
+PRIOR_TEXTS = 5
 #: Bands (one a language) that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 10_000
 #: Base rules. Fixed values.
@@ -133,7 +134,11 @@ def scales(rows: DataFrame) -> DataFrame:
     middle = rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"), F.count("log_perplexity").alias("texts"))
     middle = middle.select(F.col("lang").alias("_lang"), "middle", "texts")
     off = rows.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "middle", "texts").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000).alias("off"))
-    return off.where(F.col("texts") >= LEAST_TEXTS).select("_lang", "middle", F.greatest(F.lit(LEAST_SPREAD), F.col("off") * 1.4826).alias("spread"))
+    median = lambda x: rows.agg(F.percentile_approx(x, 0.5, 10000)).first()[0] or 0.0
+    all_middle = median(F.col("log_perplexity"))
+    all_off = median(F.abs(F.col("log_perplexity") - all_middle))
+    leaning = lambda own, whole: (F.coalesce(F.col(own), F.lit(whole)) * F.col("texts") + F.lit(whole * PRIOR_TEXTS)) / (F.col("texts") + PRIOR_TEXTS)
+    return off.select("_lang", leaning("middle", all_middle).alias("middle"), F.greatest(F.lit(LEAST_SPREAD), leaning("off", all_off) * 1.4826).alias("spread"))
 
 
 def tail_limit(counts: dict[int, int]) -> float:

@@ -96,6 +96,16 @@ def test_op1_rejects_lists_and_symbols(spark):
     assert lists and not all(lists) and sum(good) >= 0.995 * len(good)
 
 
+def test_op1_languages_of_few_texts_have_a_band(spark):
+    from memgrid.llm import quality
+
+    say = "the house on the hill was old and the people in it were kind to all who came by on their way and then they went home to rest"
+    junk = [" ".join("".join(chr(97 + (k * k * 7 + j * 31 + k * s) % 26) for j in range(9)) for k in range(40)) for s in (1, 3)]
+    rows = [(i, f"{say} {i}", "en") for i in range(80)] + [(100, junk[0], "xx"), (101, junk[1], "yy"), (102, say, "zz"), (103, say, "yy")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[100] and not got[101] and all(got[i] for i in (*range(80), 102, 103))
+
+
 def test_kneser_ney_sums_to_one(spark):
     import numpy as np
 
