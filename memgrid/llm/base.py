@@ -44,11 +44,13 @@ def split_bytes(docs: DataFrame) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is the cluster's spark.checkpoint.dir; only where that is unset (tests), an own one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="memgrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -96,10 +98,18 @@ def shared(spark: SparkSession, value: object) -> Callable:
     return get
 
 
+def field(rows: pa.RecordBatch | pa.Table, path: str) -> pa.Array:
+    """A column, or "column.field" of a struct."""
+    name, _, inner = path.partition(".")
+    col = rows.column(name)
+    col = pa.compute.struct_field(col, inner) if inner else col
+    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text."""
+    """The same rows in batches of about `limit` bytes of text. column: as in field()."""
     for b in batches:
-        col = b.column(b.schema.get_field_index(column))
+        col = field(b, column)
         sizes = np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
         at = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(at)) + 1

@@ -1,20 +1,27 @@
-"""Near copies by SimHash at a similarity that short fingerprint radii don't reach.
+"""Near copies by SimHash and pivots at a similarity that short fingerprint radii don't reach: Jaccard 0.8 of five-word shingles.
 
-A Jaccard similarity of 0.8 of five-word shingles leaves 64-bit fingerprints of the distinct ones about 10, at times 20 bits apart.
-Blocks of bits cannot index such a radius, so documents meet where one of KEYS seeded least shingle hashes agrees (two of that similarity share none with
-probability 0.2 ^ KEYS). There pivot distance tables discard pairs whose distances to any pivot differ by more than RADIUS, the
-fingerprints' own distance is checked, and what survives is verified exactly on the shingle sets.
+Bit blocks cannot index a radius of some 20 of 64 bits, so documents meet by shingles: in one global order of all shingles, two sets
+with that similarity share one of the first n - ceil(similarity * n) + 1 of each, whatever the order. None is missed. The order puts
+shingles that many documents hold last (counts come from a sketch of fixed size over all documents), so common passages gather few.
 
-Texts with equal shingle sets are one class from the start. Large meetings are cut into tiles by hash, each pair of tiles a group of
-its own; a pair whose classes are already one is not verified again, and links leave as stars. Shingle sets are only made for
-documents that meet another.
+Documents with equal shingle sets are one class from the start. Where classes meet:
+1. Stars. Each key's members are compared with one of them, the first in a seeded order; a large group of near copies becomes one
+   component by as many comparisons as it has members. Twice, with two orders. Members that are one component already are left out.
+2. Tiles. Keys whose members still are several components compare the members outside the largest one with all, in tiles. Pivot
+   distance tables discard pairs whose distances to any pivot differ by more than RADIUS, then the fingerprints' own distance decides
+   who is verified: nearest first, a few for each member, then more in later rounds, until no pair is left.
+Verification compares the shingle sets. A document's set is sent once to each block of documents that needs it.
+
+Fingerprints of the distinct shingles: two sets at 0.8 differ in each bit with a probability of at most 0.152, so RADIUS is 5.7 standard
+deviations over the mean (about one in 10^8 such pairs lies beyond). Sets are sets of 64-bit shingle hashes.
 
 Defined results: texts without words are one class; a null doc_id comes after all others; among equal ids the first row stays;
-repeated rows are copies of each other; an empty table gives an empty one; all columns are kept as they are.
+repeated rows are copies of each other; an empty table gives an empty one; all columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,57 +33,204 @@ from pyspark.sql import functions as F
 from . import base
 from .components import components
 from .decontaminate import fingerprint, lowered
-from .simhash import PIVOTS, pivot_table, star
+from .simhash import PIVOTS, pivot_table
 
-KEYS, RADIUS, TILE = 4, 24, 1024
+RADIUS, TILE = 26, 1024
+#: Members of one key that meet in one task at most; more are dealt by a salt.
+HOT = 4096
+STARS = 2
+#: How many survivors of a tile each member is verified with, in total, after each round.
+ROUNDS = (4, 64, None)
+#: The sketch: counters, and how they are cut for summing.
+COUNTERS, CHUNK = 1 << 20, 1 << 10
 
 
-def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All shingle hashes of each text, and the distinct ones, sorted; a text of fewer words is one shingle."""
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted; a text of fewer words is one shingle."""
     hashes, _, first = lowered(texts)
     rolled = base.Rolling(hashes)
     every = rolled.windows(words) if len(hashes) >= words else np.zeros(0, np.uint64)
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        own = every[a : z - words + 1] if z - a >= words else rolled.hashes(np.array([a]), np.array([z])) if z > a else every[:0]
-        yield own, np.unique(own)
+        yield np.unique(every[a : z - words + 1] if z - a >= words else rolled.hashes(np.array([a]), np.array([z])) if z > a else every[:0])
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """docs and _row, _digest of the shingle set, _size of it, _print, _keys."""
+    """(doc, row, block, digest of the shingle set, size of it, print); doc holds the columns of docs."""
+    per = max(1, min(64, base.split_bytes(docs) >> 22))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in base.slices(batches, "doc.text"):
+            digest, size, prints = [], [], []
+            for own in shingle_sets(base.byte_list(base.field(b, "doc.text")), words):
+                digest.append(xxhash.xxh3_128_digest(own.tobytes()))
+                size.append(len(own))
+                prints.append(fingerprint(own) if len(own) else 0)
+            more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "digest", "size", "print"])
+
+    row = F.monotonically_increasing_id()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row.alias("row"), (F.spark_partition_id().cast("long") * per + F.pmod(F.xxhash64(row), F.lit(per))).alias("block"))
+    return packed.mapInArrow(f, f"doc {packed.schema['doc'].dataType.simpleString()}, row long, block long, digest binary, size long, print long")
+
+
+def counters(docs: DataFrame, words: int) -> np.ndarray:
+    """About how many documents hold the shingles of each counter, over all documents: COUNTERS numbers, whatever the input."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
         for b in base.slices(batches):
-            digest, size, prints, keys = [], [], [], []
-            for own, distinct in shingle_sets(base.byte_list(b.column("text")), words):
-                digest.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                size.append(len(distinct))
-                prints.append(fingerprint(distinct) if len(own) else 0)
-                keys.append([int(base.mix64(distinct, 100 + k).min().view(np.int64)) for k in range(KEYS)] if len(own) else [])
-            more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_digest", "_size", "_print", "_keys"])
+            for own in shingle_sets(base.byte_list(b.column(0)), words):
+                np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+        if total.any():
+            parts = total.reshape(-1, CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
+    for r in docs.select("text").mapInArrow(f, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
 
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    return docs.mapInArrow(f, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", _digest binary, _size long, _print long, _keys array<long>")
+
+class Order:
+    """The global order of shingles: what stands out of the sketch's usual load comes later, and needs a salt."""
+
+    def __init__(self, counts: np.ndarray):
+        usual = float(np.median(counts))
+        over = np.maximum(counts - usual - 4 * math.sqrt(usual), 0)
+        self.level = np.ceil(np.log2(over + 1)).astype(np.int8)
+        self.salts = (1 + over // HOT).astype(np.int64)
+
+    def first(self, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the (sorted) set that must meet those of similar sets, and the salts of each."""
+        n = len(own)
+        at = (own % np.uint64(COUNTERS)).astype(np.int64)
+        take = np.argsort(self.level[at], kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(0, np.int64)
+        return own[take], self.salts[at[take]]
+
+
+def key_sender(words: int, similarity: float, order: Callable) -> Callable:
+    """(key, salts, salt, row) of the block's rows that stand for a class."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", pa.int64()), ("salts", pa.int64()), ("salt", pa.int64()), ("row", pa.int64())])
+        t = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks())) if len(r) else t.slice(0, 0)
+        if not len(t):
+            return schema.empty_table()
+        keys, salts, each, at = [], [], [], 0
+        for b in base.slices(t.combine_chunks().to_batches(), "doc.text"):
+            for own in shingle_sets(base.byte_list(base.field(b, "doc.text")), words):
+                key, salt = order().first(own, similarity)
+                keys.append(key)
+                salts.append(salt)
+                each.append(len(key))
+        rows = np.repeat(t.column("row").to_numpy(), each)
+        salts = np.concatenate(salts)
+        salt = (base.mix64(rows.view(np.uint64), 5) % salts.view(np.uint64)).astype(np.int64)
+        return pa.table([np.concatenate(keys).view(np.int64), salts, salt, rows], schema=schema)
+
+    return f
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, salts, salt, row), in order of key and salt, those that have company, or may have it under another salt."""
+    held = None
+    names = ["key", "salts", "salt", "row"]
+
+    def kept(c: list[np.ndarray]) -> pa.RecordBatch:
+        same = (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1])
+        keep = np.r_[False, same] | np.r_[same, False] | (c[1] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], names)
+
+    for b in batches:
+        c = [x.to_numpy() for x in b.columns]
+        c = c if held is None else [np.concatenate(x) for x in zip(held, c, strict=True)]
+        if not len(c[0]):
+            continue
+        start = int(np.flatnonzero((c[0] == c[0][-1]) & (c[2] == c[2][-1]))[0])
+        held = [x[start:] for x in c]
+        if start:
+            yield kept([x[:start] for x in c])
+    if held is not None:
+        yield kept(held)
 
 
 def set_sender(words: int) -> Callable:
-    """The shingle sets of a block's rows that are wanted, one for each meeting."""
+    """(block, row, set): the shingle sets of the block's rows that are wanted in other blocks."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        schema = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("set", pa.binary())])
+        if not len(r):
+            return schema.empty_table()
+        t = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks()))
+        sets = own_sets(t, words)
+        rows = r.column("row").to_pylist()
+        return pa.table([r.column("to").combine_chunks(), pa.nulls(len(r), pa.int64()), r.column("row").combine_chunks(), pa.array([sets[x].tobytes() for x in rows], pa.binary())], schema=schema)
+
+    return f
+
+
+def own_sets(t: pa.Table, words: int) -> dict[int, np.ndarray]:
+    sets = [own for b in base.slices(t.combine_chunks().to_batches(), "doc.text") for own in shingle_sets(base.byte_list(base.field(b, "doc.text")), words)]
+    return dict(zip(t.column("row").to_pylist(), sets, strict=True))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def checker(words: int, similarity: float) -> Callable:
+    """(a, b) of the block's pairs that are similar; r holds the pairs (a, b) and the sets of all b."""
 
     def f(t: pa.Table, r: pa.Table) -> pa.Table:
-        wanted = r.column("row").to_pylist()
-        place = {row: k for k, row in enumerate(t.column("_row").to_pylist())}
-        needed = sorted(set(wanted))
-        texts = base.byte_list(t.column("text").take(pa.array([place[x] for x in needed], pa.int64())).combine_chunks())
-        sets, at = {}, 0
-        for b in base.slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])]):
-            for _, own in shingle_sets(base.byte_list(b.column(0)), words):
-                sets[needed[at]] = np.unique(own.astype(np.uint32)).tobytes()
-                at += 1
-        return r.select(["key", "tiles", "tile", "print", "row"]).append_column("set", pa.array([sets[x] for x in wanted], pa.binary()))
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not len(r):
+            return schema.empty_table()
+        sent = r.filter(pa.compute.is_null(r.column("a")))
+        other = {k: np.frombuffer(x, np.uint64) for k, x in zip(sent.column("b").to_pylist(), sent.column("set").to_pylist(), strict=True)}
+        pairs = r.filter(pa.compute.is_valid(r.column("a")))
+        own = own_sets(t.filter(pa.compute.is_in(t.column("row"), value_set=pairs.column("a").combine_chunks())), words)
+        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+        good = [alike(own[x], other[y], similarity) for x, y in zip(a, b, strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_())).cast(schema)
 
     return f
 
 
+def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b): those of the pairs (a, a_block, b, b_block) whose sets are similar. texts: (doc, row, block), bucketed by block."""
+    wanted = pairs.select(F.col("b_block").alias("block"), F.col("b").alias("row"), F.col("a_block").alias("to")).distinct()
+    by_block = texts.groupBy("block")
+    sets = by_block.cogroup(wanted.groupBy("block")).applyInArrow(set_sender(words), "block long, a long, b long, set binary")
+    work = sets.unionByName(pairs.select(F.col("a_block").alias("block"), "a", "b", F.lit(None).cast("binary").alias("set")))
+    return by_block.cogroup(work.groupBy("block")).applyInArrow(checker(words, similarity), "a long, b long")
+
+
+def paired(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows (a_*, b_*) of two components whose sizes and fingerprints allow them to be similar, each once."""
+    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+    rows = rows.where((F.col("a") != F.col("b")) & (F.col("a_root") != F.col("b_root")) & sizes & (F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print"))) <= RADIUS))
+    return rows.select("a", "a_block", "b", "b_block").distinct()
+
+
+def star_pairs(members: DataFrame, number: int, similarity: float) -> DataFrame:
+    """Each member of a key with the key's first in the order of this number."""
+    facts = ("row", "block", "size", "print", "root")
+    place = F.struct(F.xxhash64("row", F.lit(number)).alias("place"), *facts)
+    first = members.groupBy("key", "salts").agg(F.min(place).alias("b"))
+    first = first.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"), "b")
+    rows = members.join(first, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")))
+    ends = [F.col(c).alias("a" if c == "row" else f"a_{c}") for c in facts] + [F.col(f"b.{c}").alias("b" if c == "row" else f"b_{c}") for c in facts]
+    return paired(rows.select(*ends), similarity)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows, sorted by their first columns, in groups of equal ones; a group of one is left out."""
     held: list[tuple] = []
@@ -91,31 +245,19 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tup
         yield held
 
 
-def sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray | None]:
-    """Positions of the rows (key, lo, hi, tile, ...) of the two tiles; the second is None if they are one."""
-    n = np.arange(len(rows))
-    if rows[0][1] == rows[0][2]:
-        return n, None
-    first = np.array([r[3] == r[1] for r in rows])
-    return n[first], n[~first]
-
-
-def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> Iterator[tuple]:
-    """Pairs (i, j, distance), some of left at a time, that sizes, pivots and fingerprints don't rule out."""
+def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple]:
+    """Pairs (i, j, distance) of left and right, some of left at a time, that sizes, pivots and fingerprints don't rule out."""
     table = pivot_table(fps)
-    other = left if right is None else right
-    other = other[np.argsort(table[other, 0], kind="stable")]
-    along = table[other, 0].astype(np.int64)
+    right = right[np.argsort(table[right, 0], kind="stable")]
+    along = table[right, 0].astype(np.int64)
     for at in range(0, len(left), 128):
         some = left[at : at + 128]
         d = table[some, 0].astype(np.int64)
         a, z = np.searchsorted(along, d - RADIUS), np.searchsorted(along, d + RADIUS, "right")
         each = z - a
         i = np.repeat(some, each)
-        j = other[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - a, each)]
-        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-        if right is None:
-            keep &= j < i
+        j = right[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - a, each)]
+        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
         i, j = i[keep], j[keep]
         for k in range(1, PIVOTS):
             if len(i) < 32:
@@ -127,104 +269,98 @@ def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nda
         yield i[near], j[near], far[near]
 
 
-def partnered(similarity: float) -> Callable:
-    """Of rows (key, lo, hi, tile, print, row, size, block, tiles), those with a survivor in their group."""
+def nearest(lo: int, hi: int | None, similarity: float) -> Callable:
+    """Of rows (key, x, y, left, row, block, size, print, root), in order of the tile pair: each left row with its survivors from the lo-th nearest on, up to the hi-th."""
+    kinds = [pa.int64()] * 4
+    names = ["a", "a_block", "b", "b_block"]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        names = ["block", "row", "key", "tiles", "tile", "print"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for rows in groups_of(batches, 3):
-            fps, size = np.array([r[4] for r in rows], np.int64).view(np.uint64), np.array([r[6] for r in rows], np.int64)
-            hit = np.zeros(len(rows), bool)
-            for i, j, _ in survivors(fps, size, *sides(rows), similarity):
-                hit[i] = hit[j] = True
-            out.extend((r[7], r[5], r[0], r[8], r[3], r[4]) for r, ok in zip(rows, hit.tolist(), strict=True) if ok)
-            if len(out) > 1 << 14:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
+            first = np.array([r[3] for r in rows])
+            row, block, size, prints, root = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6, 7, 8))
+            found = []
+            for i, j, far in survivors(prints.view(np.uint64), size, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+                order = np.lexsort((row[j], far, i))
+                i, j = i[order], j[order]
+                heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+                place = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
+                keep = (place >= lo) & (place < (hi or len(i))) & (root[i] != root[j])
+                found.append((i[keep], j[keep]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((row[i], block[i], row[j], block[j]), kinds, strict=True)], names)
 
     return f
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
-def verified(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: float) -> np.ndarray:
-    """The class of each document, by pairs within left, or across left and right."""
-    label = np.arange(len(fps))
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    for i, j, far in survivors(fps, size, left, right, similarity):
-        order = np.lexsort((far, i))
-        i, j = i[order], j[order]
-        while len(i):
-            new = np.r_[True, i[1:] != i[:-1]]
-            for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
-                if label[x] != label[y] and alike(sets[x], sets[y], similarity):
-                    star(label, np.array([x]), np.array([y]))
-            rest = ~new & (label[i] != label[j])
-            i, j = i[rest], j[rest]
-    return label
-
-
-def linker(similarity: float) -> Callable:
-    """Stars (a, b) of the verified links among rows (key, lo, hi, tile, print, row, set)."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
-        for rows in groups_of(batches, 3):
-            ids = np.array([r[5] for r in rows], np.int64)
-            label = verified(np.array([r[4] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[6], np.uint32) for r in rows], *sides(rows), similarity)
-            child = np.flatnonzero(label != np.arange(len(rows)))
-            a.append(ids[child])
-            b.append(ids[label[child]])
-            if sum(map(len, a)) > 1 << 16:
-                yield batch()
-                a, b = [], []
-        if a:
-            yield batch()
-
-    return f
-
-
-def tiled(met: DataFrame) -> DataFrame:
-    """Each row (key, tile, tiles, ...) once for every pair of tiles it is part of, groups of a pair together and in order."""
-    rows = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumns({"lo": F.least("tile", "with"), "hi": F.greatest("tile", "with")})
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "row")
-
+def tile_pairs(members: DataFrame, lo: int, hi: int | None, similarity: float) -> DataFrame:
+    """Pairs from tiles: members of a key outside its largest component (left) against all its members."""
+    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.select(F.col("key").alias("_key"), "main", F.ceil(F.col("all") / TILE).alias("rights"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("lefts"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt")
+    main = members.select("key", "salts").distinct().join(main, F.col("key") == F.col("_key")).select("_key", salts, "main", "lefts", "rights")
+    rows = members.join(main, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")))
+    tile = lambda n: F.pmod(F.xxhash64("row", F.lit(9)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    facts = ("row", "block", "size", "print", "root")
+    left = rows.where("root <> main").select("key", tile("lefts").alias("x"), every("rights").alias("y"), F.lit(True).alias("left"), *facts)
+    right = rows.select("key", every("lefts").alias("x"), tile("rights").alias("y"), F.lit(False).alias("left"), *facts)
+    rows = left.unionByName(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return rows.mapInArrow(nearest(lo, hi, similarity), "a long, a_block long, b long, b_block long").distinct()
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with their component as `root`, without keys that lie in one component."""
+    rows = members.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+    rows = base.written(rows, "members")
+    mixed = rows.groupBy("key", "salts").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
+    return base.written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left_semi"), "mixed")
+
+
+def links(rows: DataFrame, classes: DataFrame, order: Callable, words: int, similarity: float) -> DataFrame:
+    """(node, root) of all classes (by their row) that are linked to another. rows: (doc, row, block, ...), bucketed by block."""
+    keys = rows.select("doc", "row", "block").groupBy("block").cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(key_sender(words, similarity, order), "key long, salts long, salt long, row long")
+    members = keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(met, "key long, salts long, salt long, row long")
+    members = base.written(members, "met")
+    facts = classes.select(F.col("row").alias("_row"), "block", "size", "print")
+    members = members.join(facts, F.col("row") == F.col("_row")).drop("_row").withColumn("root", F.col("row"))
+    members = base.written(members, "members")
+    busy = members.select("row").distinct()
+    texts = rows.join(busy, "row", "left_semi").select("doc", "row", "block")
+    texts = base.bucketed(texts, "block", base.parts_for(rows, 8 << 20), "meeting")
+    found, roots = None, None
+    for make in [lambda m, k=k: star_pairs(m, k, similarity) for k in range(STARS)] + [lambda m, a=a, z=z: tile_pairs(m, a, z, similarity) for a, z in zip((0, *ROUNDS), ROUNDS, strict=False)]:
+        if roots is not None:
+            members = rooted(members, roots)
+            if members.isEmpty():
+                break
+        pairs = base.written(make(members), "pairs")
+        if pairs.isEmpty():
+            continue
+        new = base.written(verified(texts, pairs, words, similarity), "links")
+        if not new.isEmpty():
+            # earlier components are links themselves: their stars
+            found = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = components(found)
+    return roots if roots is not None else rows.sparkSession.createDataFrame([], "node long, root long")
 
-def keeper(columns: list[str]) -> Callable:
-    def f(t: pa.Table, r: pa.Table) -> pa.Table:
-        return t.filter(pa.compute.is_in(t.column("_row"), value_set=r.column("row").combine_chunks())).select(columns)
 
-    return f
+def keeper(t: pa.Table, r: pa.Table) -> pa.Table:
+    """The documents of the block's rows that r names."""
+    kept = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks()))
+    return pa.Table.from_struct_array(kept.column("doc").combine_chunks())
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: that of the least doc_id."""
-    made = sketched(docs, words)
-    blocks = base.parts_for(docs, 8 << 20)
-    block = F.spark_partition_id().cast("long") * 64 + F.pmod(F.xxhash64("_row"), F.lit(max(1, min(64, base.split_bytes(docs) >> 22))))
-    rows = base.bucketed(made.withColumn("_block", block), "_block", blocks, "sketches")
-    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("_row").alias("row"), F.col("_block").alias("block"))
-    classes = rows.groupBy("_digest").agg(F.min(place).alias("first"), F.min("_print").alias("print"), F.min("_keys").alias("keys"), F.min("_size").alias("size"))
-    classes = base.written(classes.select("first.id", "first.row", "first.block", "print", "keys", "size"), "classes")
-    met = classes.select("row", "block", "print", "size", F.explode(F.array_distinct("keys")).alias("key"))
-    busy = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = met.join(busy, "key").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles").cast("long")).cast("int"))
-    met = tiled(met).select("key", "lo", "hi", "tile", "print", "row", "size", "block", "tiles")
-    met = met.mapInArrow(partnered(similarity), "block long, row long, key long, tiles int, tile int, print long")
-    met = base.written(met.distinct(), "met")
-    sets = rows.select("_block", "_row", "text").groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(set_sender(words), "key long, tiles int, tile int, print long, row long, set binary")
-    edges = tiled(sets).select("key", "lo", "hi", "tile", "print", "row", "set").mapInArrow(linker(similarity), "a long, b long")
-    roots = components(edges)
+    rows = base.bucketed(sketched(docs, words), "block", base.parts_for(docs, 8 << 20), "sketches")
+    order = base.shared(docs.sparkSession, Order(counters(docs, words)))
+    place = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("row"), F.col("block"))
+    classes = rows.groupBy("digest").agg(F.min(place).alias("first"), F.min("print").alias("print"), F.min("size").alias("size"))
+    classes = base.written(classes.select("first.id", "first.row", "first.block", "print", "size"), "classes")
+    roots = links(rows, classes, order, words, similarity)
     named = classes.join(roots, F.col("row") == F.col("node"), "left").select("id", "row", "block", F.coalesce("root", "row").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("id", "row", "block")).alias("first")).select("first.row", "first.block")
-    return rows.groupBy("_block").cogroup(kept.groupBy("block")).applyInArrow(keeper(docs.columns), docs.schema)
+    return rows.select("doc", "row", "block").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(keeper, docs.schema)

@@ -31,9 +31,11 @@ def groups(rows, words=5, similarity=0.8):
     return sorted(min(x) for x in found.values())
 
 
-@pytest.mark.parametrize("tile", [1024, 2])
-def test_near_copies(spark, folder, docs, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "stars", "hot"), [(1024, 2, 4096), (2, 0, 4096), (1024, 1, 1)])
+def test_near_copies(spark, folder, docs, monkeypatch, tile, stars, hot):
     monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    monkeypatch.setattr(near_copies, "HOT", hot)
     df = spark.read.parquet(f"{folder}/documents.parquet")
     out = near_copies.deduplicated(df)
     assert out.columns == df.columns
@@ -52,6 +54,48 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert sorted(x["doc_id"] for x in near_copies.deduplicated(docs).collect()) == groups(rows) == list(range(0, 80, 2))
 
 
+@pytest.mark.parametrize("n", [150, 450])
+def test_one_large_group_sends_sets_in_proportion(spark, monkeypatch, n):
+    """A group of near copies is worked off by about as many comparisons as it has members, whatever the tile."""
+    monkeypatch.setattr(near_copies, "TILE", 64)
+    sent, verified = [], near_copies.verified
+
+    def counted(texts, pairs, *rest):
+        sent.append(pairs.count())
+        return verified(texts, pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    r = random.Random(8)
+    body = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(n):
+        own = list(body)
+        own[r.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    assert [x["doc_id"] for x in near_copies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert sum(sent) <= 8 * n
+
+
+def test_clashing_names(spark, folder):
+    names = ["_row", "_size", "_digest", "_print", "_keys", "_block", "row", "size", "digest", "print", "block", "doc"]
+    rows = spark.createDataFrame([(i, f"one two three four five six {i % 3}", *names) for i in range(6)], ["doc_id", "text", *names])
+    out = near_copies.deduplicated(rows)
+    assert out.columns == rows.columns and [(r["doc_id"], *r[2:]) for r in sorted(out.collect())] == [(i, *names) for i in range(3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch, seed):
+    from memgrid.llm import base, components
+
+    made, written = [], base.written
+    monkeypatch.setattr(base, "written", lambda df, what: made.append(what) or written(df, what))
+    shift = seed * 1000
+    chain = spark.createDataFrame([(shift + i, shift + i + 1) for i in range(1000)], "a long, b long")
+    found = components.components(chain).collect()
+    assert len(found) == 1001 and len({r["root"] for r in found}) == 1
+    assert made.count("joined") <= 16
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
