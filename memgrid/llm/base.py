@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that end a word.
@@ -86,6 +87,25 @@ def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20) -> DataFrame:
     return bucketed(df, "block", max(8, min(1 << 16, math.ceil(size / (block_bytes * 1.3)))), what)
 
 
+def packed(docs: DataFrame, what: str, block_bytes: int = 4 << 20) -> DataFrame:
+    """(block, row, doc) of all documents, doc a struct of their columns, as a table bucketed by block; blocks are as in blocks()."""
+    per = max(1, math.ceil(split_bytes(docs) / block_bytes))
+    row = F.monotonically_increasing_id()
+    block = F.spark_partition_id().cast("long") * per + F.pmod(F.xxhash64(row), F.lit(per))
+    df = docs.select(block.alias("block"), row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return bucketed(df, "block", max(8, min(1 << 16, math.ceil(estimated_bytes(docs) / (block_bytes * 1.3)))), what)
+
+
+def chosen(rows: DataFrame, kept: DataFrame, schema: StructType) -> DataFrame:
+    """The documents of the table rows (block, row, doc, ...), bucketed by block, that kept (row, block) names. No document moves."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks()))
+        return pa.Table.from_struct_array(t.column("doc").combine_chunks())
+
+    return rows.select("doc", "row", "block").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(f, schema)
+
+
 def shared(spark: SparkSession, value: object) -> Callable:
     """A function that gives the value on executors, where it is sent once; it must be of bounded size."""
     sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []

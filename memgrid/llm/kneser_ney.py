@@ -1,8 +1,10 @@
-"""Interpolated and modified Kneser-Ney models over small symbols, stored in sorted hash arrays.
+"""Interpolated and modified Kneser-Ney models over symbols, stored in sorted hash arrays.
 
 An n-gram is the number made of its symbols, `bits` each. Of every order the model keeps the sorted hashes of the n-grams that were
 seen with their log probabilities, already interpolated with all lower orders, and of the contexts with the logs of the mass they
 leave to the lower order. One model holds several columns (languages) over the union of their n-grams.
+
+`probabilities` makes the same of a table of counts with joins, for models that no machine need hold.
 """
 
 from __future__ import annotations
@@ -11,22 +13,51 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
 
-def discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
-    """What is taken off a count of 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = ((counts == k).sum() for k in (1, 2, 3, 4))
+def from_counts(n1: float, n2: float, n3: float, n4: float, modified: bool) -> list[float]:
+    """What is taken off a count of 1, 2 and 3 or more; n1 to n4: how many n-grams have a count of 1 to 4."""
     if not n1 or not n2:
-        return np.array([0.5, 0.5, 0.5])
+        return [0.5, 0.5, 0.5]
     y = n1 / (n1 + 2 * n2)
     if not modified:
-        return np.array([y, y, y])
-    found = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5])
-    return np.clip(found, [0.05, 0.05, 0.05], [0.95, 1.95, 2.95])
+        return [y, y, y]
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(x, 0.05), most) for x, most in zip(found, (0.95, 1.95, 2.95), strict=True)]
+
+
+def discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
+    return np.array(from_counts(*(float((counts == k).sum()) for k in (1, 2, 3, 4)), modified))
+
+
+def probabilities(grams: DataFrame, order: int, bits: int) -> DataFrame:
+    """(code, logp): of every n-gram of `order` symbols that was seen its modified Kneser-Ney log probability, interpolated.
+
+    grams: (code, n), each code once, n over 0. A join's key (a context, a shorter n-gram) has at most as many rows as there are symbols.
+    """
+    tables = {order: grams}
+    for k in range(order - 1, 0, -1):
+        code = F.col("code").bitwiseAND(F.lit((1 << (bits * k)) - 1))
+        tables[k] = base.written(tables[k + 1].groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
+    lower = None
+    for k in range(1, order + 1):
+        few = {r["n"]: r["grams"] for r in tables[k].where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("grams")).collect()}
+        one, two, more = from_counts(*(few.get(n, 0) for n in (1, 2, 3, 4)), True)
+        taken = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+        rows = tables[k].select("code", "n", F.shiftrightunsigned("code", bits).alias("context"), taken.alias("taken"))
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("taken").alias("left"))
+        rows = rows.join(contexts, "context")
+        if lower is None:
+            below: Column = F.lit(1.0 / (tables[1].count() + 1))
+        else:
+            rows = rows.withColumn("_lower", F.col("code").bitwiseAND(F.lit((1 << (bits * (k - 1))) - 1))).join(lower.select(F.col("code").alias("_lower"), "prob"), "_lower")
+            below = F.col("prob")
+        lower = rows.select("code", ((F.col("n") - F.col("taken") + F.col("left") * below) / F.col("total")).alias("prob"))
+    return base.written(lower.select("code", F.ln("prob").cast("float").alias("logp")), "probabilities")
 
 
 class Model:

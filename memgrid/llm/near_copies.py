@@ -347,12 +347,6 @@ def links(rows: DataFrame, classes: DataFrame, order: Callable, words: int, simi
     return roots if roots is not None else rows.sparkSession.createDataFrame([], "node long, root long")
 
 
-def keeper(t: pa.Table, r: pa.Table) -> pa.Table:
-    """The documents of the block's rows that r names."""
-    kept = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks()))
-    return pa.Table.from_struct_array(kept.column("doc").combine_chunks())
-
-
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: that of the least doc_id."""
     rows = base.bucketed(sketched(docs, words), "block", base.parts_for(docs, 8 << 20), "sketches")
@@ -363,4 +357,4 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     roots = links(rows, classes, order, words, similarity)
     named = classes.join(roots, F.col("row") == F.col("node"), "left").select("id", "row", "block", F.coalesce("root", "row").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("id", "row", "block")).alias("first")).select("first.row", "first.block")
-    return rows.select("doc", "row", "block").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(keeper, docs.schema)
+    return base.chosen(rows, kept, docs.schema)

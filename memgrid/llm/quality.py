@@ -1,30 +1,33 @@
 """Quality rules: a modified Kneser-Ney N-gram model of the whole corpus, and perplexity bands by language.
 
-N-grams are of characters folded to 64 symbols (letters a to z, digits, kinds of punctuation, hashed classes of other letters). So
-the model has at most 64^ORDER entries however large the corpus is, which is what makes its broadcast safe; n-grams of words have no
-such bound. Spark counts them over all rows. A text's perplexity is that of its symbols. For each language (the lang column) the band
-lies around the median of the logarithm over all its texts, in robust standard deviations, wider for short texts, whose mean varies
-more. How many deviations it reaches down and up is read from the scores of all texts that pass the base rules: each tail is cut where
-it has left the body, at its first valley or gap from TAIL deviations on. No label is used, and no share of the rows is fixed.
+N-grams are of ORDER UTF-16 code units as they stand (runs of white space are one space), so that case, digits, marks and letters of all
+scripts count as what they are. Spark counts them over all rows; the model grows with the corpus and no machine holds it: its sorted
+arrays of n-grams lie in parts by hash, each block of documents asks the parts for its distinct n-grams, and log probabilities come back.
+
+A text's perplexity is that of its code units. For each language (the lang column) the band lies around the median of the logarithm
+over all its texts, in robust standard deviations, wider for short texts, whose mean varies more. How many deviations it reaches down and
+up is read from the scores of all texts that pass the base rules: each tail is cut where it has left the body, at its first valley or
+gap from TAIL deviations on. No label is used, and no share of the rows is fixed.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages are a language of their own; the middle and
 spread of a language lean towards those of all texts, the more the fewer texts it has (PRIOR_TEXTS); repeated rows each get their
-result; an empty table gives an empty one; extra columns are kept by `filtered` and ignored by `judged`.
+result; an empty table gives an empty one; extra columns, whatever their names, are kept by `filtered` and ignored by `judged`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import base
-from .kneser_ney import Model, code_points, counted, padded_codes
+from .kneser_ney import counted, padded_codes, probabilities
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 #: Deviations from which a score may be an outlier (the usual cut of median-based z-scores); the least standard deviation.
 TAIL, LEAST_SPREAD = 3.5, 0.02
 #: Scores are counted in steps of 1 / STEPS deviations, those over FAR steps together.
@@ -40,38 +43,16 @@ LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 
 
-def alphabet() -> np.ndarray:
-    """Symbol of each code point up to 0xFFFF; 0 is white space."""
-    points = np.arange(0x10000)
-    out = (34 + base.mix64(points) % np.uint64(30)).astype(np.uint64)
-    ascii_kinds = {".": 28, ",": 29, ";": 30, ":": 30, "!": 28, "?": 28}
-    for i in range(128):
-        c = chr(i).lower()
-        out[i] = 1 + ord(c) - 97 if c.isalpha() else 27 if c.isdigit() else 0 if c.isspace() or i < 32 else ascii_kinds.get(c, 32 if c in "\"'()[]-_" else 31 if c in SYMBOLS else 33)
-    return out
-
-
-_ALPHABET: list[np.ndarray] = []
-
-
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all texts, runs of white space taken as one, and the document of each."""
-    if not _ALPHABET:
-        _ALPHABET.append(alphabet())
-    points, doc = code_points([t.lower() for t in texts])
-    symbols = _ALPHABET[0][np.where(points < 0x10000, points, 0xE000 + points % 0x1000)]
-    some = symbols > 0
-    kept = some.copy()
-    kept[1:] |= some[:-1]
-    return padded_codes(symbols[kept], doc[kept], len(texts), ORDER, BITS), doc[kept]
-
-
-def learned(docs: DataFrame) -> Model:
-    got = counted(docs.select(F.lit("all").alias("corpus"), "text"), "corpus", coded).select("code", "n").toArrow()
-    codes = got["code"].to_numpy().view(np.uint64) if got.num_rows else np.zeros(1, np.uint64)
-    counts = got["n"].to_numpy() if got.num_rows else np.ones(1)
-    order = np.argsort(codes)
-    return Model(codes[order], counts[order][:, None], ORDER, BITS, 1 << BITS, modified=True)
+    """The n-grams of all texts, runs of white space and controls taken as one space, and the document of each."""
+    line = "\n".join(texts) + "\n"
+    units = np.frombuffer(line.encode("utf-16-le", "surrogatepass"), np.uint16)
+    sizes = np.fromiter((len(t.encode("utf-16-le", "surrogatepass")) // 2 + 1 for t in texts), np.int64, len(texts))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    space = units <= 32
+    kept = ~space
+    kept[1:] |= kept[:-1]
+    return padded_codes(np.where(space, 32, units)[kept].astype(np.uint64), doc[kept], len(texts), ORDER, BITS), doc[kept]
 
 
 def repeated_words(words: list[bytes], window: int) -> int:
@@ -108,25 +89,88 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """docs with the base counts and log_perplexity of each row's text, as columns of these names after the prefix."""
-    shared = base.shared(docs.sparkSession, model)
-    more = [prefix + x for x in (*COUNTS, "log_perplexity")]
+def parts_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the model that has each n-gram."""
+    return (base.mix64(codes) % np.uint64(parts)).astype(np.int32)
+
 
+def parted(model: DataFrame, parts: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in base.slices(batches, limit=1 << 20):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            codes, doc = coded(texts)
-            n = np.bincount(doc, minlength=len(texts))
-            nats = np.zeros(len(texts))
-            for at in range(0, len(codes), 1 << 20):
-                nats -= np.bincount(doc[at : at + (1 << 20)], shared().scores(codes[at : at + (1 << 20)])[:, 0], len(texts))
-            nats = pa.array(nats / np.maximum(n, 1), mask=n == 0)
-            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in counts.T), nats], [*b.schema.names, *more])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of(b.column(0).to_numpy().view(np.uint64), parts)), *b.columns], ["part", "code", "logp"])
 
-    kinds = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema]
-    return docs.mapInArrow(f, ", ".join([*kinds, *(f"`{x}` long" for x in more[:-1]), f"`{more[-1]}` double"]))
+    return model.mapInArrow(f, "part int, code long, logp float")
+
+
+def asker(parts: int) -> Callable:
+    """(part, block, codes): the block's distinct n-grams, in order, by the part that has them."""
+
+    def f(t: pa.Table) -> pa.Table:
+        texts = base.field(t, "doc.text")
+        found = [np.unique(coded([x or "" for x in b.column(0).to_pylist()])[0]) for b in base.slices(pa.table([texts], ["text"]).to_batches(), limit=1 << 20)]
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        part = parts_of(codes, parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, codes[order[a:z]].tobytes()) for p, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+        block = t.column("block")[0].as_py() if len(t) else 0
+        return pa.table([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "block", "codes"])
+
+    return f
+
+
+def answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """(block, codes, logps) for each block that asks a part of the model."""
+    schema = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("logps", pa.binary())])
+    if not len(asked):
+        return schema.empty_table()
+    model = model.combine_chunks()
+    codes = model.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    codes, logps = codes[order], model.column("logp").to_numpy()[order]
+    found = [logps[np.searchsorted(codes, np.frombuffer(x, np.uint64))].tobytes() for x in asked.column("codes").to_pylist()]
+    return pa.table([asked.column("block").combine_chunks(), asked.column("codes").combine_chunks(), pa.array(found, pa.binary())], schema=schema)
+
+
+def measurer(schema: pa.Schema) -> Callable:
+    """(row, block, doc_id, lang, COUNTS, log_perplexity) of the block's documents, from the log probabilities of its n-grams."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(t):
+            return schema.empty_table()
+        codes = np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint64)
+        order = np.argsort(codes)
+        codes, logps = codes[order], np.frombuffer(b"".join(r.column("logps").to_pylist()), np.float32)[order]
+        doc = t.column("doc").combine_chunks()
+        nats, counts = [], []
+        for b in base.slices(pa.table([pa.compute.struct_field(doc, "text")], ["text"]).to_batches(), limit=1 << 20):
+            texts = [x or "" for x in b.column(0).to_pylist()]
+            own, owner = coded(texts)
+            n = np.bincount(owner, minlength=len(texts))
+            total = np.bincount(owner, logps[np.searchsorted(codes, own)], len(texts)) if len(own) else np.zeros(len(texts))
+            nats.append(np.where(n > 0, -total / np.maximum(n, 1), np.nan))
+            counts.extend(base_counts(x) for x in texts)
+        nats = np.concatenate(nats)
+        columns = [t.column("row").combine_chunks(), t.column("block").combine_chunks(), pa.compute.struct_field(doc, "doc_id"), pa.compute.struct_field(doc, "lang").cast(pa.string())]
+        columns += [pa.array(c) for c in np.array(counts, np.int64).reshape(-1, len(COUNTS)).T]
+        return pa.table([*columns, pa.array(nats, mask=np.isnan(nats))], schema=schema)
+
+    return f
+
+
+def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents as a table (block, row, doc), bucketed by block, and (row, block, doc_id, lang, COUNTS, log_perplexity) of each."""
+    grams = base.written(counted(docs.select(F.lit("all").alias("corpus"), "text"), "corpus", coded).select("code", "n"), "grams")
+    model = probabilities(grams, ORDER, BITS)
+    parts = base.parts_for(docs, 32 << 20)
+    rows = base.packed(docs, "quality")
+    by_block = rows.groupBy("block")
+    asked = by_block.applyInArrow(asker(parts), "part int, block long, codes binary")
+    answers = asked.groupBy("part").cogroup(parted(model, parts).groupBy("part")).applyInArrow(answered, "block long, codes binary, logps binary")
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("row", pa.int64()), ("block", pa.int64()), ("doc_id", to_arrow_type(kind)), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())])
+    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(measurer(schema), f"row long, block long, doc_id {kind.simpleString()}, lang string, {' long, '.join(COUNTS)} long, log_perplexity double")
+    return rows, base.written(out, "measured")
 
 
 def scales(rows: DataFrame) -> DataFrame:
@@ -158,30 +202,28 @@ def limits(far: DataFrame) -> tuple[float, float]:
     return tail_limit({-1 - k: n for k, n in counts.items() if k < 0}), tail_limit({k: n for k, n in counts.items() if k >= 0})
 
 
-def ruled(rows: DataFrame, prefix: str = "") -> DataFrame:
-    """Measured rows with base_failed, low, high and kept, after the prefix."""
-    at = lambda name: F.col(prefix + name)
-    failed = (at("n_words") < LEAST_WORDS) | (100 * at("n_repeat_words") > MOST_REPEATED * at("n_words"))
-    found = base.written(scales(rows.select("lang", at("log_perplexity").alias("log_perplexity"))), "bands")
+def ruled(rows: DataFrame) -> DataFrame:
+    """Measured rows with base_failed, low, high and kept."""
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    found = base.written(scales(rows.select("lang", "log_perplexity")), "bands")
     found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    unit = F.col("spread") * (1 + F.lit(float(SHORT)) / F.greatest(at("n_words"), F.lit(1)))
-    below, above = limits(rows.where(~failed).select(((at("log_perplexity") - F.col("middle")) / unit).alias("far")))
+    unit = F.col("spread") * (1 + F.lit(float(SHORT)) / F.greatest(F.col("n_words"), F.lit(1)))
+    below, above = limits(rows.where(~failed).select(((F.col("log_perplexity") - F.col("middle")) / unit).alias("far")))
     low, high = F.col("middle") - below * unit, F.col("middle") + above * unit
-    rows = rows.withColumns({f"{prefix}base_failed": failed, f"{prefix}low": low, f"{prefix}high": high}).drop(*found.columns)
-    inside = F.coalesce(at("log_perplexity").between(at("low"), at("high")), F.lit(True))
-    return rows.withColumn(f"{prefix}kept", ~at("base_failed") & inside)
+    rows = rows.withColumns({"base_failed": failed, "low": low, "high": high}).drop(*found.columns)
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, base counts, base_failed, log_perplexity, low, high, kept) for each row."""
-    return ruled(base.written(measured(docs.select("doc_id", "lang", "text"), learned(docs)).drop("text"), "measured"))
+    """(doc_id, lang, base counts, log_perplexity, base_failed, low, high, kept) for each row."""
+    return ruled(measured(docs.select("doc_id", "lang", "text"))[1]).drop("row", "block")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, all columns as they are."""
-    rows = base.written(measured(docs, learned(docs), "_quality_"), "measured")
-    return ruled(rows, "_quality_").where("_quality_kept").select(*docs.columns)
+    rows, found = measured(docs)
+    return base.chosen(rows, ruled(found).where("kept").select("row", "block"), docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

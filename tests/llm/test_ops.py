@@ -120,6 +120,58 @@ def test_kneser_ney_sums_to_one(spark):
             assert np.exp(model.scores(ends)[:, 0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_probabilities_are_those_of_the_model(spark):
+    """The joins give what the arrays in memory give."""
+    import numpy as np
+
+    from memgrid.llm.kneser_ney import Model, padded_codes, probabilities
+
+    line = np.random.default_rng(2).choice(7, 3000, p=[0.4, 0.3, 0.15, 0.1, 0.03, 0.01, 0.01]).astype(np.uint64) + np.uint64(65)
+    codes, counts = np.unique(padded_codes(line, np.zeros(3000, int), 1, 4, 16), return_counts=True)
+    model = Model(codes, counts[:, None], 4, 16, len(np.unique(line)) + 1, True)
+    grams = spark.createDataFrame([(int(c.view(np.int64)), int(n)) for c, n in zip(codes, counts, strict=True)], "code long, n long")
+    got = {r["code"]: r["logp"] for r in probabilities(grams, 4, 16).collect()}
+    want = model.scores(codes)[:, 0]
+    assert len(got) == len(codes)
+    assert [got[int(c.view(np.int64))] for c in codes] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_op1_perplexity_by_hand(spark, docs, folder):
+    """log_perplexity of each text from a dictionary of counts."""
+    import numpy as np
+
+    from memgrid.llm.kneser_ney import Model
+    from memgrid.llm.quality import coded
+
+    texts = [t or "" for _, t, *_ in docs]
+    all_codes, owner = coded(texts)
+    codes, counts = np.unique(all_codes, return_counts=True)
+    symbols = len(np.unique(codes & np.uint64(0xFFFF))) + 1
+    scores = Model(codes, counts[:, None], 4, 16, symbols, True).scores(all_codes)[:, 0]
+    n = np.bincount(owner, minlength=len(texts))
+    want = -np.bincount(owner, scores, len(texts)) / np.maximum(n, 1)
+    want = sorted((repr(i), float(x) if k else -1.0) for (i, *_), x, k in zip(docs, want, n, strict=True))
+    got = sorted((repr(r["doc_id"]), -1.0 if r["log_perplexity"] is None else r["log_perplexity"]) for r in run(spark, "op1_quality_rules", folder))
+    assert [k for k, _ in want] == [k for k, _ in got]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-3)
+
+
+def test_op1_kept_follows_bands(spark, folder):
+    for r in run(spark, "op1_quality_rules", folder):
+        inside = r["log_perplexity"] is None or r["low"] <= r["log_perplexity"] <= r["high"]
+        assert r["kept"] == (not r["base_failed"] and inside)
+
+
+def test_op1_clashing_names(spark):
+    from memgrid.llm import quality
+
+    names = ["middle", "spread", "_lang", "row", "block", "doc", "kept", "low", "high", "log_perplexity", "n_words"]
+    text = "the house on the hill was old and the people in it were kind to all who came by on their way home number"
+    docs = spark.createDataFrame([(i, f"{text} {i}", "en", *names) for i in range(30)], ["doc_id", "text", "lang", *names])
+    out = quality.filtered(docs)
+    assert out.columns == docs.columns and out.count() == 30 and {tuple(r[3:]) for r in out.collect()} == {tuple(names)}
+
+
 def test_op2_contract(spark, folder, docs):
     rows = run(spark, "op2_language_id", folder)
     assert len(rows) == len(docs)
