@@ -74,8 +74,8 @@ def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
     return spark.table(name)
 
 
-def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20) -> DataFrame:
-    """(block, row, doc_id, text) of all documents, nulls as empty texts, as a table bucketed by block.
+def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(block, row, doc_id, text, *extra) of all documents, nulls as empty texts, as a table bucketed by block.
 
     A block holds documents of one input split. Later stages deal with a block as one group and never shuffle texts.
     """
@@ -83,7 +83,7 @@ def blocks(docs: DataFrame, what: str, block_bytes: int = 6 << 20) -> DataFrame:
     per = max(1, math.ceil(split_bytes(docs) / block_bytes))
     part = F.spark_partition_id().cast("long") * per
     text = F.coalesce("text", F.lit("")).alias("text")
-    df = docs.select((part + F.pmod(F.xxhash64("doc_id"), F.lit(per))).alias("block"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    df = docs.select((part + F.pmod(F.xxhash64("doc_id"), F.lit(per))).alias("block"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, *extra)
     return bucketed(df, "block", max(8, min(1 << 16, math.ceil(size / (block_bytes * 1.3)))), what)
 
 
@@ -138,6 +138,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 yield b.slice(int(a), int(z - a))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns of a stream of rows in order of its columns `keys`, cut so that rows with equal keys stay together."""
+    held = None
+    for b in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+        if not len(own[0]):
+            continue
+        last = np.ones(len(own[0]), bool)
+        for k in keys:
+            last &= own[k] == own[k][-1]
+        start = int(np.argmax(last))
+        held = [x[start:] for x in own]
+        if start:
+            yield [x[:start] for x in own]
+    if held is not None:
+        yield held
+
+
 def byte_list(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]

@@ -1,12 +1,17 @@
 """Language-model scoring by Brown class-based bigrams.
 
-p(w | v) = p(class of w | class of v) * p(w | class of w). Classes come from exchange clustering: every item is moved in turn to the class
-that raises the likelihood of the corpus most, until none moves. Items are the CLASS_WORDS most frequent words, each alone, groups of
-all other words by their ending, and the text's end; so clustering works on item pairs counted over the whole corpus, of which there
-are at most ITEMS^2. Emission uses each word's own count, with one unseen word a class.
-
-Counts of the HEAD most frequent words (by a count threshold, so that never more qualify) are broadcast; all others are joined by a
-shuffle, once for each document and word. Nothing that grows with the corpus is held on one machine.
+p(w | v) = p(class of w | class of v) * p(w | class of w). Every training word has a class of its own choosing:
+1. Exchange clustering of the CLASS_WORDS most frequent words, with all others as one more item and the text's end: each word is moved in
+   turn to the class that raises the likelihood of the corpus most, until none moves. It works on item pairs counted over the whole
+   corpus, of which there are at most (CLASS_WORDS + 2)^2. The number of classes grows with the vocabulary (its cube root).
+2. Each remaining word joins the class that raises the likelihood most, given the classes of the words before and after it in the whole
+   corpus. These counts are aggregated by Spark, word by word.
+3. Transitions between classes are then counted over the whole corpus with every word's class.
+Emission uses each word's own count, with one unseen word a class; an unknown token counts as the unseen word of the class that holds
+most words seen once.
+
+Words, counts and classes (the lexicon) stay a table, which grows with the corpus. Blocks of documents ask it for the distinct words that
+they have, and get counts and classes back, so a word is sent once a block however often it stands there.
 
 Defined results: a null or empty text is its end alone; a null doc_id is hashed as an empty string; without training rows every token
 is unknown, N and V are 0 and both scores 0; repeated rows are documents of their own; an empty table gives an empty one; other
@@ -15,9 +20,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,21 +32,18 @@ from pyspark.sql import functions as F
 from . import base
 from .language_id import remainder
 
-HEAD = 200_000
-CLASS_WORDS, ENDINGS, CLASSES, ROUNDS = 2047, 1024, 64, 12
-ITEMS = 1 + CLASS_WORDS + ENDINGS
-END = " "
+#: Words that are clustered by exchange; all others choose a class afterwards.
+CLASS_WORDS = 2046
+#: Items of the clustering that are no words: the text's end, and all words that aren't clustered.
+END, REST = 0, 1
+#: What a move must gain, as a share of what it compares: rounding aside, none that raises the likelihood is left out.
+ROUNDING = 1e-12
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def ending(word: bytes) -> int:
-    """The item of a word that has none of its own."""
-    return 1 + CLASS_WORDS + zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % ENDINGS
-
-
 def word_counts(texts: DataFrame, limit: int = 400_000) -> DataFrame:
     """(word, n) over all rows (text); each task sends a word once, or again after so many others."""
 
@@ -64,39 +65,37 @@ def word_counts(texts: DataFrame, limit: int = 400_000) -> DataFrame:
 
 def pair_counts(texts: DataFrame, items: dict[bytes, int], limit: int = 1 << 22) -> np.ndarray:
     """How often item follows item, over all rows (text); before a text's first word stands an end."""
-    held = base.shared(texts.sparkSession, items)
+    held, size = base.shared(texts.sparkSession, items), len(items) + 2
     group = 32
 
     def rows(codes: list[np.ndarray]) -> pa.RecordBatch:
         code, n = np.unique(np.concatenate(codes), return_counts=True)
-        left = code // ITEMS
+        left = code // size
         cuts = np.flatnonzero(np.diff(left)) + 1
-        right = [x.astype(np.uint16).tobytes() for x in np.split(code % ITEMS, cuts)]
+        right = [x.astype(np.uint16).tobytes() for x in np.split(code % size, cuts)]
         count = [x.astype(np.uint32).tobytes() for x in np.split(n, cuts)]
         left = left[np.r_[0, cuts]]
         return pa.RecordBatch.from_arrays([pa.array((left // group).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right, pa.binary()), pa.array(count, pa.binary())], ["part", "item", "next", "n"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, size = [], 0
-        own: dict[bytes, int] = dict(held())
+        codes, many = [], 0
+        get = held().get
         for b in base.slices(batches):
-            line = [0]
+            line = [END]
             for text in base.byte_list(b.column(0)):
-                for w in tokens(text):
-                    k = own.get(w)
-                    line.append(ending(w) if k is None else k)
-                line.append(0)
+                line.extend(get(w, REST) for w in tokens(text))
+                line.append(END)
             line = np.array(line, np.int32)
-            codes.append(line[:-1] * np.int32(ITEMS) + line[1:])
-            size += len(line)
-            if size > limit:
+            codes.append(line[:-1] * np.int32(size) + line[1:])
+            many += len(line)
+            if many > limit:
                 yield rows(codes)
-                codes, size = [], 0
-        if size:
+                codes, many = [], 0
+        if many:
             yield rows(codes)
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros((group, ITEMS), np.int64)
+        total = np.zeros((group, size), np.int64)
         for item, right, n in zip(t["item"].to_pylist(), t["next"].to_pylist(), t["n"].to_pylist(), strict=True):
             total[item % group, np.frombuffer(right, np.uint16)] += np.frombuffer(n, np.uint32)
         at = np.flatnonzero(total.any(axis=1))
@@ -104,7 +103,7 @@ def pair_counts(texts: DataFrame, items: dict[bytes, int], limit: int = 1 << 22)
         return pa.table({"item": pa.array((at + first).astype(np.int32)), "next": pa.array([np.flatnonzero(total[i]).astype(np.uint16).tobytes() for i in at], pa.binary()), "n": pa.array([total[i][total[i] > 0].tobytes() for i in at], pa.binary())})
 
     summed = texts.select("text").mapInArrow(f, "part int, item int, next binary, n binary").groupBy("part").applyInArrow(add, "item int, next binary, n binary")
-    out = np.zeros((ITEMS, ITEMS), np.int64)
+    out = np.zeros((size, size), np.int64)
     for r in summed.toLocalIterator():
         out[r["item"], np.frombuffer(r["next"], np.uint16)] = np.frombuffer(r["n"], np.int64)
     return out
@@ -114,23 +113,30 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each item: exchange clustering for the likelihood of the class bigrams."""
+def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
+    """The class of each item: exchange clustering for the likelihood of the class bigrams, until no item moves.
+
+    The first `fixed` items keep classes of their own, after the others' (numbers from `classes` on).
+    """
     weight = pairs.sum(axis=0)
     order = np.argsort(-weight, kind="stable")
+    order = order[order >= fixed]
     label = np.empty(len(pairs), np.int64)
-    label[order] = np.arange(len(pairs)) % classes
+    label[order] = np.arange(len(order)) % classes
+    label[:fixed] = classes + np.arange(fixed)
     order = order[weight[order] > 0]
     back = np.ascontiguousarray(pairs.T)
-    one = np.eye(classes)[label]
+    every = classes + fixed
+    one = np.eye(every)[label]
     table = one.T @ (pairs.astype(np.float64) @ one)
-    k = np.arange(classes)
-    for _ in range(rounds):
+    k = np.arange(every)
+    moved = 1
+    while moved:
         moved = 0
         for i in order.tolist():
             own, self_pair = label[i], float(pairs[i, i])
-            out = np.bincount(label, pairs[i], classes)
-            into = np.bincount(label, back[i], classes)
+            out = np.bincount(label, pairs[i], every)
+            into = np.bincount(label, back[i], every)
             out[own] -= self_pair
             into[own] -= self_pair
             table[own] -= out
@@ -142,132 +148,182 @@ def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
             gain = (xlogx(table + out) - f).sum(axis=1) + (xlogx(table + into[:, None]) - f).sum(axis=0)
             gain += xlogx(both + out + into + self_pair) - xlogx(both) - (xlogx(both + out) - xlogx(both)) - (xlogx(both + into) - xlogx(both))
             gain -= xlogx(left + out.sum() + self_pair) - xlogx(left) + xlogx(right + into.sum() + self_pair) - xlogx(right)
-            best = int(gain.argmax())
-            if gain[best] <= gain[own] + 1e-9:
+            best = int(gain[:classes].argmax())
+            if gain[best] <= gain[own] + ROUNDING * f.sum():
                 best = own
             moved += best != own
             label[i] = best
             table[best] += out
             table[:, best] += into
             table[best, best] += self_pair
-        if moved <= len(order) // 1000:
-            break
     return label
 
 
-class Scorer:
-    """What executors need to score a text: bounded by HEAD and CLASSES."""
-
-    def __init__(self, head: dict[bytes, tuple[int, int]], ends: int, total: int, types: int, label: np.ndarray, pairs: np.ndarray, mass: np.ndarray, kinds: np.ndarray):
-        """head: count and item of frequent words; mass and kinds: words and different words of each item."""
-        self.head = {w: k for k, w in enumerate(head)}
-        self.log = np.log10(np.array([n for n, _ in head.values()] + [ends], np.float64) + 1)
-        self.item = np.array([i for _, i in head.values()] + [0], np.int64)
-        self.known = 1 if ends else 0
-        self.label, self.total, self.types = label, total, types
-        one = np.zeros((len(label), CLASSES))
-        one[np.arange(len(label)), label] = 1
-        table = one.T @ (pairs.astype(np.float64) @ one)
-        self.follow = np.log10((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * CLASSES))
-        self.spread = np.log10(one.T @ mass + one.T @ kinds + 1)
-        self.floor = np.log10(total + types + 1)
-
-
-def learned(rows: DataFrame, head_words: int = HEAD) -> tuple[DataFrame, Scorer]:
-    """The counts of all words of rows (text), and what fits in a broadcast."""
-    rows = rows.select("text")
-    counts = base.written(word_counts(rows), "words")
-    ends = rows.count()
-    each = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toLocalIterator()), reverse=True)
-    total, types = sum(n * k for n, k in each) + ends, sum(k for _, k in each) + (ends > 0)
-    least, size = 1 << 62, 0
-    for n, k in each:
-        if size + k > head_words:
-            break
-        least, size = n, size + k
-    top = sorted(((r["n"], r["word"].encode()) for r in counts.where(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    items = {w: 1 + i for i, (_, w) in enumerate(top[:CLASS_WORDS])}
-    pairs = pair_counts(rows, items)
-    tail = counts.where(F.col("n") < least)
-
-    def by_item(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, kinds = np.zeros(ITEMS), np.zeros(ITEMS)
-        for b in batches:
-            at = np.fromiter((ending(w) for w in b.column(0).cast(pa.binary()).to_pylist()), np.int64, b.num_rows)
-            mass += np.bincount(at, b.column(1).to_numpy(), ITEMS)
-            kinds += np.bincount(at, minlength=ITEMS)
-        at = np.flatnonzero(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at].astype(np.int64)), pa.array(kinds[at].astype(np.int64))], ["item", "mass", "kinds"])
-
-    mass, kinds = np.zeros(ITEMS), np.zeros(ITEMS)
-    for r in tail.mapInArrow(by_item, "item long, mass long, kinds long").groupBy("item").agg(F.sum("mass").alias("mass"), F.sum("kinds").alias("kinds")).collect():
-        mass[r["item"]], kinds[r["item"]] = r["mass"], r["kinds"]
-    head = {}
-    for n, w in top:
-        item = items.get(w) or ending(w)
-        head[w] = (n, item)
-        mass[item] += n
-        kinds[item] += 1
-    mass[0], kinds[0] = ends, ends > 0
-    return tail, Scorer(head, ends, total, types, exchanged(pairs), pairs, mass, kinds)
-
-
-def scored(docs: DataFrame, tail: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
-    held = base.shared(docs.sparkSession, scorer)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log", pa.float64()), ("model", pa.float64())])
+def neighbours(texts: DataFrame, classes: dict[bytes, int], rest: int, limit: int = 1 << 21) -> DataFrame:
+    """(word, code, n) of the words that aren't in `classes`: how often code // 2 is the class before (even codes) or after (odd) them."""
+    held = base.shared(texts.sparkSession, classes)
+    end = rest - 1
+
+    def rows(found: Counter) -> pa.RecordBatch:
+        words, codes = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(codes, pa.int32()), pa.array(found.values(), pa.int64())], ["word", "code", "n"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held()
-        end = len(own.head)
-        get = own.head.get
+        found: Counter = Counter()
+        get = held().get
         for b in base.slices(batches):
-            row, doc_id = b.column(0).to_pylist(), b.column(1)
-            out: list[list] = [[], [], []]
-            docs_at, facts = [], []
-            for r, text in zip(row, base.byte_list(b.column(2)), strict=True):
-                words = tokens(text)
-                at = np.array([get(w, -1) for w in words] + [end], np.int64)
-                rest = [w for w, k in zip(words, at.tolist(), strict=False) if k < 0]
-                item = own.item[at]
-                if rest:
-                    item[at < 0] = [ending(w) for w in rest]
-                label = own.label[item]
-                hit = at[at >= 0]
-                model = own.follow[np.r_[own.label[0], label[:-1]], label].sum() - own.spread[label].sum()
-                facts.append((len(at), len(hit) - (0 if own.known else 1), own.log[hit].sum(), model))
-                docs_at.append(len(out[0]))
-                found = Counter(rest)
-                out[0].extend([r] * (len(found) + 1))
-                out[1].append(END + str(r))
-                out[1].extend(w.decode() for w in found)
-                out[2].append(0)
-                out[2].extend(found.values())
-            n = len(out[0])
-            known = np.zeros(n, bool)
-            known[docs_at] = True
-            place = np.full(n, 0)
-            place[docs_at] = np.arange(len(docs_at))
-            fact = np.array(facts, np.float64).reshape(-1, 4)[place]
-            ids = doc_id.take(pa.array(place, mask=~known))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), ids, *(pa.array(fact[:, i].astype(np.int64), mask=~known) for i in (0, 1)), *(pa.array(fact[:, i], mask=~known) for i in (2, 3))], ["row", "word", "times", "doc_id", "n_tokens", "known", "log", "model"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(f, f"row long, word string, times long, doc_id {kind}, n_tokens long, known long, log double, model double")
-    rows = rows.join(tail.withColumnRenamed("n", "_n"), "word", "left")
-    log = F.col("times") * F.log10(F.coalesce(F.col("_n"), F.lit(0)) + 1.0)
-    rows = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("_n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("log") + F.sum(log)).alias("log"),
-        F.max("model").alias("model"),
-    )
-    base_score = F.col("log") - F.col("n_tokens") * float(scorer.floor)
-    return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(scorer.total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (F.col("log") + F.col("model")).alias("score"))
+            for text in base.byte_list(b.column(0)):
+                own = tokens(text)
+                label = [end, *(get(w, rest) for w in own), end]
+                at = [k for k, c in enumerate(label) if c == rest]
+                found.update((own[k - 1], 2 * label[k - 1]) for k in at)
+                found.update((own[k - 1], 2 * label[k + 1] + 1) for k in at)
+            if len(found) > limit:
+                yield rows(found)
+                found = Counter()
+        if found:
+            yield rows(found)
+
+    return texts.select("text").mapInArrow(f, "word string, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, class) for each word of seen (word, code, n): the class that raises the likelihood most; ties go to the lowest."""
+    one = np.eye(classes + 2)[label]
+    table = one.T @ (pairs.astype(np.float64) @ one)
+    follow = np.log((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * (classes + 2)))
+    mass = np.log(table.sum(axis=0)[:classes] + 1)
+    # by code: what one such neighbour adds to each class's likelihood
+    gains = np.empty((2 * (classes + 2), classes))
+    gains[0::2], gains[1::2] = follow[:, :classes], follow[:classes].T
+    held = base.shared(seen.sparkSession, (gains, mass))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gains, mass = held()
+            for own in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
+                found = own.column(1)
+                heads = found.offsets.to_numpy() - found.offsets[0].as_py()
+                flat = found.flatten()
+                code, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                times = np.add.reduceat(np.where(code % 2 == 0, n, 0), heads[:-1])
+                score = np.add.reduceat(gains[code] * n[:, None], heads[:-1], axis=0) - times[:, None] * mass
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(times.astype(np.int64)), pa.array(score.argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
+
+    grouped = seen.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+    return grouped.mapInArrow(f, "word string, n long, class int")
+
+
+def asked(t: pa.Table) -> pa.Table:
+    """(block, word) of the block's distinct words."""
+    own: set[bytes] = set()
+    for text in base.byte_list(t["text"].combine_chunks()):
+        own.update(tokens(text))
+    block = t["block"][0].as_py() if len(t) else 0
+    return pa.table([pa.array([block] * len(own), pa.int64()), pa.array(list(own), pa.binary()).cast(pa.string())], names=["block", "word"])
+
+
+def lines(t: pa.Table, r: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text of a block, with the lexicon's answers r (word, n, class): the class and count of each token before the end (-1 and 0: unknown)."""
+    words = {w: k for k, w in enumerate(r["word"].cast(pa.binary()).to_pylist())}
+    label, count = np.r_[r["class"].to_numpy(), -1], np.r_[r["n"].to_numpy(), 0]
+    get, unknown = words.get, len(words)
+    for text in base.byte_list(t["text"].combine_chunks()):
+        at = np.fromiter((get(w, unknown) for w in tokens(text)), np.int64)
+        yield label[at], count[at]
+
+
+def transitions(table: DataFrame, answers: DataFrame, training: Callable, classes: int) -> np.ndarray:
+    """How often class follows class in the training documents; the last number is the end."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        total = np.zeros((classes + 1, classes + 1), np.int64)
+        if len(t):
+            for learn, (label, _) in zip(training(t), lines(t, r), strict=True):
+                if learn:
+                    code = np.r_[classes, label] * (classes + 1) + np.r_[label, classes]
+                    total += np.bincount(code, minlength=total.size).reshape(total.shape)
+        at = np.flatnonzero(total)
+        return pa.table([pa.array(at), pa.array(total.reshape(-1)[at])], names=["code", "n"])
+
+    rows = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    out = np.zeros((classes + 1) ** 2, np.int64)
+    for r in rows.toLocalIterator():
+        out[r["code"]] = r["n"]
+    return out.reshape(classes + 1, classes + 1)
+
+
+class Scorer:
+    """What executors need beside a block's answers: numbers of classes and totals."""
+
+    def __init__(self, follow: np.ndarray, mass: np.ndarray, kinds: np.ndarray, single: np.ndarray, ends: int, total: int, types: int):
+        """follow: class after class, the end last; mass, kinds, single: words, different words and words seen once of each class."""
+        self.classes = len(mass)
+        self.follow = np.log10((follow + 0.1) / (follow.sum(axis=1, keepdims=True) + 0.1 * len(follow)))
+        self.spread = np.log10(np.r_[mass + kinds, ends + (ends > 0)] + 1.0)
+        self.unseen = int(np.argmax(single)) if len(single) else 0
+        self.ends, self.total, self.types = ends, total, types
+        self.floor = float(np.log10(total + types + 1))
+
+    def scores(self, label: np.ndarray, count: np.ndarray) -> tuple[int, int, float, float]:
+        """n_tokens, n_known, base_score, score of a text by its words' classes and counts."""
+        count = np.r_[count, self.ends]
+        own = np.r_[np.where(label < 0, self.unseen, label), self.classes]
+        logs = float(np.log10(count + 1.0).sum())
+        if not self.total:
+            return len(count), 0, 0.0, 0.0
+        model = self.follow[np.r_[self.classes, own[:-1]], own].sum() - self.spread[own].sum()
+        return len(count), int((count > 0).sum()), logs - len(count) * self.floor, logs + float(model)
+
+
+def class_count(types: int) -> int:
+    """The number of classes for a vocabulary: the cube root of its size."""
+    return max(2, round(types ** (1 / 3)))
+
+
+class Lexicon:
+    """Learned from rows (text): the table (word, n, class) of all words, and what clustering found."""
+
+    def __init__(self, rows: DataFrame, class_words: int = CLASS_WORDS):
+        rows = rows.select("text")
+        counts = base.written(word_counts(rows), "words")
+        self.ends = rows.count()
+        facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
+        self.total, self.types = facts["n"] + self.ends, facts["types"] + (self.ends > 0)
+        self.classes = class_count(facts["types"])
+        top = counts.orderBy(F.desc("n"), "word").limit(class_words).collect()
+        items = {r["word"].encode(): k for k, r in enumerate(top, REST + 1)}
+        pairs = pair_counts(rows, items)
+        label = exchanged(pairs, self.classes, fixed=2)
+        # the end's class comes before that of the other words, after all others: as neighbours() has it
+        label[[END, REST]] = self.classes, self.classes + 1
+        own = {w: int(label[k]) for w, k in items.items()}
+        first = rows.sparkSession.createDataFrame([(r["word"], r["n"], own[r["word"].encode()]) for r in top], "word string, n long, class int")
+        rest = chosen_classes(neighbours(rows, own, self.classes + 1), pairs, label, self.classes)
+        self.words = base.written(first.unionByName(rest), "lexicon")
+
+
+def scored(docs: DataFrame, training: F.Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, learned_from) for each row of docs, learning from those where `training` holds."""
+    lexicon = Lexicon(docs.where(training))
+    table = base.blocks(docs.select("doc_id", "text", training.alias("learn")), "scored", extra=("learn",))
+    wanted = table.groupBy("block").applyInArrow(asked, "block long, word string")
+    answers = base.written(wanted.join(lexicon.words, "word").select("block", "word", "n", "class"), "answers")
+    follow = transitions(table, answers, lambda t: t["learn"].to_pylist(), lexicon.classes)
+    mass, kinds, single = (np.zeros(lexicon.classes, np.int64) for _ in range(3))
+    for r in lexicon.words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).collect():
+        mass[r["class"]], kinds[r["class"]], single[r["class"]] = r["n"], r["kinds"], r["single"]
+    held = base.shared(docs.sparkSession, Scorer(follow, mass, kinds, single, lexicon.ends, lexicon.total, lexicon.types))
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        found = [held().scores(*x) for x in lines(t, r)] if len(t) else []
+        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        return pa.table([t["doc_id"].combine_chunks(), *columns, t["learn"].combine_chunks()], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "learned_from"])
+
+    out = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, "doc_id long, n_tokens long, n_known long, base_score double, score double, learned_from boolean")
+    return out.withColumn("train_tokens", F.lit(int(lexicon.total)).cast("long"))
 
 
 def op7_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.documents(spark, sf_dir)
-    tail, scorer = learned(docs.where(remainder(7) != 2))
-    return scored(docs, tail, scorer).withColumn("held_out", remainder(7) == 2)
+    out = scored(base.documents(spark, sf_dir), remainder(7) != 2)
+    return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", (~F.col("learned_from")).alias("held_out"))

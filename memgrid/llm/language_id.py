@@ -8,7 +8,7 @@ language, the highest cross-entropy that is accepted.
 Symbols are lower-case letters; each run of other characters is one space. Case, digits and punctuation thus don't matter.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and not accepted; so is every text if nothing can be
-learned from; ties go to the language that sorts first; a null doc_id is hashed as an empty string; null labels are never learned
+learned from; a language whose texts are all empty isn't learned; ties go to the language that sorts first; a null doc_id is hashed as an empty string; null labels are never learned
 from; repeated rows each get their result; an empty table gives an empty one; other columns are ignored.
 """
 
@@ -51,7 +51,8 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 class Languages:
     def __init__(self, names: list[str], model: Model | None, scale: float = 1.0, limits: np.ndarray | None = None):
-        self.names, self.model, self.scale, self.limits = names, model, scale, limits
+        self.names, self.model, self.scale = names, model, scale
+        self.limits = np.full(len(names), np.inf) if limits is None else limits
 
 
 def cross_entropies(languages: Languages, texts: list[str]) -> np.ndarray:
@@ -81,7 +82,7 @@ def learned(rows: DataFrame, train_chars: int = TRAIN_CHARS) -> Languages:
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, train_chars / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    rows = base.written(rows.withColumn("_place", place / share).where("_place < 1"), "sample")
+    rows = base.written(rows.where(place < share), "sample")
     spare = F.pmod(F.xxhash64("doc_id", F.lit("spare")), F.lit(10)) == 0
     got = counted(rows.where(~spare), "lang", coded).toArrow()
     if not got.num_rows:

@@ -140,25 +140,10 @@ def key_sender(words: int, similarity: float, order: Callable) -> Callable:
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, salts, salt, row), in order of key and salt, those that have company, or may have it under another salt."""
-    held = None
-    names = ["key", "salts", "salt", "row"]
-
-    def kept(c: list[np.ndarray]) -> pa.RecordBatch:
+    for c in base.whole_groups(batches, (0, 2)):
         same = (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1])
         keep = np.r_[False, same] | np.r_[same, False] | (c[1] > 1)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], names)
-
-    for b in batches:
-        c = [x.to_numpy() for x in b.columns]
-        c = c if held is None else [np.concatenate(x) for x in zip(held, c, strict=True)]
-        if not len(c[0]):
-            continue
-        start = int(np.flatnonzero((c[0] == c[0][-1]) & (c[2] == c[2][-1]))[0])
-        held = [x[start:] for x in c]
-        if start:
-            yield kept([x[:start] for x in c])
-    if held is not None:
-        yield kept(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], ["key", "salts", "salt", "row"])
 
 
 def set_sender(words: int) -> Callable:

@@ -110,33 +110,30 @@ def linked(fps: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarr
 
 
 def linker(radius: int) -> Callable:
+    """Stars (a, b) that link the fingerprints of each group; rows (which, key, lo, hi, tile, fingerprint) come in order of the first four."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        cols = [t[c].to_numpy() for c in ("which", "key", "lo", "hi", "tile")]
-        fps = t["fingerprint"].to_numpy().view(np.uint64)
-        order = np.lexsort((fps, *cols[3::-1]))
-        which, key, lo, hi, tile = (c[order] for c in cols)
-        fps = fps[order]
-        new = np.ones(len(fps), bool)
-        new[1:] = (np.diff(which) != 0) | (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
-        heads = np.flatnonzero(new)
-        a, b = [], []
-        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(fps)], strict=True):
-            if e - s < 2:
-                continue
-            own = fps[s:e]
-            n = np.arange(e - s)
-            if lo[s] == hi[s]:
-                label = linked(own, pivot_table(own), n, None, radius)
-            else:
-                first = tile[s:e] == lo[s]
-                label = linked(own, pivot_table(own), n[first], n[~first], radius)
-            child = np.flatnonzero(label != n)
-            a.append(own[child])
-            b.append(own[label[child]])
-        if a:
+        for which, key, lo, hi, tile, fps in base.whole_groups(batches, (0, 1, 2, 3)):
+            fps = fps.view(np.uint64)
+            order = np.lexsort((fps, hi, lo, key, which))
+            which, key, lo, hi, tile, fps = (c[order] for c in (which, key, lo, hi, tile, fps))
+            new = np.ones(len(fps), bool)
+            new[1:] = (np.diff(which) != 0) | (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
+            heads = np.flatnonzero(new)
+            a, b = [fps[:0]], [fps[:0]]
+            for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(fps)], strict=True):
+                if e - s < 2:
+                    continue
+                own = fps[s:e]
+                n = np.arange(e - s)
+                if lo[s] == hi[s]:
+                    label = linked(own, pivot_table(own), n, None, radius)
+                else:
+                    first = tile[s:e] == lo[s]
+                    label = linked(own, pivot_table(own), n[first], n[~first], radius)
+                child = np.flatnonzero(label != n)
+                a.append(own[child])
+                b.append(own[label[child]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return f
@@ -171,7 +168,8 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFra
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles").cast("long")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("which", "key", F.least("tile", "with").alias("lo"), F.greatest("tile", "with").alias("hi"), "tile", "fingerprint")
-    return rows.repartition("which", "key", "lo", "hi").mapInArrow(linker(radius), "a long, b long")
+    rows = rows.repartition("which", "key", "lo", "hi").sortWithinPartitions("which", "key", "lo", "hi")
+    return rows.mapInArrow(linker(radius), "a long, b long")
 
 
 def near_groups(fps: DataFrame, radius: int = 4) -> DataFrame:

@@ -1,13 +1,14 @@
 """Substring dedup over words by level-wise doubling.
 
-Windows of about half the wanted length are looked at first. Those whose content occurs twice in the corpus are candidates; only
-where candidates stand side by side is a window extended to (up to) twice its length and looked at again. Levels end at the wanted
-length, where what survives is a repeat.
+Short windows are looked at first. Those whose content occurs twice in the corpus are candidates; only where candidates cover a window
+of twice their length (at the last level: of the wanted length, if that is less) is it looked at again, at that length. Levels end when
+no candidate survives, or at the wanted length, where what survives is a repeat.
 
 Texts stay in one table bucketed by block. What moves between tasks at a level is each block's set of distinct window hashes (four
 bytes each below the last level, 16 and the least doc_id at the last), split over parts by hash, and one bit back for each. So a
 window that a third of all documents share is sent once a block. The first levels' short hashes only choose candidates; a false one
-is dropped at the next level. The last level compares 128-bit hashes.
+is dropped at the next level. The last level takes windows with equal 128-bit hashes of their words as equal: sending the words would
+move each repeated word 13 times.
 
 Defined results: a null text is an empty one; an empty text, or one shorter than a window, loses nothing; a null doc_id counts as
 larger than any other; rows that share a doc_id are documents of their own, and neither removes words of the other; an empty table
@@ -32,11 +33,15 @@ REPLY = "level int, part int, block long, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
 
 
-def levels(size: int, steps: int = 2) -> list[int]:
-    """Window lengths that end at `size`, each at most twice the one before."""
-    out = [size]
-    while len(out) < steps and out[0] > 1:
-        out.insert(0, (out[0] + 1) // 2)
+#: Words of the windows that are looked at first.
+FIRST = 4
+
+
+def levels(size: int, first: int = FIRST) -> list[int]:
+    """Window lengths from `first` on, each twice the one before; the last is `size`."""
+    out = [min(first, size)]
+    while out[-1] < size:
+        out.append(min(2 * out[-1], size))
     return out
 
 
@@ -213,12 +218,12 @@ def finisher(sizes: list[int], parts: int) -> Callable:
     return f
 
 
-def repeated_words(docs: DataFrame, size: int = 13, steps: int = 2) -> DataFrame:
+def repeated_words(docs: DataFrame, size: int = 13, first: int = FIRST) -> DataFrame:
     """For each document: n_words, n_removed, the removed runs of words (spans) and the kept words joined by one space.
 
-    A word goes if a window of `size` words over it also starts in a document with a smaller doc_id. steps: number of levels.
+    A word goes if a window of `size` words over it also starts in a document with a smaller doc_id. first: words of the first level.
     """
-    sizes = levels(size, steps)
+    sizes = levels(size, first)
     docs = docs.select("doc_id", "text")
     parts = base.parts_for(docs, 4 << 20)
     table = base.blocks(docs, "words")
@@ -230,6 +235,8 @@ def repeated_words(docs: DataFrame, size: int = 13, steps: int = 2) -> DataFrame
         answer = sent.repartition(parts, "part").groupBy("part").applyInArrow(answers(level == len(sizes) - 1), REPLY)
         answer = base.written(answer, "replies")
         replies = answer if replies is None else replies.unionByName(answer)
+        if answer.isEmpty():  # no candidate survives
+            break
     return grouped.cogroup(replies.groupBy("block")).applyInArrow(finisher(sizes, parts), RESULT)
 
 

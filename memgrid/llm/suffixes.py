@@ -4,9 +4,9 @@ Suffixes of all positions need not be sorted. In each window of `size` bytes the
 anchor, the same one wherever the window's content occurs. So windows fall into runs that share an anchor, and only runs whose anchor
 occurs in the corpus twice can hold a repeat. Round one sends four bytes for each distinct anchor of a block and gets a bit back.
 Round two sends the bytes of the runs that are left, each distinct content of a block once with its least doc_id, to the part that
-their anchor belongs to. There the suffixes that start in these runs are sorted: a multikey sort, eight bytes at a step, orders them
-to a shallow depth, and blind tries order what still ties. Equal neighbours of the sorted order are the repeats; a mask of windows
-goes back for each run. Bytes decide, not hashes.
+their anchor belongs to. There the suffixes that start in these runs are sorted: multikey quicksort, eight bytes a character, orders
+them to a shallow depth, and blind tries order what still ties. Equal neighbours of the sorted order are the repeats; a mask of windows
+goes back for each run. So this is a suffix array of what can repeat, not of the whole corpus. Hashes propose, bytes decide.
 
 Texts stay in one table bucketed by block. Hot contents are sent once a block.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import base, substrings
 
 GRAM = 26
-#: Depth in bytes of the multikey sort; what ties beyond it goes to blind tries.
+#: Depth in bytes of the multikey quicksort; what ties beyond it goes to blind tries.
 SHALLOW = 24
 MESSAGE = "level int, part int, block long, a binary, lens binary, text binary, least binary, hash binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -78,6 +78,47 @@ class Trie:
                 yield at[1]
 
 
+def multikey(words: np.ndarray, starts: np.ndarray, order: np.ndarray, new: np.ndarray, limit: int) -> None:
+    """Multikey quicksort to a depth of `limit` bytes, eight bytes a character; order and new (where strings differ from the one before) are set in place.
+
+    Each group of strings that tie so far is split in three by a pivot character at its depth: smaller, equal, larger. Equal ones tie to a
+    greater depth. All groups take their step at once.
+    """
+    depth = np.zeros(len(order), np.int32)
+    at = np.arange(len(order)) if limit else np.zeros(0, np.int64)
+    while len(at):
+        heads = np.flatnonzero(np.r_[True, new[at[1:]]])
+        sizes = np.diff(np.r_[heads, len(at)])
+        keep = np.repeat((sizes > 1) & (depth[at[heads]] < limit), sizes)
+        at = at[keep]
+        if not len(at):
+            return
+        heads = np.flatnonzero(np.r_[True, new[at[1:]]])
+        sizes = np.diff(np.r_[heads, len(at)])
+        key = words[starts[order[at]] + depth[at]].astype(np.uint64)
+        a, b, c = key[heads], key[heads + sizes // 2], key[heads + sizes - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
+        smaller, equal = key < pivot, key == pivot
+        n_smaller, n_equal = np.add.reduceat(smaller, heads, dtype=np.int64), np.add.reduceat(equal, heads, dtype=np.int64)
+        first = np.repeat(heads, sizes)
+        place = np.empty(len(at), np.int64)
+        for own, skip in ((smaller, None), (equal, n_smaller), (~(smaller | equal), n_smaller + n_equal)):
+            rank = np.cumsum(own) - 1
+            before = np.repeat(rank[heads] - own[heads], sizes)
+            to = first + rank - before - 1 + (0 if skip is None else np.repeat(skip, sizes))
+            place[own] = to[own]
+        moved = np.empty(len(at), np.int64)
+        moved[place] = order[at]
+        order[at] = moved
+        same = np.empty(len(at), bool)
+        same[place] = equal
+        depth[at[same]] += 8
+        cut = heads + n_smaller
+        new[at[cut[n_smaller > 0]]] = True
+        cut = heads + n_smaller + n_equal
+        new[at[cut[cut < heads + sizes]]] = True
+
+
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, size: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings of `size` bytes at starts, and where in that order a string differs from the one before."""
     n = len(starts)
@@ -87,18 +128,10 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, size: int, shallow: int =
     if not n:
         return order, new
     new[0] = True
-    depth = 0
-    tied = np.arange(n)
-    while depth < min(shallow, size - size % 8) and len(tied):
-        word = words[starts[order[tied]] + depth].astype(np.uint64)
-        group = np.cumsum(new)[tied]
-        by = np.argsort(word, kind="stable") if depth == 0 else np.lexsort((word, group))
-        order[tied] = order[tied][by]
-        word = word[by]
-        new[tied[1:]] |= (word[1:] != word[:-1]) & (group[1:] == group[:-1])
-        alone = new & np.r_[new[1:], True]
-        tied = np.flatnonzero(~alone)
-        depth += 8
+    depth = min(shallow, size - size % 8)
+    multikey(words, starts, order, new, depth)
+    alone = new & np.r_[new[1:], True]
+    tied = np.flatnonzero(~alone)
     if not len(tied):
         return order, new
     heads = np.flatnonzero(new)
@@ -114,13 +147,10 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, size: int, shallow: int =
     ends = np.r_[heads[1:], n]
     for g in mixed.tolist():
         a, z = int(heads[g]), int(ends[g])
-        items: dict[bytes, list[int]] = {}
+        trie = Trie(size)
         for i in order[a:z].tolist():
             s = int(starts[i])
-            items.setdefault(buf[s : s + size].tobytes(), []).append(i)
-        trie = Trie(size)
-        for text, item in items.items():
-            trie.insert(int.from_bytes(text, "big"), item)
+            trie.insert(int.from_bytes(buf[s : s + size].tobytes(), "big"), [i])
         for item in trie.leaves():
             order[a : a + len(item)] = item
             new[a + 1 : a + len(item)] = False
@@ -187,16 +217,15 @@ class Block:
                 good[where] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(where)).astype(bool)
         runs = np.flatnonzero(good[group])
         ends = self.at[runs] + self.count[runs] + self.size - 1
-        first, second = (base.Rolling(base.BYTE_VALUES[i][self.buf], i).hashes(self.at[runs], ends) for i in (0, 1))
-        p, doc = self.part[runs], self.ids[self.owner[runs]]
-        order = np.lexsort((doc, second, first, p))
-        new = np.ones(len(runs), bool)
-        new[1:] = (np.diff(p[order]) != 0) | (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
-        heads = order[np.flatnonzero(new)]
-        self.hashes = first[heads]
-        content = np.empty(len(runs), np.int64)
-        content[order] = np.cumsum(new) - 1
-        return runs, content, p[heads], runs[heads], doc[heads]
+        hashes = base.Rolling(base.BYTE_VALUES[0][self.buf]).hashes(self.at[runs], ends)
+        same, first = equal_runs(self.buf, self.at[runs], ends - self.at[runs], hashes)
+        low = np.full(len(first), substrings.NO_ID)
+        np.minimum.at(low, same, self.ids[self.owner[runs]])
+        order = np.argsort(self.part[runs[first]], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.hashes = hashes[first[order]]
+        return runs, place[same], self.part[runs[first[order]]], runs[first[order]], low[order]
 
 
 def empty() -> pa.Schema:

@@ -190,6 +190,70 @@ def test_op2_accuracy_on_held_out(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
+def plain_nats(train, texts, symbols, order=5):
+    """Nats a symbol of each text under an interpolated Kneser-Ney model of the texts `train`, by dictionaries."""
+
+    def grams(t):
+        line = "".join(c + " " for c in "".join(c if c.isalpha() else " " for c in t.lower()).split())
+        line = "\0" * (order - 1) + line
+        return [line[k - order + 1 : k + 1] for k in range(order - 1, len(line))]
+
+    tables = {order: Counter(g for t in train for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    off, total, taken = {}, defaultdict(int), defaultdict(float)
+    for n, table in tables.items():
+        n1, n2 = (sum(c == k for c in table.values()) for k in (1, 2))
+        off[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        for g, c in table.items():
+            total[n, g[:-1]] += c
+            taken[n, g[:-1]] += off[n]
+
+    def probability(g):
+        n = len(g)
+        if not n:
+            return 1 / symbols
+        if not total[n, g[:-1]]:
+            return probability(g[1:])
+        c = tables[n][g]
+        return ((c - off[n] if c else 0) + taken[n, g[:-1]] * probability(g[1:])) / total[n, g[:-1]]
+
+    return [-sum(math.log(probability(g)) for g in grams(t)) / max(len(grams(t)), 1) for t in texts]
+
+
+def test_op2_by_hand(spark):
+    """Cross-entropies and languages from dictionaries of counts."""
+    import numpy as np
+
+    from memgrid.llm.kneser_ney import Model, counted
+    from memgrid.llm.language_id import BITS, ORDER, Languages, coded, identified
+
+    train = {"aa": ["the cat sat on the mat and the dog ran", "a dog and a cat ran to the hat"], "bb": ["le chat est sur la table et le chien court", "un chien et un chat"]}
+    texts = ["the dog sat", "le chien est la", "chat the", "zzz", "Cat, MAT!"]
+    rows = spark.createDataFrame([(lang, t) for lang, own in train.items() for t in own], "lang string, text string")
+    got = counted(rows, "lang", coded).toArrow()
+    codes, at = np.unique(got["code"].to_numpy().view(np.uint64), return_inverse=True)
+    counts = np.zeros((len(codes), 2))
+    np.add.at(counts, (at, np.array([x == "bb" for x in got["lang"].to_pylist()], int)), got["n"].to_numpy())
+    symbols = len(np.unique(codes & np.uint64((1 << BITS) - 1))) + 1
+    languages = Languages(["aa", "bb"], Model(codes, counts, ORDER, BITS, symbols, modified=False))
+    out = {r["doc_id"]: r for r in identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), languages).collect()}
+    want = {lang: plain_nats(own, texts, symbols) for lang, own in train.items()}
+    for k in range(len(texts)):
+        nats = [want["aa"][k], want["bb"][k]]
+        assert out[k]["nats"] == pytest.approx(min(nats), abs=1e-4)
+        assert out[k]["lang_pred"] == ("aa" if nats[0] <= nats[1] else "bb")
+
+
+def test_op2_language_of_empty_texts(spark):
+    from memgrid.llm.language_id import identified, learned
+
+    rows = [(i, f"the cat sat on the mat {i}", "en") for i in range(40)] + [(i, "", "xx") for i in range(100, 110)] + [(i, "12 34", "yy") for i in range(200, 210)]
+    docs = spark.createDataFrame([*rows, (300, "le chat est la", "fr"), (301, None, "zz")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identified(docs, learned(docs)).collect()}
+    assert got[0] == "en" and got[300] == "fr" and got[100] == got[200] == got[301] == "und"
+
+
 def test_op3_components(spark, folder, docs):
     prints = []
     for i, text, *_ in docs:
@@ -396,14 +460,81 @@ def test_op7_base(spark, folder, docs):
             assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
 
 
-def test_op7_shuffled_words_count_the_same(spark, folder, monkeypatch):
-    from memgrid.llm import class_model
+def plain_class_scores(docs, label, classes, n_ends, unseen):
+    """Scores of all texts under given word classes, by dictionaries."""
+    train = [[*words(lowered(t))] for i, t, *_ in docs if remainder(i, 7) != 2]
+    counts = Counter(w for own in train for w in own)
+    follow, mass, kinds = Counter(), Counter(), Counter()
+    for own in train:
+        line = ["end", *(label[w] for w in own), "end"]
+        follow.update(zip(line, line[1:], strict=False))
+    for w, n in counts.items():
+        mass[label[w]] += n
+        kinds[label[w]] += 1
+    mass["end"], kinds["end"] = n_ends, 1
+    out = Counter()
+    for a, _ in list(follow):
+        out[a] = sum(n for (x, _), n in follow.items() if x == a)
+    found = []
+    for i, t, *_ in docs:
+        line, score = "end", 0.0
+        for w in [*words(lowered(t)), None]:
+            c = "end" if w is None else label.get(w, unseen)
+            n = n_ends if w is None else counts[w]
+            score += math.log10((follow[line, c] + 0.1) / (out[line] + 0.1 * (classes + 1))) + math.log10((n + 1) / (mass[c] + kinds[c] + 1))
+            line = c
+        found.append((repr(i), round(score, 4)))
+    return sorted(found)
+
+
+def test_op7_score_by_hand(spark, folder, docs):
+    """Every training word has a class, chosen as the docstring says, and scores follow from classes and counts."""
+    import numpy as np
+
+    from memgrid.llm import class_model as m
 
     df = spark.read.parquet(f"{folder}/documents.parquet")
-    a = class_model.scored(df, *class_model.learned(df))
-    b = class_model.scored(df, *class_model.learned(df, head_words=9))
-    pick = lambda x: sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in x.collect())
-    assert pick(a) == pick(b)
+    lexicon = m.Lexicon(df.where(m.remainder(7) != 2), class_words=40)
+    rows = lexicon.words.collect()
+    counts = Counter(w for i, t, *_ in docs if remainder(i, 7) != 2 for w in words(lowered(t)))
+    assert {r["word"]: r["n"] for r in rows} == counts and len(rows) == len(counts) > 60
+    label = {r["word"]: r["class"] for r in rows}
+    assert 0 <= min(label.values()) and max(label.values()) < lexicon.classes
+
+    # classes of the words beyond the clustered ones, by dictionaries
+    top = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:40]}
+    k = lexicon.classes
+    own = {w: label[w] for w in top}
+    pairs, before, after = np.zeros((k + 2, k + 2)), defaultdict(Counter), defaultdict(Counter)
+    for i, t, *_ in docs:
+        if remainder(i, 7) != 2:
+            text = words(lowered(t))
+            line = [k, *(own.get(w, k + 1) for w in text), k]
+            for a, b in zip(line, line[1:], strict=False):
+                pairs[a, b] += 1
+            for at, w in enumerate(text, 1):
+                before[w][line[at - 1]] += 1
+                after[w][line[at + 1]] += 1
+    # between two texts stands one end
+    follow = np.log((pairs + 0.1) / (pairs.sum(axis=1, keepdims=True) + 0.1 * (k + 2)))
+    mass = np.log(pairs.sum(axis=0)[:k] + 1)
+    for w in counts.keys() - top:
+        gain = sum(n * follow[c, :k] for c, n in before[w].items()) + sum(n * follow[:k, c] for c, n in after[w].items()) - counts[w] * mass
+        assert gain[label[w]] >= gain.max() - 1e-6
+
+    monkey = m.CLASS_WORDS
+    whole = m.Lexicon(df.where(m.remainder(7) != 2), class_words=monkey)
+    label = {r["word"]: r["class"] for r in whole.words.collect()}
+    single = Counter(label[w] for w, n in counts.items() if n == 1)
+    unseen = max(range(whole.classes), key=lambda c: (single[c], -c))
+    want = plain_class_scores(docs, label, whole.classes, whole.ends, unseen)
+    assert want == sorted((repr(r["doc_id"]), round(r["score"], 4)) for r in run(spark, "op7_class_model", folder))
+
+
+def test_op7_beats_word_counts(spark):
+    """The class model gives held-out texts a better probability than the base does."""
+    rows = [r for r in run(spark, "op7_class_model", "/root/testdata/sf0.001") if r["held_out"]]
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
 def test_exchange_finds_classes():
@@ -415,10 +546,32 @@ def test_exchange_finds_classes():
     for i in range(12):
         for j in range(12):
             pairs[i, j] = 50 + i + j if (i // 4 + 1) % 3 == j // 4 else 0
-    label = exchanged(pairs, 3, 20)
+    label = exchanged(pairs, 3)
     assert all(len(set(label[k : k + 4])) == 1 for k in (0, 4, 8)) and len(set(label)) == 3
 
 
+def test_exchange_ends_where_no_move_helps():
+    import numpy as np
+
+    from memgrid.llm.class_model import exchanged, xlogx
+
+    pairs = np.random.default_rng(3).integers(0, 30, (14, 14))
+    label = exchanged(pairs, 3, fixed=2)
+    assert label[:2].tolist() == [3, 4]
+
+    def likelihood(label):
+        one = np.eye(5)[label]
+        table = one.T @ pairs @ one
+        return xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum()
+
+    best = likelihood(label)
+    for i in range(2, 14):
+        for c in range(3):
+            other = label.copy()
+            other[i] = c
+            assert likelihood(other) <= best + 1e-6
+
+
 def test_op8_words(spark, folder, docs):
     want = []
     for i, own, flags in covered(docs, lambda t: tuple(words(t)), 13):
@@ -428,9 +581,11 @@ def test_op8_words(spark, folder, docs):
     assert sorted_rows(want) == sorted_rows((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got)
 
 
-@pytest.mark.parametrize("steps", [1, 3])
+@pytest.mark.parametrize("steps", [1, 3, 13])
 def test_op8_levels_agree(spark, folder, steps):
-    from memgrid.llm.substrings import repeated_words
+    from memgrid.llm.substrings import levels, repeated_words
+
+    assert levels(13) == [4, 8, 13] and levels(13, 1) == [1, 2, 4, 8, 13] and levels(3) == [3]
 
     df = spark.read.parquet(f"{folder}/documents.parquet")
     pick = lambda x: sorted(repr(tuple(r)) for r in x.collect())
