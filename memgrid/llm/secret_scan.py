@@ -5,11 +5,11 @@ Weak candidates (identifiers, secrets without a clear label, endpoints) are comm
 is reported only if its complementary parts (for an identifier a secret, for a secret an identifier, for an endpoint both) lie within
 its scope, so many code points to either side. Base spans count as parts: access keys as identifiers, the others as secrets.
 
-Positions follow from the lengths of matches and of the pieces between them, as no SQL function gives them. Work in a document is
-linear in its text, and quadratic (in cheap copies) only in its number of matches.
+Positions follow from the lengths of matches and of the pieces between them, as no SQL function gives them; they are added up in groups
+of GROUP matches, so that lists are not copied at each. Only weak candidates without a complement compare with all parts of their text.
 
 Defined results: a null text is an empty one without spans; repeated rows each get their result; an empty table gives an empty one;
-other columns pass through untouched.
+other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WEAK_ID = f"(?:AGPA|AIDA|AIPA|ANPA|AROA|ASIA)[A-Z0-9]{{12,}}|(?:{either('usernam
 WEAK_SECRET = "[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = "[a-z]{2,10}://[^\\x20\\x09-\\x0D\"'<>]+"
 SCOPE = 300
+#: Matches whose positions are added up at once.
+GROUP = 128
 
 
 def found(text: Column, pattern: str, kind: int, part: int = 0, least: int = 0) -> Column:
@@ -42,7 +44,6 @@ def found(text: Column, pattern: str, kind: int, part: int = 0, least: int = 0)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("part"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string,size:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -50,7 +51,12 @@ def found(text: Column, pattern: str, kind: int, part: int = 0, least: int = 0)
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"), F.length(x["part"]).alias("size"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    spans = F.aggregate(rows, zero, step, lambda acc: acc["spans"])
+    def group(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(rows, k * GROUP + 1, F.lit(GROUP)), F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return F.aggregate(F.array(own), acc, lambda acc, own: F.struct(own["at"].alias("at"), F.concat(acc["groups"], F.array(own["spans"])).alias("groups")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,hit:string,size:int>>>").alias("groups"))
+    spans = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / GROUP).cast("int")), start, group, lambda acc: acc["groups"]))
     return F.when(text.rlike(pattern), F.filter(spans, lambda x: x["size"] >= least)).otherwise(none)
 
 
@@ -59,25 +65,28 @@ def near(x: Column, parts: Column, scope: int) -> Column:
 
 
 def scanned(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs with _spans: array of (start, kind, end), ends exclusive, in code points, by start and then kind; kind is a place in KINDS."""
-    text = F.coalesce("text", F.lit(""))
-    own = F.array_sort(F.concat(found(text, ASSIGN, 0, 2, 8), found(text, ACCESS, 1), found(text, HEX, 2)))
-    rows = docs.withColumn("_base", own)
+    """(doc, base, spans): the columns of docs as a struct, and arrays of (start, kind, end) of base spans and of all spans.
+
+    Ends are exclusive, places in code points, kind is a place in KINDS; arrays are ordered by start and then kind.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    rows = rows.withColumn("base", F.array_sort(F.concat(found(text, ASSIGN, 0, 2, 8), found(text, ACCESS, 1), found(text, HEX, 2))))
     named = text.rlike(WEAK_ID) | text.contains("AKIA")
-    clear = lambda spans: F.filter(spans, lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    clear = lambda spans: F.filter(spans, lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
     weak = F.concat(
         found(text, WEAK_ID, 3),
         F.filter(found(text, WEAK_SECRET, 4), lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Z]") & x["hit"].rlike("[a-z]")),
         found(text, ENDPOINT, 5),
     )
     weak = F.filter(weak, lambda x: (x["kind"] != 4) | ~text.substr(F.greatest(x["start"] - 2, F.lit(1)), F.lit(3)).contains("://"))
-    rows = rows.withColumn("_weak", F.when(named, clear(weak)))
-    both = F.concat("_base", F.coalesce("_weak", F.array().cast("array<struct<start:int,kind:int,end:int,hit:string,size:int>>")))
-    rows = rows.withColumns({"_ids": F.filter(both, lambda x: x["kind"].isin(1, 3)), "_secrets": F.filter(both, lambda x: x["kind"].isin(0, 2, 4))})
-    kept = F.filter("_weak", lambda x: F.when(x["kind"] == 3, near(x, F.col("_secrets"), scope)).when(x["kind"] == 4, near(x, F.col("_ids"), scope)).otherwise(near(x, F.col("_ids"), scope) & near(x, F.col("_secrets"), scope)))
+    rows = rows.withColumn("weak", F.when(named, clear(weak)))
+    both = F.concat("base", F.coalesce("weak", F.array().cast("array<struct<start:int,kind:int,end:int,hit:string,size:int>>")))
+    rows = rows.withColumns({"ids": F.filter(both, lambda x: x["kind"].isin(1, 3)), "secrets": F.filter(both, lambda x: x["kind"].isin(0, 2, 4))})
+    kept = F.filter("weak", lambda x: F.when(x["kind"] == 3, near(x, F.col("secrets"), scope)).when(x["kind"] == 4, near(x, F.col("ids"), scope)).otherwise(near(x, F.col("ids"), scope) & near(x, F.col("secrets"), scope)))
     bare = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
-    every = F.array_sort(F.transform(F.when(F.size("_weak") > 0, F.concat("_base", kept)).otherwise(F.col("_base")), bare))
-    return rows.withColumns({"_spans": every, "_base": F.transform("_base", bare)}).drop("_weak", "_ids", "_secrets")
+    every = F.array_sort(F.transform(F.when(F.size("weak") > 0, F.concat("base", kept)).otherwise(F.col("base")), bare))
+    return rows.select("doc", F.transform("base", bare).alias("base"), every.alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -89,21 +98,22 @@ def listed(spans: str) -> Column:
 def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
     """docs with each run of overlapping spans in `text` replaced by the mark; texts without spans stay as they are, null included."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("doc.text")
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.col("text").substr(acc["at"] + 1, x["start"] - acc["at"])
+        gap = text.substr(acc["at"] + 1, x["start"] - acc["at"])
         out = F.when((x["start"] >= acc["at"]), F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.expr("text").substr(acc["at"] + 1, F.length("text")))
-    rows = scanned(docs, scope)
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(F.col("text"))).drop("_base", "_spans")
+    rest = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
+    new = F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(text)
+    return scanned(docs, scope).select(*(new.alias(c) if c.lower() == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def op9_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scanned(base.documents(spark, sf_dir).select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
-    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return rows.select("doc.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def _sql(pattern: str, kind: int, part: int = 0, least: int = 0) -> str:

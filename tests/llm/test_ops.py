@@ -195,7 +195,7 @@ def plain_nats(train, texts, symbols, order=5):
 
     def grams(t):
         line = "".join(c + " " for c in "".join(c if c.isalpha() else " " for c in t.lower()).split())
-        line = "\0" * (order - 1) + line
+        line = " " * (order - 1) + line  # what stands before a text is space as well
         return [line[k - order + 1 : k + 1] for k in range(order - 1, len(line))]
 
     tables = {order: Counter(g for t in train for g in grams(t))}
@@ -612,6 +612,22 @@ def test_op9_base_and_links(spark, folder, docs):
     assert [r["spans"] for r in alone] == [""]
 
 
+def test_op9_many_matches_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from memgrid.llm import secret_scan
+
+    names = ["_base", "_spans", "_weak", "_ids", "_secrets", "base", "spans", "weak", "ids", "secrets", "doc"]
+    text = " ".join(f"token=abcdefgh{k}" for k in range(1000))
+    docs = spark.createDataFrame([(1, text, *names), (2, "clean", *names), (3, None, *names)], ["doc_id", "text", *names])
+    out = secret_scan.redacted(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and got[1]["text"] == " ".join(["[SECRET]"] * 1000) and got[2]["text"] == "clean" and got[3]["text"] is None
+    assert all(tuple(r[2:]) == tuple(names) for r in got.values())
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scanned(docs).select("doc.doc_id", "spans").collect()}
+    assert [(s["start"], s["end"]) for s in spans[1]] == [m.span() for m in re.finditer(r"\S+", text)]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_on_driver_tables(spark, name):
     from compare import DATA, assert_same
