@@ -1,11 +1,14 @@
 """HTML extraction by tree scoring.
 
-A page becomes a tree (tags close as browsers close them). Every block of text passes points (one, one for each comma, and one for
-each hundred characters, up to three) to its ancestors, its parent the whole and each further one a share, discounted by the share of
-the block's text that is link text. Elements that are page furniture by tag, role or by a word of their class or id give and get no
-points and are left out. The element with the most points is the article's container; siblings with a fair part of its points, or
-that are text of their own with few links, are kept with it. Of what is kept all blocks are put out, in page order, but for list items and bare boxes
-that are links alone.
+A page becomes a tree (tags close as browsers close them). Every block of text has points (one, one for each comma, and one for each
+hundred characters, up to three), discounted by the share of its text that is link text, and passes them to its ancestors: its parent
+the whole, each further one of LEVELS a share. Names only discount: an element whose tag, role, class or id speaks of page furniture
+passes on a part of its points, little where the name leaves no doubt, more where the word has other uses or stands beside one that isn't
+known. The element with the most points is the article's container. From there upwards, up to the article or the body, siblings with
+a fair part of its points are kept with it, and what is text by its tag. Within what is kept a discounted element stays if its discounted
+points are worth it. Of what is kept all blocks are put out, in page order, but for list items and bare boxes that are links alone.
+
+Menus, forms and what is hidden (nav, form, button, dialog; hidden, display: none) are never looked at, scripts and styles neither.
 
 Defined results: null, empty or textless html gives an empty text; unclosed and stray tags are closed or dropped; a page without any
 container that stands out gives all its text outside of furniture; repeated rows each get their result; an empty table gives an empty
@@ -28,21 +31,33 @@ from . import base
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video head select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
-FURNITURE = frozenset("nav header footer aside form button dialog menu fieldset".split())
+#: Tags that are never article text.
+NEVER = frozenset("nav form button dialog menu fieldset".split())
+#: Tags that are text wherever the article is.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr br".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside "
-    "footer header masthead topbar bottombar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login signin "
-    "comment comments commentlist disqus reply replies respond discussion reactions share sharing social related recommended recommendations widget pagination pager skip search rail outbrain taboola "
+#: Words of a class or id that leave no doubt, and words that articles use as well.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors navbar navigation nav breadcrumb breadcrumbs sidebar sidebars masthead topbar bottombar toolbar cookie cookies consent gdpr "
+    "popup modal overlay newsletter subscribe signup login signin comment comments commentlist disqus replies pagination pager outbrain taboola footer".split()
+)
+MILD = frozenset(
+    "promo promotion promoted banner menu menus aside header notice notices alert alerts subscription reply respond discussion reactions share sharing social related recommended recommendations widget skip search rail "
     "disclaimer copyright legal reader responses feedback form".split()
 )
-GOOD = frozenset("article body content entry main post story text".split())
-#: Words that say no more than that an element has or lacks furniture, and furniture words that article parts use as well.
-LAYOUT = frozenset("has no with without layout".split())
-MILD = frozenset("header banner masthead form search".split())
+#: Words that say what an element is laid out like, or that it is the article's.
+GOOD = frozenset("article body content entry main post story text has no with without layout".split())
+#: Words that say nothing of what is in an element.
+PLAIN = frozenset("area bar block bottom box button buttons col column container group holder inner item items left links list outer panel right row section site page top wrap wrapper".split())
+#: What a name leaves of an element's points: no doubt, a word with other uses alone, and beside a word that isn't known.
+SURE, ALONE, BESIDE = 0.005, 0.1, 0.4
+#: Discounted points for which a discounted element stays within the article.
+LEAST = 1.5
+#: Ancestors that a block passes points to.
+LEVELS = 8
 MENU = frozenset("ul ol li div td tr dd dt".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -51,36 +66,56 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "links", "name", "parent", "points", "size")
+    __slots__ = ("children", "drop", "factor", "keep", "links", "name", "parent", "points", "raw", "size")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: bool, factor: float = 1.0):
+        self.name, self.parent, self.drop, self.factor = name, parent, drop, factor
         self.children: list[Node | str] = []
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.points = self.raw = 0.0
+        self.size = self.links = 0
+        self.keep = False
 
 
-def unwanted(name: str, attributes: str) -> bool:
-    """Whether an element is page furniture; a header within an article isn't the page's, but is left out like it."""
-    if name in FURNITURE:
-        return True
+def named(value: str) -> float:
+    """What a class or id leaves of the points."""
+    out = 1.0
+    for one in value.split():
+        words = {w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", one) if w and not w.isdigit()}
+        if words & GOOD and not words & STRONG - {"footer", "masthead"}:
+            continue
+        if words & GOOD & {"has", "no", "with", "without", "layout"}:
+            continue
+        rest = words - STRONG - MILD - PLAIN - GOOD
+        if words & STRONG:
+            out = min(out, BESIDE if rest and len(words & STRONG) < len(rest) else SURE)
+        elif words & MILD:
+            out = min(out, BESIDE if rest else ALONE)
+    return out
+
+
+def discount(name: str, attributes: str, within: bool) -> float:
+    """What an element passes on of its points; 0 if it is never looked at. within: it is part of an article element."""
+    if name in NEVER:
+        return 0.0
+    out = 1.0
+    if name in ("header", "footer", "aside"):
+        out = (BESIDE if name == "aside" else SURE if name == "footer" else 1.0) if within else SURE
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return out
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)) or (key == "role" and value.lower() in ROLES):
-            return True
-        if key in ("class", "id"):
-            for one in value.split():
-                words = {w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", one)}
-                hit = words & WORDS
-                if hit and not words & LAYOUT and not (hit <= MILD and words & GOOD):
-                    return True
-    return False
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
+            return 0.0
+        if key == "role" and value.lower() in ROLES:
+            out = min(out, SURE)
+        elif key in ("class", "id"):
+            out = min(out, named(value))
+    return out
 
 
 def tree(page: str) -> Node:
     root = at = Node("#root", None, False)
-    place = 0
+    place = articles = 0
     while True:
         m = TOKEN.search(page, place)
         text = page[place : m.start()] if m else page[place:]
@@ -99,6 +134,7 @@ def tree(page: str) -> Node:
                     break
                 up = up.parent
             if up is not root and up.name == name:
+                articles -= name == "article" and articles > 0
                 at = up.parent
             elif name == "p":
                 at.children.append(Node("p", at, False))
@@ -122,9 +158,11 @@ def tree(page: str) -> Node:
                 if up.name in SAME[name]:
                     at = up.parent
                 up = up.parent
-        node = Node(name, at, at.drop or unwanted(name, m[3] or ""))
+        factor = discount(name, m[3] or "", articles > 0)
+        node = Node(name, at, at.drop or not factor, factor)
         at.children.append(node)
         if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            articles += name == "article"
             at = node
 
 
@@ -174,6 +212,55 @@ def blocks(node: Node, out: list) -> None:
     flush()
 
 
+def in_order(root: Node) -> list[Node]:
+    """All nodes that aren't dropped, parents before children."""
+    out, stack = [], [root]
+    while stack:
+        at = stack.pop()
+        out.append(at)
+        stack.extend(x for x in reversed(at.children) if isinstance(x, Node) and not x.drop)
+    return out
+
+
+def scored(root: Node, found: list) -> list[Node]:
+    """Sets points, sizes and raw points (discounted, of all below) of all nodes; gives the nodes in order."""
+    nodes = in_order(root)
+    passed: dict[int, float] = {}
+    for n in nodes:  # what is left of a block's points after all names above it
+        passed[id(n)] = n.factor * (passed[id(n.parent)] if n.parent is not None else 1.0)
+    for owner, line, links in found:
+        points = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - links / len(line)) * passed[id(owner)]
+        owner.raw += points
+        owner.size += len(line)
+        owner.links += links
+        up = owner.parent if owner.name in TEXTS or owner.name in ("td", "li", "dd", "dt") else owner
+        for depth in range(1, LEVELS + 1):
+            if up is None:
+                break
+            up.points += points / depth
+            up = up.parent
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.raw += n.raw
+            n.parent.size += n.size
+            n.parent.links += n.links
+    return nodes
+
+
+def linked(n: Node) -> float:
+    return n.links / max(n.size, 1)
+
+
+def companions(of: Node, beside: Node | None, least: float) -> list[Node]:
+    """The children of an element that are kept with the one of them that is the article, or holds it."""
+    out = []
+    for x in of.children:
+        if isinstance(x, Node) and not x.drop and x is not beside and x.size and linked(x) < 0.3 and (x.factor == 1 or x.raw >= LEAST):
+            if x.name in INLINE or x.raw >= least or (x.name in TEXTS and (of.name not in ("body", "html", "#root") or x.name in ("p", "h1") or x.raw >= 2)):
+                out.append(x)
+    return out
+
+
 def extracted(page: str | None) -> str:
     """The page's main text, its blocks joined by one space."""
     if not page:
@@ -183,61 +270,40 @@ def extracted(page: str | None) -> str:
     blocks(root, found)
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    for owner, line, links in found:
-        points = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - links / len(line))
-        share, up = 1.0, owner
-        if owner.name in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt"):
-            up = owner.parent
-        depth = 1
-        while up is not None:
-            up.points += points * share
-            up.size += len(line)
-            up.links += links
-            scored[id(up)] = up
-            depth += 1
-            share, up = 1 / depth, up.parent
+    nodes = scored(root, found)
 
     def worth(n: Node) -> float:
-        bonus = 1.25 if n.name in ("article", "main") else 1.0
-        return n.points * bonus * (1 - n.links / max(n.size, 1))
+        return n.points * (1.25 if n.name in ("article", "main") else 1.0) * (1 - linked(n))
 
-    best = max((n for n in scored.values() if n.name != "#root"), key=worth, default=root)
-    while best.parent is not None and best.name in ("blockquote", "ul", "ol", "dl", "table", "tbody", "tr", "figure", "li", "td"):
+    best = max((n for n in nodes if n.name not in ("#root", "html")), key=worth, default=root)
+    while best.parent is not None and best.name in TEXTS | {"tbody", "tr", "li", "td", "th", "dd", "dt"} | INLINE:
         best = best.parent
-    article, up = best, best
-    while up is not None:  # parts of one article belong together
-        if up.name in ("article", "main") or up.name == "section" and article.name != "article":
-            article = up
-            if up.name == "article":
-                break
-        up = up.parent
-    best = article
-    kept = {id(best)}
-    if best.parent is not None and best.name not in ("html", "body", "main"):
-        least = max(2.0, worth(best) * 0.2)
-        lines: dict[int, list] = {}
-        for owner, line, links in found:
-            up = owner
-            while up is not None and up.parent is not best.parent:
-                up = up.parent
-            if up is not None:
-                lines.setdefault(id(up), []).append((line, links))
-        for x in best.parent.children:
-            if isinstance(x, Node) and not x.drop and x is not best and (own := lines.get(id(x))):
-                size, links = sum(len(a) for a, _ in own), sum(b for _, b in own)
-                if (x.points >= least and links < 0.3 * size) or (x.name == "p" and (size > 80 and links < 0.25 * size or links == 0 and size and own[-1][0].endswith("."))) or (x.name in ("h1", "h2") and not links):
-                    kept.add(id(x))
-    out = []
-    for owner, line, links in found:
-        if owner.name in MENU and links >= 0.9 * len(line):  # a menu without a name
-            continue
-        up = owner
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(line)
-    return " ".join(out)
+    own = {id(best)}  # elements whose own text is the article's
+    if best.name in ("body", "html", "#root"):
+        best.keep = True
+        most = max((x.raw for x in best.children if isinstance(x, Node)), default=0.0)
+        kept = companions(best, None, max(2.0, most * 0.2))
+        for x in best.children if kept else []:
+            if isinstance(x, Node) and not any(x is k for k in kept):
+                x.drop = True
+    else:
+        best.keep, at = True, best
+        while at.parent is not None and at.name not in ("article", "body", "html", "#root"):
+            kept = companions(at.parent, at, max(2.0, best.raw * 0.2))
+            for x in kept:
+                x.keep = True
+            if kept and at.parent.name not in ("body", "html", "#root"):
+                own.add(id(at.parent))
+            at = at.parent
+    for n in nodes:
+        if n.parent is not None:
+            n.keep = n.keep or n.parent.keep
+            if n.drop or (n is not best and n.factor < 1 and n.keep and (n.raw < LEAST or linked(n) > 0.33)):
+                n.keep = False
+                n.drop = True
+            if n.parent.drop:
+                n.keep, n.drop = False, True
+    return " ".join(line for owner, line, links in found if (owner.keep or id(owner) in own) and not (owner.name in MENU and links >= 0.9 * len(line)))
 
 
 def main_texts(pages: DataFrame, *keep: str) -> DataFrame:

@@ -653,6 +653,51 @@ def test_op10_leaves_furniture_out():
     assert extracted(PAGE) == "Head One, two & three. Next part. Last bold part."
 
 
+PAGES = {
+    "names that only sound like furniture": (
+        "<body><nav><a href=a>A</a></nav><article><header><h1>The title, of it</h1></header><p>First part of the text, with commas, and more.</p>"
+        "<section class='social-history'><p>Customs of the time, at length, were kept by all, and told for long.</p></section>"
+        "<section id=legal-background><p>The law, as it stood, was this, and none had changed it in years.</p></section><aside><p>Quoted words, set apart, of the same story, and its people.</p></aside></article></body>",
+        "The title, of it First part of the text, with commas, and more. Customs of the time, at length, were kept by all, and told for long. "
+        "The law, as it stood, was this, and none had changed it in years. Quoted words, set apart, of the same story, and its people.",
+    ),
+    "no article element": (
+        "<body><div id=top><a href=x>Home</a> <a href=y>News</a></div><div class=page><div class=left><p>Short, side.</p></div><div class=c1><h2>Head</h2><p>Long text, with commas, one after another, "
+        "and so on, until it is long enough to count.</p><p>Second, as long, as the first, more or less, and with as many commas, too.</p><p>End</p></div></div>"
+        "<div><p>We use cookies, as all do.</p><button>Yes</button></div><div class=footer>Imprint</div></body>",
+        "Head Long text, with commas, one after another, and so on, until it is long enough to count. Second, as long, as the first, more or less, and with as many commas, too. End",
+    ),
+    "sections in wrappers": (
+        "<main><div class=w><section><div><p>" + "One, two, three, four. " * 6 + "</p></div></section><section><div><p>" + "Five, six, seven, eight. " * 6 + "</p></div></section><section><div><p>"
+        + "Nine, ten, eleven, twelve. " * 6 + "</p></div></section></div></main><div class=comment-list><p>" + "Nice, good, and so on, again. " * 9 + "</p></div>",
+        ("One, two, three, four. " * 6 + "Five, six, seven, eight. " * 6 + "Nine, ten, eleven, twelve. " * 6).strip(),
+    ),
+    "bare paragraphs": ("<html><body><div class=menu><a href=a>A</a></div><h1>T</h1><p>One, two.</p><p>Three</p><div class='ad'>Buy, now, all, of it.</div></body></html>", "T One, two. Three"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_op10_points_decide(name):
+    from memgrid.llm.html_text import extracted
+
+    page, want = PAGES[name]
+    assert extracted(page) == want
+
+
+def test_op10_deep_pages_take_linear_time():
+    import time
+
+    from memgrid.llm.html_text import extracted
+
+    def took(n):
+        at = time.perf_counter()
+        assert extracted("<div>x, y" * n + "<p>deep</p>").endswith("deep")
+        return time.perf_counter() - at
+
+    took(1000)
+    assert took(16_000) < 40 * took(2000)
+
+
 def test_op10_driver_pages(spark):
     import html
 
