@@ -4,13 +4,15 @@ Bit blocks cannot index a radius of some 20 of 64 bits, so documents meet by shi
 with that similarity share one of the first n - ceil(similarity * n) + 1 of each, whatever the order. None is missed. The order puts
 shingles that many documents hold last (counts come from a sketch of fixed size over all documents), so common passages gather few.
 
-Documents with equal shingle sets are one class from the start. Where classes meet:
-1. Stars. Each key's members are compared with one of them, the first in a seeded order; a large group of near copies becomes one
-   component by as many comparisons as it has members. Twice, with two orders. Members that are one component already are left out.
-2. Tiles. Keys whose members still are several components compare the members outside the largest one with all, in tiles. Pivot
-   distance tables discard pairs whose distances to any pivot differ by more than RADIUS, then the fingerprints' own distance decides
-   who is verified: nearest first, a few for each member, then more in later rounds, until no pair is left.
-Verification compares the shingle sets. A document's set is sent once to each block of documents that needs it.
+Documents with equal shingle sets are one class from the start, and keys with the same members are one key. Where classes meet:
+1. Stars. Each key's members are compared with LEADERS of them, those that share most of their shingles; a large group of near copies
+   becomes one component by some comparisons for each member. Leaders have then met all of their key and leave it, as do keys whose
+   members are one component. STARS times.
+2. Tiles. What is left compares the members outside the key's largest component with all, in tiles. Pivot distance tables discard pairs
+   whose distances to any pivot differ by more than RADIUS, then the fingerprints' own distance decides who is verified: the NEAREST of
+   each member first. A key where a member has more than that sends its members' sets into its tiles and is worked off there, so that
+   no pairs are written.
+Verification compares the shingle sets. A leader's or neighbour's set is sent once to each block of documents that needs it.
 
 Fingerprints of the distinct shingles: two sets at 0.8 differ in each bit with a probability of at most 0.152, so RADIUS is 5.7 standard
 deviations over the mean (about one in 10^8 such pairs lies beyond). Sets are sets of 64-bit shingle hashes.
@@ -27,20 +29,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 from .components import components
 from .decontaminate import fingerprint, lowered
-from .simhash import PIVOTS, pivot_table
+from .simhash import PIVOTS, pivot_table, star
 
 RADIUS, TILE = 26, 1024
 #: Members of one key that meet in one task at most; more are dealt by a salt.
 HOT = 4096
-STARS = 2
-#: How many survivors of a tile each member is verified with, in total, after each round.
-ROUNDS = (4, 64, None)
+STARS, LEADERS = 2, 3
+#: Survivors that a member of a tile is verified with before sets are sent to the tile.
+NEAREST = 16
+#: Rows named in a broadcast at most; where more are wanted, all texts are read instead.
+MOST_BROADCAST = 500_000
 #: The sketch: counters, and how they are cut for summing.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 
@@ -189,9 +193,15 @@ def checker(words: int, similarity: float) -> Callable:
     return f
 
 
+FACTS = ("row", "block", "size", "print", "root")
+
+
 def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b): those of the pairs (a, a_block, b, b_block) whose sets are similar. texts: (doc, row, block), bucketed by block."""
     wanted = pairs.select(F.col("b_block").alias("block"), F.col("b").alias("row"), F.col("a_block").alias("to")).distinct()
+    named = base.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named")
+    if named.count() <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(named), "row", "left_semi").select("doc", "row", "block")
     by_block = texts.groupBy("block")
     sets = by_block.cogroup(wanted.groupBy("block")).applyInArrow(set_sender(words), "block long, a long, b long, set binary")
     work = sets.unionByName(pairs.select(F.col("a_block").alias("block"), "a", "b", F.lit(None).cast("binary").alias("set")))
@@ -205,14 +215,27 @@ def paired(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("a", "a_block", "b", "b_block").distinct()
 
 
-def star_pairs(members: DataFrame, number: int, similarity: float) -> DataFrame:
-    """Each member of a key with the key's first in the order of this number."""
-    facts = ("row", "block", "size", "print", "root")
-    place = F.struct(F.xxhash64("row", F.lit(number)).alias("place"), *facts)
-    first = members.groupBy("key", "salts").agg(F.min(place).alias("b"))
-    first = first.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"), "b")
-    rows = members.join(first, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")))
-    ends = [F.col(c).alias("a" if c == "row" else f"a_{c}") for c in facts] + [F.col(f"b.{c}").alias("b" if c == "row" else f"b_{c}") for c in facts]
+def salted(keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, salts, ...) once for each salt, as (_key, _salt, ...), to be joined with members of keys."""
+    return keys.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"), *columns)
+
+
+def at_key() -> Column:
+    return (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt"))
+
+
+def leaders(members: DataFrame) -> DataFrame:
+    """(key, salts, top): each key's first LEADERS members by the share of their shingles that others have."""
+    place = F.struct((-F.col("shared")).alias("place"), F.xxhash64("row").alias("hash"), *FACTS)
+    top = F.slice(F.array_sort(F.collect_list(place)), 1, LEADERS)
+    each = members.groupBy("key", "salts", "salt").agg(top.alias("top"))  # HOT rows or so
+    return each.groupBy("key", "salts").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, LEADERS).alias("top"))
+
+
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Each member of a key (with its leaders, top) with each of them."""
+    rows = rows.withColumn("b", F.explode("top"))
+    ends = [F.col(c).alias("a" if c == "row" else f"a_{c}") for c in FACTS] + [F.col(f"b.{c}").alias("b" if c == "row" else f"b_{c}") for c in FACTS]
     return paired(rows.select(*ends), similarity)
 
 
@@ -254,81 +277,150 @@ def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nda
         yield i[near], j[near], far[near]
 
 
-def nearest(lo: int, hi: int | None, similarity: float) -> Callable:
-    """Of rows (key, x, y, left, row, block, size, print, root), in order of the tile pair: each left row with its survivors from the lo-th nearest on, up to the hi-th."""
-    kinds = [pa.int64()] * 4
+def nearest(similarity: float) -> Callable:
+    """Of rows (key, x, y, left, row, block, size, print, root), in order of the tile pair: each left row with the NEAREST of its survivors.
+
+    A row (null, null, key, null) says that the key has more.
+    """
     names = ["a", "a_block", "b", "b_block"]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, 3):
             first = np.array([r[3] for r in rows])
             row, block, size, prints, root = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6, 7, 8))
-            found = []
+            found, more = [], False
             for i, j, far in survivors(prints.view(np.uint64), size, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+                other = root[i] != root[j]
+                i, j, far = i[other], j[other], far[other]
                 order = np.lexsort((row[j], far, i))
                 i, j = i[order], j[order]
                 heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
                 place = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
-                keep = (place >= lo) & (place < (hi or len(i))) & (root[i] != root[j])
+                keep = place < NEAREST
+                more |= not keep.all()
                 found.append((i[keep], j[keep]))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((row[i], block[i], row[j], block[j]), kinds, strict=True)], names)
+            columns = [pa.array(x, pa.int64()) for x in (row[i], block[i], row[j], block[j])]
+            if more:
+                columns = [pa.concat_arrays([c, pa.array([x], pa.int64())]) for c, x in zip(columns, (None, None, rows[0][0], None), strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return f
 
 
-def tile_pairs(members: DataFrame, lo: int, hi: int | None, similarity: float) -> DataFrame:
-    """Pairs from tiles: members of a key outside its largest component (left) against all its members."""
-    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.select(F.col("key").alias("_key"), "main", F.ceil(F.col("all") / TILE).alias("rights"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("lefts"))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt")
-    main = members.select("key", "salts").distinct().join(main, F.col("key") == F.col("_key")).select("_key", salts, "main", "lefts", "rights")
-    rows = members.join(main, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")))
+def tiles(members: DataFrame) -> DataFrame:
+    """(key, x, y, left, *FACTS): members of a key outside its largest component (left) against all its members, in pairs of tiles."""
+    roots = members.groupBy("key", "salts", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = roots.groupBy("key", "salts").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.select("key", "salts", "main", F.ceil(F.col("all") / TILE).alias("rights"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("lefts"))
+    rows = members.join(salted(main, "main", "lefts", "rights"), at_key())
     tile = lambda n: F.pmod(F.xxhash64("row", F.lit(9)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    facts = ("row", "block", "size", "print", "root")
-    left = rows.where("root <> main").select("key", tile("lefts").alias("x"), every("rights").alias("y"), F.lit(True).alias("left"), *facts)
-    right = rows.select("key", every("lefts").alias("x"), tile("rights").alias("y"), F.lit(False).alias("left"), *facts)
-    rows = left.unionByName(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(nearest(lo, hi, similarity), "a long, a_block long, b long, b_block long").distinct()
+    left = rows.where("root <> main").select("key", tile("lefts").alias("x"), every("rights").alias("y"), F.lit(True).alias("left"), *FACTS)
+    right = rows.select("key", every("lefts").alias("x"), tile("rights").alias("y"), F.lit(False).alias("left"), *FACTS)
+    return left.unionByName(right)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def tile_sender(words: int) -> Callable:
+    """The tile rows of a block, each with its document's set."""
+
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        names = ["key", "x", "y", "left", *FACTS]
+        r = r.select(names)
+        if not len(r):
+            return r.append_column("set", pa.nulls(0, pa.binary()))
+        sets = own_sets(t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks())), words)
+        return r.append_column("set", pa.array([sets[x].tobytes() for x in r.column("row").to_pylist()], pa.binary()))
 
+    return f
+
+
+def tile_links(similarity: float) -> Callable:
+    """Stars (a, b) of the similar pairs of each pair of tiles; a pair that is linked already is not compared."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, 3):
+            first = np.array([r[3] for r in rows])
+            row, size, prints, root = (np.array([r[c] for r in rows], np.int64) for c in (4, 6, 7, 8))
+            sets = [np.frombuffer(r[9], np.uint64) for r in rows]
+            _, label = np.unique(root, return_inverse=True)
+            heads = np.full(len(rows), len(rows))
+            np.minimum.at(heads, label, np.arange(len(rows)))
+            label = heads[label]
+            before = label.copy()
+            for i, j, far in survivors(prints.view(np.uint64), size, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+                for k in np.argsort(far, kind="stable").tolist():
+                    x, y = int(i[k]), int(j[k])
+                    if label[x] != label[y] and alike(sets[x], sets[y], similarity):
+                        star(label, np.array([x]), np.array([y]))
+            moved = np.flatnonzero(label != before)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(row[moved]), pa.array(row[label[moved]])], ["a", "b"])
+
+    return f
+
+
+def tile_rounds(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) from the tiles of all keys."""
+    found = base.written(in_order(tiles(members)).mapInArrow(nearest(similarity), "a long, a_block long, b long, b_block long").distinct(), "pairs")
+    links = verified(texts, found.where("a is not null"), words, similarity)
+    more = found.where("a is null").select(F.col("b").alias("key"))
+    if more.isEmpty():
+        return links
+    crowded = base.written(tiles(members.join(members.select("key", "salts").join(more, "key").distinct().transform(salted), at_key(), "left_semi")), "crowded")
+    sent = texts.groupBy("block").cogroup(crowded.groupBy("block")).applyInArrow(tile_sender(words), f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in crowded.schema)}, set binary")
+    return links.unionByName(in_order(sent).mapInArrow(tile_links(similarity), "a long, b long"))
 
-def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with their component as `root`, without keys that lie in one component."""
-    rows = members.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
-    rows = base.written(rows, "members")
-    mixed = rows.groupBy("key", "salts").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = mixed.select(F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
-    return base.written(rows.join(mixed, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left_semi"), "mixed")
+
+def meeting(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, salts, salt, *FACTS, shared): members of keys; of keys with the same members one. shared: the part of a set that is keys."""
+    found = base.written(keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(met, "key long, salts long, salt long, row long"), "met")
+    same = found.groupBy("key", "salts").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where("n > 1")
+    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("key", "salts")).alias("k")).select("k.key", "k.salts")
+    shared = found.groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("shared"))
+    facts = classes.select("row", "block", "size", "print", F.col("row").alias("root")).join(shared, F.col("row") == F.col("_row"))
+    facts = facts.select("_row", "block", "size", "print", "root", (F.col("shared") / F.col("size")).alias("shared"))
+    found = found.join(salted(one), at_key(), "left_semi")
+    return base.written(found.join(facts, F.col("row") == F.col("_row")).select("key", "salts", "salt", *FACTS, "shared"), "members")
+
+
+def apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """members with their component as root, without keys that lie in one component."""
+    if roots is not None:
+        members = members.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+    mixed = members.groupBy("key", "salts").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return base.written(members.join(salted(mixed), at_key(), "left_semi"), "mixed")
 
 
 def links(rows: DataFrame, classes: DataFrame, order: Callable, words: int, similarity: float) -> DataFrame:
     """(node, root) of all classes (by their row) that are linked to another. rows: (doc, row, block, ...), bucketed by block."""
     keys = rows.select("doc", "row", "block").groupBy("block").cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(key_sender(words, similarity, order), "key long, salts long, salt long, row long")
-    members = keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(met, "key long, salts long, salt long, row long")
-    members = base.written(members, "met")
-    facts = classes.select(F.col("row").alias("_row"), "block", "size", "print")
-    members = members.join(facts, F.col("row") == F.col("_row")).drop("_row").withColumn("root", F.col("row"))
-    members = base.written(members, "members")
-    busy = members.select("row").distinct()
-    texts = rows.join(busy, "row", "left_semi").select("doc", "row", "block")
+    members = meeting(keys, classes)
+    texts = rows.join(members.select("row").distinct(), "row", "left_semi").select("doc", "row", "block")
     texts = base.bucketed(texts, "block", base.parts_for(rows, 8 << 20), "meeting")
-    found, roots = None, None
-    for make in [lambda m, k=k: star_pairs(m, k, similarity) for k in range(STARS)] + [lambda m, a=a, z=z: tile_pairs(m, a, z, similarity) for a, z in zip((0, *ROUNDS), ROUNDS, strict=False)]:
-        if roots is not None:
-            members = rooted(members, roots)
-            if members.isEmpty():
-                break
-        pairs = base.written(make(members), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = base.written(verified(texts, pairs, words, similarity), "links")
-        if not new.isEmpty():
-            # earlier components are links themselves: their stars
-            found = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(found)
+    roots = None
+
+    def joined(new: DataFrame) -> DataFrame | None:
+        new = base.written(new, "links")
+        if new.isEmpty():
+            return roots
+        # earlier components are links themselves: their stars
+        return components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    for _ in range(STARS):
+        if members.isEmpty():
+            break
+        rows = base.written(members.join(salted(leaders(members), "top"), at_key()).drop("_key", "_salt"), "stars")
+        pairs = base.written(star_pairs(rows, similarity), "pairs")
+        roots = joined(verified(texts, pairs, words, similarity))
+        members = apart(rows.where(~F.exists("top", lambda x: x["row"] == F.col("row"))).drop("top"), roots)
+    if not members.isEmpty():
+        roots = joined(tile_rounds(members, texts, words, similarity))
     return roots if roots is not None else rows.sparkSession.createDataFrame([], "node long, root long")
 
 

@@ -31,8 +31,9 @@ def groups(rows, words=5, similarity=0.8):
     return sorted(min(x) for x in found.values())
 
 
-@pytest.mark.parametrize(("tile", "stars", "hot"), [(1024, 2, 4096), (2, 0, 4096), (1024, 1, 1)])
-def test_near_copies(spark, folder, docs, monkeypatch, tile, stars, hot):
+@pytest.mark.parametrize(("tile", "stars", "hot", "nearest"), [(1024, 2, 4096, 16), (2, 0, 4096, 16), (1024, 1, 1, 16), (3, 0, 4096, 1)])
+def test_near_copies(spark, folder, docs, monkeypatch, tile, stars, hot, nearest):
+    monkeypatch.setattr(near_copies, "NEAREST", nearest)
     monkeypatch.setattr(near_copies, "TILE", tile)
     monkeypatch.setattr(near_copies, "STARS", stars)
     monkeypatch.setattr(near_copies, "HOT", hot)
