@@ -14,12 +14,14 @@ OUTSIDE = (
     "torch numpy transformers sentence_transformers httpx grpc pytest tree_sitter"
 ).split()
 LANGUAGES = {
-    "python": "py", "javascript": "js jsx", "typescript": "ts tsx", "java": "java", "go": "go", "rust": "rs", "cpp": "cpp cc cxx hpp", "c": "c h",
-    "c_sharp": "cs", "ruby": "rb", "php": "php", "swift": "swift", "kotlin": "kt", "scala": "scala", "r": "r", "lua": "lua", "julia": "jl",
-    "objc": "m mm", "bash": "sh bash zsh", "yaml": "yaml yml", "json": "json", "xml": "xml", "html": "html", "css": "css", "scss": "scss",
-    "sql": "sql", "markdown": "md markdown", "toml": "toml", "ini": "ini cfg conf properties env",
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go",
+    ".rs": "rust", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".cs": "c_sharp", ".rb": "ruby",
+    ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".r": "r", ".lua": "lua", ".jl": "julia", ".m": "objc", ".mm": "objc",
+    ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".xml": "xml", ".html": "html",
+    ".css": "css", ".scss": "scss", ".sql": "sql", ".md": "markdown", ".markdown": "markdown", ".toml": "toml", ".ini": "ini", ".cfg": "ini",
+    ".conf": "ini", ".properties": "ini", ".env": "ini",
 }
-READERS = {"pdf": "pdf", "tex": "latex", "py": "code", "js": "code", "ts": "code", "java": "code", "cpp": "code", "c": "code", "rs": "code", "go": "code"}
+READERS = {".pdf": "pdf", ".tex": "latex", ".py": "code", ".js": "code", ".ts": "code", ".java": "code", ".cpp": "code", ".c": "code", ".rs": "code", ".go": "code"}
 READ_ONLY_WORDS = "INSERT UPDATE UPSERT REMOVE REPLACE TRUNCATE DROP CREATE ALTER RENAME GRANT REVOKE GRAPH".split()
 ALLOWED_PATH = r"^/_db/[^/]+/_api/(document|index|collection|import|cursor)(/|$)"
 
@@ -63,12 +65,12 @@ def extension(path: Column) -> Column:
 
 
 def language(ext: Column) -> Column:
-    pairs = [F.lit(x) for name, exts in LANGUAGES.items() for e in exts.split() for x in (f".{e}", name)]
+    pairs = [F.lit(x) for pair in LANGUAGES.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), ext)
 
 
 def reader(ext: Column) -> Column:
-    pairs = [F.lit(x) for e, name in READERS.items() for x in (f".{e}", name)]
+    pairs = [F.lit(x) for pair in READERS.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), ext), F.lit("pdf"))
 
 

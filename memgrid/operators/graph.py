@@ -59,37 +59,44 @@ def start(seeds: DataFrame, beam: int) -> DataFrame:
     return seeds.select("query_id", F.array("id").alias("path"), F.col("id").alias("tail"), F.round("score", 6).alias("score"), rank.alias("rank")).where(F.col("rank") <= beam)
 
 
-def memory_hop(beam: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, size: int, as_of: float, least: float = 0.3) -> DataFrame:
-    """One hop: 0.6 path + 0.3 diversity + 0.1 recency, cycles left out, dead ends kept, and the old beam where no score reaches `least`.
+def memory_hop(beams: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, size: int, as_of: float, least: float = 0.3) -> DataFrame:
+    """One hop of beams (query_id, beam: array of rank, path, tail, score): 0.6 path + 0.3 diversity + 0.1 recency, cycles left out, dead
+    ends kept, and the old beam where no score reaches `least`.
 
-    edges are capped (src, dst, n); vertices (id, embedding, created_at_unix); queries (query_id, q). Diversity compares a candidate with
-    all earlier ones of the hop, at most beam * fanout rows a query.
+    edges are capped (src, dst, n); vertices (id, embedding, created_at_unix); queries (query_id, q). A query's candidates, at most
+    size * fanout, are one array; diversity compares each with the ones before it.
     """
-    found = beam.join(edges.select(F.col("src").alias("tail"), "dst", "n"), "tail", "left")
-    dead = found.where("dst is null").select("query_id", "path", "tail", "score", "rank", F.lit(0).alias("n"))
-    new = found.where("dst is not null").where(~F.array_contains("path", F.col("dst")))
-    new = new.join(vertices.select(F.col("id").alias("dst"), "embedding", "created_at_unix"), "dst").join(queries, "query_id")
-    new = saved(new.withColumn("seq", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "n"))))
-    earlier = new.where("embedding is not null").select("query_id", F.col("seq").alias("before"), F.col("embedding").alias("other"))
-    pairs = new.select("query_id", "seq", "embedding").join(earlier, "query_id").where("before < seq")
-    closest = pairs.groupBy("query_id", "seq").agg(F.max(cosine(F.col("embedding"), F.col("other"))).alias("closest"))
-    new = new.join(closest, ["query_id", "seq"], "left")
-    spread = F.when(F.col("embedding").isNull() | F.col("q").isNull(), F.lit(0.5)).otherwise(diversity(cosine(F.col("embedding"), F.col("q")), F.col("closest")))
-    age = (F.lit(as_of) - F.col("created_at_unix")) / 86400
-    score = F.round(0.6 * F.col("score") + 0.3 * spread + 0.1 * recency(age), 6)
-    new = new.select("query_id", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"), score.alias("score"), "rank", "n")
-    both = new.unionByName(dead)
-    both = saved(both.withColumn("next", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "rank", "n"))).where(F.col("next") <= size))
-    good = both.groupBy("query_id").agg(F.max("score").alias("top")).where(F.col("top") >= least).select("query_id")
-    both = both.select("query_id", "path", "tail", "score", F.col("next").alias("rank"))
-    return both.join(good, "query_id", "left_semi").unionByName(beam.select("query_id", "path", "tail", "score", "rank").join(good, "query_id", "left_anti"))
+    found = beams.select("query_id", F.inline("beam")).join(edges.select(F.col("src").alias("tail"), "dst", "n"), "tail", "left")
+    found = found.join(vertices.select(F.col("id").alias("dst"), "embedding", "created_at_unix"), "dst", "left")
+    known = F.col("created_at_unix").isNotNull() | F.col("dst").isNull()  # edges to what isn't there lead nowhere
+    row = F.struct("rank", F.coalesce("n", F.lit(0)).alias("n"), "path", "tail", "score", F.when(known, F.col("dst")).alias("dst"), "embedding", "created_at_unix", (~known | F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False))).alias("closed"))
+    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all")).join(queries.select("query_id", "q"), "query_id")
+    new = F.filter("all", lambda x: ~x["closed"] & x["dst"].isNotNull())
+    dead = F.filter("all", lambda x: ~x["closed"] & x["dst"].isNull())
+
+    def scored(x: Column, i: Column) -> Column:
+        before = F.filter(F.slice(F.col("new"), F.lit(1), i), lambda y: y["embedding"].isNotNull())
+        closest = F.array_max(F.transform(before, lambda y: cosine(x["embedding"], y["embedding"])))
+        spread = F.when(x["embedding"].isNull() | F.col("q").isNull(), F.lit(0.5)).otherwise(diversity(cosine(x["embedding"], F.col("q")), closest))
+        score = F.round(0.6 * x["score"] + 0.3 * spread + 0.1 * recency((F.lit(as_of) - x["created_at_unix"]) / 86400), 6)
+        return F.struct((-score).alias("by"), x["rank"].alias("rank"), x["n"].alias("n"), F.concat(x["path"], F.array(x["dst"])).alias("path"), x["dst"].alias("tail"), score.alias("score"))
+
+    kept = F.transform("dead", lambda x: F.struct((-x["score"]).alias("by"), x["rank"].alias("rank"), x["n"].alias("n"), x["path"].alias("path"), x["tail"].alias("tail"), x["score"].alias("score")))
+    rows = rows.select("query_id", "q", "all", new.alias("new"), dead.alias("dead"))
+    rows = rows.select("query_id", "all", F.slice(F.array_sort(F.concat(F.transform("new", scored), kept)), 1, size).alias("next"))
+    beam = lambda x, rank: F.struct(rank.alias("rank"), x["path"].alias("path"), x["tail"].alias("tail"), x["score"].alias("score"))
+    old = F.array_distinct(F.transform("all", lambda x: beam(x, x["rank"])))
+    good = F.coalesce(F.array_max(F.transform("next", lambda x: x["score"])) >= least, F.lit(False))
+    return rows.select("query_id", F.when(good, F.transform("next", lambda x, i: beam(x, i + 1))).otherwise(old).alias("beam"))
 
 
 def memory_beam(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, hops: int = 2, fanout: int = 3, size: int = 8, as_of: float = 0.0) -> DataFrame:
-    beam, near = saved(start(seeds, size)), saved(capped(edges, fanout, F.col("pattern")))
+    """(query_id, rank, path, tail, score) after so many hops; all hops are one plan."""
+    near = capped(edges, fanout, F.col("pattern"))
+    beams = start(seeds, size).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "tail", "score"))).alias("beam"))
     for _ in range(hops):
-        beam = saved(memory_hop(beam, near, vertices, queries, size, as_of))
-    return beam
+        beams = memory_hop(beams, near, vertices, queries, size, as_of)
+    return beams.select("query_id", F.inline("beam"))
 
 
 def code_hop(beam: DataFrame, edges: DataFrame, vertices: DataFrame, hop: int, cycles: bool = True) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges that a group's values are cut into for ranks.
+RANGES = 1024
+
 
 def first_of(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -78,9 +81,19 @@ def candidates(observations: DataFrame, reflections: DataFrame, least: int = 3,
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, parts: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Quantiles by nearest rank, halves to even."""
-    ordered = rows.where(F.col(value).isNotNull()).select(group, value, (F.row_number().over(W.partitionBy(group).orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(W.partitionBy(group)).alias("all"))
-    picks = [F.max(F.when(F.col("at") == F.bround((F.col("all") - 1) * p), F.col(value))).alias(f"p{round(p * 100)}") for p in parts]
+    """Quantiles by nearest rank, halves to even. Equal values are counted first, so a group's work is in its distinct values, cut into
+    ranges of values: counts of ranges say in which of them a rank lies, and only that one is sorted."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
+    ends = counts.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("times").alias("all"))
+    part = F.when(F.col("high") > F.col("low"), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * RANGES)).otherwise(0)
+    placed = counts.join(ends, group).withColumn("part", F.least(F.lit(RANGES - 1), part))
+    before = placed.groupBy(group, "part").agg(F.sum("times").alias("size"))
+    along = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = before.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).select(group, "part", "before")
+    within = W.partitionBy(group, "part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ordered = placed.join(before, [group, "part"]).withColumn("upto", F.col("before") + F.sum("times").over(within))
+    rank = lambda p: F.bround((F.col("all") - 1) * p)
+    picks = [F.max(F.when((rank(p) < F.col("upto")) & (rank(p) >= F.col("upto") - F.col("times")), F.col(value))).alias(f"p{round(p * 100)}") for p in parts]
     return ordered.groupBy(group).agg(*picks)
 
 

@@ -128,9 +128,12 @@ def largest_file(t: Tables) -> DataFrame:
 @query("select w term, count(distinct doc_id) docs from (select doc_id, unnest(list_distinct(regexp_split_to_array(lower(\"text\"), '[^\\p{L}\\p{N}_]+'))) w from documents) where length(w) > 2 group by w")
 def inverted_index(t: Tables) -> DataFrame:
     """How many documents each lower-case term has."""
-    terms = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
-    rows = t.read("documents").select("doc_id", F.explode(terms).alias("term")).where(F.length("term") > 2)
-    return rows.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"))
+    terms = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
+    docs = t.read("documents")
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    once = docs.join(twice, "doc_id", "left_anti").select(F.explode(terms).alias("term"))
+    again = docs.join(twice, "doc_id", "left_semi").select("doc_id", F.explode(terms).alias("term")).distinct().select("term")
+    return once.unionByName(again).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query()
@@ -142,8 +145,7 @@ def rolling_context_stream(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/conversations.parquet"
     rows = t.spark.readStream.schema(t.read("conversations").schema).parquet(path if _is_folder(t, path) else f"{t.sf_dir}/conversations*.parquet")
     tokens = F.when(F.col("turn") % 9 != 8, F.floor(F.length("text") / 4).cast("long"))
-    out = streams.rolling(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), tokens.alias("tokens")))
-    return streams.drained(out, "turns", "update")
+    return streams.rolled(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), tokens.alias("tokens")))
 
 
 @query("select path, coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), '.') directory, regexp_extract(path, '[^/]*$') file_name from repo_docs", "repo_docs")

@@ -120,13 +120,9 @@ def chunk_windows(t: Tables) -> DataFrame:
     select doc_id, round(avg(-ln(c.n / total)), 6) surprise, round(var_pop(-ln(c.n / total)), 4) variance, case when avg(-ln(c.n / total)) < 0.5 then 'well_structured' when avg(-ln(c.n / total)) > 1.5 then 'mixed_concerns' else 'moderate' end kind from w join c using (word), n group by doc_id"""
 )
 def unigram_surprise(t: Tables) -> DataFrame:
-    words = t.read("documents").select("doc_id", F.explode(texts.window_words(F.lower("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("times"))
-    counts = words.groupBy("word").agg(F.sum("times").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = words.join(counts, "word").crossJoin(F.broadcast(total)).withColumn("s", -F.log(F.col("n") / F.col("total")))
-    mean = F.sum(F.col("s") * F.col("times")) / F.sum("times")
-    square = F.sum(F.col("s") * F.col("s") * F.col("times")) / F.sum("times")
-    rows = rows.groupBy("doc_id").agg(mean.alias("mean"), square.alias("square"))
+    from ..operators.surprise import surprising
+
+    rows = surprising(t.read("documents").select("doc_id", texts.window_words(F.lower("text")).alias("words")), "doc_id")
     kind = F.when(F.col("mean") < 0.5, "well_structured").when(F.col("mean") > 1.5, "mixed_concerns").otherwise("moderate")
     return rows.select("doc_id", F.round("mean", 6).alias("surprise"), F.round(F.col("square") - F.col("mean") * F.col("mean"), 4).alias("variance"), kind.alias("kind"))
 

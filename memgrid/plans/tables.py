@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.knn import nearest
-from ..sources.stage import saved
+from ..sources.stage import stored
 
 #: The unit of created_at_unix starts here.
 EPOCH = 1704067200
@@ -105,7 +105,8 @@ class Tables:
 
     @cached_property
     def knn_edges(self) -> DataFrame:
-        return saved(nearest(self.embeddings, "vec_id", "embedding", 3))
+        """The stored edge table: made once a session."""
+        return stored(lambda: nearest(self.embeddings, "vec_id", "embedding", 3), self.spark, "knn-edges", self.sf_dir)
 
     @cached_property
     def relationships(self) -> DataFrame:

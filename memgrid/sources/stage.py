@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in tests, an own folder is set."""
+    """spark.checkpoint.dir. Where it is unset, a session on one machine gets its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="memgrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -23,3 +26,16 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/memgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(df: Callable[[], DataFrame], spark: SparkSession, name: str, source: str) -> DataFrame:
+    """A table that is derived from `source` once a session and then kept in the shared folder, as an index is; df makes it."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _STORED:
+        made = df()
+        _STORED[key] = f"{shared_folder(spark)}/memgrid-{name}-{uuid.uuid4().hex}"
+        made.write.parquet(_STORED[key])
+    return spark.read.parquet(_STORED[key])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.stage import saved, shared_folder
+from ..sources.stage import shared_folder
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -19,40 +21,70 @@ def latest(changes: DataFrame) -> DataFrame:
     return last.select("key", "x.op", "x.payload", "seq_no").where(~F.col("op").startswith("delete"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", **options: str) -> DataFrame:
-    """All that a stream of what is there now puts out, as a table in the shared folder."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/memgrid-stream-{name}-{pd.Timestamp.now().value}"
-    written: list[int] = []
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/memgrid-stream-{name}-{uuid.uuid4().hex}"
+
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        written.append(number)
+def run(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
+    """Puts what a stream has now into the folder `at`, each micro-batch in a part of its own, and gives all parts with the column batch.
 
-    run = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).options(**options).start()
-    run.awaitTermination()
+    A part is overwritten if its batch is run again, and the folder keeps the stream's place: a restart with the same folder goes on there.
+    """
+    spark = stream.sparkSession
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    sink_dir = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
+    if not sink_dir.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(sink_dir):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{at}/out").parquet(f"{at}/out")
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append", key: str | None = None, at: str | None = None) -> DataFrame:
+    """All that a stream of what is there now puts out. complete: the last result; update: of each key the rows of its last batch."""
+    rows = run(stream, at or folder(stream.sparkSession, name), mode)
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{base}/out/batch={max(written)}")
-    return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in written]) if written else spark.createDataFrame([], stream.schema)
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").drop("batch")
+    if mode == "update":
+        last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+        return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+    return rows.drop("batch")
 
 
-def applied(stream: DataFrame, name: str = "changes") -> DataFrame:
-    """The table after a change stream: each batch's last changes are merged with the table by seq_no, so replays change nothing."""
+def applied(stream: DataFrame, name: str = "changes", at: str | None = None) -> DataFrame:
+    """The table after a change stream (key, seq_no, op, payload). Each batch leaves its last change of each key; the table is the last
+    of these by seq_no, so replays change nothing, and a restart with the same folder goes on."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/memgrid-{name}-{pd.Timestamp.now().value}"
-    state: dict[str, DataFrame] = {}
+    at = at or folder(spark, name)
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.groupBy("key").agg(F.max_by(F.struct("op", "payload"), "seq_no").alias("x"), F.max("seq_no").alias("seq_no"))
-        both = rows.unionByName(state["now"]) if "now" in state else rows
-        state["now"] = saved(both.groupBy("key").agg(F.max_by("x", "seq_no").alias("x"), F.max("seq_no").alias("seq_no")))
+        rows.select("key", "seq_no", "x.op", "x.payload").write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
+    schema = StructType([stream.schema[c] for c in ("key", "seq_no", "op", "payload")])
+    if not out.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(out):
+        return spark.createDataFrame([], schema).select("key", "op", "payload", "seq_no")
+    return latest(spark.read.schema(schema).parquet(f"{at}/out"))
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return state["now"].select("key", "x.op", "x.payload", "seq_no").where(~F.col("op").startswith("delete"))
+
+def settled(changes: DataFrame) -> DataFrame:
+    """(event_id, state) of changes (event_id, depends_on, retry_count, max_retries, failed): failed ones wait for a retry while they have
+    some left, else they are dead; a change waits for those that it depends on, and is blocked by a dead one."""
+    own = F.when(F.col("failed"), F.when(F.col("retry_count") < F.col("max_retries"), "retry").otherwise("dead")).otherwise("done")
+    rows = changes.withColumn("own", own)
+    needs = rows.select("event_id", F.explode("depends_on").alias("need"))
+    # what isn't there counts as not done yet
+    states = needs.join(rows.select(F.col("event_id").alias("need"), F.col("own").alias("state")), "need", "left")
+    worst = states.groupBy("event_id").agg(F.max(F.when(F.col("state") == "dead", 2).when(F.col("state") == "done", 0).otherwise(1)).alias("worst"))
+    state = F.when(F.col("own") != "done", F.col("own")).when(F.col("worst") == 2, "blocked").when(F.col("worst") == 1, "waiting").otherwise("done")
+    return rows.join(worst, "event_id", "left").select("event_id", state.alias("state"))
 
 
 class Turns(StatefulProcessor):
-    """The latest turns of a session within a token budget."""
+    """The latest turns of a session within a token budget; a session of which none fits puts out a null turn."""
 
     turns, budget = 6, 200
 
@@ -69,17 +101,24 @@ class Turns(StatefulProcessor):
         self.kept.clear()
         if have:
             self.kept.put([(a, b) for a, b in have])
-        yield pd.DataFrame({"session_id": [key[0]] * len(have), "turn_index": [a for a, _ in have]}).astype({"session_id": "int64", "turn_index": "int64"})
+        turn = pd.array([a for a, _ in have] or [None], dtype="Int64")
+        yield pd.DataFrame({"session_id": pd.Series([key[0]] * len(turn), dtype="int64"), "turn_index": turn})
 
     def close(self) -> None:
         pass
 
 
 def rolling(messages: DataFrame) -> DataFrame:
-    """(session_id, turn_index) of what stays of each session, over a stream (session_id, turn_index, tokens)."""
+    """(session_id, turn_index) of what stays of each session, over a stream (session_id, turn_index, tokens); a batch puts out all of the
+    sessions that it changes."""
     return messages.groupBy("session_id").transformWithStateInPandas(Turns(), "session_id long, turn_index long", "Update", "None")
 
 
+def rolled(messages: DataFrame, at: str | None = None) -> DataFrame:
+    """What rolling() leaves after all batches."""
+    return drained(rolling(messages), "turns", "update", "session_id", at).where("turn_index is not null")
+
+
 def activity(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n): bursts of a user's events (user_id, at), in batch or as a stream with a watermark."""
     rows = events.withWatermark("at", late) if events.isStreaming else events
