@@ -1,10 +1,13 @@
 """Near copies by SimHash and pivots at a similarity that short fingerprint radii don't reach: Jaccard 0.8 of five-word shingles.
 
-Bit blocks cannot index a radius of some 20 of 64 bits, so documents meet by shingles: in one global order of all shingles, two sets
+Bit blocks cannot index a radius of some 30 % of the bits, so documents meet by shingles: in one global order of all shingles, two sets
 with that similarity share one of the first n - ceil(similarity * n) + 1 of each, whatever the order. None is missed. The order puts
 shingles that many documents hold last (counts come from a sketch of fixed size over all documents), so common passages gather few.
 
-Documents with equal shingle sets are one class from the start, and keys with the same members are one key. Where classes meet:
+A pair is looked at under its first common shingle: those before it are not shared, so where it stands bounds what the sets can have
+in common, and pairs that cannot be similar by that are left out under this key (a similar pair never is under its first).
+
+Documents with equal shingle sets are one class from the start, and of keys with the same members the first in the order is kept. Where classes meet:
 1. Stars. Each key's members are compared with LEADERS of them, those that share most of their shingles; a large group of near copies
    becomes one component by some comparisons for each member. Leaders have then met all of their key and leave it, as do keys whose
    members are one component. STARS times.
@@ -14,8 +17,9 @@ Documents with equal shingle sets are one class from the start, and keys with th
    no pairs are written.
 Verification compares the shingle sets. A leader's or neighbour's set is sent once to each block of documents that needs it.
 
-Fingerprints of the distinct shingles: two sets at 0.8 differ in each bit with a probability of at most 0.152, so RADIUS is 5.7 standard
-deviations over the mean (about one in 10^8 such pairs lies beyond). Sets are sets of 64-bit shingle hashes.
+Fingerprints have 256 bits, of the distinct shingles: two sets at 0.8 differ in each bit with a probability of at most 0.152, so RADIUS is
+six standard deviations over the mean (about one in 10^9 such pairs lies beyond), while sets that share little differ in 128 of them or
+so. Sets are sets of 64-bit shingle hashes.
 
 Defined results: texts without words are one class; a null doc_id comes after all others; among equal ids the first row stays;
 repeated rows are copies of each other; an empty table gives an empty one; all columns are kept as they are, whatever their names.
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from . import base
 from .components import components
 from .decontaminate import fingerprint, lowered
-from .simhash import PIVOTS, pivot_table, star
+from .simhash import PIVOTS, star
 
-RADIUS, TILE = 26, 1024
+RADIUS, TILE = 74, 1024
+#: Words of a fingerprint, 64 bits each.
+PRINTS = ("p0", "p1", "p2", "p3")
 #: Members of one key that meet in one task at most; more are dealt by a salt.
 HOT = 4096
 STARS, LEADERS = 2, 3
@@ -59,7 +65,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, row, block, digest of the shingle set, size of it, print); doc holds the columns of docs."""
+    """(doc, row, block, digest of the shingle set, size of it, PRINTS); doc holds the columns of docs."""
     per = max(1, min(64, base.split_bytes(docs) >> 22))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +74,13 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             for own in shingle_sets(base.byte_list(base.field(b, "doc.text")), words):
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()))
                 size.append(len(own))
-                prints.append(fingerprint(own) if len(own) else 0)
-            more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "digest", "size", "print"])
+                prints.append([fingerprint(base.mix64(own, 20 + k)) if len(own) else 0 for k in range(len(PRINTS))])
+            more = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), *map(pa.array, np.array(prints, np.uint64).view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "digest", "size", *PRINTS])
 
     row = F.monotonically_increasing_id()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row.alias("row"), (F.spark_partition_id().cast("long") * per + F.pmod(F.xxhash64(row), F.lit(per))).alias("block"))
-    return packed.mapInArrow(f, f"doc {packed.schema['doc'].dataType.simpleString()}, row long, block long, digest binary, size long, print long")
+    return packed.mapInArrow(f, f"doc {packed.schema['doc'].dataType.simpleString()}, row long, block long, digest binary, size long, {' long, '.join(PRINTS)} long")
 
 
 def counters(docs: DataFrame, words: int) -> np.ndarray:
@@ -120,10 +126,10 @@ class Order:
 
 
 def key_sender(words: int, similarity: float, order: Callable) -> Callable:
-    """(key, salts, salt, row) of the block's rows that stand for a class."""
+    """(key, salts, salt, row, pos) of the block's rows that stand for a class; pos: how many of the set's shingles come before the key."""
 
     def f(t: pa.Table, r: pa.Table) -> pa.Table:
-        schema = pa.schema([("key", pa.int64()), ("salts", pa.int64()), ("salt", pa.int64()), ("row", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("salts", pa.int64()), ("salt", pa.int64()), ("row", pa.int64()), ("pos", pa.int64())])
         t = t.filter(pa.compute.is_in(t.column("row"), value_set=r.column("row").combine_chunks())) if len(r) else t.slice(0, 0)
         if not len(t):
             return schema.empty_table()
@@ -137,17 +143,18 @@ def key_sender(words: int, similarity: float, order: Callable) -> Callable:
         rows = np.repeat(t.column("row").to_numpy(), each)
         salts = np.concatenate(salts)
         salt = (base.mix64(rows.view(np.uint64), 5) % salts.view(np.uint64)).astype(np.int64)
-        return pa.table([np.concatenate(keys).view(np.int64), salts, salt, rows], schema=schema)
+        pos = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
+        return pa.table([np.concatenate(keys).view(np.int64), salts, salt, rows, pos], schema=schema)
 
     return f
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, salts, salt, row), in order of key and salt, those that have company, or may have it under another salt."""
+    """Of rows (key, salts, salt, row, pos), in order of key and salt, those that have company, or may have it under another salt."""
     for c in base.whole_groups(batches, (0, 2)):
         same = (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1])
         keep = np.r_[False, same] | np.r_[same, False] | (c[1] > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], ["key", "salts", "salt", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], ["key", "salts", "salt", "row", "pos"])
 
 
 def set_sender(words: int) -> Callable:
@@ -193,7 +200,7 @@ def checker(words: int, similarity: float) -> Callable:
     return f
 
 
-FACTS = ("row", "block", "size", "print", "root")
+FACTS = ("row", "block", "size", "root", "pos", *PRINTS)
 
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -210,8 +217,12 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
 
 def paired(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs of rows (a_*, b_*) of two components whose sizes and fingerprints allow them to be similar, each once."""
-    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-    rows = rows.where((F.col("a") != F.col("b")) & (F.col("a_root") != F.col("b_root")) & sizes & (F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print"))) <= RADIUS))
+    left = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+    sizes = left >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    far = F.lit(0)
+    for p in PRINTS:
+        far = far + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
+    rows = rows.where((F.col("a") != F.col("b")) & (F.col("a_root") != F.col("b_root")) & sizes & (far <= RADIUS))
     return rows.select("a", "a_block", "b", "b_block").distinct()
 
 
@@ -253,43 +264,55 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tup
         yield held
 
 
-def survivors(fps: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple]:
-    """Pairs (i, j, distance) of left and right, some of left at a time, that sizes, pivots and fingerprints don't rule out."""
-    table = pivot_table(fps)
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, their words along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def survivors(fps: np.ndarray, size: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple]:
+    """Pairs (i, j, distance) of left and right, some of left at a time, that sizes, places, pivots and fingerprints don't rule out."""
+    pivots = base.mix64(np.arange(PIVOTS * fps.shape[1]), 11).reshape(PIVOTS, -1)
+    table = distances(fps[:, None], pivots[None])
     right = right[np.argsort(table[right, 0], kind="stable")]
-    along = table[right, 0].astype(np.int64)
+    along = table[right, 0]
     for at in range(0, len(left), 128):
         some = left[at : at + 128]
-        d = table[some, 0].astype(np.int64)
+        d = table[some, 0]
         a, z = np.searchsorted(along, d - RADIUS), np.searchsorted(along, d + RADIUS, "right")
         each = z - a
         i = np.repeat(some, each)
         j = right[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - a, each)]
-        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        keep = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
         i, j = i[keep], j[keep]
         for k in range(1, PIVOTS):
             if len(i) < 32:
                 break
             near = np.abs(table[i, k] - table[j, k]) <= RADIUS
             i, j = i[near], j[near]
-        far = np.bitwise_count(fps[i] ^ fps[j])
+        far = distances(fps[i], fps[j])
         near = far <= RADIUS
         yield i[near], j[near], far[near]
 
 
+def columns_of(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """left, row, block, size, root, pos and fingerprints of rows (key, x, y, left, *FACTS, ...)."""
+    first = np.array([r[3] for r in rows])
+    numbers = np.array([r[4:13] for r in rows], np.int64)
+    return first, *numbers[:, :5].T, numbers[:, 5:].view(np.uint64)
+
+
 def nearest(similarity: float) -> Callable:
-    """Of rows (key, x, y, left, row, block, size, print, root), in order of the tile pair: each left row with the NEAREST of its survivors.
+    """Of rows (key, x, y, left, *FACTS), in order of the tile pair: each left row with the NEAREST of its survivors.
 
-    A row (null, null, key, null) says that the key has more.
+    Rows (key, x, y, row) say who takes part in the pairs beyond.
     """
-    names = ["a", "a_block", "b", "b_block"]
+    names = ["a", "a_block", "b", "b_block", "key", "x", "y", "row"]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, 3):
-            first = np.array([r[3] for r in rows])
-            row, block, size, prints, root = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 6, 7, 8))
-            found, more = [], False
-            for i, j, far in survivors(prints.view(np.uint64), size, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+            first, row, block, size, root, pos, prints = columns_of(rows)
+            found, beyond = [], np.zeros(len(rows), bool)
+            for i, j, far in survivors(prints, size, pos, np.flatnonzero(first), np.flatnonzero(~first), similarity):
                 other = root[i] != root[j]
                 i, j, far = i[other], j[other], far[other]
                 order = np.lexsort((row[j], far, i))
@@ -297,13 +320,15 @@ def nearest(similarity: float) -> Callable:
                 heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
                 place = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
                 keep = place < NEAREST
-                more |= not keep.all()
+                beyond[i[~keep]] = beyond[j[~keep]] = True
                 found.append((i[keep], j[keep]))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            columns = [pa.array(x, pa.int64()) for x in (row[i], block[i], row[j], block[j])]
-            if more:
-                columns = [pa.concat_arrays([c, pa.array([x], pa.int64())]) for c, x in zip(columns, (None, None, rows[0][0], None), strict=True)]
-            if len(columns[0]):
+            more = np.array([r[0:3] for r, ok in zip(rows, beyond, strict=True) if ok], np.int64).reshape(-1, 3)
+            # a row may stand on both sides of its tile
+            pairs = [pa.array(x, pa.int64()) for x in (row[i], block[i], row[j], block[j])]
+            rest = [pa.array(x, pa.int64()) for x in (*more.T, row[beyond])]
+            if len(i) or len(more):
+                columns = [pa.concat_arrays([x, pa.nulls(len(more), pa.int64())]) for x in pairs] + [pa.concat_arrays([pa.nulls(len(i), pa.int64()), x]) for x in rest]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return f
@@ -345,15 +370,14 @@ def tile_links(similarity: float) -> Callable:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, 3):
-            first = np.array([r[3] for r in rows])
-            row, size, prints, root = (np.array([r[c] for r in rows], np.int64) for c in (4, 6, 7, 8))
-            sets = [np.frombuffer(r[9], np.uint64) for r in rows]
+            first, row, _, size, root, pos, prints = columns_of(rows)
+            sets = [np.frombuffer(r[13], np.uint64) for r in rows]
             _, label = np.unique(root, return_inverse=True)
             heads = np.full(len(rows), len(rows))
             np.minimum.at(heads, label, np.arange(len(rows)))
             label = heads[label]
             before = label.copy()
-            for i, j, far in survivors(prints.view(np.uint64), size, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+            for i, j, far in survivors(prints, size, pos, np.flatnonzero(first), np.flatnonzero(~first), similarity):
                 for k in np.argsort(far, kind="stable").tolist():
                     x, y = int(i[k]), int(j[k])
                     if label[x] != label[y] and alike(sets[x], sets[y], similarity):
@@ -367,24 +391,25 @@ def tile_links(similarity: float) -> Callable:
 
 def tile_rounds(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) from the tiles of all keys."""
-    found = base.written(in_order(tiles(members)).mapInArrow(nearest(similarity), "a long, a_block long, b long, b_block long").distinct(), "pairs")
-    links = verified(texts, found.where("a is not null"), words, similarity)
-    more = found.where("a is null").select(F.col("b").alias("key"))
+    schema = ", ".join(f"{c} long" for c in ("a", "a_block", "b", "b_block", "key", "x", "y", "row"))
+    found = base.written(in_order(tiles(members)).mapInArrow(nearest(similarity), schema).distinct(), "pairs")
+    links = verified(texts, found.where("a is not null").select("a", "a_block", "b", "b_block"), words, similarity)
+    more = found.where("a is null").select("key", "x", "y", "row")
     if more.isEmpty():
         return links
-    crowded = base.written(tiles(members.join(members.select("key", "salts").join(more, "key").distinct().transform(salted), at_key(), "left_semi")), "crowded")
+    crowded = base.written(tiles(members).join(more, ["key", "x", "y", "row"], "left_semi").select("key", "x", "y", "left", *FACTS), "crowded")
     sent = texts.groupBy("block").cogroup(crowded.groupBy("block")).applyInArrow(tile_sender(words), f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in crowded.schema)}, set binary")
     return links.unionByName(in_order(sent).mapInArrow(tile_links(similarity), "a long, b long"))
 
 
 def meeting(keys: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, salts, salt, *FACTS, shared): members of keys; of keys with the same members one. shared: the part of a set that is keys."""
-    found = base.written(keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(met, "key long, salts long, salt long, row long"), "met")
-    same = found.groupBy("key", "salts").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where("n > 1")
-    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("key", "salts")).alias("k")).select("k.key", "k.salts")
+    found = base.written(keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(met, "key long, salts long, salt long, row long, pos long"), "met")
+    same = found.groupBy("key", "salts").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"), F.sum("pos").alias("pos")).where("n > 1")
+    one = same.groupBy("n", "x", "y").agg(F.min(F.struct("pos", "key", "salts")).alias("k")).select("k.key", "k.salts")
     shared = found.groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("shared"))
-    facts = classes.select("row", "block", "size", "print", F.col("row").alias("root")).join(shared, F.col("row") == F.col("_row"))
-    facts = facts.select("_row", "block", "size", "print", "root", (F.col("shared") / F.col("size")).alias("shared"))
+    facts = classes.select("row", "block", "size", *PRINTS, F.col("row").alias("root")).join(shared, F.col("row") == F.col("_row"))
+    facts = facts.select("_row", "block", "size", *PRINTS, "root", (F.col("shared") / F.col("size")).alias("shared"))
     found = found.join(salted(one), at_key(), "left_semi")
     return base.written(found.join(facts, F.col("row") == F.col("_row")).select("key", "salts", "salt", *FACTS, "shared"), "members")
 
@@ -399,7 +424,7 @@ def apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def links(rows: DataFrame, classes: DataFrame, order: Callable, words: int, similarity: float) -> DataFrame:
     """(node, root) of all classes (by their row) that are linked to another. rows: (doc, row, block, ...), bucketed by block."""
-    keys = rows.select("doc", "row", "block").groupBy("block").cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(key_sender(words, similarity, order), "key long, salts long, salt long, row long")
+    keys = rows.select("doc", "row", "block").groupBy("block").cogroup(classes.select("block", "row").groupBy("block")).applyInArrow(key_sender(words, similarity, order), "key long, salts long, salt long, row long, pos long")
     members = meeting(keys, classes)
     texts = rows.join(members.select("row").distinct(), "row", "left_semi").select("doc", "row", "block")
     texts = base.bucketed(texts, "block", base.parts_for(rows, 8 << 20), "meeting")
@@ -429,8 +454,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rows = base.bucketed(sketched(docs, words), "block", base.parts_for(docs, 8 << 20), "sketches")
     order = base.shared(docs.sparkSession, Order(counters(docs, words)))
     place = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("row"), F.col("block"))
-    classes = rows.groupBy("digest").agg(F.min(place).alias("first"), F.min("print").alias("print"), F.min("size").alias("size"))
-    classes = base.written(classes.select("first.id", "first.row", "first.block", "print", "size"), "classes")
+    classes = rows.groupBy("digest").agg(F.min(place).alias("first"), F.min("size").alias("size"), *(F.min(p).alias(p) for p in PRINTS))
+    classes = base.written(classes.select("first.id", "first.row", "first.block", "size", *PRINTS), "classes")
     roots = links(rows, classes, order, words, similarity)
     named = classes.join(roots, F.col("row") == F.col("node"), "left").select("id", "row", "block", F.coalesce("root", "row").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("id", "row", "block")).alias("first")).select("first.row", "first.block")
