@@ -177,3 +177,27 @@ def packed(docs: DataFrame, top: int = 5, preview: int = 600) -> DataFrame:
     return rows.groupBy("query_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"])).alias("context"))
 
 
+
+
+def counters(beam: DataFrame) -> DataFrame:
+    """Vertices and edges of a beam's paths, over all of them."""
+    return beam.agg(F.coalesce(F.sum(F.size("path")), F.lit(0)).cast("long").alias("nodes"), F.coalesce(F.sum(F.size("path") - 1), F.lit(0)).cast("long").alias("edges"))
+
+
+def visits(beams: list[DataFrame], near: DataFrame) -> DataFrame:
+    """(hop, nodes_visited, edges_traversed): what each hop from these beams (tail) looks at through capped edges; seeds count as visited."""
+    out = None
+    for hop, beam in enumerate(beams):
+        edges = beam.join(near.select(F.col("src").alias("tail"), "dst"), "tail").agg(F.count(F.lit(1)).alias("edges_traversed"))
+        if hop:
+            rows = edges.select(F.lit(hop).alias("hop"), F.col("edges_traversed").alias("nodes_visited"), "edges_traversed")
+        else:
+            seeds = beam.agg(F.count(F.lit(1)).alias("seeds"))  # one row each
+            rows = edges.crossJoin(seeds).select(F.lit(hop).alias("hop"), (F.col("edges_traversed") + F.col("seeds")).alias("nodes_visited"), "edges_traversed")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def halved(edges: DataFrame, fanout: int) -> DataFrame:
+    """The neighbours that are looked at when time is short: half of the fan-out, one at least."""
+    return capped(edges, max(1, fanout // 2))

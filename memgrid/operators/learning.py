@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import normalized
+
 
 def neighbour_mean(edges: DataFrame, features: DataFrame) -> DataFrame:
     """(id, pos, value): for each target of edges (src, dst) the mean of its sources' features (id, v), by position; partial sums go before the shuffle."""
@@ -42,3 +44,41 @@ def contrastive(pairs: DataFrame, margin: float = 0.5) -> DataFrame:
     right = ((F.col("sim") > 0.5).cast("int") == F.col("label")).cast("int")
     mean = lambda y: F.round(F.coalesce(F.avg(F.when(F.col("label") == y, F.col("sim"))), F.lit(0.0)), 6)
     return pairs.agg(F.round(F.avg(loss), 6).alias("loss"), F.round(F.avg(right), 6).alias("accuracy"), mean(1).alias("positive"), mean(0).alias("negative"))
+
+
+def scaled(v: str, by: float) -> Column:
+    return F.transform(v, lambda x: x * by)
+
+
+def embedded(features: DataFrame, edges: DataFrame, layers: dict[str, list[tuple]], attention: dict[str, float], project: np.ndarray) -> DataFrame:
+    """(id, v): graph embeddings of features (id, v) over edges (src, dst, kind), with norm one.
+
+    layers: of each kind of edge its layers (root, side, bias), ReLU between them; kinds that have edges are combined by the softmax of
+    their attention. Without any edges the features are projected.
+    """
+    found = {r["kind"] for r in edges.select("kind").distinct().collect()} & layers.keys()
+    kinds = [k for k in layers if k in found]
+    if not kinds:
+        zero = features.sparkSession.createDataFrame([], f"id {features.schema['id'].dataType.simpleString()}, v array<double>")
+        combined = layer(features, zero, project, np.zeros_like(project), np.zeros(len(project)), relu=False)
+    else:
+        power = np.exp(np.array([attention[k] for k in kinds]) - max(attention[k] for k in kinds))
+        combined = None
+        for kind, share in zip(kinds, power / power.sum(), strict=True):
+            own, h = edges.where(F.col("kind") == kind), features
+            for n, (root, side, bias) in enumerate(layers[kind]):
+                h = layer(h, gathered(neighbour_mean(own, h)), root, side, bias, relu=n < len(layers[kind]) - 1)
+            h = h.select("id", scaled("v", float(share)).alias("v"))
+            combined = h if combined is None else combined.join(h.withColumnRenamed("v", "w"), "id").select("id", F.zip_with("v", "w", lambda x, y: x + y).alias("v"))
+    return combined.select("id", normalized(F.col("v")).alias("v"))
+
+
+def embedded_new(new: DataFrame, edges: DataFrame, features: DataFrame, **model: object) -> DataFrame:
+    """(id, v) of new vertices (id, v) alone: only they and what lies within as many edges of them as there are layers are looked at."""
+    depth = max(len(x) for x in model["layers"].values())
+    near = new.select("id")
+    for _ in range(depth):
+        near = near.unionByName(edges.join(near.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))).distinct()
+    part = edges.join(near.select(F.col("id").alias("dst")), "dst", "left_semi")
+    own = features.join(near, "id", "left_semi").join(new.select("id"), "id", "left_anti").unionByName(new.select("id", "v"))
+    return embedded(own, part, **model).join(new.select("id"), "id", "left_semi")
