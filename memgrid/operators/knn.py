@@ -1,39 +1,36 @@
-"""Exact nearest neighbours by cosine, in blocks of vectors."""
+"""Nearest neighbours by cosine: exact, in blocks of vectors, and by an inverted file of cells with exact similarities."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Vectors that cell centres are fit on at most.
+SAMPLE = 20_000
+#: Vectors of the sample that are asked for to find how many cells to look into, and the recall that is wanted of them.
+ASKED, RECALL = 500, 0.95
 
 
-def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(src, dst, w): each vector's k closest others by cosine to 6 digits, ties to the smaller key.
-
-    Vectors are cut into blocks by a hash of the key. Each pair of blocks is one matrix product in a task of its own, from which only k
-    rows a vector leave; nothing that grows with the table is broadcast or held whole. Null and empty vectors have no neighbours.
-    """
-    rows = vectors.where(F.size(column) > 0).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"))
-    blocks = max(1, math.ceil(rows.count() / block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = rows.select(F.col("own").alias("i"), F.col("other").alias("j"), "key", "v", F.lit(True).alias("asks"))
-    right = rows.select(F.col("other").alias("i"), F.col("own").alias("j"), "key", "v", F.lit(False).alias("asks"))
+def product(k: int) -> Callable:
+    """Of a group of rows (key, v, asks) the k closest of the rows that don't ask, for each that does: (src, dst, w)."""
 
-    def product(t: pa.Table) -> pa.Table:
+    def f(t: pa.Table) -> pa.Table:
         asks, keys = t["asks"].to_numpy(), t["key"].to_numpy()
-        v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
-        size = np.sqrt((v * v).sum(axis=1))
-        v = v / np.where(size > 0, size, np.inf)[:, None]
+        size = len(t["v"][0])
+        v = np.concatenate([np.asarray(x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py())) for x in t["v"].chunks if len(x)]).reshape(-1, size)
+        length = np.sqrt((v * v).sum(axis=1))
+        v = v / np.where(length > 0, length, np.inf)[:, None]
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         b = b[np.argsort(keys[b], kind="stable")]
         out = []
-        for at in range(0, len(a), 512):
+        for at in range(0, len(a) if len(b) else 0, 512):
             some = a[at : at + 512]
             w = np.round(v[some] @ v[b].T, 6) + 0.0
             w[keys[some][:, None] == keys[b][None, :]] = -2
@@ -41,9 +38,87 @@ def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = BLOC
             near = np.take_along_axis(w, best, axis=1)
             fine = near > -2
             out.append((np.repeat(keys[some], fine.sum(axis=1)), keys[b][best[fine]], near[fine]))
-        src, dst, w = (np.concatenate(x) if out else np.zeros(0) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"src": pa.array(src), "dst": pa.array(dst), "w": pa.array(w)})
+        src, dst, w = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (keys[:0], keys[:0], np.zeros(0))
+        return pa.table({"src": pa.array(src), "dst": pa.array(dst), "w": pa.array(w, pa.float64())})
 
-    kind = rows.schema["key"].dataType.simpleString()
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(product, f"src {kind}, dst {kind}, w double")
+    return f
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("n") <= k).drop("n")
+
+
+def nearest(vectors: DataFrame, key: str, column: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(src, dst, w): each vector's k closest others by cosine to 6 digits, ties to the smaller key.
+
+    Vectors are cut into blocks by a hash of the key. Each pair of blocks is one matrix product in a task of its own, from which only k
+    rows a vector leave; nothing that grows with the table is broadcast or held whole. Null and empty vectors have no neighbours; all
+    others have one length. The work is quadratic: for large tables there is near_cells.
+    """
+    rows = vectors.where(F.size(column) > 0).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"))
+    blocks = max(1, math.ceil(rows.count() / block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = rows.select(F.col("own").alias("i"), F.col("other").alias("j"), "key", "v", F.lit(True).alias("asks"))
+    right = rows.select(F.col("other").alias("i"), F.col("own").alias("j"), "key", "v", F.lit(False).alias("asks"))
+
+    kind = rows.schema["key"].dataType.simpleString()
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(product(k), f"src {kind}, dst {kind}, w double")
+    return best_of(found, k)
+
+
+def centres(vectors: DataFrame, key: str, column: str, cells: int, k: int, sample: int = SAMPLE, rounds: int = 10, recall: float = RECALL) -> tuple[np.ndarray, int]:
+    """Cell centres of norm one, by spherical k-means over `sample` vectors at most, chosen by a hash of the key (the driver holds no more),
+    and how many cells a vector must look into so that of the sample's own neighbours a share of `recall` is found."""
+    rows = vectors.where(F.size(column) > 0).orderBy(F.xxhash64(key, F.lit("cells")), key).select(column).limit(sample)
+    v = np.array([r[0] for r in rows.collect()], np.float64)
+    if not len(v):
+        return np.zeros((0, 0)), 1
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    out = v[: min(cells, len(v))].copy()
+    for _ in range(rounds):
+        own = np.argmax(v @ out.T, axis=1)
+        for c in range(len(out)):
+            if (own == c).any():
+                mean = v[own == c].mean(axis=0)
+                out[c] = mean / max(np.linalg.norm(mean), 1e-12)
+    asks = np.arange(min(ASKED, len(v)))
+    w = v[asks] @ v.T
+    w[asks, asks] = -2
+    near = np.argsort(-w, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(v[asks] @ out.T), axis=1), axis=1)  # of each cell for each vector that asks
+    deep = np.sort(np.take_along_axis(place, np.argmax(v @ out.T, axis=1)[near], axis=1).reshape(-1))
+    return out, int(deep[min(len(deep) - 1, math.ceil(recall * len(deep)))]) + 1
+
+
+def in_cells(rows: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
+    """rows (key, v) with the `probes` cells that are closest to v, as an array."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            near = np.argsort(-(v @ middle.T), axis=1, kind="stable")[:, :probes] if b.num_rows else np.zeros((0, 1), np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], ["key", "v", "cells"])
+
+    return rows.mapInArrow(f, f"key {rows.schema['key'].dataType.simpleString()}, v array<double>, cells array<long>")
+
+
+def near_cells(vectors: DataFrame, key: str, column: str, k: int, asks: Column | None = None, cells: int | None = None, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(src, dst, w): the k closest vectors that lie in the `probes` cells next to each vector that asks; similarities are exact.
+
+    Every vector is in the cell of its closest centre. A cell is cut into blocks by a hash, so that a large one is several tasks; a vector
+    meets each block of its cells. cells: the square root of the number of vectors, 4096 at most; probes: what the sample needs.
+    """
+    rows = vectors.where(F.size(column) > 0).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"))
+    count = rows.count()
+    middle, needed = centres(vectors, key, column, cells or max(1, min(4096, math.isqrt(count))), k)
+    probes = probes or needed
+    sizes = in_cells(rows, middle, 1).select(F.col("cells")[0].alias("cell"), "key", "v")
+    counts = sizes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))  # a row a cell
+    part = lambda c, n: F.pmod(F.xxhash64("key", F.lit(c)), F.col(n))
+    right = sizes.join(F.broadcast(counts), "cell").select("cell", part("b", "parts").alias("j"), F.lit(0).cast("long").alias("i"), "parts", "key", "v")
+    asking = rows if asks is None else vectors.where(asks).where(F.size(column) > 0).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"))
+    left = in_cells(asking, middle, probes).select("key", "v", F.explode("cells").alias("cell")).join(F.broadcast(counts), "cell")
+    left = left.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), part("a", "parts").alias("i"), "key", "v", F.lit(True).alias("asks"))
+    right = right.select("cell", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), "key", "v", F.lit(False).alias("asks"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return best_of(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(product(k), f"src {kind}, dst {kind}, w double"), k)

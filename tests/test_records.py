@@ -108,3 +108,21 @@ def test_deep_sources_do_not_end_the_job(spark):
     assert "d.py" in {r["path"] for r in symbols.symbols(rows).collect()}
     assert {r["path"] for r in symbols.structure(rows).collect()} >= {"d.py"}
     assert symbols.config_metrics(rows.withColumn("text", F.lit("[" * 100_000))).where("valid").count() == 0
+
+
+def test_cells_find_most_neighbours(spark):
+    """Recall of the inverted file against the exact neighbours, for the queries that are asked."""
+    at = "/root/testdata/sf0.01"
+    got = {(r["src"], r["dst"]) for r in plans.queries()["cell_neighbours"](spark, at).collect()}
+    want = {(r["src"], r["dst"]) for r in plans.queries()["knn_graph"](spark, at).collect() if r["src"] % 20 == 0}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_hot_cells_are_cut(spark):
+    from memgrid.operators import knn
+
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=(1, 8)) + r.normal(size=(60, 8)) * 0.01, r.normal(size=(40, 8))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, e array<double>")
+    pick = lambda df: sorted((x["src"], x["w"]) for x in df.collect())
+    assert pick(knn.near_cells(rows, "k", "e", 2, cells=4, probes=4, block=7)) == pick(knn.nearest(rows, "k", "e", 2))
