@@ -57,10 +57,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that written() and bucketed() made in this process: folder, and catalog name if it has one.
+_MADE: list[tuple[str, str | None]] = []
+
+
+def cleared(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Removes the tables made from the `since`-th on, but those that `keep` reads. Frames that read the others can't be used any more."""
+    used = "\n".join(keep.inputFiles())
+    for path, name in _MADE[since:]:
+        if path.split("/")[-1] in used:
+            continue
+        if name:
+            spark.sql(f"drop table if exists {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _MADE[since:] = [x for x in _MADE[since:] if x[0].split("/")[-1] in used]
+
+
+def made() -> int:
+    """How many tables were made so far, for cleared()."""
+    return len(_MADE)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memgrid-{what}-{uuid.uuid4().hex}"
+    _MADE.append((path, None))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +93,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
     spark = df.sparkSession
     name = f"memgrid_{what}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
+    _MADE.append((path, name))
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
