@@ -51,7 +51,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.documents(spark, sf_dir)
+    """The last stage's rows; what the stages before made on their way is removed once each is written."""
+    docs, since = base.documents(spark, sf_dir), base.made()
     for name, stage in STAGES[:-1]:
         docs = base.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        base.cleared(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
