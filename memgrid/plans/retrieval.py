@@ -337,7 +337,26 @@ def path_beam_by_score(t: Tables) -> DataFrame:
     return beam.select(F.array_join("path", ">").alias("path"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _diverse_hop(i: int, size: int = 8) -> str:
+    """A hop as above, pruned by a greedy choice: the best score first, then by the end's relevance against its closeness to what is chosen."""
+    found = _code_hop(i).split(f"""),
+    b{i + 1} as""")[0]
+    out = found + f"""),
+    p{i} as (select *, row_number() over (order by score desc, rank, n) j, list_cosine_similarity(vectors[-1], q) rel from s{i} cross join q),
+    d{i} as (select a.j, b.j k, list_cosine_similarity(a.vectors[-1], b.vectors[-1]) near from p{i} a cross join p{i} b),
+    g{i}_1 as (select [1::bigint] chosen)"""
+    for m in range(2, size + 1):
+        out += f""",
+    v{i}_{m} as (select p.j, 0.4 * p.rel - 0.6 * max(d.near) worth from p{i} p join d{i} d on d.j = p.j cross join g{i}_{m - 1} g where list_contains(g.chosen, d.k) and not list_contains(g.chosen, p.j) group by p.j, p.rel),
+    g{i}_{m} as (select list_append(chosen, (select j from v{i}_{m} order by worth desc, j limit 1)) chosen from g{i}_{m - 1})"""
+    return out + f""",
+    b{i + 1} as (select path, tail, seed, score, vectors, case when (select count(*) from p{i}) <= {size} then j else list_position(chosen, j) end rank from p{i} cross join g{i}_{size} where (select count(*) from p{i}) <= {size} or list_contains(chosen, j))"""
+
+
+_DIVERSE = _CODE.removesuffix(_code_hop(0) + _code_hop(1)) + _diverse_hop(0) + _diverse_hop(1)
+
+
+@query(_DIVERSE + " select array_to_string(path, '>') path, score, row_number() over (order by score desc, rank) rank from b2", "relationships", "vertices")
 def path_beam_by_diversity(t: Tables) -> DataFrame:
     seeds, queries, content = _beam_tables(t)
     edges = t.relationships.where("status = 'active'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("strength").alias("weight"))
