@@ -80,6 +80,17 @@ def candidates(observations: DataFrame, reflections: DataFrame, least: int = 3,
     return rows.groupBy("session_id", "tag", "all").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "key"))), lambda x: x["key"]).alias("members")).withColumnRenamed("all", "n")
 
 
+def consolidated(found: DataFrame, observations: DataFrame, preview: int = 80) -> DataFrame:
+    """(key, session_id, tag, consolidates, source_count, content) for each of the candidates (session_id, tag, n, members): the reflections
+    that all sessions' clusters make; content is what the members begin with, in their order. A cluster has few members."""
+    rows = found.select("session_id", "tag", "n", F.posexplode("members").alias("pos", "key"))
+    rows = rows.join(observations.select("key", "id", F.substring(F.coalesce("content", F.lit("")), 1, preview).alias("head")), "key")
+    one = F.array_sort(F.collect_list(F.struct("pos", "id", "head")))
+    rows = rows.groupBy("session_id", "tag", "n").agg(one.alias("x"))
+    key = F.concat(F.lit("ref_"), F.substring(F.sha2(F.concat_ws("|", "session_id", "tag", F.array_join(F.transform("x", lambda y: y["id"]), ",")), 256), 1, 16))
+    return rows.select(key.alias("key"), "session_id", "tag", F.transform("x", lambda y: y["id"]).alias("consolidates"), F.size("x").cast("long").alias("source_count"), F.array_join(F.transform("x", lambda y: y["head"]), "\n").alias("content"))
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, parts: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Quantiles by nearest rank, halves to even. Equal values are counted first, so a group's work is in its distinct values, cut into
     ranges of values: counts of ranges say in which of them a rank lies, and only that one is sorted."""

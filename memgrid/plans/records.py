@@ -164,6 +164,21 @@ def boundary_records(t: Tables) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", *made).select("l_orderkey", "l_linenumber", "label", F.round("context", 6).alias("context"), F.round("score.pair", 6).alias("pair"), "score.gate")
 
 
+@query(
+    """with recent as (select * from observations qualify row_number() over (partition by session_id order by created_at_unix desc, "key") <= 100),
+    rest as (select session_id, "key", id, created_at_unix, substr(coalesce(content, ''), 1, 80) head, unnest(tags) tag from recent where id not in (select unnest(consolidates) from reflections where status = 'active')),
+    numbered as (select *, row_number() over (partition by session_id, tag order by created_at_unix desc, "key") n, count(*) over (partition by session_id, tag) size from rest),
+    g as (select session_id, tag, string_agg(id, ',' order by n) ids, count(*) source_count, string_agg(head, chr(10) order by n) content from numbered where size >= 3 and n <= 10 and tag is not null group by session_id, tag)
+    select 'ref_' || substr(sha256(session_id || '|' || tag || '|' || ids), 1, 16) "key", session_id, tag, ids consolidates, source_count, content from g""",
+    "observations",
+    "reflections",
+)
+def consolidated_sessions(t: Tables) -> DataFrame:
+    """The reflections that consolidating all sessions would write."""
+    found = memory.candidates(t.observations, t.reflections).where("tag is not null")
+    return memory.consolidated(found, t.observations).withColumn("consolidates", F.array_join("consolidates", ","))
+
+
 @query("select event_id, 'obs_' || strftime(ts, '%Y-%m-%dT%H-%M-%S.%f') || 'Z_' || substr(md5(event_id::varchar), 1, 8) \"key\" from events")
 def timestamp_keys(t: Tables) -> DataFrame:
     return t.read("events").select("event_id", sessions.timestamp_key("obs", F.col("ts").cast("timestamp"), F.col("event_id").cast("string")).alias("key"))
@@ -327,6 +342,17 @@ def written_files(t: Tables) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("length") - 1).alias("bytes"))
 
 
+@query(
+    """select 'p' || page_id || '.pdf' path, '--- Page 1 ---' || chr(10) || 'page ' || page_id || chr(10) || chr(10) || '--- Page 3 ---' || chr(10) || 'last of ' || page_id "text" from pages where page_id % 5 <> 0"""
+)
+def marked_pages(t: Tables) -> DataFrame:
+    """Pages of PDF files with their numbers; pages without text are left out, and so are files that are no PDF."""
+    n = F.col("page_id").cast("string")
+    head = F.when(F.col("page_id") % 5 == 0, "no pdf").otherwise("%PDF-1.4 ")
+    text = F.concat(head, F.lit("/Type /Page BT (page "), n, F.lit(") Tj ET /Type /Page BT ( ) Tj ET /Type /Page BT (last) Tj (of "), n, F.lit(") Tj ET"))
+    return files.marked(files.pages(t.read("pages").select(F.concat(F.lit("p"), n, F.lit(".pdf")).alias("path"), F.encode(text, "UTF-8").alias("content"))))
+
+
 # Features and training.
 
 

@@ -393,13 +393,14 @@ def mmr_prefix_score(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with a as (select id, {SIM.format('embedding')} sim from observations where embedding is not null)
-    select a.id, a.sim, round(len(list_intersect({_KW.format("'" + WORDS + "'")}, {_KW.format("o.content")})) / len({_KW.format("'" + WORDS + "'")}), 6) overlap from a join observations o using (id)""",
+    f"""select id, case when embedding is not null then {SIM.format('embedding')} end sim, round(len(list_intersect({_KW.format("'" + WORDS + "'")}, {_KW.format("coalesce(content, '')")})) / len({_KW.format("'" + WORDS + "'")}), 6) overlap from observations""",
     "observations",
 )
 def keyword_overlap(t: Tables) -> DataFrame:
-    rows = similar(t, t.observations)
-    return rows.select("id", "sim", F.round(texts.keyword_overlap(F.lit(WORDS), F.col("content")), 6).alias("overlap"))
+    """Of every observation the part of the query's keywords that it has, and its similarity if it has a vector."""
+    rows = t.observations.crossJoin(F.broadcast(asked(t)))
+    sim = F.when(F.col("embedding").isNotNull(), F.round(cosine(F.col("embedding"), F.col("q")), 6))
+    return rows.select("id", sim.alias("sim"), F.round(texts.keyword_overlap(F.lit(WORDS), F.coalesce("content", F.lit(""))), 6).alias("overlap"))
 
 
 @query(

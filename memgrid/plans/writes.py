@@ -213,9 +213,10 @@ def dir_counts(t: Tables) -> DataFrame:
     return t.repo_docs.groupBy(texts.directory(F.col("path")).alias("directory")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("select src, dst, weight from (select 'a' src, 'b' dst, 1.0::double weight union all select 'a', 'c', 0.8::double)")
+@query("select src, dst, kind, weight from (values ('a', 'b', 'imports', 1.0::double), ('a', 'c', 'references', 0.8::double), ('a', 'b', 'references', 0.8::double)) x(src, dst, kind, weight)")
 def idempotent_edges(t: Tables) -> DataFrame:
-    """Edges written twice are kept once, by a key made of what they say."""
-    rows = t.spark.createDataFrame([("a", "b", 1.0), ("a", "c", 0.8), ("a", "b", 1.0)], "src string, dst string, weight double")
-    keyed = rows.withColumn("key", F.xxhash64("src", "dst"))
-    return memory.first_of(keyed, ["key"], F.col("src"), F.col("dst")).drop("key")
+    """Edges written twice are kept once, by a key made of what they say; an import and a reference between the same files are two."""
+    from ..sources import sinks
+
+    rows = [("a", "b", "imports", 1.0), ("a", "c", "references", 0.8), ("a", "b", "imports", 1.0), ("a", "b", "references", 0.8)]
+    return sinks.keyed_edges(t.spark.createDataFrame(rows, "src string, dst string, kind string, weight double")).drop("key")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import signal
 import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,79 @@ def pdf_text(content: bytes) -> str:
     return " ".join(m.decode("latin-1") for m in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", content))
 
 
+def pdf_pages(content: bytes) -> list[tuple[int, str]]:
+    """(number, text) of the pages that have text; a page object starts a page, as no converter is at hand."""
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF header")
+    parts = re.split(rb"/Type\s*/Page\b", content)
+    found = [" ".join(m.decode("latin-1") for m in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", x)) for x in (parts[1:] or parts)]
+    return [(n, x) for n, x in enumerate(found, 1) if x.strip()]
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """(path, page, text, error): one row for each page with text of PDF files (path, content); a fault is a row with an error."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    out.extend((path, n, x, None) for n, x in pdf_pages(bytes(content or b"")))
+                except ValueError as e:
+                    out.append((path, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "Int64"})
+
+    return rows.select("path", "content").mapInPandas(f, "path string, page long, text string, error string")
+
+
+def marked(found: DataFrame) -> DataFrame:
+    """(path, text): the pages of each file in order, each after a line with its number; a file's pages are one group."""
+    page = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), "text")
+    rows = found.where("error is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("x")))).alias("p"))
+    return rows.select("path", F.array_join(F.transform("p", lambda x: x["x"]), "\n\n").alias("text"))
+
+
+class Late(Exception):
+    """A reader took too long."""
+
+
+def within(seconds: float, read: Callable[[bytes], str], content: bytes) -> str:
+    """What a reader gives, if it does in time; only a worker's main thread can be interrupted, as Spark's are."""
+
+    def stop(*_: object) -> None:
+        raise Late(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return read(content)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def robust(rows: DataFrame, readers: Sequence[tuple[str, Callable[[bytes], str]]], seconds: float = 30.0) -> DataFrame:
+    """(path, text, reader, errors) of files (path, content): the first of the readers (name, function) that gives a text in time; what the
+    others said stands in errors."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                text = used = None
+                errors: list[str] = []
+                for name, read in readers:
+                    try:
+                        text, used = within(seconds, read, bytes(content or b"")), name
+                        break
+                    except Exception as e:  # the row says what went wrong
+                        errors.append(f"{name}: {e}")
+                out.append((path, text, used, errors))
+            yield pd.DataFrame(out, columns=["path", "text", "reader", "errors"])
+
+    return rows.select("path", "content").mapInPandas(f, "path string, text string, reader string, errors array<string>")
+
+
 def extracted(rows: DataFrame) -> DataFrame:
     """(path, text, kind, error) for each file (path, content); a fault is a row with an error, never an exception."""
 

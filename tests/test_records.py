@@ -126,3 +126,23 @@ def test_hot_cells_are_cut(spark):
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, e array<double>")
     pick = lambda df: sorted((x["src"], x["w"]) for x in df.collect())
     assert pick(knn.near_cells(rows, "k", "e", 2, cells=4, probes=4, block=7)) == pick(knn.nearest(rows, "k", "e", 2))
+
+
+def test_readers_fall_back_and_are_stopped(spark):
+    import time
+
+    from memgrid.sources import files
+
+    def slow(content):
+        time.sleep(5)
+        return "never"
+
+    def strict(content):
+        if not content.startswith(b"ok"):
+            raise ValueError("not ok")
+        return content.decode()
+
+    rows = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"no")), ("c", None)], "path string, content binary")
+    got = {r["path"]: r for r in files.robust(rows, [("slow", slow), ("strict", strict), ("raw", lambda x: x.decode())], 0.2).collect()}
+    assert [(got[k]["text"], got[k]["reader"], len(got[k]["errors"])) for k in "abc"] == [("ok", "strict", 1), ("no", "raw", 2), ("", "raw", 2)]
+    assert got["b"]["errors"] == ["slow: over 0.2 s", "strict: not ok"]
