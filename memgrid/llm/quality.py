@@ -4,8 +4,9 @@ N-grams are of ORDER UTF-16 code units as they stand (runs of white space are on
 scripts count as what they are. Spark counts them over all rows; the model grows with the corpus and no machine holds it: its sorted
 arrays of n-grams lie in parts by hash, each block of documents asks the parts for its distinct n-grams, and log probabilities come back.
 
-A text's perplexity is that of its code units. For each language (the lang column) the band lies around the median of the logarithm
-over all its texts, in robust standard deviations, wider for short texts, whose mean varies more. How many deviations it reaches down and
+A text has two perplexities: the surprise of all its code units spread over its words, and over its code units. A run of symbols after
+each word shows in the first only (in the second its foreseen repetition hides its surprise), odd sequences of usual words more in the
+second. For each of them and each language (the lang column) the band lies around the median of the logarithm over all its texts, in robust standard deviations, wider for short texts, whose mean varies more. How many deviations it reaches down and
 up is read from the scores of all texts that pass the base rules: each tail is cut where it has left the body, at its first valley or
 gap from TAIL deviations on. No label is used, and no share of the rows is fixed.
 
@@ -86,6 +87,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), again, repeated_words(words, REPEAT_WINDOW)
 
 
+#: The two perplexities: their logarithms, and the ends of their bands.
+MEASURES = {"log_perplexity": ("low", "high"), "unit_log_perplexity": ("unit_low", "unit_high")}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -133,7 +136,7 @@ def answered(asked: pa.Table, model: pa.Table) -> pa.Table:
 
 
 def measurer(schema: pa.Schema) -> Callable:
-    """(row, block, doc_id, lang, COUNTS, log_perplexity) of the block's documents, from the log probabilities of its n-grams."""
+    """(row, block, doc_id, lang, COUNTS, MEASURES) of the block's documents, from the log probabilities of its n-grams."""
 
     def f(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t):
@@ -142,24 +145,26 @@ def measurer(schema: pa.Schema) -> Callable:
         order = np.argsort(codes)
         codes, logps = codes[order], np.frombuffer(b"".join(r.column("logps").to_pylist()), np.float32)[order]
         doc = t.column("doc").combine_chunks()
-        nats, counts = [], []
+        nats: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        counts: list[tuple[int, ...]] = []
         for b in base.slices(pa.table([pa.compute.struct_field(doc, "text")], ["text"]).to_batches(), limit=1 << 20):
             texts = [x or "" for x in b.column(0).to_pylist()]
             own, owner = coded(texts)
-            n = np.bincount(owner, minlength=len(texts))
             total = np.bincount(owner, logps[np.searchsorted(codes, own)], len(texts)) if len(own) else np.zeros(len(texts))
-            nats.append(np.where(n > 0, -total / np.maximum(n, 1), np.nan))
             counts.extend(base_counts(x) for x in texts)
-        nats = np.concatenate(nats)
+            words = np.array([x[0] for x in counts[-len(texts) :]])
+            for k, n in enumerate((words, np.bincount(owner, minlength=len(texts)))):
+                nats[k].append(np.where(n > 0, -total / np.maximum(n, 1), np.nan))
+        found = [np.concatenate(x) for x in nats]
         columns = [t.column("row").combine_chunks(), t.column("block").combine_chunks(), pa.compute.struct_field(doc, "doc_id"), pa.compute.struct_field(doc, "lang").cast(pa.string())]
         columns += [pa.array(c) for c in np.array(counts, np.int64).reshape(-1, len(COUNTS)).T]
-        return pa.table([*columns, pa.array(nats, mask=np.isnan(nats))], schema=schema)
+        return pa.table([*columns, *(pa.array(x, mask=np.isnan(x)) for x in found)], schema=schema)
 
     return f
 
 
 def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents as a table (block, row, doc), bucketed by block, and (row, block, doc_id, lang, COUNTS, log_perplexity) of each."""
+    """The documents as a table (block, row, doc), bucketed by block, and (row, block, doc_id, lang, COUNTS, MEASURES) of each."""
     grams = base.written(counted(docs.select(F.lit("all").alias("corpus"), "text"), "corpus", coded).select("code", "n"), "grams")
     model = probabilities(grams, ORDER, BITS)
     parts = base.parts_for(docs, 32 << 20)
@@ -168,8 +173,8 @@ def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = by_block.applyInArrow(asker(parts), "part int, block long, codes binary")
     answers = asked.groupBy("part").cogroup(parted(model, parts).groupBy("part")).applyInArrow(answered, "block long, codes binary, logps binary")
     kind = docs.schema["doc_id"].dataType
-    schema = pa.schema([("row", pa.int64()), ("block", pa.int64()), ("doc_id", to_arrow_type(kind)), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())])
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(measurer(schema), f"row long, block long, doc_id {kind.simpleString()}, lang string, {' long, '.join(COUNTS)} long, log_perplexity double")
+    schema = pa.schema([("row", pa.int64()), ("block", pa.int64()), ("doc_id", to_arrow_type(kind)), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in MEASURES)])
+    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(measurer(schema), f"row long, block long, doc_id {kind.simpleString()}, lang string, {' long, '.join(COUNTS)} long, {' double, '.join(MEASURES)} double")
     return rows, base.written(out, "measured")
 
 
@@ -203,20 +208,22 @@ def limits(far: DataFrame) -> tuple[float, float]:
 
 
 def ruled(rows: DataFrame) -> DataFrame:
-    """Measured rows with base_failed, low, high and kept."""
+    """Measured rows with base_failed, the ends of the bands, and kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    found = base.written(scales(rows.select("lang", "log_perplexity")), "bands")
-    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    unit = F.col("spread") * (1 + F.lit(float(SHORT)) / F.greatest(F.col("n_words"), F.lit(1)))
-    below, above = limits(rows.where(~failed).select(((F.col("log_perplexity") - F.col("middle")) / unit).alias("far")))
-    low, high = F.col("middle") - below * unit, F.col("middle") + above * unit
-    rows = rows.withColumns({"base_failed": failed, "low": low, "high": high}).drop(*found.columns)
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
+    rows, kept = rows.withColumn("base_failed", failed), ~F.col("base_failed")
+    for measure, (low, high) in MEASURES.items():
+        found = base.written(scales(rows.select("lang", F.col(measure).alias("log_perplexity"))), "bands")
+        found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+        rows = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        unit = F.col("spread") * (1 + F.lit(float(SHORT)) / F.greatest(F.col("n_words"), F.lit(1)))
+        below, above = limits(rows.where(~F.col("base_failed")).select(((F.col(measure) - F.col("middle")) / unit).alias("far")))
+        rows = rows.withColumns({low: F.col("middle") - below * unit, high: F.col("middle") + above * unit}).drop(*found.columns)
+        kept = kept & F.coalesce(F.col(measure).between(F.col(low), F.col(high)), F.lit(True))
+    return rows.withColumn("kept", kept)
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, base counts, log_perplexity, base_failed, low, high, kept) for each row."""
+    """(doc_id, lang, COUNTS, MEASURES, base_failed, the ends of their bands, kept) for each row."""
     return ruled(measured(docs.select("doc_id", "lang", "text"))[1]).drop("row", "block")
 
 
