@@ -28,6 +28,7 @@ repeated rows are copies of each other; an empty table gives an empty one; all c
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,13 +94,13 @@ def counters(docs: DataFrame, words: int) -> np.ndarray:
                 np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
         if total.any():
             parts = total.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
@@ -366,21 +367,22 @@ def tile_sender(words: int) -> Callable:
 
 
 def tile_links(similarity: float) -> Callable:
-    """Stars (a, b) of the similar pairs of each pair of tiles; a pair that is linked already is not compared."""
+    """Stars (a, b) of the similar pairs of each pair of tiles (both sides in one); a pair that is linked already is not compared."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, 3):
-            first, row, _, size, root, pos, prints = columns_of(rows)
+            _, row, _, size, root, pos, prints = columns_of(rows)
+            every = np.arange(len(rows))
             sets = [np.frombuffer(r[13], np.uint64) for r in rows]
             _, label = np.unique(root, return_inverse=True)
             heads = np.full(len(rows), len(rows))
             np.minimum.at(heads, label, np.arange(len(rows)))
             label = heads[label]
             before = label.copy()
-            for i, j, far in survivors(prints, size, pos, np.flatnonzero(first), np.flatnonzero(~first), similarity):
+            for i, j, far in survivors(prints, size, pos, every, every, similarity):
                 for k in np.argsort(far, kind="stable").tolist():
                     x, y = int(i[k]), int(j[k])
-                    if label[x] != label[y] and alike(sets[x], sets[y], similarity):
+                    if x < y and label[x] != label[y] and alike(sets[x], sets[y], similarity):
                         star(label, np.array([x]), np.array([y]))
             moved = np.flatnonzero(label != before)
             if len(moved):
@@ -397,7 +399,11 @@ def tile_rounds(members: DataFrame, texts: DataFrame, words: int, similarity: fl
     more = found.where("a is null").select("key", "x", "y", "row")
     if more.isEmpty():
         return links
-    crowded = base.written(tiles(members).join(more, ["key", "x", "y", "row"], "left_semi").select("key", "x", "y", "left", *FACTS), "crowded")
+    # tiles with the same rows are one; places say nothing there
+    same = more.groupBy("key", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("i"))
+    one = same.groupBy("n", "h", "i").agg(F.min(F.struct("key", "x", "y")).alias("k")).select("k.*")
+    facts = members.select(*(c for c in FACTS if c != "pos")).distinct().withColumn("pos", F.lit(0).cast("long"))
+    crowded = base.written(more.join(one, ["key", "x", "y"], "left_semi").join(facts, "row").select("key", "x", "y", F.lit(True).alias("left"), *FACTS), "crowded")
     sent = texts.groupBy("block").cogroup(crowded.groupBy("block")).applyInArrow(tile_sender(words), f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in crowded.schema)}, set binary")
     return links.unionByName(in_order(sent).mapInArrow(tile_links(similarity), "a long, b long"))
 
