@@ -130,6 +130,11 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
     one = np.eye(every)[label]
     table = one.T @ (pairs.astype(np.float64) @ one)
     k = np.arange(every)
+    f = xlogx(table)
+
+    def changed(c: int) -> None:
+        f[c], f[:, c] = xlogx(table[c]), xlogx(table[:, c])
+
     moved = 1
     while moved:
         moved = 0
@@ -142,10 +147,11 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
             table[own] -= out
             table[:, own] -= into
             table[own, own] -= self_pair
+            changed(own)
             left, right = table.sum(axis=1), table.sum(axis=0)
             both = table[k, k]
-            f = xlogx(table)
-            gain = (xlogx(table + out) - f).sum(axis=1) + (xlogx(table + into[:, None]) - f).sum(axis=0)
+            after, before = np.flatnonzero(out), np.flatnonzero(into)  # only these columns and rows change
+            gain = (xlogx(table[:, after] + out[after]) - f[:, after]).sum(axis=1) + (xlogx(table[before] + into[before, None]) - f[before]).sum(axis=0)
             gain += xlogx(both + out + into + self_pair) - xlogx(both) - (xlogx(both + out) - xlogx(both)) - (xlogx(both + into) - xlogx(both))
             gain -= xlogx(left + out.sum() + self_pair) - xlogx(left) + xlogx(right + into.sum() + self_pair) - xlogx(right)
             best = int(gain[:classes].argmax())
@@ -156,39 +162,43 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
             table[best] += out
             table[:, best] += into
             table[best, best] += self_pair
+            changed(best)
     return label
 
 
 def neighbours(texts: DataFrame, classes: dict[bytes, int], rest: int, limit: int = 1 << 21) -> DataFrame:
-    """(word, code, n) of the words that aren't in `classes`: how often code // 2 is the class before (even codes) or after (odd) them."""
+    """(word, codes) of the words that aren't in `classes`: numbers of two bytes, one for each neighbour of each occurrence; code // 2 is
+    the class before (even codes) or after (odd) the word. Each task sends a word once, or again after so many others."""
     held = base.shared(texts.sparkSession, classes)
     end = rest - 1
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        words, codes = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(codes, pa.int32()), pa.array(found.values(), pa.int64())], ["word", "code", "n"])
+    def rows(found: dict[bytes, list[int]]) -> pa.RecordBatch:
+        codes = [np.array(x, np.uint16).tobytes() for x in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(codes, pa.binary())], ["word", "codes"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[bytes, list[int]] = {}
+        size = 0
         get = held().get
         for b in base.slices(batches):
             for text in base.byte_list(b.column(0)):
                 own = tokens(text)
                 label = [end, *(get(w, rest) for w in own), end]
-                at = [k for k, c in enumerate(label) if c == rest]
-                found.update((own[k - 1], 2 * label[k - 1]) for k in at)
-                found.update((own[k - 1], 2 * label[k + 1] + 1) for k in at)
-            if len(found) > limit:
+                for k, w in enumerate(own, 1):
+                    if label[k] == rest:
+                        found.setdefault(w, []).extend((2 * label[k - 1], 2 * label[k + 1] + 1))
+                        size += 1
+            if size > limit:
                 yield rows(found)
-                found = Counter()
+                found, size = {}, 0
         if found:
             yield rows(found)
 
-    return texts.select("text").mapInArrow(f, "word string, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(f, "word string, codes binary")
 
 
 def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classes: int) -> DataFrame:
-    """(word, n, class) for each word of seen (word, code, n): the class that raises the likelihood most; ties go to the lowest."""
+    """(word, n, class) for each word of seen (word, codes): the class that raises the likelihood most; ties go to the lowest."""
     one = np.eye(classes + 2)[label]
     table = one.T @ (pairs.astype(np.float64) @ one)
     follow = np.log((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * (classes + 2)))
@@ -201,17 +211,18 @@ def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classe
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gains, mass = held()
-            for own in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
-                found = own.column(1)
-                heads = found.offsets.to_numpy() - found.offsets[0].as_py()
-                flat = found.flatten()
-                code, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                times = np.add.reduceat(np.where(code % 2 == 0, n, 0), heads[:-1])
-                score = np.add.reduceat(gains[code] * n[:, None], heads[:-1], axis=0) - times[:, None] * mass
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(times.astype(np.int64)), pa.array(score.argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
-
-    grouped = seen.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
-    return grouped.mapInArrow(f, "word string, n long, class int")
+            for own in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
+                lists = [b"".join(x) for x in own.column(1).to_pylist()]
+                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+                code = np.frombuffer(b"".join(lists), np.uint16).astype(np.int64)
+                # counts of each word's codes, then one product
+                at = np.repeat(np.arange(len(lists)), size)
+                counts = np.bincount(at * len(gains) + code, minlength=len(lists) * len(gains)).reshape(len(lists), -1)
+                times = size // 2
+                score = counts @ gains - times[:, None] * mass
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(times), pa.array(score.argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
+
+    return seen.groupBy("word").agg(F.collect_list("codes").alias("codes")).mapInArrow(f, "word string, n long, class int")
 
 
 def asked(t: pa.Table) -> pa.Table:
