@@ -100,19 +100,17 @@ def multikey(words: np.ndarray, starts: np.ndarray, order: np.ndarray, new: np.n
         pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
         smaller, equal = key < pivot, key == pivot
         n_smaller, n_equal = np.add.reduceat(smaller, heads, dtype=np.int64), np.add.reduceat(equal, heads, dtype=np.int64)
-        first = np.repeat(heads, sizes)
-        place = np.empty(len(at), np.int64)
-        for own, skip in ((smaller, None), (equal, n_smaller), (~(smaller | equal), n_smaller + n_equal)):
-            rank = np.cumsum(own) - 1
-            before = np.repeat(rank[heads] - own[heads], sizes)
-            to = first + rank - before - 1 + (0 if skip is None else np.repeat(skip, sizes))
-            place[own] = to[own]
         moved = np.empty(len(at), np.int64)
-        moved[place] = order[at]
+        tied = np.zeros(0, np.int64)
+        own_order = order[at]
+        parts = ((smaller, n_smaller, heads), (equal, n_equal, heads + n_smaller), (~(smaller | equal), sizes - n_smaller - n_equal, heads + n_smaller + n_equal))
+        for k, (own, many, start) in enumerate(parts):
+            to = np.repeat(start - np.cumsum(many) + many, many)
+            to += np.arange(len(to))
+            moved[to] = own_order[own]
+            tied = to if k == 1 else tied
         order[at] = moved
-        same = np.empty(len(at), bool)
-        same[place] = equal
-        depth[at[same]] += 8
+        depth[at[tied]] += 8
         cut = heads + n_smaller
         new[at[cut[n_smaller > 0]]] = True
         cut = heads + n_smaller + n_equal
