@@ -6,7 +6,8 @@ no candidate survives, or at the wanted length, where what survives is a repeat.
 
 Texts stay in one table bucketed by block. What moves between tasks at a level is each block's set of distinct window hashes (four
 bytes each below the last level, 16 and the least doc_id at the last), split over parts by hash, and one bit back for each. So a
-window that a third of all documents share is sent once a block. The first levels' short hashes only choose candidates; a false one
+window that a third of all documents share is sent once a block. A block also sends itself which windows it looked at, so that later
+levels start from there. The first levels' short hashes only choose candidates; a false one
 is dropped at the next level. The last level takes windows with equal 128-bit hashes of their words as equal: sending the words would
 move each repeated word 13 times.
 
@@ -67,6 +68,7 @@ class Block:
     def __init__(self, t: pa.Table, sizes: list[int], parts: int):
         t = block_docs(t)
         self.ids, self.sizes, self.parts = ids_of(t), sizes, parts
+        self.number = t["block"][0].as_py()
         self.doc_ids = t["doc_id"]
         self.texts = base.byte_list(t["text"].combine_chunks())
         self.counts = np.zeros(len(self.texts), np.int64)
@@ -90,7 +92,11 @@ class Block:
     def sent(self, level: int, replies: dict) -> tuple:
         """Windows looked at on a level; their distinct contents in the order they are sent in; each content's least doc_id and whether two documents here have it."""
         size = self.sizes[level]
-        at = self.fits(size) if level == 0 else self.extended(level, replies)
+        seen = replies.get((level, own_part(self.number, self.parts)))
+        if seen is not None:
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8), count=len(self.owner)))
+        else:
+            at = self.fits(size) if level == 0 else self.extended(level, replies)
         last = level == len(self.sizes) - 1
         a = self.words[0].windows(size)[at] if len(at) else np.zeros(0, np.uint64)
         b = self.words[1].windows(size)[at] if last and len(at) else a
@@ -128,6 +134,11 @@ class Block:
         return starts[alive[starts] & alive[starts + (size - self.sizes[level - 1])]]
 
 
+def own_part(block: int, parts: int) -> int:
+    """The part by which a block sends to itself."""
+    return -1 - block % parts
+
+
 def sliced(texts: list[bytes]):
     """(number of the first text, texts) in lists of about SLICE_BYTES."""
     first, size = 0, 0
@@ -151,7 +162,12 @@ def sender(level: int, sizes: list[int], parts: int) -> Callable:
         number = t["block"][0].as_py() if len(t) else 0
         rows = []
         if len(t):
-            _, _, part, a, b, least, _ = Block(t, sizes, parts).sent(level, got)
+            block = Block(t, sizes, parts)
+            at, _, part, a, b, least, _ = block.sent(level, got)
+            if level and len(at):
+                seen = np.zeros(len(block.owner), bool)
+                seen[at] = True
+                rows.append({"level": level, "part": own_part(number, parts), "block": number, "a": np.packbits(seen).tobytes(), "b": None, "least": None})
             kind = np.uint64 if last else np.uint32
             for p, (x, y, low) in by_part(part, a.astype(kind), b.astype(kind), least):
                 rows.append({"level": level, "part": p, "block": number, "a": x.tobytes(), "b": y.tobytes() if last else None, "least": low.tobytes() if last else None})
@@ -166,6 +182,8 @@ def answers(last: bool) -> Callable:
     """For each block's contents of one part: on lower levels, whether another block has it; on the last, whether a smaller doc_id has it."""
 
     def f(t: pa.Table) -> pa.Table:
+        if t["part"][0].as_py() < 0:
+            return t.select(["level", "part", "block", "a"]).rename_columns(["level", "part", "block", "bits"])
         sizes = [len(x) // (8 if last else 4) for x in t["a"].to_pylist()]
         a = np.frombuffer(b"".join(t["a"].to_pylist()), np.uint64 if last else np.uint32)
         if last:
