@@ -15,6 +15,7 @@ from ..sources import files, symbols
 from ..sources.stage import saved
 from .registry import query
 from .tables import EPOCH, Tables
+from .writes import ROLLING
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -136,7 +137,7 @@ def inverted_index(t: Tables) -> DataFrame:
     return once.unionByName(again).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query()
+@query(ROLLING, "messages")
 def rolling_context_stream(t: Tables) -> DataFrame:
     from ..streaming import streams
     from .scoring import _is_folder

@@ -71,11 +71,11 @@ def session_summary(t: Tables) -> DataFrame:
     return t.messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), roles.alias("roles"))
 
 
-@query(
-    """select session_id, turn_index from (select *, sum(coalesce(tokens, 0)) over (partition by session_id order by turn_index desc rows unbounded preceding) total
-    from (select * from messages qualify row_number() over (partition by session_id order by turn_index desc) <= 6)) where total <= 200""",
-    "messages",
-)
+ROLLING = """select session_id, turn_index from (select *, sum(coalesce(tokens, 0)) over (partition by session_id order by turn_index desc rows unbounded preceding) total
+    from (select * from messages qualify row_number() over (partition by session_id order by turn_index desc) <= 6)) where total <= 200"""
+
+
+@query(ROLLING, "messages")
 def rolling_context(t: Tables) -> DataFrame:
     return memory.rolling_context(t.messages, 6, 200).select("session_id", "turn_index")
 
