@@ -2,8 +2,9 @@
 
 p(w | v) = p(class of w | class of v) * p(w | class of w). Every training word has a class of its own choosing:
 1. Exchange clustering of the CLASS_WORDS most frequent words, with all others as one more item and the text's end: each word is moved in
-   turn to the class that raises the likelihood of the corpus most, until none moves. It works on item pairs counted over the whole
-   corpus, of which there are at most (CLASS_WORDS + 2)^2. The number of classes grows with the vocabulary (its cube root).
+   turn to the class that raises the likelihood of the corpus most, until none moves or a whole round raises the logarithm of the
+   likelihood by less than its LEAST part. It works on item pairs counted over the whole corpus, of which there are at most
+   (CLASS_WORDS + 2)^2. The number of classes grows with the vocabulary (its cube root).
 2. Each remaining word joins the class that raises the likelihood most, given the classes of the words before and after it in the whole
    corpus. These counts are aggregated by Spark, word by word.
 3. Transitions between classes are then counted over the whole corpus with every word's class.
@@ -38,6 +39,8 @@ CLASS_WORDS = 2046
 END, REST = 0, 1
 #: What a move must gain, as a share of what it compares: rounding aside, none that raises the likelihood is left out.
 ROUNDING = 1e-12
+#: The part of the likelihood's logarithm that a round of the exchange must gain for another one.
+LEAST = 1e-5
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -113,9 +116,11 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
+def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0, least: float = 0.0) -> np.ndarray:
     """The class of each item: exchange clustering for the likelihood of the class bigrams, until no item moves.
 
+    least: a round that gains no more than this part of the log likelihood is the last.
+
     The first `fixed` items keep classes of their own, after the others' (numbers from `classes` on).
     """
     weight = pairs.sum(axis=0)
@@ -135,7 +140,9 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
     def changed(c: int) -> None:
         f[c], f[:, c] = xlogx(table[c]), xlogx(table[:, c])
 
-    moved = 1
+    # with the words' own counts, which no move changes, this is the log likelihood
+    likelihood = lambda: f.sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum() + xlogx(weight.astype(np.float64)).sum()
+    moved, reached = 1, likelihood()
     while moved:
         moved = 0
         for i in order.tolist():
@@ -163,6 +170,9 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0) -> np.ndarray:
             table[:, best] += into
             table[best, best] += self_pair
             changed(best)
+        before, reached = reached, likelihood()
+        if reached - before <= least * abs(before):
+            break
     return label
 
 
@@ -305,7 +315,7 @@ class Lexicon:
         top = counts.orderBy(F.desc("n"), "word").limit(class_words).collect()
         items = {r["word"].encode(): k for k, r in enumerate(top, REST + 1)}
         pairs = pair_counts(rows, items)
-        label = exchanged(pairs, self.classes, fixed=2)
+        label = exchanged(pairs, self.classes, fixed=2, least=LEAST)
         # the end's class comes before that of the other words, after all others: as neighbours() has it
         label[[END, REST]] = self.classes, self.classes + 1
         own = {w: int(label[k]) for w, k in items.items()}
