@@ -21,9 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +86,7 @@ def pair_counts(texts: DataFrame, items: dict[bytes, int], limit: int = 1 << 22)
         for b in base.slices(batches):
             line = [END]
             for text in base.byte_list(b.column(0)):
-                line.extend(get(w, REST) for w in tokens(text))
+                line.extend(map(get, tokens(text), repeat(REST)))
                 line.append(END)
             line = np.array(line, np.int32)
             codes.append(line[:-1] * np.int32(size) + line[1:])
@@ -177,30 +177,29 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0, least: float = 0.
 
 
 def neighbours(texts: DataFrame, classes: dict[bytes, int], rest: int, limit: int = 1 << 21) -> DataFrame:
-    """(word, codes) of the words that aren't in `classes`: numbers of two bytes, one for each neighbour of each occurrence; code // 2 is
-    the class before (even codes) or after (odd) the word. Each task sends a word once, or again after so many others."""
+    """(word, codes) of the words that aren't in `classes`: two numbers of two bytes for each occurrence, the classes after and before it. Each task sends a word once, or again after so many others."""
     held = base.shared(texts.sparkSession, classes)
     end = rest - 1
 
     def rows(found: dict[bytes, list[int]]) -> pa.RecordBatch:
-        codes = [np.array(x, np.uint16).tobytes() for x in found.values()]
+        codes = [np.array(x, np.uint32).tobytes() for x in found.values()]
         return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(codes, pa.binary())], ["word", "codes"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, list[int]] = defaultdict(list)
         size = 0
         get = held().get
         for b in base.slices(batches):
             for text in base.byte_list(b.column(0)):
                 own = tokens(text)
-                label = [end, *(get(w, rest) for w in own), end]
-                for k, w in enumerate(own, 1):
-                    if label[k] == rest:
-                        found.setdefault(w, []).extend((2 * label[k - 1], 2 * label[k + 1] + 1))
-                        size += 1
-            if size > limit:
+                label = [end, *map(get, own, repeat(rest)), end]
+                size += len(own)
+                for w, before, c, after in zip(own, label, label[1:], label[2:], strict=False):
+                    if c == rest:
+                        found[w].append(before << 16 | after)
+            if size > limit and found:
                 yield rows(found)
-                found, size = {}, 0
+                found, size = defaultdict(list), 0
         if found:
             yield rows(found)
 
@@ -213,9 +212,8 @@ def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classe
     table = one.T @ (pairs.astype(np.float64) @ one)
     follow = np.log((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * (classes + 2)))
     mass = np.log(table.sum(axis=0)[:classes] + 1)
-    # by code: what one such neighbour adds to each class's likelihood
-    gains = np.empty((2 * (classes + 2), classes))
-    gains[0::2], gains[1::2] = follow[:, :classes], follow[:classes].T
+    # what one neighbour adds to each class's likelihood: classes after the word, then classes before it
+    gains = np.concatenate([follow[:classes].T, follow[:, :classes]])
     held = base.shared(seen.sparkSession, (gains, mass))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +223,7 @@ def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classe
                 lists = [b"".join(x) for x in own.column(1).to_pylist()]
                 size = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
                 code = np.frombuffer(b"".join(lists), np.uint16).astype(np.int64)
+                code[1::2] += len(gains) // 2
                 # counts of each word's codes, then one product
                 at = np.repeat(np.arange(len(lists)), size)
                 counts = np.bincount(at * len(gains) + code, minlength=len(lists) * len(gains)).reshape(len(lists), -1)
@@ -250,7 +249,8 @@ def lines(t: pa.Table, r: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np
     label, count = np.r_[r["class"].to_numpy(), -1], np.r_[r["n"].to_numpy(), 0]
     get, unknown = words.get, len(words)
     for text in base.byte_list(t["text"].combine_chunks()):
-        at = np.fromiter((get(w, unknown) for w in tokens(text)), np.int64)
+        own = tokens(text)
+        at = np.fromiter(map(get, own, repeat(unknown)), np.int64, len(own))
         yield label[at], count[at]
 
 
