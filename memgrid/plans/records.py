@@ -382,7 +382,7 @@ def training_union(t: Tables) -> DataFrame:
 )
 def hashed_embeddings(t: Tables) -> DataFrame:
     """The hashing embedder over whole documents, places that aren't zero."""
-    rows = t.read("documents").select("doc_id", F.posexplode(embed.hashed(F.col("text"), 16)).alias("pos", "value")).where("value > 0")
+    rows = embed.hashed_places(t.read("documents"), "doc_id", "text", 16)
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
