@@ -17,6 +17,9 @@ MODULES = {
     "op7_class_model": "class_model",
     "op8_substring_dedup": "substrings",
     "op9_credential_links": "secret_scan",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_personal_data": "personal_data",
+    "op13_fill_middle": "fill_middle",
 }
 
 

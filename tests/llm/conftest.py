@@ -3,6 +3,7 @@ import random
 import pytest
 
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "sa", "te", "vi") for b in ("", "n", "r", "st", "lo", "mi", "que", "zen")]
+TALK = "conv_id long, turn long, role string, text string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, block int, part string, kept string, word string, key string, target string"
 
 
@@ -32,6 +33,12 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(made(), SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
     items = [(i, " ".join((made()[k][1] or "").split()[10:35])) for i, k in enumerate((4, 8, 30))] + [(7, None), (8, ""), (9, "one two")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    talk = [(c, t, ("user", "assistant", None)[t % 3], None if (c + t) % 11 == 0 else f"say {c % 7 if t > 2 else 0} {t} é") for c in range(60) for t in range(c % 9) if c not in (5, 15)]
+    talk += [(c, t, "user", "same") for c in range(100, 130) for t in range(4)] + [(35, t, "user", f"long {t}") for t in range(9, 300)]
+    talk += [(7, None, "system", "no turn"), (7, None, "system", "no turn"), (7, 2, "user", "tie"), (None, 1, "user", "lost"), (-3, 0, "user", "below"), (2, 1, None, None), (2, 1, None, None)]
+    random.Random(1).shuffle(talk)
+    spread = [(*x, "x", "y", 1) for x in talk]
+    spark.createDataFrame(spread, f"{TALK}, depth string, ka string, block int").repartition(3).write.parquet(f"{at}/conversations.parquet")
     pages = [(1, "u", "<p>a &amp; b</p>"), (2, None, None), (3, "v", ""), (3, "v", "plain"), (4, "w", "<div>" * 3000 + "<p>deep</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     return at
@@ -42,6 +49,7 @@ def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], TALK).write.parquet(f"{at}/conversations.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     return at
 
