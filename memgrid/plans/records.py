@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed, scores, texts
-from ..operators import graph, learning, memory, recall, sessions
+from ..operators import dependencies, graph, learning, memory, recall, sessions
 from ..operators.indexing import dense_index
 from ..sources import files, sinks, symbols
 from ..sources.stage import shared_folder
-from ..streaming import streams
 from .registry import query
 from .retrieval import _EDGES, _MEMORY, _SEEDS, AS_OF, SIM, _memory_hop, asked
 from .tables import EPOCH, Tables
@@ -212,16 +211,21 @@ def settings_coerced(t: Tables) -> DataFrame:
 
 
 @query(
-    """with c as (select event_id, event_type = 'error' failed, (props::json->>'k')::bigint % 8 retries from events), o as (select *, case when not failed then 'done' when retries < 6 then 'retry' else 'dead' end own from c),
-    w as (select a.event_id, max(case b.own when 'dead' then 2 when 'done' then 0 else 1 end) worst from o a join o b on b.event_id in (a.event_id - 1, a.event_id - 7) where a.event_id % 3 = 0 group by a.event_id)
-    select o.event_id, case when own <> 'done' then own when o.event_id % 3 = 0 and o.event_id > 0 and worst = 2 then 'blocked' when o.event_id % 3 = 0 and (worst = 1 or o.event_id < 7) then 'waiting' else 'done' end state from o left join w using (event_id)"""
+    """with recursive o as (select event_id, case when event_type <> 'error' then 'done' when (props::json->>'k')::bigint % 8 < 6 then 'retry' else 'dead' end own from events),
+    n as (select event_id, unnest(case when event_id % 3 = 2 or event_id % 30 = 0 or event_id % 3000 = 1 then [] when event_id % 90 = 3 then [event_id + 6] when event_id % 3 = 0 then [event_id - 3, event_id - 7] else [event_id - 3] end) need from o where own = 'done'),
+    r as (select event_id, need from n union select r.event_id, n.need from r join n on n.event_id = r.need),
+    c as (select event_id from r where event_id = need),
+    w as (select r.event_id, max(case when o.own = 'dead' then 2 when o.own is null or o.own = 'retry' or r.need in (from c) then 1 else 0 end) worst from r left join o on o.event_id = r.need group by r.event_id)
+    select event_id, case when own <> 'done' then own when worst = 2 then 'blocked' when event_id in (from c) then 'circle' when worst = 1 then 'waiting' else 'done' end state from o left join w using (event_id)"""
 )
 def change_dependencies(t: Tables) -> DataFrame:
-    """Which changes are done, wait, are to be tried again, or blocked by one that is dead."""
-    needs = F.when(F.col("event_id") % 3 == 0, F.array(F.col("event_id") - 1, F.col("event_id") - 7)).otherwise(F.array().cast("array<bigint>"))
+    """Which changes are done, wait, are to be tried again, wait for themselves, or are blocked by one that is dead; chains of a thousand."""
+    n = F.col("event_id")
+    none = F.array().cast("array<bigint>")
+    needs = F.when((n % 3 == 2) | (n % 30 == 0) | (n % 3000 == 1), none).when(n % 90 == 3, F.array(n + 6)).when(n % 3 == 0, F.array(n - 3, n - 7)).otherwise(F.array(n - 3))
     retries = F.get_json_object("props", "$.k").cast("long") % 8
     rows = t.read("events").select("event_id", needs.alias("depends_on"), retries.alias("retry_count"), F.lit(6).alias("max_retries"), (F.col("event_type") == "error").alias("failed"))
-    return streams.settled(rows)
+    return dependencies.settled(rows)
 
 
 # Code, configuration and LaTeX made of the tables' rows.

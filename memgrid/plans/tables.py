@@ -105,8 +105,8 @@ class Tables:
 
     @cached_property
     def knn_edges(self) -> DataFrame:
-        """The stored edge table: made once a session."""
-        return stored(lambda: nearest(self.embeddings, "vec_id", "embedding", 3), self.spark, "knn-edges", self.sf_dir)
+        """The stored edge table: made once a session, and anew when the vectors' files change."""
+        return stored(lambda: nearest(self.embeddings, "vec_id", "embedding", 3), self.spark, "knn-edges", f"{self.sf_dir}/embeddings.parquet")
 
     @cached_property
     def relationships(self) -> DataFrame:

@@ -28,14 +28,27 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+def version(spark: SparkSession, path: str) -> str:
+    """What changes when a table's files do: their number, their bytes, and when the path was last changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    all_of = fs.getContentSummary(at)
+    return f"{all_of.getFileCount()}-{all_of.getLength()}-{fs.getFileStatus(at).getModificationTime()}"
 
 
-def stored(df: Callable[[], DataFrame], spark: SparkSession, name: str, source: str) -> DataFrame:
-    """A table that is derived from `source` once a session and then kept in the shared folder, as an index is; df makes it."""
-    key = (spark.sparkContext.applicationId, name, source)
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def stored_at(spark: SparkSession, name: str, source: str, make: Callable[[str], object]) -> str:
+    """A folder that is made of the table at `source` once a session, and again when its files change, as an index is. make: writes into the folder."""
+    key = (spark.sparkContext.applicationId, name, source, version(spark, source))
     if key not in _STORED:
-        made = df()
-        _STORED[key] = f"{shared_folder(spark)}/memgrid-{name}-{uuid.uuid4().hex}"
-        made.write.parquet(_STORED[key])
-    return spark.read.parquet(_STORED[key])
+        folder = f"{shared_folder(spark)}/memgrid-{name}-{uuid.uuid4().hex}"
+        make(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def stored(df: Callable[[], DataFrame], spark: SparkSession, name: str, source: str) -> DataFrame:
+    """A table that is derived from the one at `source`, kept as stored_at() says; df makes it."""
+    return spark.read.parquet(stored_at(spark, name, source, lambda folder: df().write.parquet(folder)))

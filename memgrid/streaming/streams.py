@@ -70,19 +70,6 @@ def applied(stream: DataFrame, name: str = "changes", at: str | None = None) ->
     return latest(spark.read.schema(schema).parquet(f"{at}/out"))
 
 
-def settled(changes: DataFrame) -> DataFrame:
-    """(event_id, state) of changes (event_id, depends_on, retry_count, max_retries, failed): failed ones wait for a retry while they have
-    some left, else they are dead; a change waits for those that it depends on, and is blocked by a dead one."""
-    own = F.when(F.col("failed"), F.when(F.col("retry_count") < F.col("max_retries"), "retry").otherwise("dead")).otherwise("done")
-    rows = changes.withColumn("own", own)
-    needs = rows.select("event_id", F.explode("depends_on").alias("need"))
-    # what isn't there counts as not done yet
-    states = needs.join(rows.select(F.col("event_id").alias("need"), F.col("own").alias("state")), "need", "left")
-    worst = states.groupBy("event_id").agg(F.max(F.when(F.col("state") == "dead", 2).when(F.col("state") == "done", 0).otherwise(1)).alias("worst"))
-    state = F.when(F.col("own") != "done", F.col("own")).when(F.col("worst") == 2, "blocked").when(F.col("worst") == 1, "waiting").otherwise("done")
-    return rows.join(worst, "event_id", "left").select("event_id", state.alias("state"))
-
-
 class Turns(StatefulProcessor):
     """The latest turns of a session within a token budget; a session of which none fits puts out a null turn."""
 
