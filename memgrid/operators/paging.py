@@ -68,8 +68,13 @@ def frame(spark: SparkSession, cursor: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows").where(F.col("_range").isin([r["_range"] for r in index])).where(_within(index, at, batch))
 
 
+def following(cursor: str) -> str | None:
+    """The cursor of the next page; none after the last."""
+    folder, batch, at, n = json.loads(base64.urlsafe_b64decode(cursor))
+    return _cursor(folder, batch, at + batch, n) if at + batch < n else None
+
+
 def page(spark: SparkSession, cursor: str) -> Page:
     """The page of a cursor, `batch` rows at most. The same cursor always gives the same page."""
-    folder, batch, at, n = json.loads(base64.urlsafe_b64decode(cursor))
     rows = frame(spark, cursor).orderBy("_range", "_at").drop("_range", "_at").collect()
-    return Page(rows, _cursor(folder, batch, at + batch, n) if at + batch < n else None, n)
+    return Page(rows, following(cursor), json.loads(base64.urlsafe_b64decode(cursor))[3])

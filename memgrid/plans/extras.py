@@ -140,11 +140,7 @@ def inverted_index(t: Tables) -> DataFrame:
 @query(ROLLING, "messages")
 def rolling_context_stream(t: Tables) -> DataFrame:
     from ..streaming import streams
-    from .scoring import _is_folder
-
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = f"{t.sf_dir}/conversations.parquet"
-    rows = t.spark.readStream.schema(t.read("conversations").schema).parquet(path if _is_folder(t, path) else f"{t.sf_dir}/conversations*.parquet")
+    rows = t.stream("conversations")
     tokens = F.when(F.col("turn") % 9 != 8, F.floor(F.length("text") / 4).cast("long"))
     return streams.rolled(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), tokens.alias("tokens")))
 

@@ -31,6 +31,8 @@ VIEWS = {
     "messages": """select conv_id session_id, turn turn_index, role, "text" content, case when turn % 9 = 8 then null else length("text") // 4 end tokens from conversations""",
     "spans": """select event_id, user_id session_id, event_type label, "value" duration_ms, ts as "at", (props::json->>'k')::bigint k, event_type <> 'error' success from events""",
     "changes": """select event_id, user_id as "key", event_id seq_no, case when event_type = 'error' then 'delete_node' else 'upsert_node' end op, "value" payload from events""",
+    "mentions": """select doc_id id, entity, ((length(t) - length(replace(t, name, ''))) // length(name))::bigint n from (select doc_id, lower("text") t from documents) join
+        (select item_id entity, array_to_string((list_filter(regexp_split_to_array(lower("text"), '\\s+'), lambda w: w <> ''))[3:4], ' ') name from benchmark) on name <> '' and contains(t, name)""",
     "repo_docs": """select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') path, html content from pages""",
     "doc_chunks": """select doc_id, chunk_index, start_token, least(start_token + 512, n) end_token, array_to_string(words[start_token + 1:least(start_token + 512, n)], ' ') chunk, n total_tokens from (
         select doc_id, words, len(words) n, unnest(range(0, len(words), 384)) start_token, unnest(range(0, len(range(0, len(words), 384)))) chunk_index
@@ -71,6 +73,20 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table's files as a stream, whether it is one file or a folder of them."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+        return self.spark.readStream.schema(self.read(name).schema).parquet(path if folder else f"{self.sf_dir}/{name}*.parquet")
+
+    @cached_property
+    def named_entities(self) -> DataFrame:
+        """Entities whose names can stand in texts: for each benchmark item its third and fourth word."""
+        words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+        rows = self.read("benchmark").select(F.col("item_id").alias("entity"), F.concat_ws(" ", F.slice(words, 3, 2)).alias("name"))
+        return rows.where("name <> ''")
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return self.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -95,6 +96,73 @@ class Turns(StatefulProcessor):
         pass
 
 
+class Retention(StatefulProcessor):
+    """Log entries of a key that haven't expired. Each puts out a row when it comes, and one when it goes: (event_id, what)."""
+
+    keep_ms = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getMapState("log", "event_id long", "at_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for t in rows:
+            kept = []
+            for event, at in zip(t["event_id"], t["at_ms"], strict=True):
+                if at + self.keep_ms > now and not self.log.containsKey((int(event),)):
+                    self.log.updateValue((int(event),), (int(at),))
+                    self.handle.registerTimer(int(at) + self.keep_ms)
+                    kept.append(int(event))
+            if kept:
+                yield self.told(key, kept, "kept")
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        gone = [k[0] for k, v in self.log.iterator() if v[0] + self.keep_ms <= end]
+        for event in gone:
+            self.log.removeKey((event,))
+        if gone:
+            yield self.told(key, gone, "expired")
+
+    def told(self, key: Any, events: list[int], what: str) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": pd.Series([key[0]] * len(events), dtype="int64"), "event_id": pd.Series(events, dtype="int64"), "what": what})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """State that transformWithState needs is kept in RocksDB while this lasts; then the session's setting is as before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def retention(log: DataFrame, keep: int, late: str = "1 hour", every: str = "1 hour") -> DataFrame:
+    """(session_id, event_id, what): the comings and goings of a log stream (session_id, event_id, at).
+
+    An entry expires `keep` seconds after its time, by the watermark, and leaves the state then; one that comes later than that never
+    enters. State is kept for each session and hour, so a session with many entries is many keys; repeated entries count once.
+    """
+    kind = type("Kept", (Retention,), {"keep_ms": keep * 1000})
+    rows = log.withWatermark("at", late).withColumns({"at_ms": F.unix_millis("at"), "period": F.window("at", every)["start"]})
+    return rows.groupBy("session_id", "period").transformWithStateInPandas(kind(), "session_id long, event_id long, what string", "Update", "EventTime")
+
+
+def retained(log: DataFrame, keep: int, late: str = "1 hour", at: str | None = None) -> DataFrame:
+    """(session_id, event_id) of what is left of a log stream after all that is there now; a restart with the same folder goes on."""
+    with state_store(log.sparkSession):
+        rows = run(retention(log, keep, late), at or folder(log.sparkSession, "retention"))
+    last = rows.groupBy("session_id", "event_id").agg(F.max(F.when(F.col("what") == "expired", 1).otherwise(0)).alias("gone"))
+    return last.where("gone = 0").select("session_id", "event_id")
+
+
 def rolling(messages: DataFrame) -> DataFrame:
     """(session_id, turn_index) of what stays of each session, over a stream (session_id, turn_index, tokens); a batch puts out all of the
     sessions that it changes."""
@@ -103,7 +171,8 @@ def rolling(messages: DataFrame) -> DataFrame:
 
 def rolled(messages: DataFrame, at: str | None = None) -> DataFrame:
     """What rolling() leaves after all batches."""
-    return drained(rolling(messages), "turns", "update", "session_id", at).where("turn_index is not null")
+    with state_store(messages.sparkSession):
+        return drained(rolling(messages), "turns", "update", "session_id", at).where("turn_index is not null")
 
 
 def activity(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
