@@ -41,7 +41,8 @@ def snapshot(rows: DataFrame, keys: Sequence[str], batch: int = 1000, per_range:
     ranges = max(1, -(-n // per_range))
     dealt = rows.withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "_spread").sortWithinPartitions(*order, "_spread")
     placed = dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed.drop("_spread").write.partitionBy("_range").parquet(f"{folder}/rows")
+    out = placed.drop("_spread").write
+    (out.partitionBy("_range") if n else out).parquet(f"{folder}/rows")  # an empty table has no folders that could tell its columns
     own = spark.read.parquet(f"{folder}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
     own.select("_range", "n", before.alias("before")).coalesce(1).write.parquet(f"{folder}/index")

@@ -58,7 +58,7 @@ class Keyed:
 
     def stored(self) -> DataFrame:
         """The rows with their bucket."""
-        schema = StructType(self.schema.fields).add("bucket", "integer")
+        schema = StructType([*self.schema.fields]).add("bucket", "integer")
         return self.spark.read.schema(schema).parquet(f"{self.folder}/rows") if exists(self.spark, f"{self.folder}/rows") else self.spark.createDataFrame([], schema)
 
     def rows(self) -> DataFrame:
@@ -140,7 +140,7 @@ class Ingested:
 
     def stored(self) -> DataFrame:
         """The rows with bucket and batch."""
-        return self._read("rows", StructType(self.schema.fields).add("batch", "string").add("bucket", "integer"))
+        return self._read("rows", StructType([*self.schema.fields]).add("batch", "string").add("bucket", "integer"))
 
     def rows(self) -> DataFrame:
         return self.stored().select(*self.schema.names)
