@@ -6,6 +6,7 @@ whose fan-out is capped by a window, a score, and a window that cuts the beam. A
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -201,3 +202,27 @@ def visits(beams: list[DataFrame], near: DataFrame) -> DataFrame:
 def halved(edges: DataFrame, fanout: int) -> DataFrame:
     """The neighbours that are looked at when time is short: half of the fan-out, one at least."""
     return capped(edges, max(1, fanout // 2))
+
+
+def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "outbound", prune: Column | None = None) -> DataFrame:
+    """(seed, id, depth, parent) of all vertices within `hops` edges of seeds (seed, id), each once for a seed, at its least depth.
+
+    direction: outbound, inbound or any of edges (src, dst). prune: a condition over id and depth; vertices that meet it are found, and not
+    gone on from. Of several parents the least is named. Each level joins the edges with the last level's vertices alone, and takes off
+    what the seed has visited.
+    """
+    steps = {"outbound": [("src", "dst")], "inbound": [("dst", "src")], "any": [("src", "dst"), ("dst", "src")]}[direction]
+    ways = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in steps])
+    kind = edges.schema["src"].dataType
+    front = saved(seeds.select("seed", "id", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).dropDuplicates(["seed", "id"]))
+    levels = [front]
+    for depth in range(1, hops + 1):
+        open_ = front if prune is None else front.where(~F.coalesce(prune, F.lit(False)))
+        new = ways.join(open_.select("seed", "id"), "id").groupBy("seed", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
+        for level in levels:
+            new = new.join(level.select("seed", "id"), ["seed", "id"], "left_anti")
+        front = saved(new.select("seed", "id", F.lit(depth).alias("depth"), "parent"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
