@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 # Stop words, prefixes that aren't project modules, languages and readers by extension.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "have")
 OUTSIDE = (
-    "os sys re json typing pathlib collections dataclasses logging datetime time random math __future__ abc enum functools itertools io "
-    "torch numpy transformers sentence_transformers httpx grpc pytest tree_sitter"
-).split()
+    "os", "sys", "re", "json", "typing", "pathlib", "collections", "dataclasses", "logging", "datetime", "time", "random", "math", "__future__",
+    "abc", "enum", "functools", "itertools", "io", "torch", "numpy", "transformers", "sentence_transformers", "httpx", "grpc", "pytest",
+    "tree_sitter",
+)
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go",
     ".rs": "rust", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".cs": "c_sharp", ".rb": "ruby",
@@ -22,7 +23,9 @@ LANGUAGES = {
     ".conf": "ini", ".properties": "ini", ".env": "ini",
 }
 READERS = {".pdf": "pdf", ".tex": "latex", ".py": "code", ".js": "code", ".ts": "code", ".java": "code", ".cpp": "code", ".c": "code", ".rs": "code", ".go": "code"}
-READ_ONLY_WORDS = "INSERT UPDATE UPSERT REMOVE REPLACE TRUNCATE DROP CREATE ALTER RENAME GRANT REVOKE GRAPH".split()
+READ_ONLY_WORDS = (
+    "INSERT", "UPDATE", "UPSERT", "REMOVE", "REPLACE", "TRUNCATE", "DROP", "CREATE", "ALTER", "RENAME", "GRANT", "REVOKE", "GRAPH",
+)
 ALLOWED_PATH = r"^/_db/[^/]+/_api/(document|index|collection|import|cursor)(/|$)"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..operators import chunks, memory
 from ..operators.indexing import dense_index
-from ..sources import files, symbols
+from ..sources import symbols
 from ..sources.stage import saved
 from .registry import query
 from .tables import EPOCH, Tables
@@ -29,26 +27,6 @@ def scan_counts(t: Tables) -> DataFrame:
     return out
 
 
-@query(
-    "select * from (values ('a.txt', 'plain text', 'text', false), ('b.tex', 'tex \\section{x}', 'latex', false), ('c.pdf', null, 'pdf', true), ('d.pdf', 'Hello', 'pdf', false), ('e.pdf', null, 'pdf', true)) x(path, body, kind, failed)"
-)
-def extraction_rows(t: Tables) -> DataFrame:
-    rows = [("a.txt", b"plain text"), ("b.tex", gzip.compress(b"tex \\section{x}")), ("c.pdf", b"not a pdf"), ("d.pdf", b"%PDF-1.4 BT (Hello) Tj ET"), ("e.pdf", b"")]
-    out = files.extracted(t.spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary"))
-    return out.select("path", F.col("text").alias("body"), "kind", F.col("error").isNotNull().alias("failed"))
-
-
-_PY = "import os\nfrom a.b import c\nLIMIT = 3\nclass K:\n    def m(self):\n        pass\ndef top():\n    pass\n"
-
-
-@query(
-    "select * from (values ('x.py', 'import', 'os', 1), ('x.py', 'import', 'a.b', 2), ('x.py', 'constant', 'LIMIT', 3), ('x.py', 'class', 'K', 4), ('x.py', 'function', 'm', 5), ('x.py', 'function', 'top', 7), ('y.go', 'function', 'Run', 2), ('y.go', 'type', 'T', 1)) x(path, kind, name, line)"
-)
-def code_symbols(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("x.py", _PY, "python"), ("y.go", "type T struct {}\nfunc Run(x int) {\n}", "go"), ("z.py", "def (", "python")], "path string, text string, language string")
-    return symbols.symbols(rows).select("path", "kind", "name", "line")
-
-
 @query("select page_id, len(list_distinct(list_filter(regexp_extract_all(content, '[A-Za-z_]\\w{2,}'), lambda x: length(x) > 2))[1:100]) identifiers from repo_docs", "repo_docs")
 def generic_identifiers(t: Tables) -> DataFrame:
     names = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w{2,}"), F.lit(0))), 1, 100)
@@ -150,12 +128,6 @@ def path_parts(t: Tables) -> DataFrame:
     return t.repo_docs.select("path", texts.directory(F.col("path")).alias("directory"), texts.file_name(F.col("path")).alias("file_name"))
 
 
-@query("select * from (values ('x.py', 9, 6), ('z.py', 1, 1)) x(path, lines, at_least)")
-def code_metrics(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("x.py", _PY), ("z.py", "def (")], "path string, text string")
-    return symbols.metrics(rows).select("path", "lines", F.when(F.col("nodes") > 6, 6).otherwise(1).alias("at_least"))
-
-
 @query()
 def surprise_chunks(t: Tables) -> DataFrame:
     """Documents cut where unigram surprise peaks, with the mean surprise around each cut; the chunks of a text make up the whole text."""

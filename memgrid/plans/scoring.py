@@ -72,39 +72,12 @@ def event_score(t: Tables) -> DataFrame:
     return t.spans.select("event_id", F.round(F.when((F.col("label") == "error") | (F.col("duration_ms") < 0), 0.0).otherwise(value), 6).alias("score"))
 
 
-@query("select unit, round(case when unit = 'h' then null else greatest(v / case unit when 's' then 1 when 'ms' then 1000 when 'us' then 1000000 end, 1e-9) end, 12) secs from (values ('s', 2.5), ('ms', 3.0), ('us', 7.0), ('s', 0.0), ('h', 1.0)) x(unit, v)")
-def time_units(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("s", 2.5), ("ms", 3.0), ("us", 7.0), ("s", 0.0), ("h", 1.0)], "unit string, v double")
-    return rows.select("unit", F.round(scores.in_seconds(F.col("v"), F.col("unit")), 12).alias("secs"))
-
-
 @query("select doc_id, round(exp(-age / 30), 6) recency, round(greatest(0, 1 - age / 30), 6) freshness from (select doc_id, (1704067200 + 5000 * 3600 - created_at_unix) / 86400.0::double age from observations)", "observations")
 def recency_scores(t: Tables) -> DataFrame:
     age = (F.lit(1704067200 + 5000 * 3600) - F.col("created_at_unix")) / 86400.0
     return t.observations.select("doc_id", F.round(scores.recency(age), 6).alias("recency"), F.round(scores.freshness(age), 6).alias("freshness"))
 
 
-_BOUNDS = scores.PLAN_BOUNDS
-_PLANS = [(1, {"hops": 5, "fanout": 0, "beam": 40}), (2, {}), (3, {"docs_max": 1, "latency_ms": 99999, "rerank_m": 20}), (4, {"hops": -1, "final_context": 13})]
-_DEFAULTS = {"hops": 1, "fanout": 2, "beam": 8, "rerank_m": 20, "final_context": 6, "docs_max": 160, "latency_ms": 2000}
-_PLAN_ROWS = [(i, *[given.get(k, d) for k, d in _DEFAULTS.items()]) for i, given in _PLANS]
-
-
-@query(
-    "select id, "
-    + ", ".join(f"greatest({lo}, least({hi}, {k})) {k}" for k, (lo, hi) in _BOUNDS.items())
-    + ", array_to_string(list_filter(["
-    + ", ".join(f"case when {k} < {lo} then '{k}:min' when {k} > {hi} then '{k}:max' end" for k, (lo, hi) in _BOUNDS.items())
-    + "], lambda x: x is not null), ',') reasons from (values "
-    + ", ".join(map(str, _PLAN_ROWS))
-    + f") x(id, {', '.join(_DEFAULTS)})"
-)
-def plan_clamp(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(_PLAN_ROWS, "id int, " + ", ".join(f"{k} int" for k in _DEFAULTS))
-    reasons = F.array_compact(F.array(*[scores.clamp_reason(k, F.col(k), lo, hi) for k, (lo, hi) in _BOUNDS.items()]))
-    return rows.select("id", *[scores.clamped(F.col(k), lo, hi).alias(k) for k, (lo, hi) in _BOUNDS.items()], F.array_join(reasons, ",").alias("reasons"))
-
-
 # Text.
 
 
@@ -134,92 +107,11 @@ def ignore_patterns(t: Tables) -> DataFrame:
     return t.repo_docs.select("path", ignored(F.substring_index("path", "/", -2), ["# comment", "/de/", ""]).alias("ignored"))
 
 
-@query("select path, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) ext, coalesce(case lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) when '.py' then 'code' when '.tex' then 'latex' when '.go' then 'code' end, 'pdf') reader, case lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) when '.py' then 'python' when '.go' then 'go' when '.md' then 'markdown' when '.hpp' then 'cpp' end lang from (values ('a/b.py'), ('c.TEX'), ('x/y.go'), ('README.md'), ('noext'), ('z.hpp'), ('.env')) x(path)")
-def reader_registry(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(x,) for x in ("a/b.py", "c.TEX", "x/y.go", "README.md", "noext", "z.hpp", ".env")], "path string")
-    ext = texts.extension(F.col("path"))
-    return rows.select("path", ext.alias("ext"), texts.reader(ext).alias("reader"), texts.language(ext).alias("lang"))
-
-
-_STATEMENTS = ["FOR d IN x RETURN d", "INSERT {} INTO x", "RETURN d.inserted", "for d in x update d with {} in x", "RETURN 1", "create_graph()"]
-
-
-@query("select s statement, len(list_intersect(regexp_split_to_array(upper(s), '[^A-Z]+'), " + str(texts.READ_ONLY_WORDS) + ")) = 0 allowed from (values " + ", ".join(f"('{s}')" for s in _STATEMENTS) + ") x(s)")
-def read_only_guard(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(s,) for s in _STATEMENTS], "statement string")
-    return rows.select("statement", texts.only_reads(F.col("statement")).alias("allowed"))
-
-
-_PATHS = ["/_db/main/_api/document/x", "/_db/main/_api/cursor", "/_api/database", "/_db/m/_api/view", "/_db//_api/index", "/_db/a/_api/documents"]
-
-
-@query("select p path, regexp_matches(p, '" + texts.ALLOWED_PATH + "') allowed from (values " + ", ".join(f"('{p}')" for p in _PATHS) + ") x(p)")
-def path_allow_list(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", F.col("path").rlike(texts.ALLOWED_PATH).alias("allowed"))
-
-
-_LATEX = r"See \cite{a,b} and \citep{b, c}. $x+y$ \begin{equation} E = mc^2 \end{equation} \section{Intro} \subsection{More} \begin{table} \caption{A {nested} one} \end{table} $z$ \begin{align*} a &= b \end{align*}"
-
-
-@query("select 1 id, 'a,b,c' citations, 'E = mc^2|a &= b|x+y' equations, '1:Intro|2:More' sections, 'A {nested} one' captions")
-def latex_structures(t: Tables) -> DataFrame:
-    x = F.col("x")
-    rows = t.spark.createDataFrame([(1, _LATEX)], "id int, x string")
-    titles = F.transform(texts.sections(x), lambda s: F.concat_ws(":", s["level"], s["title"]))
-    return rows.select("id", F.array_join(texts.citations(x), ",").alias("citations"), F.array_join(texts.equations(x), "|").alias("equations"), F.array_join(titles, "|").alias("sections"), F.array_join(texts.table_captions(x), "|").alias("captions"))
-
-
-_PATH_KEYS = ["core/a b.py", "///", "x/y-z.md", "_lead/é.py", "a/b/c/./d"]
-
-
-@query("select p path, case when k = '' then 'item' else k end \"key\" from (select p, regexp_replace(regexp_replace(regexp_replace(p, '[/ ]', '_', 'g'), '[^\\p{L}\\p{N}_.:@()+-]', '', 'g'), '^[._-]+|[._-]+$', '', 'g') k from (values " + ", ".join(f"('{p}')" for p in _PATH_KEYS) + ") x(p))")
-def safe_keys(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(p,) for p in _PATH_KEYS], "path string").select("path", texts.safe_key(F.col("path")).alias("key"))
-
-
-_FILES = [
-    ("core/a/b.py", "import core.util\nfrom . import y\ndef run():\n    helper()\n    _hidden()\n    own()\ndef own(): pass", ["run", "own"]),
-    ("core/util.py", 'def helper(x):\n    """Helps. Really."""\n    return x\nclass A: pass', ["helper", "_hidden"]),
-    ("core/a/__init__.py", "from core.a.b import run\nimport requests", ["setup"]),
-]
-_IMPORTS = [("core/a/b.py", "import core.util"), ("core/a/b.py", "from . import y"), ("core/a/__init__.py", "from core.a.b import run"), ("core/a/__init__.py", "import requests"), ("core/util.py", "from ..a import z")]
-
-
-def _files(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_FILES, "path string, text string, functions array<string>")
-
-
-@query("select * from (values ('core_a_b.py', 'core_util.py', 'imports', 1.0::double), ('core_a_b.py', 'core_a___init__.py', 'imports', 1.0), ('core_a___init__.py', 'core_a_b.py', 'imports', 1.0)) x(src, dst, kind, weight)")
-def import_edges(t: Tables) -> DataFrame:
-    return graph.import_edges(t.spark.createDataFrame(_IMPORTS, "path string, statement string"), _files(t)).drop("statement")
-
-
-@query("select * from (values ('core_a_b.py', 'core_util.py', 'references', 0.8::double, 'helper')) x(src, dst, kind, weight, name)")
-def reference_edges(t: Tables) -> DataFrame:
-    return graph.reference_edges(_files(t))
-
-
 @query("select 'dir:' || coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), '.') src, regexp_replace(regexp_replace(regexp_replace(path, '[/ ]', '_', 'g'), '[^\\p{L}\\p{N}_.:@()+-]', '', 'g'), '^[._-]+|[._-]+$', '', 'g') dst, 'contains' kind, 1.0::double weight from repo_docs", "repo_docs")
 def contains_edges(t: Tables) -> DataFrame:
     return graph.contains_edges(t.repo_docs.select("path"))
 
 
-@query("select * from (values ('core/a/b.py', 7, 2, 2, 0, null), ('core/util.py', 4, 0, 1, 1, 'Helps'), ('core/a/__init__.py', 2, 2, 0, 0, null)) x(path, lines, imports, functions, classes, summary)")
-def code_heuristics(t: Tables) -> DataFrame:
-    return _files(t).select("path", texts.code_counts(F.col("text")).alias("c"), texts.first_docstring(F.col("text")).alias("summary")).select("path", "c.*", "summary")
-
-
-@query("select * from (values ('[\"a\",\"b\"]', 'a|b'), ('x, ''y''', 'x|y'), ('', ''), ('[a, b]', 'a|b')) x(raw, names)")
-def depends_on_lists(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([('["a","b"]',), ("x, 'y'",), ("",), ("[a, b]",)], "raw string")
-    return rows.select("raw", F.array_join(texts.names_list(F.col("raw")), "|").alias("names"))
-
-
-@query("select * from (values ('TRUE', 'true'), ('1', 'true'), ('no', 'false'), ('maybe', 'none')) x(word, flag)")
-def flags(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("TRUE",), ("1",), ("no",), ("maybe",)], "word string").select("word", F.coalesce(texts.flag(F.col("word")).cast("string"), F.lit("none")).alias("flag"))
-
-
 @query("select n_name, 'Hello ' || n_name || ' of {unknown} ' || n_regionkey line from nation")
 def templates(t: Tables) -> DataFrame:
     return t.read("nation").select("n_name", texts.rendered("Hello {name} of {unknown} {region}", name=F.col("n_name"), region=F.col("n_regionkey")).alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import entities, paging
 from ..sources.keyed import Ingested, Keyed
-from ..sources.stage import saved, shared_folder, stored
+from ..sources.stage import shared_folder, stored
 from ..streaming import streams
 from .registry import query
 from .tables import EPOCH, Tables

@@ -177,12 +177,6 @@ def seeded_split(t: Tables) -> DataFrame:
     return t.read("labels").select("doc_id", F.when(place < 0.8, "train").otherwise("val").alias("part"))
 
 
-@query("select label, array_to_string(list(v order by v), ',') kept from (select 1) a, (select 'x' label, unnest([0, 40, 100, 180, 200, 305]) v) b where v in (0, 100, 200, 305) group by label")
-def spaced_boundaries(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("x", [0, 40, 100, 180, 200, 305])], "label string, at array<int>")
-    return rows.select("label", F.array_join(memory.spaced(F.col("at"), 100).cast("array<string>"), ",").alias("kept"))
-
-
 @query("select doc_id from observations where trim(content) <> ''", "observations")
 def non_blank(t: Tables) -> DataFrame:
     return t.observations.where(F.trim("content") != "").select("doc_id")
@@ -213,10 +207,3 @@ def dir_counts(t: Tables) -> DataFrame:
     return t.repo_docs.groupBy(texts.directory(F.col("path")).alias("directory")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("select src, dst, kind, weight from (values ('a', 'b', 'imports', 1.0::double), ('a', 'c', 'references', 0.8::double), ('a', 'b', 'references', 0.8::double)) x(src, dst, kind, weight)")
-def idempotent_edges(t: Tables) -> DataFrame:
-    """Edges written twice are kept once, by a key made of what they say; an import and a reference between the same files are two."""
-    from ..sources import sinks
-
-    rows = [("a", "b", "imports", 1.0), ("a", "c", "references", 0.8), ("a", "b", "imports", 1.0), ("a", "b", "references", 0.8)]
-    return sinks.keyed_edges(t.spark.createDataFrame(rows, "src string, dst string, kind string, weight double")).drop("key")
