@@ -6,9 +6,11 @@ the whole, each further one of LEVELS a share. Names only discount: an element w
 passes on a part of its points, little where the name leaves no doubt, more where the word has other uses or stands beside one that isn't
 known. The element with the most points is the article's container. From there upwards, up to the article or the body, siblings with
 a fair part of its points are kept with it, and what is text by its tag. Within what is kept a discounted element stays if its discounted
-points are worth it. Of what is kept all blocks are put out, in page order, but for list items and bare boxes that are links alone.
+points are worth it. Of what is kept all blocks are put out, in page order, but for list items and bare boxes that are links alone, unless
+these are titles by their length.
 
-Menus, forms and what is hidden (nav, form, button, dialog; hidden, display: none) are never looked at, scripts and styles neither.
+Menus and what is hidden (nav, button, dialog; hidden, display: none) are never looked at, scripts and styles neither. A form or fieldset is
+left out if its controls outweigh the points of its text, so one around the whole page isn't.
 
 Defined results: null, empty or textless html gives an empty text; unclosed and stray tags are closed or dropped; a page without any
 container that stands out gives all its text outside of furniture; repeated rows each get their result; an empty table gives an empty
@@ -32,7 +34,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video head select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 #: Tags that are never article text.
-NEVER = frozenset("nav form button dialog menu fieldset".split())
+NEVER = frozenset("nav button dialog menu".split())
+#: Elements that hold controls, and the controls; one counts as much as CONTROL points of text.
+FORMS = frozenset("form fieldset".split())
+CONTROLS = frozenset("input select textarea button".split())
+CONTROL = 3.0
 #: Tags that are text wherever the article is.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr br".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -42,16 +48,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words of a class or id that leave no doubt, and words that articles use as well.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors navbar navigation nav breadcrumb breadcrumbs sidebar sidebars masthead topbar bottombar toolbar cookie cookies consent gdpr "
-    "popup modal overlay newsletter subscribe signup login signin comment comments commentlist disqus replies pagination pager outbrain taboola footer".split()
+    "popup modal overlay newsletter subscribe signup login signin comment comments commentlist discussion discussions disqus replies pagination pager outbrain taboola footer".split()
 )
 MILD = frozenset(
-    "promo promotion promoted banner menu menus aside header notice notices alert alerts subscription reply respond discussion reactions share sharing social related recommended recommendations widget skip search rail "
+    "promo promotion promoted banner menu menus aside header notice notices alert alerts subscription reply respond reactions share sharing social related recommended recommendations widget skip search rail "
     "disclaimer copyright legal reader responses feedback form".split()
 )
 #: Words that say what an element is laid out like, or that it is the article's.
 GOOD = frozenset("article body content entry main post story text has no with without layout".split())
 #: Words that say nothing of what is in an element.
-PLAIN = frozenset("area bar block bottom box button buttons col column container group holder inner item items left links list outer panel right row section site page top wrap wrapper".split())
+PLAIN = frozenset("area bar block bottom box button buttons col column container group holder inner item items left links list outer panel right row section site page thread threads top wrap wrapper".split())
 #: What a name leaves of an element's points: no doubt, a word with other uses alone, and beside a word that isn't known.
 SURE, ALONE, BESIDE = 0.005, 0.1, 0.4
 #: Discounted points for which a discounted element stays within the article.
@@ -60,19 +66,24 @@ LEAST = 1.5
 LEVELS = 8
 MENU = frozenset("ul ol li div td tr dd dt".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/>]|\Z)", re.I)
+#: A tag's attributes: a quote opens a value only after an equals sign, as HTML has it.
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+HIDDEN_INPUT = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 SPACE = re.compile(r"\s+")
+#: A list of links alone is text from this mean length of an item on: titles, not names of a menu's pages.
+TITLE = 24
 
 
 class Node:
-    __slots__ = ("children", "drop", "factor", "keep", "links", "name", "parent", "points", "raw", "size")
+    __slots__ = ("children", "controls", "drop", "factor", "keep", "links", "name", "parent", "points", "raw", "size")
 
     def __init__(self, name: str, parent: Node | None, drop: bool, factor: float = 1.0):
         self.name, self.parent, self.drop, self.factor = name, parent, drop, factor
         self.children: list[Node | str] = []
         self.points = self.raw = 0.0
-        self.size = self.links = 0
+        self.size = self.links = self.controls = 0
         self.keep = False
 
 
@@ -99,11 +110,11 @@ def discount(name: str, attributes: str, within: bool) -> float:
         return 0.0
     out = 1.0
     if name in ("header", "footer", "aside"):
-        out = (BESIDE if name == "aside" else SURE if name == "footer" else 1.0) if within else SURE
+        out = ((BESIDE if attributes.strip(" /") else 1.0) if name == "aside" else SURE if name == "footer" else 1.0) if within else SURE
     if not attributes or name in ("html", "body", "article", "main"):
         return out
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
             return 0.0
         if key == "role" and value.lower() in ROLES:
@@ -127,6 +138,11 @@ def tree(page: str) -> Node:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if name in CONTROLS and not m[1] and not HIDDEN_INPUT.search(m[3] or ""):
+            up = at
+            while up is not root and up.name not in FORMS:
+                up = up.parent
+            up.controls += 1
         if m[1]:
             up = at
             while up is not root and up.name != name:
@@ -212,6 +228,42 @@ def blocks(node: Node, out: list) -> None:
     flush()
 
 
+def points_of(line: str, links: int) -> float:
+    return (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - links / len(line))
+
+
+def without_forms(root: Node, found: list) -> list:
+    """What is left of found without the forms whose controls outweigh their points; a form around the page isn't one of these."""
+    forms = [n for n in in_order(root) if n.name in FORMS]
+    if not forms:
+        return found
+    points = {id(n): 0.0 for n in forms}
+    for owner, line, links in found:
+        up = owner
+        while up is not None:
+            if id(up) in points:
+                points[id(up)] += points_of(line, links)
+            up = up.parent
+    for n in reversed(forms):
+        up = n.parent
+        while up is not None and up.name not in FORMS:
+            up = up.parent
+        if points[id(n)] <= CONTROL * n.controls:
+            n.drop = True
+        elif up is not None:
+            up.controls += n.controls
+    gone = {id(n) for n in forms if n.drop}
+
+    def stays(at: Node | None) -> bool:
+        while at is not None:
+            if id(at) in gone:
+                return False
+            at = at.parent
+        return True
+
+    return [x for x in found if stays(x[0])] if gone else found
+
+
 def in_order(root: Node) -> list[Node]:
     """All nodes that aren't dropped, parents before children."""
     out, stack = [], [root]
@@ -229,7 +281,7 @@ def scored(root: Node, found: list) -> list[Node]:
     for n in nodes:  # what is left of a block's points after all names above it
         passed[id(n)] = n.factor * (passed[id(n.parent)] if n.parent is not None else 1.0)
     for owner, line, links in found:
-        points = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - links / len(line)) * passed[id(owner)]
+        points = points_of(line, links) * passed[id(owner)]
         owner.raw += points
         owner.size += len(line)
         owner.links += links
@@ -268,6 +320,7 @@ def extracted(page: str | None) -> str:
     root = tree(page)
     found: list = []
     blocks(root, found)
+    found = without_forms(root, found)
     if not found:
         return ""
     nodes = scored(root, found)
@@ -303,7 +356,23 @@ def extracted(page: str | None) -> str:
                 n.drop = True
             if n.parent.drop:
                 n.keep, n.drop = False, True
-    return " ".join(line for owner, line, links in found if (owner.keep or id(owner) in own) and not (owner.name in MENU and links >= 0.9 * len(line)))
+    chosen = [x for x in found if x[0].keep or id(x[0]) in own]
+    return " ".join(line for (_, line, _), bare in zip(chosen, menus(chosen), strict=True) if not bare)
+
+
+def menus(chosen: list) -> list[bool]:
+    """Which blocks are items of menus: link text alone in list items and bare boxes. Items that follow each other are judged together: a
+    list of titles (references, further reading) isn't a menu."""
+    out = [owner.name in MENU and links >= 0.9 * len(line) for owner, line, links in chosen]
+    at = 0
+    while at < len(out):
+        end = at
+        while end < len(out) and out[end] and chosen[end][0].name == chosen[at][0].name and chosen[end][0].parent is chosen[at][0].parent:
+            end += 1
+        if end > at and chosen[at][0].name in ("li", "dd", "dt") and sum(len(x[1]) for x in chosen[at:end]) >= TITLE * (end - at):
+            out[at:end] = [False] * (end - at)
+        at = max(end, at + 1)
+    return out
 
 
 def main_texts(pages: DataFrame, *keep: str) -> DataFrame:
