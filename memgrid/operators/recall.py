@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.stage import saved
 from . import graph, memory
 
 
@@ -45,5 +47,26 @@ def retrieved(
     edges = edges.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi")
     beam = graph.memory_beam(first, edges, allowed, queries, as_of=as_of)
     rows = graph.reached(beam).join(vertices.select("id", "collection"), "id")
+    return best(rows, results)
+
+
+def best(rows: DataFrame, results: int) -> DataFrame:
+    """(query_id, id, collection, score, place): the `results` best of rows (query_id, id, collection, score, place), placed anew."""
     last = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "place"))
-    return rows.withColumn("n", last).where(F.col("n") <= results).select("query_id", "id", "collection", "score", F.col("n").alias("place"))
+    return rows.withColumn("n", last).where(F.col("n") <= results).select("query_id", "id", "collection", "score", F.col("n").cast("long").alias("place"))
+
+
+#: Results that are broadcast to their payloads at most; more are joined by a shuffle.
+FEW = 100_000
+
+
+def with_payloads(rows: DataFrame, payloads: Mapping[str, DataFrame]) -> DataFrame:
+    """Results (id, collection, ...) with the columns of their collection's payload (id, ...), the same columns for each. Results without a
+    row in their collection, or of another collection, are left out."""
+    rows = saved(rows)
+    few = rows.count() <= FEW
+    out = []
+    for name, payload in payloads.items():
+        own = rows.where(F.col("collection") == name)
+        out.append(payload.join(F.broadcast(own) if few else own, "id"))
+    return reduce(DataFrame.unionByName, out)
