@@ -164,3 +164,40 @@ def rendered(template: str, **values: Column) -> Column:
 def only_reads(statement: Column) -> Column:
     tokens = F.split(F.upper(statement), "[^A-Z]+")
     return ~F.arrays_overlap(tokens, F.array(*map(F.lit, READ_ONLY_WORDS)))
+
+
+def json_at(text: Column, *keys: str) -> Column:
+    """The value under nested keys of a JSON text, as text; an absent key is an error that names it, as is a null on the way."""
+    at, out = "$", text
+    for key in keys:
+        at += f"['{key}']"
+        found = F.get_json_object(text, at)
+        out = F.when(found.isNull(), F.raise_error(F.concat(F.lit(f"no {at[1:]} in "), F.substring(F.coalesce(text, F.lit("null")), 1, 80)))).otherwise(found)
+    return out
+
+
+def function_names(text: Column) -> Column:
+    """Names of Python functions, in order, repeats kept."""
+    return F.regexp_extract_all(text, F.lit(r"def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1))
+
+
+def summary(text: Column) -> Column:
+    """The first sentence of the first text in three quotes, double ones before single ones; null without one."""
+    quoted = lambda q: F.when(text.rlike(f"(?s){q}.*?{q}"), F.trim(F.regexp_extract(text, f"(?s){q}(.*?){q}", 1)))
+    body = F.coalesce(quoted('"""'), quoted("'''"))
+    return F.nullif(F.trim(F.get(F.split(body, r"[.!?]\s+"), F.lit(0))), F.lit(""))
+
+
+def symbol_digest(categories: Column) -> Column:
+    """SHA-256 of a map from category to names: categories in order, each with its names in order, so that it changes with the structure alone."""
+    line = lambda x: F.concat(x["key"], F.lit(":"), F.array_join(F.sort_array(F.filter(x["value"], lambda n: n != "")), ","), F.lit(";"))
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(categories), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)), line), ""), 256)
+
+
+def query_templates(path: Column, text: Column) -> Column:
+    """What one may ask of a file: by its name, by its name's words, its summary, and its first two functions if it is Python."""
+    stem = F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+    stem = F.when(F.coalesce(path, F.lit("")) == "", F.lit("unknown")).otherwise(stem)
+    asked = F.array(F.concat(F.lit("What does "), stem, F.lit(" do?")), F.concat(F.lit("How does "), F.replace(stem, F.lit("_"), F.lit(" ")), F.lit(" work?")), summary(text))
+    functions = F.transform(F.slice(function_names(text), 1, 2), lambda f: F.concat(F.lit("How does "), f, F.lit(" function work?")))
+    return F.concat(F.array_compact(asked), F.when(path.endswith(".py"), functions).otherwise(F.array().cast("array<string>")))

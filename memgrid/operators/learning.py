@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.texts import query_templates
 from ..functions.vectors import normalized
+from ..sources.stage import saved
+from .indexing import dense_index
 
 
 def neighbour_mean(edges: DataFrame, features: DataFrame) -> DataFrame:
@@ -82,3 +85,27 @@ def embedded_new(new: DataFrame, edges: DataFrame, features: DataFrame, **model:
     part = edges.join(near.select(F.col("id").alias("dst")), "dst", "left_semi")
     own = features.join(near, "id", "left_semi").join(new.select("id"), "id", "left_anti").unionByName(new.select("id", "v"))
     return embedded(own, part, **model).join(new.select("id"), "id", "left_semi")
+
+
+def edge_weights(edges: DataFrame) -> DataFrame:
+    """(kind, n, unweighted, total, least, most): how many edges (kind, props: map) of each kind there are, and the sum, least and most of their weights. An edge
+    without the key `weight` has 1.0; a weight that is there and null stays null."""
+    weight = F.when(F.map_contains_key("props", F.lit("weight")), F.col("props")["weight"].cast("double")).otherwise(F.lit(1.0))
+    rows = edges.select("kind", weight.alias("w"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("w").isNull(), 1)).alias("unweighted"), F.sum("w").alias("total"), F.min("w").alias("least"), F.max("w").alias("most"))
+
+
+def query_pairs(files: DataFrame, ratio: float = 2.0, seed: str = "pairs") -> DataFrame:
+    """(query, id, label) of files (id, path, text): each question that a file answers with the file, label 1, and `ratio` times as many
+    pairs with another file, label 0: the files in turn that a hash picks, the next one where it picks the file itself."""
+    numbered = saved(dense_index(files.select("id", "path", "text"), "id", "n"))
+    size = numbered.count()
+    good = saved(numbered.select("id", "n", F.posexplode(query_templates(F.col("path"), F.col("text"))).alias("k", "query")))
+    whole, part = int(ratio), ratio - int(ratio)
+    place = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("n").cast("string"), F.col("k").cast("string"), salt)), 1, 8), 16, 10).cast("long")
+    times = F.lit(whole) + (place(F.lit("part")) < int(part * (1 << 32))).cast("int")
+    bad = good.withColumn("i", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    pick = place(F.col("i").cast("string")) % size
+    bad = bad.withColumn("other", F.when(pick == F.col("n"), (pick + 1) % size).otherwise(pick)).where(F.lit(size > 1))
+    bad = bad.select("query", "other").join(numbered.select(F.col("n").alias("other"), "id"), "other").select("query", "id", F.lit(0).alias("label"))
+    return good.select("query", "id", F.lit(1).alias("label")).unionByName(bad)

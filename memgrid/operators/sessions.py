@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scores
 
@@ -31,6 +34,19 @@ def deep_merged(base: Column, over: Column) -> Column:
     return F.map_zip_with(base, over, lambda k, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merged(a, b)))
 
 
+def _merge(base: object, over: object) -> object:
+    if isinstance(base, dict) and isinstance(over, dict):
+        return {k: _merge(base[k], over[k]) if k in base and k in over else over.get(k, base.get(k)) for k in [*base, *(k for k in over if k not in base)]}
+    return over
+
+
+@F.pandas_udf(StringType())
+def deep_merged_json(base: pd.Series, over: pd.Series) -> pd.Series:
+    """Two JSON objects merged at any depth: objects of the same name are merged, anything else of the second one wins, null too. A null text is an empty object."""
+    load = lambda x: {} if x is None else json.loads(x)
+    return pd.Series([json.dumps(_merge(load(a), load(b)), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for a, b in zip(base, over, strict=True)])
+
+
 def envelope(overrides: Column, extra: Column, stop: Column) -> Column:
     """Settings of a call: overrides, then extra, and the stop words (joined by |) where there are some and none are set."""
     both = merged(overrides, extra)

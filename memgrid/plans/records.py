@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import embed, scores, texts
@@ -86,9 +87,10 @@ def halved_fanout(t: Tables) -> DataFrame:
 
 @query("select kind, count(*) n, array_to_string(list(round(coalesce(strength, 1.0), 3)::decimal(9, 3) order by strength)[1:5], ',') least from relationships group by kind", "relationships")
 def edge_weight_lists(t: Tables) -> DataFrame:
-    weights = F.slice(F.sort_array(F.collect_list(F.coalesce("strength", F.lit(1.0)))), 1, 5)
-    text = F.array_join(F.transform(weights, lambda x: F.round(x, 3).cast("decimal(9,3)").cast("string")), ",")
-    return t.relationships.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), text.alias("least"))
+    rows = t.relationships.select("kind", F.coalesce("strength", F.lit(1.0)).alias("w"))
+    least = rows.withColumn("n", F.row_number().over(W.partitionBy("kind").orderBy("w"))).where("n <= 5")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda x: F.round(x, 3).cast("decimal(9,3)").cast("string")), ",")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(least.groupBy("kind").agg(text.alias("least")), "kind")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, texts
+from ..operators import chunks, learning, sessions
 from ..sources import files, symbols
 from .registry import query
 from .tables import Tables
@@ -158,3 +159,79 @@ def code_symbols(t: Tables) -> DataFrame:
 def code_metrics(t: Tables) -> DataFrame:
     """Lines and branches of files; what isn't Python has no syntax nodes."""
     return symbols.metrics(_code(t)).select(F.col("path").cast("long").alias("doc_id"), "lines", "complexity", (F.col("nodes") > 0).alias("parsed"))
+
+
+@query(
+    """with w as (select doc_id, list_filter(regexp_split_to_array("text", '\\s+'), lambda w: w <> '') w from documents),
+    c as (select doc_id, w, unnest(range(0, len(w), 2048)) s from w)
+    select doc_id, s // 2048 chunk_index, case when s = 0 then 0 else length(array_to_string(w[1:s], ' ')) end start_char, case when s = 0 then 0 else length(array_to_string(w[1:s], ' ')) end + length(array_to_string(w[s + 1:s + 4096], ' ')) end_char from c"""
+)
+def chunk_offsets(t: Tables) -> DataFrame:
+    """Where windows of 4096 words with an overlap of 2048 lie, in code points."""
+    return chunks.windows(t.read("documents"), "doc_id", "text", 4096, 2048).select("doc_id", "chunk_index", "start_char", "end_char")
+
+
+@query(
+    f"""with f as (select doc_id, k, lang, src, doc_id % 4 n from {_OWN}), c as (select doc_id, case k when 0 then 'class:K' || doc_id || ';constant:LIMIT_' || doc_id || ';function:' || array_to_string(list_transform(range(n), lambda x: 'f') || ['m'], ',')
+    || ';import:' || array_to_string(list_sort([lang, src || '.m']), ',') || ';' when 1 then 'function:Run' || doc_id || ';type:T' || doc_id || ';' end s from f)
+    select doc_id, sha256(s) digest from c where s is not null"""
+)
+def symbol_digests(t: Tables) -> DataFrame:
+    """A digest of each file's symbols by category: a file's names are one bounded group."""
+    rows = symbols.symbols(_code(t)).groupBy("path", "kind").agg(F.collect_list("name").alias("names"))
+    maps = rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("kind", "names"))).alias("categories"))
+    return maps.select(F.col("path").cast("long").alias("doc_id"), texts.symbol_digest(F.col("categories")).alias("digest"))
+
+
+@query(
+    """with b as (select event_id, json_object('model', json_object('size', 'small', 'deep', json_object('a', 1, 'b', json_object('x', event_id % 3))), 'n', event_id) base,
+    json_object('model', json_object('deep', json_object('b', json_object('y', user_id), 'c', event_type)), case when event_id % 2 = 0 then 'n' else 'm' end, json_object('k', 1)) over_ from events)
+    select event_id, (m->'model'->>'size') size, (m->'model'->'deep'->>'a')::bigint a, (m->'model'->'deep'->'b'->>'x')::bigint x, (m->'model'->'deep'->'b'->>'y')::bigint y, (m->'model'->'deep'->>'c') c, (m->>'n') n from (select event_id, json_merge_patch(base, over_) m from b)"""
+)
+def deep_merges_any(t: Tables) -> DataFrame:
+    """Settings of four levels merged as JSON, taken apart again."""
+    i = F.col("event_id").cast("string")
+    base = F.concat(F.lit('{"model":{"size":"small","deep":{"a":1,"b":{"x":'), (F.col("event_id") % 3).cast("string"), F.lit("}}},"), F.lit('"n":'), i, F.lit("}"))
+    over = F.concat(F.lit('{"model":{"deep":{"b":{"y":'), F.col("user_id").cast("string"), F.lit('},"c":"'), "event_type", F.lit('"}},"'), F.when(F.col("event_id") % 2 == 0, "n").otherwise("m"), F.lit('":{"k":1}}'))
+    rows = t.read("events").select("event_id", sessions.deep_merged_json(base, over).alias("m"))
+    at = lambda path: F.get_json_object("m", f"$.{path}")
+    return rows.select("event_id", at("model.size").alias("size"), at("model.deep.a").cast("long").alias("a"), at("model.deep.b.x").cast("long").alias("x"), at("model.deep.b.y").cast("long").alias("y"), at("model.deep.c").alias("c"), at("n").alias("n"))
+
+
+@query("""select event_id, (props::json->>'k') k from events""")
+def required_json(t: Tables) -> DataFrame:
+    """A nested value that must be there; without it the query fails with the key's name."""
+    whole = F.concat(F.lit('{"stats":{"wall":'), "props", F.lit("}}"))
+    return t.read("events").select("event_id", texts.json_at(whole, "stats", "wall", "k").alias("k"))
+
+
+@query(
+    """with e as (select from_id, case when from_id = to_id then null when kind = 'relates_to' then 'a' else 'b' end kind, strength, (regexp_extract(from_id, '[0-9]+')::bigint * 7 + regexp_extract(to_id, '[0-9]+')::bigint) % 13 h from relationships)
+    select kind, count(*) n, count(*) filter (h = 1) unweighted, round(sum(case when h = 0 then 1.0 when h = 1 then null else strength end), 4) total, round(min(case when h = 0 then 1.0 when h = 1 then null else strength end), 6) least, round(max(case when h = 0 then 1.0 when h = 1 then null else strength end), 6) most from e group by kind""",
+    "relationships",
+)
+def edge_weight_totals(t: Tables) -> DataFrame:
+    """Weights of edges by kind, from properties in which the weight is absent for some and null for others."""
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long")
+    h = (number("from_id") * 7 + number("to_id")) % 13
+    none = F.create_map().cast("map<string,string>")
+    props = F.when(h == 0, none).when(h == 1, F.create_map(F.lit("weight"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("weight"), F.col("strength").cast("string")))
+    kind = F.when(F.col("from_id") != F.col("to_id"), F.when(F.col("kind") == "relates_to", "a").otherwise("b"))
+    rows = learning.edge_weights(t.relationships.select(kind.alias("kind"), props.alias("props")))
+    return rows.select("kind", "n", "unweighted", F.round("total", 4).alias("total"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
+
+
+_PICK = "('0x' || substr(md5('pairs|' || f.n || '|' || k || '|' || {0}), 1, 8))::bigint"
+
+
+@query(
+    f"""with f as (select doc_id id, row_number() over (order by doc_id) - 1 n, case when doc_id % 7 = 6 then 'def (' when doc_id % 3 = 2 then 'go' else 'py' end kind, doc_id % 4 fs, count(*) over () size from documents),
+    g as (select *, unnest(['What does file_' || id || ' do?', 'How does file ' || id || ' work?'] || case when kind = 'py' then list_transform((['m'] || list_transform(range(fs), lambda x: 'f'))[1:2], lambda x: 'How does ' || x || ' function work?') else [] end) query,
+        unnest(range(2 + case when kind = 'py' then least(2, 1 + fs) else 0 end)) k from f),
+    b as (select query, n, size, {_PICK.replace("f.n", "n").format("i")} % size p from g, (select unnest([1, 2]) i))
+    select query, id, 1 as "label" from g union all select b.query, f.id, 0 from b join f on f.n = case when b.p = b.n then (b.p + 1) % b.size else b.p end"""
+)
+def query_pairs(t: Tables) -> DataFrame:
+    """Questions that files answer, with twice as many of other files."""
+    rows = _code(t).select(F.col("doc_id").alias("id"), F.concat(F.lit("src/file_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
+    return learning.query_pairs(rows)

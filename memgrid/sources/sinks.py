@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.indexing import dense_index
+from .stage import saved
+
 
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
@@ -23,14 +26,36 @@ def append_turn(messages: DataFrame, path: str) -> None:
     messages.withColumn("tokens", F.coalesce("tokens", F.lit(0))).write.mode("append").parquet(path)
 
 
-def export_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """Vertices with their index, and edges split by kind."""
-    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
-    edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
-
-
-def keyed_edges(edges: DataFrame, parts: Sequence[str] = ("src", "dst", "kind")) -> DataFrame:
-    """Edges with a key made of what they say, each once, so that writing them again changes nothing."""
+def export_graph(vertices: DataFrame, edges: DataFrame, path: str, splits: DataFrame | None = None) -> None:
+    """Vertices with their index from 0 in the order of their ids, edges split by kind with the indexes of their ends, the map from id to
+    index as JSON lines, and splits (id, part) by index. vertices (id, ...), edges (src, dst, kind, ...); edges to what isn't there stay
+    out."""
+    if "id" not in vertices.columns:
+        vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+        edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+        return
+    placed = saved(dense_index(vertices, "id", "n"))
+    placed.write.mode("overwrite").parquet(f"{path}/vertices")
+    ids = placed.select("id", "n")
+    ids.write.mode("overwrite").json(f"{path}/id_map")
+    end = lambda rows, c: rows.join(ids.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n")), c)
+    end(end(edges, "src"), "dst").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+    if splits is not None:
+        splits.join(ids, "id").select("n", "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/splits")
+
+
+def log_records(rows: DataFrame, path: str | None = None, dry_run: bool = False) -> DataFrame:
+    """Records (columns of any kind, nested ones too) as (record: JSON), appended to a log of JSON lines unless there is no path or it is a dry run."""
+    lines = rows.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("record"))
+    if path and not dry_run:
+        lines.write.mode("append").text(path)
+    return lines
+
+
+def keyed_edges(edges: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+    """Edges with a key made of what they say, each once, so that writing them again changes nothing: their ends, their kind, and the name
+    of what is referred to where they have one."""
+    parts = parts or [c for c in ("src", "dst", "kind", "name") if c in edges.columns]
     return edges.withColumn("key", F.sha2(F.to_json(F.struct(*parts)), 256)).dropDuplicates(["key"])
 
 

@@ -2,10 +2,11 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from memgrid.functions import scores, texts
-from memgrid.operators import graph, memory
+from memgrid.operators import chunks, graph, learning, memory, sessions
 from memgrid.sources import files, sinks
 
 LATEX = r"See \cite{a,b} and \citep{b, c}. $x+y$ \begin{equation} E = mc^2 \end{equation} \section{Intro} \subsection{More} \begin{table} \caption{A {nested} one} \end{table} $z$ \begin{align*} a &= b \end{align*}"
@@ -66,3 +67,68 @@ def test_readers(spark):
     assert [(r["path"], r["text"], r["kind"], r["error"] is None) for r in out] == [
         ("a.txt", "plain text", "text", True), ("b.tex", "tex \\section{x}", "latex", True), ("c.pdf", None, "pdf", False), ("d.pdf", "Hello", "pdf", True), ("e.pdf", None, "pdf", False),
     ]
+
+
+def test_json_that_must_be_there(spark):
+    assert one(spark, ['{"a":{"b":"x"}}'], lambda t: texts.json_at(t, "a", "b")) == ["x"]
+    for text in ('{"a":{}}', '{"b":1}', None, "no json", '{"a":{"b":null}}'):
+        with pytest.raises(Exception, match=r"no \['a'\]"):
+            spark.createDataFrame([(text,)], "x string").select(texts.json_at(F.col("x"), "a", "b")).collect()
+
+
+def test_merges_of_any_depth(spark):
+    rows = [('{"a":{"b":{"c":1,"d":2}},"k":1}', '{"a":{"b":{"c":{"x":1}},"e":null},"m":[1]}'), (None, '{"a":1}'), ('{"a":{"b":1}}', '{"a":2}'), ('{"a":1}', None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(sessions.deep_merged_json(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r["m"] for r in got] == ['{"a":{"b":{"c":{"x":1},"d":2},"e":null},"k":1,"m":[1]}', '{"a":1}', '{"a":2}', '{"a":1}']
+
+
+def test_export_with_indexes_and_splits(spark, tmp_path):
+    vertices = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 3.0)], "id string, x double")
+    edges = spark.createDataFrame([("a", "b", "imports"), ("c", "a", "references"), ("a", "gone", "imports")], "src string, dst string, kind string")
+    sinks.export_graph(vertices, edges, str(tmp_path / "g"), spark.createDataFrame([("a", "train"), ("c", "val")], "id string, part string"))
+    read = lambda x: spark.read.parquet(str(tmp_path / "g" / x)).collect()
+    assert {(r["id"], r["n"]) for r in spark.read.json(str(tmp_path / "g" / "id_map")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r["src_n"], r["dst_n"], r["kind"]) for r in read("edges")} == {(0, 1, "imports"), (2, 0, "references")}
+    assert {(r["n"], r["part"]) for r in read("splits")} == {(0, "train"), (2, "val")}
+
+
+def test_log_of_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, (2.5, "x"))], "id long, score struct<value: double, note: string>")
+    at = str(tmp_path / "log")
+    assert sinks.log_records(rows, at, dry_run=True).first()["record"] == '{"id":1,"score":{"value":2.5,"note":"x"}}'
+    for _ in range(2):
+        sinks.log_records(rows, at)
+    assert spark.read.json(at).count() == 2
+
+
+def test_edges_with_names_are_told_apart(spark):
+    rows = [("a", "b", "references", "f"), ("a", "b", "references", "g"), ("a", "b", "references", "f")]
+    assert sinks.keyed_edges(spark.createDataFrame(rows, "src string, dst string, kind string, name string")).count() == 2
+
+
+def test_tables_are_made_and_dropped(spark):
+    sinks.create_table(spark, "made_here", "key string, part int", ["part"])
+    sinks.create_table(spark, "made_here", "key string, part int", ["part"])
+    assert spark.table("made_here").count() == 0
+    sinks.drop_table(spark, "made_here")
+    sinks.drop_table(spark, "made_here")
+    assert not spark.catalog.tableExists("made_here")
+
+
+def test_ratio_of_pairs(spark):
+    code = spark.createDataFrame([(i, f"a/b_{i}.py", 'def f():\n    """Says so. Twice."""\ndef g(): pass') for i in range(50)], "id long, path string, text string")
+    rows = learning.query_pairs(code, 1.5).collect()
+    good = [r for r in rows if r["label"] == 1]
+    assert {r["query"] for r in good if r["id"] == 7} == {"What does b_7 do?", "How does b 7 work?", "Says so", "How does f function work?", "How does g function work?"}
+    assert len(good) == 250 and 330 < len(rows) - len(good) < 420
+    assert not any(r["label"] == 0 and r["query"] == f"What does b_{r['id']} do?" for r in rows)
+
+
+def test_offsets_of_windows(spark):
+    text = " ".join("w" * (n % 9 + 1) for n in range(100))
+    own = text.split()
+    rows = chunks.windows(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", 12, 5).collect()
+    assert len(rows) == 15
+    for r in rows:
+        a = len(" ".join(own[: r["start_token"]]))
+        assert (r["start_char"], r["end_char"]) == (a, a + len(r["chunk"]))
