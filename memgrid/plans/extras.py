@@ -10,7 +10,7 @@ from ..functions import texts
 from ..operators import chunks, memory
 from ..operators.indexing import dense_index
 from ..sources import symbols
-from ..sources.stage import saved
+from ..sources.stage import saved, spread
 from .registry import query
 from .tables import EPOCH, Tables
 from .writes import ROLLING
@@ -108,7 +108,7 @@ def largest_file(t: Tables) -> DataFrame:
 def inverted_index(t: Tables) -> DataFrame:
     """How many documents each lower-case term has."""
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
-    docs = t.read("documents")
+    docs = spread(t.read("documents").select("doc_id", "text"))
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     once = docs.join(twice, "doc_id", "left_anti").select(F.explode(terms).alias("term"))
     again = docs.join(twice, "doc_id", "left_semi").select("doc_id", F.explode(terms).alias("term")).distinct().select("term")

@@ -13,7 +13,7 @@ from ..functions import embed, scores, texts
 from ..operators import dependencies, graph, learning, memory, recall, sessions
 from ..operators.indexing import dense_index
 from ..sources import files, sinks, symbols
-from ..sources.stage import shared_folder
+from ..sources.stage import shared_folder, spread
 from .registry import query
 from .retrieval import _EDGES, _MEMORY, _SEEDS, AS_OF, SIM, _memory_hop, asked
 from .tables import EPOCH, Tables
@@ -388,7 +388,7 @@ def training_union(t: Tables) -> DataFrame:
 )
 def hashed_embeddings(t: Tables) -> DataFrame:
     """The hashing embedder over whole documents, places that aren't zero."""
-    rows = embed.hashed_places(t.read("documents"), "doc_id", "text", 16)
+    rows = embed.hashed_places(spread(t.read("documents").select("doc_id", "text")), "doc_id", "text", 16)
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 

@@ -233,7 +233,7 @@ def like_with_nested_edges(t: Tables) -> DataFrame:
 
 
 def _memory_beam(t: Tables) -> DataFrame:
-    vertices = saved(t.vertices.select("id", "collection", "embedding", "created_at_unix"))
+    vertices = t.vertices.select("id", "collection", "embedding", "created_at_unix")
     seeds = similar(t, vertices.where("collection = 'observations'")).orderBy(F.desc("sim"), "id").limit(6).select(F.lit(1).alias("query_id"), "id", F.col("sim").alias("score"))
     return graph.memory_beam(seeds, graph.memory_edges(t.relationships, t.reflections), vertices, asked(t).select(F.lit(1).alias("query_id"), "q"), as_of=float(AS_OF))
 

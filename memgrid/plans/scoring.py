@@ -10,6 +10,7 @@ from ..functions import scores, texts
 from ..functions.vectors import cosine
 from ..operators import graph, learning
 from ..streaming import streams
+from ..sources.stage import spread
 from .registry import query
 from .tables import Tables
 
@@ -85,7 +86,7 @@ def recency_scores(t: Tables) -> DataFrame:
 def chunk_windows(t: Tables) -> DataFrame:
     from ..operators.chunks import windows
 
-    return windows(t.read("documents"), "doc_id", "text").select("doc_id", "chunk_index", "start_token", "end_token", "total_tokens", "chunk")
+    return windows(spread(t.read("documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "chunk_index", "start_token", "end_token", "total_tokens", "chunk")
 
 
 @query(
@@ -95,7 +96,7 @@ def chunk_windows(t: Tables) -> DataFrame:
 def unigram_surprise(t: Tables) -> DataFrame:
     from ..operators.surprise import surprising
 
-    rows = surprising(t.read("documents").select("doc_id", texts.window_words(F.lower("text")).alias("words")), "doc_id")
+    rows = surprising(spread(t.read("documents").select("doc_id", "text")).select("doc_id", texts.window_words(F.lower("text")).alias("words")), "doc_id")
     kind = F.when(F.col("mean") < 0.5, "well_structured").when(F.col("mean") > 1.5, "mixed_concerns").otherwise("moderate")
     return rows.select("doc_id", F.round("mean", 6).alias("surprise"), F.round(F.col("square") - F.col("mean") * F.col("mean"), 4).alias("variance"), kind.alias("kind"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.knn import nearest
-from ..sources.stage import stored
+from ..sources.stage import stored, version
 
 #: The unit of created_at_unix starts here.
 EPOCH = 1704067200
@@ -126,6 +126,9 @@ class Tables:
 
     @cached_property
     def relationships(self) -> DataFrame:
+        return stored(self._relationships, self.spark, "relationships", f"{self.sf_dir}/embeddings.parquet")
+
+    def _relationships(self) -> DataFrame:
         a, b = self.embeddings.select(F.col("vec_id").alias("src"), F.col("label").alias("la")), self.embeddings.select(F.col("vec_id").alias("dst"), F.col("label").alias("lb"))
         rows = self.knn_edges.join(a, "src").join(b, "dst")
         return rows.select(
@@ -188,6 +191,11 @@ class Tables:
 
     @cached_property
     def vertices(self) -> DataFrame:
+        """Observations and reflections as vertices with their vectors, kept as the edges are."""
+        name = f"vertices-{version(self.spark, f'{self.sf_dir}/embeddings.parquet')}"
+        return stored(self._vertices, self.spark, name, f"{self.sf_dir}/documents.parquet")
+
+    def _vertices(self) -> DataFrame:
         o = self.observations.select("id", "key", F.lit("observations").alias("collection"), "embedding", "created_at_unix")
         first = self.observations.select(F.col("doc_id").alias("first_doc"), "embedding")
         r = self.reflections.join(first, "first_doc").select("id", "key", F.lit("reflections").alias("collection"), "embedding", "created_at_unix")

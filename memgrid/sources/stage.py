@@ -28,6 +28,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer parts, as that of a small table in one file has; large tables stay as they are and move nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def version(spark: SparkSession, path: str) -> str:
     """What changes when a table's files do: their number, their bytes, and when the path was last changed."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
