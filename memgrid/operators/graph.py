@@ -60,18 +60,18 @@ def start(seeds: DataFrame, beam: int) -> DataFrame:
     return seeds.select("query_id", F.array("id").alias("path"), F.col("id").alias("tail"), F.round("score", 6).alias("score"), rank.alias("rank")).where(F.col("rank") <= beam)
 
 
-def memory_hop(beams: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, size: int, as_of: float, least: float = 0.3) -> DataFrame:
-    """One hop of beams (query_id, beam: array of rank, path, tail, score): 0.6 path + 0.3 diversity + 0.1 recency, cycles left out, dead
-    ends kept, and the old beam where no score reaches `least`.
+def memory_hop(beams: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, size: int, as_of: float, least: float = 0.3, hop: int = 0) -> DataFrame:
+    """One hop of beams (query_id, told, beam: array of rank, path, tail, score): 0.6 path + 0.3 diversity + 0.1 recency, cycles left out,
+    dead ends kept, and the old beam where no score reaches `least`. told: reasons, to which this hop adds its own, until coverage is reached.
 
     edges are capped (src, dst, n); vertices (id, embedding, created_at_unix); queries (query_id, q). A query's candidates, at most
     size * fanout, are one array; diversity compares each with the ones before it.
     """
-    found = beams.select("query_id", F.inline("beam")).join(edges.select(F.col("src").alias("tail"), "dst", "n"), "tail", "left")
+    found = beams.select("query_id", "told", F.inline("beam")).join(edges.select(F.col("src").alias("tail"), "dst", "n"), "tail", "left")
     found = found.join(vertices.select(F.col("id").alias("dst"), "embedding", "created_at_unix"), "dst", "left")
     known = F.col("created_at_unix").isNotNull() | F.col("dst").isNull()  # edges to what isn't there lead nowhere
     row = F.struct("rank", F.coalesce("n", F.lit(0)).alias("n"), "path", "tail", "score", F.when(known, F.col("dst")).alias("dst"), "embedding", "created_at_unix", (~known | F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False))).alias("closed"))
-    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all")).join(queries.select("query_id", "q"), "query_id")
+    rows = found.groupBy("query_id", "told").agg(F.array_sort(F.collect_list(row)).alias("all")).join(queries.select("query_id", "q"), "query_id")
     new = F.filter("all", lambda x: ~x["closed"] & x["dst"].isNotNull())
     dead = F.filter("all", lambda x: ~x["closed"] & x["dst"].isNull())
 
@@ -83,21 +83,37 @@ def memory_hop(beams: DataFrame, edges: DataFrame, vertices: DataFrame, queries:
         return F.struct((-score).alias("by"), x["rank"].alias("rank"), x["n"].alias("n"), F.concat(x["path"], F.array(x["dst"])).alias("path"), x["dst"].alias("tail"), score.alias("score"))
 
     kept = F.transform("dead", lambda x: F.struct((-x["score"]).alias("by"), x["rank"].alias("rank"), x["n"].alias("n"), x["path"].alias("path"), x["tail"].alias("tail"), x["score"].alias("score")))
-    rows = rows.select("query_id", "q", "all", new.alias("new"), dead.alias("dead"))
-    rows = rows.select("query_id", "all", F.slice(F.array_sort(F.concat(F.transform("new", scored), kept)), 1, size).alias("next"))
+    rows = rows.select("query_id", "told", "q", "all", new.alias("new"), dead.alias("dead"))
+    rows = rows.select("query_id", "told", "all", (F.size("new") + F.size("dead") > size).alias("more"), F.slice(F.array_sort(F.concat(F.transform("new", scored), kept)), 1, size).alias("next"))
     beam = lambda x, rank: F.struct(rank.alias("rank"), x["path"].alias("path"), x["tail"].alias("tail"), x["score"].alias("score"))
     old = F.array_distinct(F.transform("all", lambda x: beam(x, x["rank"])))
     good = F.coalesce(F.array_max(F.transform("next", lambda x: x["score"])) >= least, F.lit(False))
-    return rows.select("query_id", F.when(good, F.transform("next", lambda x, i: beam(x, i + 1))).otherwise(old).alias("beam"))
+    told = F.concat("told", F.array_compact(F.array(F.when(F.col("more"), f"cap_exceeded_hop_{hop}"), F.when(~good, "coverage_reached"))))
+    told = F.when(F.array_contains("told", "coverage_reached"), F.col("told")).otherwise(told)
+    return rows.select("query_id", told.alias("told"), F.when(good, F.transform("next", lambda x, i: beam(x, i + 1))).otherwise(old).alias("beam"))
 
 
-def memory_beam(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, hops: int = 2, fanout: int = 3, size: int = 8, as_of: float = 0.0) -> DataFrame:
-    """(query_id, rank, path, tail, score) after so many hops; all hops are one plan."""
+def memory_beams(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, queries: DataFrame, hops: int = 2, fanout: int = 3, size: int = 8, as_of: float = 0.0) -> DataFrame:
+    """(query_id, told, beam) after so many hops; all hops are one plan. Queries without seeds aren't in it."""
     near = capped(edges, fanout, F.col("pattern"))
+    none = F.array().cast("array<string>")
+    counts = seeds.groupBy("query_id").agg((F.count(F.lit(1)) > size).alias("more"))
     beams = start(seeds, size).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "tail", "score"))).alias("beam"))
-    for _ in range(hops):
-        beams = memory_hop(beams, near, vertices, queries, size, as_of)
-    return beams.select("query_id", F.inline("beam"))
+    beams = beams.join(counts, "query_id").select("query_id", F.when(F.col("more"), F.array(F.lit("cap_exceeded_initial"))).otherwise(none).alias("told"), "beam")
+    for hop in range(hops):
+        beams = memory_hop(beams, near, vertices, queries, size, as_of, hop=hop)
+    return beams
+
+
+def memory_beam(*args: object, **options: object) -> DataFrame:
+    """(query_id, rank, path, tail, score) of memory_beams()."""
+    return memory_beams(*args, **options).select("query_id", F.inline("beam"))
+
+
+def reasons(beams: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, reasons, paths): why the beams (query_id, told, beam) of queries (query_id) are as they are; a query that isn't there had no seeds."""
+    rows = queries.select("query_id").join(beams, "query_id", "left")
+    return rows.select("query_id", F.coalesce("told", F.array(F.lit("empty_seeds"))).alias("reasons"), F.coalesce(F.size("beam"), F.lit(0)).alias("paths"))
 
 
 def code_hop(beam: DataFrame, edges: DataFrame, vertices: DataFrame, hop: int, cycles: bool = True) -> DataFrame:

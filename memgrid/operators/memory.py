@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that a group's values are cut into for ranks.
-RANGES = 1024
+#: Ranges that a group's values are cut into for ranks, a power of two.
+RANGES = 256
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -91,13 +91,41 @@ def consolidated(found: DataFrame, observations: DataFrame, preview: int = 80) -
     return rows.select(key.alias("key"), "session_id", "tag", F.transform("x", lambda y: y["id"]).alias("consolidates"), F.size("x").cast("long").alias("source_count"), F.array_join(F.transform("x", lambda y: y["head"]), "\n").alias("content"))
 
 
+def reflections(found: DataFrame, observations: DataFrame, as_of: float, generator: Callable[[Column], Column], embedder: Callable[[Column], Column], template: str = "{observations}") -> DataFrame:
+    """The whole reflections of candidates (session_id, tag, n, members): (key, session_id, tag, content, tags, consolidates, source_count,
+    strength, prompt_tokens, embedding).
+
+    The prompt lists the members in their order, numbered, with type, text and tags; generator makes the content of it, embedder a vector of
+    the content. tags are those of all members, sorted; strength is the mean of what 30 days leave of the members' recency, to two digits.
+    """
+    rows = found.select("session_id", "tag", F.posexplode("members").alias("pos", "key")).join(observations.select("key", "id", "memory_type", "content", "tags", "created_at_unix"), "key")
+    own = F.array_compact(F.coalesce("tags", F.array().cast("array<string>")))
+    left = F.greatest(F.lit(0.0), 1.0 - (F.lit(as_of) - F.col("created_at_unix")) / F.lit(86400.0 * 30))
+    text = F.concat(F.upper("memory_type"), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n   Tags: "), F.array_join(own, ", "))
+    rows = rows.select("session_id", "tag", F.struct("pos", "id", text.alias("text")).alias("x"), own.alias("own"), left.alias("left"))
+    rows = rows.groupBy("session_id", "tag").agg(F.array_sort(F.collect_list("x")).alias("x"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("tags"), F.round(F.avg("left"), 2).alias("strength"))
+    ids = F.transform("x", lambda y: y["id"])
+    listed = F.array_join(F.transform("x", lambda y, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), y["text"])), "\n\n")
+    before, after = template.split("{observations}")
+    rows = rows.withColumns({"prompt": F.concat(F.lit(before), listed, F.lit(after)), "consolidates": ids})
+    key = F.concat(F.lit("ref_"), F.substring(F.sha2(F.concat_ws("|", "session_id", "tag", F.array_join("consolidates", ",")), 256), 1, 16))
+    rows = rows.withColumn("content", F.trim(generator(F.col("prompt"))))
+    return rows.select(
+        key.alias("key"), "session_id", "tag", "content", "tags", "consolidates", F.size("consolidates").cast("long").alias("source_count"), "strength",
+        F.size(F.filter(F.split("prompt", r"\s+"), lambda w: w != "")).cast("long").alias("prompt_tokens"), embedder(F.col("content")).alias("embedding"),
+    )
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, parts: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Quantiles by nearest rank, halves to even. Equal values are counted first, so a group's work is in its distinct values, cut into
-    ranges of values: counts of ranges say in which of them a rank lies, and only that one is sorted."""
+    ranges of about as many of them by approximate quantiles, outliers or not: counts of ranges say in which of them a rank lies, and only
+    that one is sorted."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
-    ends = counts.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("times").alias("all"))
-    part = F.when(F.col("high") > F.col("low"), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * RANGES)).otherwise(0)
-    placed = counts.join(ends, group).withColumn("part", F.least(F.lit(RANGES - 1), part))
+    cuts = F.percentile_approx(value, [n / RANGES for n in range(1, RANGES)], 4 * RANGES)
+    ends = counts.groupBy(group).agg(F.sum("times").alias("all"), cuts.alias("cuts"))
+    halves = F.array(*(F.lit(RANGES >> n) for n in range(1, RANGES.bit_length())))
+    below = lambda lo, k: F.when((lo + k <= F.size("cuts")) & (F.get("cuts", lo + k - 1) < F.col(value)), lo + k).otherwise(lo)
+    placed = counts.join(ends, group).withColumn("part", F.aggregate(halves, F.lit(0), below)).drop("cuts")
     before = placed.groupBy(group, "part").agg(F.sum("times").alias("size"))
     along = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     before = before.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).select(group, "part", "before")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, latex, recall
+from ..functions import embed
+from ..operators import graph, latex, memory, recall
 from ..sources.stage import saved
 from .records import AS_OF
 from .registry import query
-from .retrieval import _EDGES, _SEEDS, _memory_hop, asked
+from .retrieval import _EDGES, _MEMORY, _SEEDS, _memory_hop, asked
 from .tables import EPOCH, Tables
 
 _PAPER = r"""p as (select doc_id, source, lang, left("text", 300) pre, '\begin{table}[h] \caption{Of {' || source || '}}\label{tab:' || doc_id || '} \begin{tabular}[t]{l@{ }r} a & ' || lang || ' \\ \end{tabular}'
@@ -82,3 +83,43 @@ def retrieve_payloads(t: Tables) -> DataFrame:
         "entities": named.select("id", F.col("name").alias("title"), "n", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("status")),
     }
     return recall.with_payloads(rows, payloads).select("id", "score", "place", "collection", "title", "n", "kind", "status")
+
+
+_CAPPED = "(select count(*) from s{0}) > 8"
+_COVERED = "coalesce((select max(score) from t{0}), 0) < 0.3"
+
+
+@query(
+    _MEMORY
+    + f""", h as (select {_CAPPED.format(0)} m0, {_COVERED.format(0)} c0, {_CAPPED.format(1)} m1, {_COVERED.format(1)} c1)
+    select 1 query_id, array_to_string(list_filter([case when m0 then 'cap_exceeded_hop_0' end, case when c0 then 'coverage_reached' end, case when m1 and not c0 then 'cap_exceeded_hop_1' end, case when c1 and not c0 then 'coverage_reached' end], lambda x: x is not null), ',') reasons,
+    (select count(*) from b2) paths from h union all select 2, 'empty_seeds', 0""",
+    "relationships",
+    "vertices",
+)
+def beam_reasons(t: Tables) -> DataFrame:
+    """Why two queries' beams are as they are: one that finds seeds, and one that finds none."""
+    vertices = t.vertices.select("id", "collection", "embedding", "created_at_unix")
+    one = asked(t).select(F.lit(1).alias("query_id"), "q")
+    first = recall.seeds(vertices.where("collection = 'observations'"), one, -1.0)
+    beams = graph.memory_beams(first, graph.memory_edges(t.relationships, t.reflections), vertices, one, as_of=float(AS_OF))
+    both = one.unionByName(one.withColumn("query_id", F.lit(2)))
+    return graph.reasons(beams, both).select("query_id", F.array_join("reasons", ",").alias("reasons"), F.col("paths").cast("long").alias("paths"))
+
+
+@query(
+    f"""with recent as (select * from observations qualify row_number() over (partition by session_id order by created_at_unix desc, "key") <= 100),
+    rest as (select session_id, "key", id, created_at_unix, content, memory_type, tags, unnest(tags) tag from recent where id not in (select unnest(consolidates) from reflections where status = 'active')),
+    numbered as (select *, row_number() over (partition by session_id, tag order by created_at_unix desc, "key") n, count(*) over (partition by session_id, tag) size from rest),
+    g as (select session_id, tag, string_agg(id, ',' order by n) ids, count(*) source_count, list_sort(list_distinct(flatten(list(list_filter(tags, lambda x: x is not null))))) tags,
+        round(avg(greatest(0, 1 - ({AS_OF} - created_at_unix) / 2592000.0::double)), 2) strength, string_agg('[' || n || '] ' || upper(memory_type) || ': ' || coalesce(content, '') || chr(10) || '   Tags: ' || array_to_string(list_filter(tags, lambda x: x is not null), ', '), chr(10) || chr(10) order by n) prompt
+        from numbered where size >= 3 and n <= 10 and tag is not null group by session_id, tag)
+    select 'ref_' || substr(sha256(session_id || '|' || tag || '|' || ids), 1, 16) "key", array_to_string(tags, ',') tags, ids consolidates, source_count, strength, len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda w: w <> '')) prompt_tokens, trim(left(prompt, 120)) content from g""",
+    "observations",
+    "reflections",
+)
+def written_reflections(t: Tables) -> DataFrame:
+    """Reflections with all that they carry; the generator gives the prompt's start, the embedder hashes words."""
+    found = memory.candidates(t.observations, t.reflections).where("tag is not null")
+    rows = memory.reflections(found, t.observations, float(AS_OF), lambda prompt: F.left(prompt, F.lit(120)), lambda text: embed.hashed(text, 16))
+    return rows.select("key", F.array_join("tags", ",").alias("tags"), F.array_join("consolidates", ",").alias("consolidates"), "source_count", "strength", "prompt_tokens", "content")

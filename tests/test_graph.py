@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from compare import DATA
-from memgrid.operators import graph
+from memgrid.operators import graph, memory
 from memgrid.plans.retrieval import _beam_tables
 from memgrid.plans.tables import Tables
 
@@ -57,3 +57,29 @@ def test_packing_numbers_documents(spark):
     rows = spark.createDataFrame([(1, 2, "b\nb"), (1, 1, "a" * 700), (1, 9, "left out")], "query_id int, place int, content string")
     assert graph.packed(rows).first()["context"] == f"[1] {'a' * 600}\n[2] b b"
     assert graph.packed(rows.withColumn("content", F.lit("x"))).count() == 1
+
+
+def test_reasons_by_hop(spark):
+    vertices = spark.createDataFrame([(x, [1.0, i / 50], 0.0) for i, x in enumerate("abcdefghijklmnopqrstuvwxyz")], "id string, embedding array<double>, created_at_unix double")
+    edges = spark.createDataFrame([(a, b, 1.0, 1) for a in "abc" for b in "mnopqrst"], "src string, dst string, weight double, pattern int")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "query_id int, q array<double>")
+    seeds = spark.createDataFrame([(1, x, 0.9) for x in "abcd"] + [(2, "a", 0.9)] + [(3, "a", 0.01), (3, "b", 0.01)], "query_id int, id string, score double")
+    beams = graph.memory_beams(seeds, edges, vertices, queries, hops=2, fanout=3, size=3, as_of=86400.0 * 3000)
+    got = {r["query_id"]: r["reasons"] for r in graph.reasons(beams, queries).collect()}
+    assert got[4] == ["empty_seeds"] and got[1][:2] == ["cap_exceeded_initial", "cap_exceeded_hop_0"]
+    assert got[2] == [] and got[3] == ["cap_exceeded_hop_0", "coverage_reached"]
+
+
+def test_nearest_rank_with_an_outlier(spark):
+    rows = [("a", float(n)) for n in range(1000)] + [("a", 1e18), ("b", 5.0), ("b", None), ("c", None)] + [("d", 1.0)] * 50
+    got = {r["g"]: (r["p50"], r["p95"], r["p99"]) for r in memory.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {"a": (500.0, 950.0, 990.0), "b": (5.0, 5.0, 5.0), "d": (1.0, 1.0, 1.0)}
+
+
+def test_whole_reflections(spark):
+    rows = [("s", "k1", "o/k1", "event", "cats run", ["t", "u", None], 0.0), ("s", "k2", "o/k2", "learning", None, ["t"], 86400.0 * 30), ("s", "k3", "o/k3", "event", "x", ["t", "a"], 86400.0 * 15)]
+    obs = spark.createDataFrame(rows, "session_id string, key string, id string, memory_type string, content string, tags array<string>, created_at_unix double")
+    found = spark.createDataFrame([("s", "t", 3, ["k2", "k1", "k3"])], "session_id string, tag string, n int, members array<string>")
+    r = memory.reflections(found, obs, 86400.0 * 30, lambda p: p, lambda c: F.array(F.length(c)), "Sum up: {observations} .").first()
+    assert r["content"] == "Sum up: [1] LEARNING: \n   Tags: t\n\n[2] EVENT: cats run\n   Tags: t, u\n\n[3] EVENT: x\n   Tags: t, a ."
+    assert (r["tags"], r["consolidates"], r["strength"], r["prompt_tokens"], r["embedding"]) == (["a", "t", "u"], ["o/k2", "o/k1", "o/k3"], 0.5, 20, [len(r["content"])])
