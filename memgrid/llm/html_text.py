@@ -248,7 +248,7 @@ def without_forms(root: Node, found: list) -> list:
         up = n.parent
         while up is not None and up.name not in FORMS:
             up = up.parent
-        if points[id(n)] <= CONTROL * n.controls:
+        if points[id(n)] <= CONTROL * max(n.controls, n.name == "form"):  # a form counts as a control itself
             n.drop = True
         elif up is not None:
             up.controls += n.controls
