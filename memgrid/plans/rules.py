@@ -235,3 +235,13 @@ def query_pairs(t: Tables) -> DataFrame:
     """Questions that files answer, with twice as many of other files."""
     rows = _code(t).select(F.col("doc_id").alias("id"), F.concat(F.lit("src/file_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
     return learning.query_pairs(rows)
+
+
+@query(
+    """select page_id, regexp_matches(path, '^.*/[1-5].*$') or regexp_matches(path, '^.*\\.html$') or regexp_matches(path, '^m\\..*$') or regexp_matches(path, '^blog\\.t[^h].*$') or starts_with(path, 'spam-farm.example.org/') ignored from repo_docs""",
+    "repo_docs",
+)
+def ignored_paths(t: Tables) -> DataFrame:
+    """Pages' paths against a file of ignore patterns: classes, stars, a folder, a comment, a blank line, and a bracket that isn't closed."""
+    lines = ["# what to leave out", "", "*/[1-5]*", "*.html", "m.*", "/blog.t[!h]*", "spam-farm.example.org/", "x[y"]
+    return t.repo_docs.select("page_id", files.ignored(F.col("path"), lines).alias("ignored"))

@@ -19,11 +19,35 @@ RESULT = "path string, text string, kind string, error string"
 
 
 def as_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression; a star crosses slashes."""
-    out = []
-    for c in pattern:
-        out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
-    return "^" + "".join(out) + "$"
+    """A shell pattern as a regular expression: stars and question marks cross slashes, [abc], [a-c] and [!abc] are classes; a bracket that isn't closed is itself."""
+    out, at = [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        end = pattern.find("]", at + 2 + (pattern[at + 1 : at + 2] == "!")) if c == "[" else -1
+        if end > 0:
+            inner = pattern[at + 1 : end]
+            inside = re.sub(r"([\\\[\]&^])", r"\\\1", inner.removeprefix("!"))
+            out.append(f"[^{inside}]" if inner.startswith("!") else f"[{inside}]")
+            at = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
+        at += 1
+    return "^(?s:" + "".join(out) + ")$"
+
+
+def glob_regex(glob: str) -> str:
+    """A glob below a root as a regular expression of the relative path: ** is any number of folders, other stars stay in one."""
+    parts = glob.strip("/").split("/")
+    out = ""
+    for n, part in enumerate(parts):
+        last = n == len(parts) - 1
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+        else:
+            one = as_regex(part).removeprefix("^(?s:").removesuffix(")$").replace(".*", "[^/]*")
+            out += re.sub(r"(?<!\\)\.(?![*])", "[^/]", one) if "?" in part else one
+            out += "" if last else "/"
+    return f"^{out}$"
 
 
 def ignored(path: Column, patterns: Sequence[str]) -> Column:
@@ -36,11 +60,19 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-def files(spark: SparkSession, root: str, glob: str = "*", patterns: Sequence[str] = ()) -> DataFrame:
-    """(path, content, length) below root, hidden and ignored ones left out; path is relative."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def files(spark: SparkSession, root: str, glob: str | Sequence[str] = "*", patterns: Sequence[str] = ()) -> DataFrame:
+    """(path, content, length) below root, hidden and ignored ones left out; path is relative.
+
+    glob: one for the names of files in any folder, or several for relative paths; a file that several of them meet is there once. Only
+    files whose names can meet one are read.
+    """
+    globs = [glob] if isinstance(glob, str) else list(glob)
+    names = sorted({"*" if g.endswith("**") else g.split("/")[-1] for g in globs})
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names[0] if len(names) == 1 else "{" + ",".join(names) + "}").load(root)
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape("/" + root.split(":")[-1].strip("/")) + "/", "")
     rows = rows.select(relative.alias("path"), "content", "length")
+    if not isinstance(glob, str):
+        rows = rows.where(F.col("path").rlike("|".join(map(glob_regex, globs))))
     return rows.where(~F.col("path").rlike(r"(^|/)(\.|node_modules/|__pycache__/)")).where(~ignored(F.col("path"), patterns))
 
 

@@ -132,3 +132,23 @@ def test_offsets_of_windows(spark):
     for r in rows:
         a = len(" ".join(own[: r["start_token"]]))
         assert (r["start_char"], r["end_char"]) == (a, a + len(r["chunk"]))
+
+
+def test_shell_patterns():
+    import fnmatch
+    import re
+
+    for pattern in ("a*b", "[ab]x?", "[!ab]*", "x[a-c].py", "[z", "a[]]b", "*.[ch]", "[!]]x", "a.b", "q[^x]"):
+        for name in ("ab", "a/b", "axx", "bx1", "cx", "xb.py", "xd.py", "[z", "a]b", "m.c", "m.h", "m.o", "]x", "yx", "a.b", "acb", "q^", "qx"):
+            assert bool(re.match(files.as_regex(pattern), name)) == fnmatch.fnmatchcase(name, pattern), (pattern, name)
+
+
+def test_overlapping_globs(spark, tmp_path):
+    for name in ("a.py", "core/b.py", "core/deep/c.py", "core/d.md", "docs/e.md", ".hidden/f.py", "node_modules/g.py", "core/.h.py", "core/skip_1.py", "core/keep_x.py"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(name)
+    found = lambda globs, patterns=(): sorted(r["path"] for r in files.files(spark, str(tmp_path), globs, patterns).select("path").collect())
+    assert found(["**/*.py", "core/*.py", "core/**/*.md"], ["core/skip_[0-9].py"]) == ["a.py", "core/b.py", "core/d.md", "core/deep/c.py", "core/keep_x.py"]
+    assert found(["*.py"]) == ["a.py"] and found(["core/?.md", "docs/**"]) == ["core/d.md", "docs/e.md"]
+    assert found("*.md") == ["core/d.md", "docs/e.md"]
