@@ -162,6 +162,13 @@ def test_mentions_in_parts(spark, monkeypatch):
         assert {tuple(r) for r in rows.collect()} == want
 
 
+def test_a_name_within_itself_counts_without_overlaps(spark):
+    texts = [(1, "the the the THE x the the"), (2, "to, to, to"), (3, "a b a b")]
+    names = [("e1", "the the"), ("e2", "to, to"), ("e3", "b a"), ("e4", "a b"), ("e5", "the the")]
+    rows = entities.mentions(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(names, "entity string, name string"))
+    assert {tuple(r) for r in rows.collect()} == {(1, "e1", 3), (1, "e5", 3), (2, "e2", 1), (3, "e3", 1), (3, "e4", 2)}
+
+
 def test_hubs_are_capped(spark):
     edges = spark.createDataFrame([(i, "hub", 1 + (i == 77)) for i in range(300)] + [(1, "small", 1), (2, "small", 5)], "id long, entity string, n long")
     rows = entities.related(spark.createDataFrame([(9, 1)], "seed long, id long"), edges, fanout=2, beam=8).collect()
