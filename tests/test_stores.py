@@ -169,6 +169,16 @@ def test_a_name_within_itself_counts_without_overlaps(spark):
     assert {tuple(r) for r in rows.collect()} == {(1, "e1", 3), (1, "e5", 3), (2, "e2", 1), (3, "e3", 1), (3, "e4", 2)}
 
 
+def test_related_weighs_names_without_overlaps(spark):
+    texts = [(1, "to do"), (2, "the the the"), (3, "the the, the the"), (4, "the the")]
+    names = spark.createDataFrame([("e1", "the the"), ("e2", "to do")], "entity string, name string")
+    edges = entities.mentions(spark.createDataFrame(texts, "id long, text string"), "id", "text", names)
+    rows = entities.related(spark.createDataFrame([(9, 4)], "seed long, id long"), edges, fanout=1).collect()
+    assert [(r["id"], r["weight"]) for r in rows] == [(3, 2)]
+    rows = entities.related(spark.createDataFrame([(9, 3)], "seed long, id long"), edges, fanout=1).collect()
+    assert [(r["id"], r["weight"]) for r in rows] == [(2, 1)]
+
+
 def test_hubs_are_capped(spark):
     edges = spark.createDataFrame([(i, "hub", 1 + (i == 77)) for i in range(300)] + [(1, "small", 1), (2, "small", 5)], "id long, entity string, n long")
     rows = entities.related(spark.createDataFrame([(9, 1)], "seed long, id long"), edges, fanout=2, beam=8).collect()
