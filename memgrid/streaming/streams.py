@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.stage import shared_folder
 
+#: Parts that the entries of an hour are kept in.
+PARTS = 8
+
 
 def latest(changes: DataFrame) -> DataFrame:
     """(key, op, payload, seq_no) of each key's last change; deletes are tombstones and leave."""
@@ -97,36 +101,57 @@ class Turns(StatefulProcessor):
 
 
 class Retention(StatefulProcessor):
-    """Log entries of a key that haven't expired. Each puts out a row when it comes, and one when it goes: (event_id, what)."""
+    """Log entries of a key that haven't expired. Each puts out a row when it comes, and one when it goes: (session_id, event_id, what).
+
+    A key's entries are one value, three columns of eight-byte integers, with one timer for the entry that goes first; so the calls to the
+    state grow with the keys, not with the entries.
+    """
 
     keep_ms = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.log = handle.getMapState("log", "event_id long", "at_ms long")
+        self.log = handle.getValueState("log", "sessions binary, events binary, ends binary, timer long")
+
+    def held(self) -> tuple[pd.DataFrame, int | None]:
+        """The entries (session_id, event_id, end), and when the timer goes off."""
+        found = self.log.get() if self.log.exists() else (b"", b"", b"", None)
+        return pd.DataFrame({name: np.frombuffer(bytes(x), np.int64) for name, x in zip(("session_id", "event_id", "end"), found, strict=False)}), found[3]
+
+    def keep(self, rows: pd.DataFrame, timer: int | None) -> None:
+        """Holds these entries, of which the first to go sets the timer."""
+        if not len(rows):
+            self.log.clear()
+            return
+        first = int(rows["end"].min()) - 1  # a timer goes off once the watermark is past it
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.log.update((*(rows[name].to_numpy(np.int64).tobytes() for name in ("session_id", "event_id", "end")), first))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        for t in rows:
-            kept = []
-            for event, at in zip(t["event_id"], t["at_ms"], strict=True):
-                if at + self.keep_ms > now and not self.log.containsKey((int(event),)):
-                    self.log.updateValue((int(event),), (int(at),))
-                    self.handle.registerTimer(int(at) + self.keep_ms)
-                    kept.append(int(event))
-            if kept:
-                yield self.told(key, kept, "kept")
+        new = pd.concat([t[["session_id", "event_id", "at_ms"]] for t in rows])
+        new = new.assign(end=new["at_ms"].astype("int64") + self.keep_ms).drop(columns="at_ms")
+        new = new[new["end"] > now]
+        held, timer = self.held()
+        both = pd.concat([held, new.astype("int64")], ignore_index=True)
+        fresh = ~both.duplicated(["session_id", "event_id"]).to_numpy()
+        told = both[fresh & (np.arange(len(both)) >= len(held))]
+        if len(told):
+            self.keep(both[fresh], timer)
+            yield self.told(told, "kept")
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [k[0] for k, v in self.log.iterator() if v[0] + self.keep_ms <= end]
-        for event in gone:
-            self.log.removeKey((event,))
-        if gone:
-            yield self.told(key, gone, "expired")
+        held, _ = self.held()
+        gone = held["end"] <= timerValues.getCurrentWatermarkInMs()
+        self.keep(held[~gone], None)
+        if gone.any():
+            yield self.told(held[gone], "expired")
 
-    def told(self, key: Any, events: list[int], what: str) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": pd.Series([key[0]] * len(events), dtype="int64"), "event_id": pd.Series(events, dtype="int64"), "what": what})
+    def told(self, rows: pd.DataFrame, what: str) -> pd.DataFrame:
+        return rows[["session_id", "event_id"]].assign(what=what)
 
     def close(self) -> None:
         pass
@@ -148,11 +173,11 @@ def retention(log: DataFrame, keep: int, late: str = "1 hour", every: str = "1 h
     """(session_id, event_id, what): the comings and goings of a log stream (session_id, event_id, at).
 
     An entry expires `keep` seconds after its time, by the watermark, and leaves the state then; one that comes later than that never
-    enters. State is kept for each session and hour, so a session with many entries is many keys; repeated entries count once.
+    enters. State is kept for each hour and one of PARTS parts of its entries by a hash; repeated entries count once.
     """
     kind = type("Kept", (Retention,), {"keep_ms": keep * 1000})
-    rows = log.withWatermark("at", late).withColumns({"at_ms": F.unix_millis("at"), "period": F.window("at", every)["start"]})
-    return rows.groupBy("session_id", "period").transformWithStateInPandas(kind(), "session_id long, event_id long, what string", "Update", "EventTime")
+    rows = log.withWatermark("at", late).withColumns({"at_ms": F.unix_millis("at"), "period": F.window("at", every)["start"], "part": F.pmod(F.xxhash64("session_id", "event_id"), F.lit(PARTS))})
+    return rows.groupBy("period", "part").transformWithStateInPandas(kind(), "session_id long, event_id long, what string", "Update", "EventTime")
 
 
 def retained(log: DataFrame, keep: int, late: str = "1 hour", at: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -119,6 +120,34 @@ def test_retention_over_three_batches_and_a_restart(spark, tmp_path):
     assert spark.conf.get(name, None) == before
 
 
+def test_calls_to_the_state_grow_with_keys_not_with_entries():
+    calls, value = [], []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (State() if name.startswith("get") else None)
+
+    class State:
+        exists = lambda self: calls.append("exists") or bool(value)
+        get = lambda self: calls.append("get") or value[0]
+        update = lambda self, x: calls.append("update") or value.__setitem__(slice(None), [x])
+        clear = lambda self: calls.append("clear") or value.clear()
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 1500
+
+    log = type("Kept", (streams.Retention,), {"keep_ms": 1000})()
+    log.init(Handle())
+    rows = pd.DataFrame({"session_id": [1] * 1000, "event_id": [*range(999), 0], "at_ms": range(1000)})
+    out = pd.concat(log.handleInputRows((0, 0), iter([rows]), Times()))
+    assert sorted(out["event_id"]) == [0, *range(501, 999)] and set(out["what"]) == {"kept"}
+    assert list(log.handleInputRows((0, 0), iter([rows]), Times())) == []
+    Times.getCurrentWatermarkInMs = lambda self: 1700
+    gone = pd.concat(log.handleExpiredTimer((0, 0), Times(), None))
+    assert sorted(gone["event_id"]) == list(range(501, 701)) and set(gone["what"]) == {"expired"}
+    assert len(calls) < 20
+
+
 def test_pages_make_up_the_table(spark, tmp_path):
     rows = [(n // 3 if n % 17 else None, f"v{n}") for n in range(2345)]
     table = spark.createDataFrame(rows, "k long, v string").repartition(7)
