@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +6,7 @@ from memgrid.functions import scores, texts, times
 from memgrid.functions.vectors import cosine, diversity, normalized
 from memgrid.operators import graph, memory
 from memgrid.operators.chunks import windows
-from memgrid.operators.knn import nearest
+from memgrid.operators.knn import closest, nearest
 from memgrid.sources import files, symbols
 
 
@@ -189,3 +190,24 @@ def test_sinks(spark, tmp_path):
     turns = spark.createDataFrame([(1, None)], "turn long, tokens long")
     sinks.append_turn(turns, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).first()["tokens"] == 0
+
+
+def test_closest_is_exact_with_copies_and_ties():
+    r = np.random.default_rng(1)
+    for n, m, copies in ((300, 500, 0), (700, 900, 1), (600, 3, 0), (10, 1, 0)):
+        v, w = r.normal(size=(n, 16)), r.normal(size=(m, 16))
+        if copies:
+            v[: n // 2] = w[: m // 2] = w[0]
+            v[-1] = 0
+        v, w = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] for x in (v, w))
+        keys, other = r.permutation(1000)[:n], r.permutation(1000)[:m]
+        sims = np.round(v @ w.T, 6) + 0.0
+        want = [(a, b, -x) for a, row in zip(keys, sims, strict=True) for x, b in sorted((-x, b) for x, b in zip(row, other, strict=True) if a != b)[:3]]
+        assert sorted(zip(*closest(keys, v, other, w, 3), strict=True)) == sorted(want)
+
+
+def test_a_pair_of_blocks_is_one_group(spark):
+    rows = spark.range(100).select(F.col("id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    found = nearest(rows, "id", "v", 3, block=10)  # 10 blocks, 55 pairs
+    assert found.count() == 300
+    assert "least" in found._jdf.queryExecution().analyzed().toString()
