@@ -10,12 +10,15 @@ import tarfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import texts
 
 RESULT = "path string, text string, kind string, error string"
+#: Characters of extracted texts that a task holds besides the batch it reads.
+TEXTS_AT_ONCE = 4 << 20
 
 
 def as_regex(pattern: str) -> str:
@@ -177,17 +180,23 @@ def robust(rows: DataFrame, readers: Sequence[tuple[str, Callable[[bytes], str]]
 def extracted(rows: DataFrame) -> DataFrame:
     """(path, text, kind, error) for each file (path, content); a fault is a row with an error, never an exception."""
 
-    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.schema([(name, pa.string()) for name in ("path", "text", "kind", "error")])
         for b in batches:
-            out = []
-            for path, content, kind in zip(b["path"], b["content"], b["kind"], strict=True):
+            out, size = [], 0
+            for path, content, kind in (tuple(c[n].as_py() for c in b.columns) for n in range(b.num_rows)):
                 try:
-                    text = latex_text(content) if kind == "latex" else pdf_text(content) if kind == "pdf" else bytes(content).decode("utf-8", "ignore")
-                    out.append((path, text, kind, None))
+                    text = latex_text(content) if kind == "latex" else pdf_text(content) if kind == "pdf" else content.decode("utf-8", "ignore")
+                    out.append({"path": path, "text": text, "kind": kind, "error": None})
+                    size += len(text)
                 except Exception as e:  # the row says what went wrong
-                    out.append((path, None, kind, str(e)))
-            yield pd.DataFrame(out, columns=["path", "text", "kind", "error"])
+                    out.append({"path": path, "text": None, "kind": kind, "error": str(e)})
+                if size >= TEXTS_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, fields)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
 
     ext = texts.extension(F.col("path"))
     kind = F.when(ext.isin(".txt", ".md", ".markdown", ".rst"), "text").otherwise(texts.reader(ext))
-    return rows.select("path", "content", kind.alias("kind")).mapInPandas(f, RESULT)
+    return rows.select("path", "content", kind.alias("kind")).mapInArrow(f, RESULT)
