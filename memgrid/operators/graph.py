@@ -225,14 +225,35 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int, direction: str
 
     direction: outbound, inbound or any of edges (src, dst). prune: a condition over id and depth; vertices that meet it are found, and not
     gone on from. Of several parents the least is named. Each level joins the edges with the last level's vertices alone, and takes off
-    what the seed has visited.
+    what the seed has visited. A seed whose only way out is one neighbour reaches, one edge later, what that neighbour reaches without the
+    seed: such neighbours are walked from once for all of their seeds, so only the result has a row for each seed.
     """
     steps = {"outbound": [("src", "dst")], "inbound": [("dst", "src")], "any": [("src", "dst"), ("dst", "src")]}[direction]
     ways = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in steps])
     kind = edges.schema["src"].dataType
     front = saved(seeds.select("seed", "id", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).dropDuplicates(["seed", "id"]))
+    open_ = front if prune is None else front.where(~F.coalesce(prune, F.lit(False)))
+    ends = front.groupBy("seed").agg(F.count(F.lit(1)).alias("ids")).where("ids = 1").select("seed")
+    lone = ways.join(open_.select("seed", "id"), "id").where("not (next <=> id)").groupBy("seed", "id").agg(F.min("next").alias("via"), F.max("next").alias("last"), F.max(F.col("next").isNull()).alias("none"))
+    lone = saved(lone.where("via = last and not none").join(ends, "seed", "left_semi").select("seed", "id", "via").where(F.lit(hops > 0)))
+    if lone.isEmpty():
+        return _levels(ways, front, hops, prune)
+    others = _levels(ways, front.join(lone.select("seed"), "seed", "left_anti"), hops, prune)
+    starts = lone.select(F.col("via").alias("seed"), F.col("via").alias("id"), F.lit(1).alias("depth"), F.lit(None).cast(kind).alias("parent")).distinct()
+    shared = _levels(ways, saved(starts), hops, prune, 1).withColumnRenamed("seed", "via")
+    # seeds of one neighbour meet its vertices in as many parts as the session has shuffle partitions
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = shared.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    own = lone.select("seed", F.col("id").alias("_own"), "via", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    rows = shared.join(own, ["via", "_part"]).where("not (id <=> _own)")
+    rows = rows.select("seed", "id", "depth", F.when(F.col("depth") == 1, F.col("_own")).otherwise(F.col("parent")).alias("parent"))
+    return front.join(lone.select("seed"), "seed", "left_semi").select(*rows.columns).unionByName(rows).unionByName(others)
+
+
+def _levels(ways: DataFrame, front: DataFrame, hops: int, prune: Column | None, first: int = 0) -> DataFrame:
+    """The levels from `front` on, whose vertices have the depth `first`."""
     levels = [front]
-    for depth in range(1, hops + 1):
+    for depth in range(first + 1, hops + 1):
         open_ = front if prune is None else front.where(~F.coalesce(prune, F.lit(False)))
         new = ways.join(open_.select("seed", "id"), "id").groupBy("seed", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
         for level in levels:

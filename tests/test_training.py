@@ -117,3 +117,37 @@ def test_breadth_first_equals_a_plain_walk(spark, direction):
         want |= {(seed, v): x for v, x in seen.items()}
     rows = graph.breadth_first(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(s, s) for s in (1, 2, 3)], "seed long, id long"), 3, direction, F.col("id") % 7 == 0)
     assert {(x["seed"], x["id"]): (x["depth"], x["parent"]) for x in rows.collect()} == want
+
+
+@pytest.mark.parametrize("direction", ["outbound", "inbound", "any"])
+def test_breadth_first_of_seeds_with_one_way_out(spark, direction):
+    r = random.Random(9)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(45)] + [(n, n) for n in range(5)]
+    ways = [(a, b) for a, b in edges if direction != "inbound"] + [(b, a) for a, b in edges if direction != "outbound"]
+    seeds = [(n, n) for n in range(40)] + [(100, 1), (100, 2), (101, 3)]
+    want = {}
+    for seed in {s for s, _ in seeds}:
+        level = {v for s, v in seeds if s == seed}
+        seen = dict.fromkeys(level, (0, None))
+        for depth in range(1, 5):
+            new = {}
+            for a, b in ways:
+                if a in level and not (a % 7 == 0 and depth == 2) and b not in seen:
+                    new[b] = min(new.get(b, a), a)
+            seen |= {b: (depth, p) for b, p in new.items()}
+            level = set(new)
+        want |= {(seed, v): x for v, x in seen.items()}
+    prune = (F.col("id") % 7 == 0) & (F.col("depth") == 1)
+    rows = graph.breadth_first(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(seeds, "seed long, id long"), 4, direction, prune).collect()
+    assert len(rows) == len(want)
+    assert {(x["seed"], x["id"]): (x["depth"], x["parent"]) for x in rows} == want
+
+
+def test_breadth_first_walks_once_from_a_shared_neighbour(spark, monkeypatch):
+    written = []
+    saved = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: written.append(saved(df)) or written[-1])
+    edges = spark.range(300).selectExpr("1000L src", "id dst")
+    rows = graph.breadth_first(edges, spark.range(200).selectExpr("id seed", "id"), 3, "any")
+    assert rows.count() == 200 * 301
+    assert sum(x.count() for x in written) < 2000  # not 200 x 300
