@@ -96,7 +96,7 @@ def chunk_windows(t: Tables) -> DataFrame:
 def unigram_surprise(t: Tables) -> DataFrame:
     from ..operators.surprise import surprising
 
-    rows = surprising(spread(t.read("documents").select("doc_id", "text")).select("doc_id", texts.window_words(F.lower("text")).alias("words")), "doc_id")
+    rows = surprising(spread(t.read("documents").select("doc_id", F.lower("text").alias("text"))), "doc_id", "text")
     kind = F.when(F.col("mean") < 0.5, "well_structured").when(F.col("mean") > 1.5, "mixed_concerns").otherwise("moderate")
     return rows.select("doc_id", F.round("mean", 6).alias("surprise"), F.round(F.col("square") - F.col("mean") * F.col("mean"), 4).alias("variance"), kind.alias("kind"))
 
