@@ -10,7 +10,7 @@ from ..functions import texts
 from ..operators import chunks, memory
 from ..operators.indexing import dense_index
 from ..sources import symbols
-from ..sources.stage import saved, spread
+from ..sources.stage import spread
 from .registry import query
 from .tables import EPOCH, Tables
 from .writes import ROLLING
@@ -133,11 +133,7 @@ def surprise_chunks(t: Tables) -> DataFrame:
     """Documents cut where unigram surprise peaks, with the mean surprise around each cut; the chunks of a text make up the whole text."""
     from ..operators import surprise
 
-    docs = t.read("documents").select("doc_id", "text")
-    scores = saved(surprise.scored_words(docs, "doc_id", "text"))
-    cuts = saved(surprise.boundaries(scores, "doc_id"))
-    near = surprise.around(scores, cuts, "doc_id")
-    return surprise.chunks(docs, cuts, "doc_id", "text").join(near, ["doc_id", "start"], "left").select("doc_id", "n", "start", "chunk", F.coalesce("surprise", F.lit(0.0)).alias("surprise"))
+    return surprise.cut_chunks(spread(t.read("documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f'with old as (select "key", status from observations where doc_id % 3 <> 0), new as (select "key", status from observations) select * from new where "key" not in (select "key" from old)', "observations")

@@ -177,6 +177,31 @@ def test_surprise_chunks_of_whole_documents(spark):
         assert got[k][:2] == (a, chunk) and abs(got[k][2] - mean) < 2e-6
 
 
+@pytest.mark.parametrize("head", [1, 20_000])
+def test_surprise_puts_out_no_row_for_a_place(spark, monkeypatch, head):
+    from memgrid.operators import surprise
+
+    written = []
+    saved = surprise.saved
+    monkeypatch.setattr(surprise, "saved", lambda df: written.append(saved(df)) or written[-1])
+    monkeypatch.setattr(surprise, "HEAD", head)
+    monkeypatch.setattr(surprise.often, "__defaults__", (head,))
+    text = ("the and\u00a0b " + "the and " * 12 + "zebra  \u00e9\U0001f600 ") * 40
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "  "), (4, text + " end"), (None, "lone")], "id long, text string")
+    scores = surprise.scored_words(rows, "id", "text")
+    cuts = surprise.boundaries(scores, "id", least=40)
+    near = surprise.around(scores, cuts, "id")
+    want = surprise.chunks(rows, cuts, "id", "text").join(near, ["id", "start"], "left").collect()
+    written.clear()
+    got = [r for r in surprise.cut_chunks(rows, "id", "text", least=40).collect() if r["id"] is not None]
+    key = lambda r: (r["id"], r["n"], r["start"], r["chunk"])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) > 8
+    assert sorted(r["surprise"] for r in got) == pytest.approx(sorted(r["surprise"] for r in want))
+    means = {r["id"]: r["mean"] for r in surprise.surprising(rows, "id", "text").collect()}
+    assert means.keys() == {1, 4, None} and means[None] == pytest.approx(np.log(2242))
+    assert sum(w.count() for w in written) < 40  # words, not places
+
+
 def test_sinks(spark, tmp_path):
     from memgrid.sources import sinks
 
