@@ -64,9 +64,11 @@ def test_rate_falls_and_training_ends_where_it_is_stuck():
     assert state.best_epoch == 2 and state.bad == 5 and state.rate == 0.5 and state.rates == [1.0] * 5 + [0.5] * 2
 
 
-def test_block_scores_equal_a_plain_model(spark):
+def test_block_scores_equal_a_plain_model(spark, monkeypatch):
     r = random.Random(4)
     docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 1, 24, 25, 26, 51, 200])))) for i in range(30)] + [(99, None), (98, "  ")]
+    docs += [(50 + i, " ".join(["a b"] * 12 + [f"once{i} then{i % 2}"] + ["c", "d" if i % 2 else f"last{i}"] * 12 + ["only", "one"] * 13)) for i in range(6)]
+    docs += [(60 + i, " ".join(["b"] * 24 + [f"x{i}", f"y{i}", "b", f"y{i}", f"x{i}"] + ["b"] * 20 + [f"z{i}"] * 30)) for i in range(3)]
     rows = spark.createDataFrame(docs, "id long, text string")
     words = texts.window_words(F.col("text"))
     got = {(x["id"], x["at"]): x["score"] for x in surprise.block_scores(surprise.blocks(rows, "id", words), "id", surprise.BackOff(rows, words)).collect()}
@@ -88,6 +90,17 @@ def test_block_scores_equal_a_plain_model(spark):
             p = None if c is None else max(pairs[c, w] - 0.5, 0) / after[c] + 0.5 * len(last[c]) / after[c] * uni[w] / uni.total()
             want[i, k] = 0.5 if c is None else -math.log(p + 1e-10)
     assert got == pytest.approx(want)
+    scores = defaultdict(list)
+    for (i, _), x in want.items():
+        scores[i].append(x)
+    for pairs_sent, words_sent in ((surprise.PAIRS, surprise.HEAD), (1, 1)):  # all by broadcast, all by shuffles
+        monkeypatch.setattr(surprise, "PAIRS", pairs_sent)
+        monkeypatch.setattr(surprise, "HEAD", words_sent)
+        monkeypatch.setattr(surprise.often, "__defaults__", (words_sent,))
+        found = {x["id"]: (x["tokens"], x["surprise"], x["peak"]) for x in surprise.block_summary(rows, "id", "text").collect()}
+        assert found.keys() == scores.keys()
+        for i, own in scores.items():
+            assert found[i] == pytest.approx((len(own), sum(own) / len(own), max(own)))
 
 
 def test_blocks_have_their_context_and_any_model_may_score_them(spark):
