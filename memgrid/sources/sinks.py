@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,40 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """Rows (name, text) as files <name>.txt below folder, each with a zero byte at its end; of rows with one name the later ones lie in
+    folders of their own. Names should not begin with a dot or an underscore, which readers skip; a slash in them becomes %2F.
+
+    Tasks write the files themselves, by Arrow, into a folder a task, so no folder is made and nothing is renamed for a file. On file
+    systems that Arrow can't open Spark's writer makes a folder of each name.
+    """
+    rows = rows.select(F.coalesce("name", F.lit("none")).alias("name"), "text").repartition("name")
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (ValueError, NotImplementedError, OSError):
+        numbered = rows.withColumn("name", F.concat_ws("-", "name", F.monotonically_increasing_id()))
+        return numbered.write.partitionBy("name").option("lineSep", "\0").text(folder)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        path = f"{path}/part={TaskContext.get().partitionId()}"
+        system.create_dir(path)
+        seen: dict[str, int] = {}
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n = seen[name] = seen.get(name, -1) + 1
+                at = f"{path}/again={n}" if n else path
+                if n:
+                    system.create_dir(at)
+                with system.open_output_stream(f"{at}/{quote(name, safe=' ')}.txt", compression=None) as out:
+                    if text.is_valid:
+                        out.write(text.as_buffer())
+                    out.write(b"\0")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(f, "n long").agg(F.sum("n")).collect()
+
+
 def appended(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows that are new, one for each key, in the existing table's columns: what an append of them would write."""
     first = incoming.dropDuplicates([key])

@@ -202,6 +202,31 @@ def test_surprise_puts_out_no_row_for_a_place(spark, monkeypatch, head):
     assert sum(w.count() for w in written) < 40  # words, not places
 
 
+def test_texts_as_files_where_arrow_cannot_write(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from memgrid.sources import sinks
+
+    def from_uri(_):
+        raise ValueError
+
+    monkeypatch.setattr(sinks, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=from_uri)))
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z")], "name string, text string")
+    sinks.write_texts(rows, str(tmp_path / "f"))
+    assert sorted(bytes(r["content"]) for r in files.files(spark, str(tmp_path / "f"), "*.txt").collect()) == [b"x\0", b"y\0", b"z\0"]
+
+
+def test_texts_as_files_without_folders_of_their_own(spark, tmp_path):
+    from memgrid.sources import sinks
+
+    rows = spark.createDataFrame([("a", "x\u00e9\n"), ("b", ""), ("a", "two"), (None, "three"), ("c d/e", "y\x00")] + [(f"n{k}", str(k)) for k in range(100)], "name string, text string")
+    for at in (f"{tmp_path}/plain", f"file://{tmp_path}/uri"):
+        sinks.write_texts(rows, at)
+        found = sorted(r["content"].decode() for r in files.files(spark, at, "*.txt").collect())
+        assert found == sorted(r["text"] + "\0" for r in rows.collect())
+    assert sum(p.is_dir() for p in (tmp_path / "plain").rglob("*")) <= 9  # not one a file
+
+
 def test_sinks(spark, tmp_path):
     from memgrid.sources import sinks
 
