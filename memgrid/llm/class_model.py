@@ -11,8 +11,9 @@ p(w | v) = p(class of w | class of v) * p(w | class of w). Every training word h
 Emission uses each word's own count, with one unseen word a class; an unknown token counts as the unseen word of the class that holds
 most words seen once.
 
-Words, counts and classes (the lexicon) stay a table, which grows with the corpus. Blocks of documents ask it for the distinct words that
-they have, and get counts and classes back, so a word is sent once a block however often it stands there.
+Texts are cut into words once. A block of documents becomes its distinct words and, for each document, its words' places among them. The
+lexicon stays a table, which grows with the corpus: each block sends a word once, with its neighbours there, to where the word's class is
+chosen, and its count and class come back to the same place. All that follows works on numbers.
 
 Defined results: a null or empty text is its end alone; a null doc_id is hashed as an empty string; without training rows every token
 is unknown, N and V are 0 and both scores 0; repeated rows are documents of their own; an empty table gives an empty one; other
@@ -21,12 +22,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,65 +39,103 @@ from .language_id import remainder
 CLASS_WORDS = 2046
 #: Items of the clustering that are no words: the text's end, and all words that aren't clustered.
 END, REST = 0, 1
+#: Bytes of text in a block, unless one text alone is longer.
+BLOCK_BYTES = 12 << 20
+#: Bytes that stand for a text's end between its words' places, which are numbers of four bytes; as a number, -1.
+STOP = b"\xff" * 4
 #: What a move must gain, as a share of what it compares: rounding aside, none that raises the likelihood is left out.
 ROUNDING = 1e-12
 #: The part of the likelihood's logarithm that a round of the exchange must gain for another one.
 LEAST = 1e-5
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where each text's words start, and where the last one's end; all words in order, as places among the distinct ones."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    starts, found = lists.offsets.to_numpy(), lists.values
+    real = pc.greater(pc.binary_length(found), 0)  # a text without words is split into one empty string
+    if pc.any(pc.invert(real)).as_py():
+        starts = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][starts]
+        found = found.filter(real)
+    return starts, found.dictionary_encode()
 
 
-def word_counts(texts: DataFrame, limit: int = 400_000) -> DataFrame:
-    """(word, n) over all rows (text); each task sends a word once, or again after so many others."""
+def blobs(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in data; ends: where each starts, and where the last one ends, counted in numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+def joined(col: pa.Array | pa.ChunkedArray, kind: type, stop: bytes) -> np.ndarray:
+    """The numbers of all binary values of a column, with the end's number after each."""
+    return np.frombuffer(stop.join([*col.to_pylist(), b""]), kind)
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, learn) in blocks, as a table bucketed by block.
+
+    A document is (block, doc_id, learn, places), the places of its words among the block's distinct words. A distinct word is (block, word,
+    place, n), n its count in the documents that are learned from. A block holds documents of one input split.
+    """
+    limit = BLOCK_BYTES
+
+    def rows(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        learn = t["learn"].to_numpy()
+        starts, words = words_of(t["text"].combine_chunks())
+        places = words.indices.to_numpy()
+        seen = np.bincount(places[np.repeat(learn, np.diff(starts))], minlength=len(words.dictionary))
+
+        def out(many: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["block"] = pa.array(np.full(many, block))
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(many, f.type) for f in fields], schema=fields)
+
+        yield out(len(t), doc_id=t["doc_id"].combine_chunks(), learn=t["learn"].combine_chunks(), places=blobs(starts.astype(np.int64), places))
+        for a in range(0, len(seen), 1 << 16):
+            own = seen[a : a + (1 << 16)]
+            yield out(len(own), word=words.dictionary.slice(a, len(own)).cast(pa.string()), place=pa.array(np.arange(a, a + len(own), dtype=np.int32)), n=pa.array(own))
+
+    fields = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("places", pa.binary()), ("word", pa.string()), ("place", pa.int32()), ("n", pa.int64())])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        block, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for b in base.slices(batches):
-            found.update(chain.from_iterable(map(tokens, base.byte_list(b.column(0)))))
-            if len(found) > limit:
-                yield rows(found)
-                found = Counter()
-        if found:
-            yield rows(found)
+            parts.append(b)
+            size += base.field(b, "text").nbytes
+            if size >= limit:
+                yield from rows(block, parts)
+                block, parts, size = block + 1, [], 0
+        if parts:
+            yield from rows(block, parts)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
+    buckets = max(8, min(1 << 16, -(-base.estimated_bytes(docs) // (4 << 20))))
+    return base.bucketed(docs.mapInArrow(f, "block long, doc_id long, learn boolean, places binary, word string, place int, n long"), "block", buckets, "coded")
 
-    return texts.select("text").mapInArrow(f, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def learned(t: pa.Table) -> np.ndarray:
+    """The places of all words of a block's documents that are learned from; before the first, between them and after the last stands -1."""
+    return np.r_[np.int32(-1), joined(t["places"].filter(pc.fill_null(t["learn"], False)), np.int32, STOP)]
 
-def pair_counts(texts: DataFrame, items: dict[bytes, int], limit: int = 1 << 22) -> np.ndarray:
-    """How often item follows item, over all rows (text); before a text's first word stands an end."""
-    held, size = base.shared(texts.sparkSession, items), len(items) + 2
+
+def pair_counts(table: DataFrame, top: DataFrame, size: int) -> np.ndarray:
+    """How often item follows item in the documents that are learned from; before a text's first word stands an end. top: (block, place, item)."""
     group = 32
 
-    def rows(codes: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        line = learned(t)
+        own = np.full(int(line.max(initial=-1)) + 2, REST, np.int32)
+        at, item = r["place"].to_numpy(), r["item"].to_numpy()
+        own[at[at < len(own) - 1]] = item[at < len(own) - 1]
+        own[-1] = END
+        line = own[line]
+        total = np.bincount(line[:-1] * np.int32(size) + line[1:], minlength=size * size)
+        code = np.flatnonzero(total)
         left = code // size
         cuts = np.flatnonzero(np.diff(left)) + 1
-        right = [x.astype(np.uint16).tobytes() for x in np.split(code % size, cuts)]
-        count = [x.astype(np.uint32).tobytes() for x in np.split(n, cuts)]
-        left = left[np.r_[0, cuts]]
-        return pa.RecordBatch.from_arrays([pa.array((left // group).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right, pa.binary()), pa.array(count, pa.binary())], ["part", "item", "next", "n"])
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, many = [], 0
-        get = held().get
-        for b in base.slices(batches):
-            line = [END]
-            for text in base.byte_list(b.column(0)):
-                line.extend(map(get, tokens(text), repeat(REST)))
-                line.append(END)
-            line = np.array(line, np.int32)
-            codes.append(line[:-1] * np.int32(size) + line[1:])
-            many += len(line)
-            if many > limit:
-                yield rows(codes)
-                codes, many = [], 0
-        if many:
-            yield rows(codes)
+        right = [x.astype(np.uint16).tobytes() for x in np.split(code % size, cuts)] if len(code) else []
+        count = [x.astype(np.uint32).tobytes() for x in np.split(total[code], cuts)] if len(code) else []
+        left = left[np.r_[0, cuts]] if len(code) else left
+        return pa.table([pa.array((left // group).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right, pa.binary()), pa.array(count, pa.binary())], names=["part", "item", "next", "n"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros((group, size), np.int64)
@@ -105,9 +145,10 @@ def pair_counts(texts: DataFrame, items: dict[bytes, int], limit: int = 1 << 22)
         first = t["part"][0].as_py() * group
         return pa.table({"item": pa.array((at + first).astype(np.int32)), "next": pa.array([np.flatnonzero(total[i]).astype(np.uint16).tobytes() for i in at], pa.binary()), "n": pa.array([total[i][total[i] > 0].tobytes() for i in at], pa.binary())})
 
-    summed = texts.select("text").mapInArrow(f, "part int, item int, next binary, n binary").groupBy("part").applyInArrow(add, "item int, next binary, n binary")
+    docs = table.where("places is not null").select("block", "learn", "places")
+    found = docs.groupBy("block").cogroup(top.groupBy("block")).applyInArrow(f, "part int, item int, next binary, n binary")
     out = np.zeros((size, size), np.int64)
-    for r in summed.toLocalIterator():
+    for r in found.groupBy("part").applyInArrow(add, "item int, next binary, n binary").toLocalIterator():
         out[r["item"], np.frombuffer(r["next"], np.uint16)] = np.frombuffer(r["n"], np.int64)
     return out
 
@@ -176,125 +217,159 @@ def exchanged(pairs: np.ndarray, classes: int, fixed: int = 0, least: float = 0.
     return label
 
 
-def neighbours(texts: DataFrame, classes: dict[bytes, int], rest: int, limit: int = 1 << 21) -> DataFrame:
-    """(word, codes) of the words that aren't in `classes`: two numbers of two bytes for each occurrence, the classes after and before it. Each task sends a word once, or again after so many others."""
-    held = base.shared(texts.sparkSession, classes)
-    end = rest - 1
+def neighbours(table: DataFrame, top: DataFrame, label: np.ndarray, classes: int) -> DataFrame:
+    """(word, block, place, codes) of all distinct words of all blocks: two numbers of two bytes for each occurrence that is learned from, the classes after and before it. None for items of the clustering, which `label` has classes of."""
+    held = base.shared(table.sparkSession, label)
 
-    def rows(found: dict[bytes, list[int]]) -> pa.RecordBatch:
-        codes = [np.array(x, np.uint32).tobytes() for x in found.values()]
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(codes, pa.binary())], ["word", "codes"])
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[int]] = defaultdict(list)
-        size = 0
-        get = held().get
-        for b in base.slices(batches):
-            for text in base.byte_list(b.column(0)):
-                own = tokens(text)
-                label = [end, *map(get, own, repeat(rest)), end]
-                size += len(own)
-                for w, before, c, after in zip(own, label, label[1:], label[2:], strict=False):
-                    if c == rest:
-                        found[w].append(before << 16 | after)
-            if size > limit and found:
-                yield rows(found)
-                found, size = defaultdict(list), 0
-        if found:
-            yield rows(found)
-
-    return texts.select("text").mapInArrow(f, "word string, codes binary")
-
-
-def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classes: int) -> DataFrame:
-    """(word, n, class) for each word of seen (word, codes): the class that raises the likelihood most; ties go to the lowest."""
+    def f(t: pa.Table, r: pa.Table) -> pa.Table:
+        line = learned(t)
+        t = t.filter(pc.is_valid(t["word"]))
+        own = np.full(len(t) + 1, classes + 1, np.int64)
+        own[r["place"].to_numpy()] = held()[r["item"].to_numpy()]
+        own[-1] = classes
+        c = own[line]
+        at = np.flatnonzero(c == classes + 1)
+        # sorted, so that the result doesn't depend on the order of documents
+        found = np.sort(line[at].astype(np.int64) << 32 | c[at - 1] << 16 | c[at + 1])
+        ends = np.r_[0, np.cumsum(np.bincount(found >> 32, minlength=len(t)))]
+        order = np.argsort(t["place"].to_numpy())
+        return pa.table([t["word"].take(pa.array(order)), t["block"], pa.array(np.arange(len(t), dtype=np.int32)), blobs(ends, (found & 0xFFFFFFFF).astype(np.uint32))], names=["word", "block", "place", "codes"])
+
+    rows = table.select("block", "learn", "places", "word", "place")
+    return rows.groupBy("block").cogroup(top.groupBy("block")).applyInArrow(f, "word string, block long, place int, codes binary")
+
+
+def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows (hash, word, ...) in order of hash, cut so that rows of a word stay together and put together where hashes clash; and where each word starts."""
+    held = None
+    for b in chain(batches, [None]):
+        if b is not None:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            h = t["hash"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            t, held = t.slice(0, cut), t.slice(cut)
+        else:
+            t = held
+        if t is None or not len(t):
+            continue
+        t = t.combine_chunks()
+        h = t["hash"].to_numpy()
+        new = np.r_[True, h[1:] != h[:-1]]
+        other = np.r_[True, pc.not_equal(t["word"][1:], t["word"][:-1]).to_numpy()]
+        if (new != other).any():
+            t = t.sort_by([("hash", "ascending"), ("word", "ascending")]).combine_chunks()
+            other = np.r_[True, pc.not_equal(t["word"][1:], t["word"][:-1]).to_numpy()]
+        yield t, np.flatnonzero(other)
+
+
+def chosen_classes(seen: DataFrame, pairs: np.ndarray, label: np.ndarray, classes: int, items: list[tuple[str, int, int]]) -> DataFrame:
+    """(block, place, n, class, word) for each row of seen (word, block, place, codes) whose word was learned; word: only in its first row.
+
+    The class is that which raises the likelihood most; ties go to the lowest. items: (word, n, class) of words that have theirs.
+    """
     one = np.eye(classes + 2)[label]
     table = one.T @ (pairs.astype(np.float64) @ one)
     follow = np.log((table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * (classes + 2)))
     mass = np.log(table.sum(axis=0)[:classes] + 1)
     # what one neighbour adds to each class's likelihood: classes after the word, then classes before it
     gains = np.concatenate([follow[:classes].T, follow[:, :classes]])
-    held = base.shared(seen.sparkSession, (gains, mass))
+    held = base.shared(seen.sparkSession, (gains, mass, items))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gains, mass = held()
-            for own in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
-                lists = [b"".join(x) for x in own.column(1).to_pylist()]
-                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
-                code = np.frombuffer(b"".join(lists), np.uint16).astype(np.int64)
-                code[1::2] += len(gains) // 2
-                # counts of each word's codes, then one product
-                at = np.repeat(np.arange(len(lists)), size)
-                counts = np.bincount(at * len(gains) + code, minlength=len(lists) * len(gains)).reshape(len(lists), -1)
-                times = size // 2
-                score = counts @ gains - times[:, None] * mass
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(times), pa.array(score.argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
-
-    return seen.groupBy("word").agg(F.collect_list("codes").alias("codes")).mapInArrow(f, "word string, n long, class int")
-
-
-def asked(t: pa.Table) -> pa.Table:
-    """(block, word) of the block's distinct words."""
-    own: set[bytes] = set()
-    for text in base.byte_list(t["text"].combine_chunks()):
-        own.update(tokens(text))
-    block = t["block"][0].as_py() if len(t) else 0
-    return pa.table([pa.array([block] * len(own), pa.int64()), pa.array(list(own), pa.binary()).cast(pa.string())], names=["block", "word"])
-
-
-def lines(t: pa.Table, r: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text of a block, with the lexicon's answers r (word, n, class): the class and count of each token before the end (-1 and 0: unknown)."""
-    words = {w: k for k, w in enumerate(r["word"].cast(pa.binary()).to_pylist())}
-    label, count = np.r_[r["class"].to_numpy(), -1], np.r_[r["n"].to_numpy(), 0]
-    get, unknown = words.get, len(words)
-    for text in base.byte_list(t["text"].combine_chunks()):
-        own = tokens(text)
-        at = np.fromiter(map(get, own, repeat(unknown)), np.int64, len(own))
-        yield label[at], count[at]
-
-
-def transitions(table: DataFrame, answers: DataFrame, training: Callable, classes: int) -> np.ndarray:
-    """How often class follows class in the training documents; the last number is the end."""
+        gains, mass, items = held()
+        known = pa.array([x[0] for x in items], pa.string())
+        settled = np.array([x[1:] for x in items], np.int64).reshape(-1, 2)
+        width = len(gains)
+        for t, first in by_word(batches):
+            size = np.r_[first[1:], len(t)] - first
+            own = np.repeat(np.arange(len(first)), size)
+            col = t["codes"].combine_chunks()
+            many = pc.binary_length(col).to_numpy() // 2
+            code = np.frombuffer(b"".join(col.to_pylist()), np.uint16).astype(np.int64)
+            code[1::2] += width // 2
+            at = np.repeat(own, many)
+            times = np.bincount(at, minlength=len(first)) // 2
+            best = np.zeros(len(first), np.int64)
+            # counts of each word's codes, then one product
+            for a in range(0, len(first), 1024):
+                part = slice(*np.searchsorted(at, (a, a + 1024)))
+                n = min(1024, len(first) - a)
+                counts = np.bincount((at[part] - a) * width + code[part], minlength=n * width).reshape(n, width)
+                best[a : a + n] = (counts @ gains - times[a : a + n, None] * mass).argmax(axis=1)
+            words = t["word"].take(pa.array(first)).combine_chunks()
+            found = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
+            times[found >= 0], best[found >= 0] = settled[found[found >= 0]].T
+            is_first = np.zeros(len(t), bool)
+            is_first[first] = True
+            word = pc.if_else(pa.array(is_first), t["word"].combine_chunks(), pa.scalar(None, pa.string()))
+            out = pa.RecordBatch.from_arrays([t["block"].combine_chunks(), t["place"].combine_chunks(), pa.array(times[own]), pa.array(best[own].astype(np.int32)), word], ["block", "place", "n", "class", "word"])
+            yield out.filter(pa.array(times[own] > 0))
+
+    rows = seen.select(F.xxhash64("word").alias("hash"), "word", "block", "place", "codes").repartition("hash").sortWithinPartitions("hash")
+    return rows.mapInArrow(f, "block long, place int, n long, class int, word string")
+
+
+def labelled(table: DataFrame, answers: DataFrame, ends: int) -> DataFrame:
+    """(doc_id, learn, n_tokens, n_known, logs, labels) of all documents of a coded table: the sum of log10(count + 1) and each word's class, -1 if unknown."""
 
     def f(t: pa.Table, r: pa.Table) -> pa.Table:
-        total = np.zeros((classes + 1, classes + 1), np.int64)
-        if len(t):
-            for learn, (label, _) in zip(training(t), lines(t, r), strict=True):
-                if learn:
-                    code = np.r_[classes, label] * (classes + 1) + np.r_[label, classes]
-                    total += np.bincount(code, minlength=total.size).reshape(total.shape)
+        line = joined(t["places"], np.int32, STOP)
+        most = int(line.max(initial=-1)) + 1
+        label, count = np.full(most + 1, -1, np.int16), np.zeros(most + 1, np.int64)
+        label[r["place"].to_numpy()], count[r["place"].to_numpy()] = r["class"].to_numpy(), r["n"].to_numpy()
+        count[-1] = ends
+        stops = np.flatnonzero(line < 0)
+        starts = np.r_[0, stops[:-1] + 1] if len(stops) else stops
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
+        n_tokens = stops + 1 - starts
+        columns = [pa.array(n_tokens), pa.array(add((count > 0).astype(np.int64)[line])), pa.array(add(np.log10(count + 1.0)[line]))]
+        labels = blobs(np.r_[0, np.cumsum(n_tokens - 1)], label[line[line >= 0]])
+        return pa.table([t["doc_id"], t["learn"], *columns, labels], names=["doc_id", "learn", "n_tokens", "n_known", "logs", "labels"])
+
+    docs = table.where("places is not null").select("block", "doc_id", "learn", "places")
+    rows = answers.select("block", "place", "n", "class")
+    return docs.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(f, "doc_id long, learn boolean, n_tokens long, n_known long, logs double, labels binary")
+
+
+def transitions(rows: DataFrame, classes: int) -> np.ndarray:
+    """How often class follows class in the rows (labels); the last number is the end."""
+    size = classes + 1
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in base.slices(batches, "labels"):
+            line = np.r_[classes, joined(b["labels"], np.int16, np.int16(classes).tobytes())].astype(np.int64)
+            total += np.bincount(line[:-1] * size + line[1:], minlength=len(total))
         at = np.flatnonzero(total)
-        return pa.table([pa.array(at), pa.array(total.reshape(-1)[at])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    rows = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    out = np.zeros((classes + 1) ** 2, np.int64)
-    for r in rows.toLocalIterator():
+    out = np.zeros(size * size, np.int64)
+    for r in rows.select("labels").mapInArrow(f, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["code"]] = r["n"]
-    return out.reshape(classes + 1, classes + 1)
+    return out.reshape(size, size)
 
 
 class Scorer:
-    """What executors need beside a block's answers: numbers of classes and totals."""
+    """What executors need beside the words' classes: transitions, sizes of classes and totals."""
 
     def __init__(self, follow: np.ndarray, mass: np.ndarray, kinds: np.ndarray, single: np.ndarray, ends: int, total: int, types: int):
         """follow: class after class, the end last; mass, kinds, single: words, different words and words seen once of each class."""
         self.classes = len(mass)
-        self.follow = np.log10((follow + 0.1) / (follow.sum(axis=1, keepdims=True) + 0.1 * len(follow)))
-        self.spread = np.log10(np.r_[mass + kinds, ends + (ends > 0)] + 1.0)
+        follow = np.log10((follow + 0.1) / (follow.sum(axis=1, keepdims=True) + 0.1 * len(follow)))
+        self.step = follow - np.log10(np.r_[mass + kinds, ends + (ends > 0)] + 1.0)
         self.unseen = int(np.argmax(single)) if len(single) else 0
-        self.ends, self.total, self.types = ends, total, types
+        self.total = total
         self.floor = float(np.log10(total + types + 1))
 
-    def scores(self, label: np.ndarray, count: np.ndarray) -> tuple[int, int, float, float]:
-        """n_tokens, n_known, base_score, score of a text by its words' classes and counts."""
-        count = np.r_[count, self.ends]
-        own = np.r_[np.where(label < 0, self.unseen, label), self.classes]
-        logs = float(np.log10(count + 1.0).sum())
-        if not self.total:
-            return len(count), 0, 0.0, 0.0
-        model = self.follow[np.r_[self.classes, own[:-1]], own].sum() - self.spread[own].sum()
-        return len(count), int((count > 0).sum()), logs - len(count) * self.floor, logs + float(model)
+    def scores(self, n_tokens: np.ndarray, logs: np.ndarray, labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """base_score and score of texts by their words' classes and the sums of the logarithms of their counts."""
+        if not self.total or not len(logs):
+            return np.zeros(len(logs)), np.zeros(len(logs))
+        line = joined(labels, np.int16, np.int16(self.classes).tobytes()).astype(np.int64)
+        line[line < 0] = self.unseen
+        model = self.step[np.r_[self.classes, line[:-1]], line]
+        return logs - n_tokens * self.floor, logs + np.add.reduceat(model, np.r_[0, np.cumsum(n_tokens)[:-1]])
 
 
 def class_count(types: int) -> int:
@@ -303,45 +378,48 @@ def class_count(types: int) -> int:
 
 
 class Lexicon:
-    """Learned from rows (text): the table (word, n, class) of all words, and what clustering found."""
+    """Learned from rows (doc_id, text) where `training` holds, by default from all: the table (word, n, class) of all words, and what clustering found.
+
+    table: the rows as coded() has them; answers: (block, place, n, class, word) of the blocks' words that were learned.
+    """
 
-    def __init__(self, rows: DataFrame, class_words: int = CLASS_WORDS):
-        rows = rows.select("text")
-        counts = base.written(word_counts(rows), "words")
-        self.ends = rows.count()
+    def __init__(self, rows: DataFrame, class_words: int = CLASS_WORDS, training: F.Column | None = None):
+        spark = rows.sparkSession
+        self.table = coded(rows.select("doc_id", "text", (F.lit(True) if training is None else training).alias("learn")))
+        counts = base.written(self.table.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
+        self.ends = self.table.where("learn").count()
         facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
         self.total, self.types = facts["n"] + self.ends, facts["types"] + (self.ends > 0)
         self.classes = class_count(facts["types"])
-        top = counts.orderBy(F.desc("n"), "word").limit(class_words).collect()
-        items = {r["word"].encode(): k for k, r in enumerate(top, REST + 1)}
-        pairs = pair_counts(rows, items)
+        items = counts.orderBy(F.desc("n"), "word").limit(class_words).collect()
+        numbers = spark.createDataFrame([(r["word"], k) for k, r in enumerate(items, REST + 1)], "word string, item int")
+        top = base.written(self.table.where("word is not null").join(F.broadcast(numbers), "word").select("block", "place", "item"), "items")
+        pairs = pair_counts(self.table, top, len(items) + 2)
         label = exchanged(pairs, self.classes, fixed=2, least=LEAST)
         # the end's class comes before that of the other words, after all others: as neighbours() has it
         label[[END, REST]] = self.classes, self.classes + 1
-        own = {w: int(label[k]) for w, k in items.items()}
-        first = rows.sparkSession.createDataFrame([(r["word"], r["n"], own[r["word"].encode()]) for r in top], "word string, n long, class int")
-        rest = chosen_classes(neighbours(rows, own, self.classes + 1), pairs, label, self.classes)
-        self.words = base.written(first.unionByName(rest), "lexicon")
+        settled = [(r["word"], r["n"], int(label[k])) for k, r in enumerate(items, REST + 1)]
+        seen = neighbours(self.table, top, label, self.classes)
+        self.answers = base.written(chosen_classes(seen, pairs, label, self.classes, settled), "answers")
+        self.words = self.answers.where("word is not null").select("word", "n", "class")
 
 
 def scored(docs: DataFrame, training: F.Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, learned_from) for each row of docs, learning from those where `training` holds."""
-    lexicon = Lexicon(docs.where(training))
-    table = base.blocks(docs.select("doc_id", "text", training.alias("learn")), "scored", extra=("learn",))
-    wanted = table.groupBy("block").applyInArrow(asked, "block long, word string")
-    answers = base.written(wanted.join(lexicon.words, "word").select("block", "word", "n", "class"), "answers")
-    follow = transitions(table, answers, lambda t: t["learn"].to_pylist(), lexicon.classes)
+    lexicon = Lexicon(docs, training=training)
+    rows = base.written(labelled(lexicon.table, lexicon.answers, lexicon.ends), "labelled")
+    follow = transitions(rows.where("learn"), lexicon.classes)
     mass, kinds, single = (np.zeros(lexicon.classes, np.int64) for _ in range(3))
     for r in lexicon.words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).collect():
         mass[r["class"]], kinds[r["class"]], single[r["class"]] = r["n"], r["kinds"], r["single"]
     held = base.shared(docs.sparkSession, Scorer(follow, mass, kinds, single, lexicon.ends, lexicon.total, lexicon.types))
 
-    def f(t: pa.Table, r: pa.Table) -> pa.Table:
-        found = [held().scores(*x) for x in lines(t, r)] if len(t) else []
-        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.table([t["doc_id"].combine_chunks(), *columns, t["learn"].combine_chunks()], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "learned_from"])
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in base.slices(batches, "labels"):
+            found = held().scores(b["n_tokens"].to_numpy(), b["logs"].to_numpy(), b["labels"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["n_known"], *map(pa.array, found), b["learn"]], ["doc_id", "n_tokens", "n_known", "base_score", "score", "learned_from"])
 
-    out = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, "doc_id long, n_tokens long, n_known long, base_score double, score double, learned_from boolean")
+    out = rows.mapInArrow(f, "doc_id long, n_tokens long, n_known long, base_score double, score double, learned_from boolean")
     return out.withColumn("train_tokens", F.lit(int(lexicon.total)).cast("long"))
 
 

@@ -537,6 +537,63 @@ def test_op7_beats_word_counts(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_op7_reads_texts_once(spark, folder, docs):
+    """Texts are cut into words once; all else works on numbers (they were read four times and more)."""
+    from pyspark.sql import functions as F
+
+    from memgrid.llm import class_model as m
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    read = F.udf(told, "string").asNondeterministic()
+    df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", read("text").alias("text"))
+    assert m.scored(df, m.remainder(7) != 2).count() == len(docs) == seen.value
+
+
+def test_op7_blocks_agree(spark, folder, monkeypatch):
+    """Scores don't depend on how documents are cut into blocks."""
+    from memgrid.llm import class_model as m
+
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    pick = lambda x: sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in m.scored(x, m.remainder(7) != 2).collect())
+    want = pick(df.coalesce(1))
+    monkeypatch.setattr(m, "BLOCK_BYTES", 1)
+    assert want == pick(df.repartition(9))
+
+
+def test_op7_words_are_those_of_the_rule():
+    import numpy as np
+    import pyarrow as pa
+
+    from memgrid.llm.class_model import words_of
+
+    texts = ["", " \t\n", "  a B\x0b\x0cc\r\n a ", "É x\x85y\xa0z \u3000 ÀB", "one", "\x1c\x1f b"]
+    for own in (texts, texts[2:3], ["", ""], []):
+        starts, found = words_of(pa.array(own, pa.string()))
+        got = found.to_pylist()
+        assert [got[a:z] for a, z in zip(starts, starts[1:], strict=False)] == [words(lowered(t)) for t in own]
+        assert np.all(np.diff(starts) >= 0) and len(got) == starts[-1]
+
+
+def test_op7_words_with_one_hash_stay_apart():
+    import pyarrow as pa
+
+    from memgrid.llm.class_model import by_word
+
+    rows = [(1, "a", 1), (1, "b", 2), (1, "a", 3), (2, "c", 4), (2, "c", 5), (3, "d", 6), (3, "e", 7), (3, "d", 8)]
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("hash", "word", "n"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = []
+        for t, first in by_word(iter(batches)):
+            ends = [*first[1:].tolist(), len(t)]
+            got += [(t["word"][a].as_py(), sorted(t["n"].slice(a, z - a).to_pylist())) for a, z in zip(first.tolist(), ends, strict=True)]
+        assert sorted(got) == [("a", [1, 3]), ("b", [2]), ("c", [4, 5]), ("d", [6, 8]), ("e", [7])]
+
+
 def test_exchange_finds_classes():
     import numpy as np
 
