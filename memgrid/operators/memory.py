@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stage import saved
+
 #: Ranges that a group's values are cut into for ranks, a power of two.
 RANGES = 256
 
@@ -120,17 +122,19 @@ def nearest_rank(rows: DataFrame, group: str, value: str, parts: Sequence[float]
     """Quantiles by nearest rank, halves to even. Equal values are counted first, so a group's work is in its distinct values, cut into
     ranges of about as many of them by approximate quantiles, outliers or not: counts of ranges say in which of them a rank lies, and only
     that one is sorted."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
-    cuts = F.percentile_approx(value, [n / RANGES for n in range(1, RANGES)], 4 * RANGES)
-    ends = counts.groupBy(group).agg(F.sum("times").alias("all"), cuts.alias("cuts"))
+    counts = saved(rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("times")))
+    cuts = F.sort_array(F.percentile_approx(value, [n / RANGES for n in range(1, RANGES)], 4 * RANGES))
+    # approximate cuts come out otherwise when they are made again, so they are made once
+    ends = saved(counts.groupBy(F.col(group).alias("_group")).agg(F.sum("times").alias("all"), cuts.alias("cuts")))
+    same = F.col(group).eqNullSafe(F.col("_group"))
     halves = F.array(*(F.lit(RANGES >> n) for n in range(1, RANGES.bit_length())))
     below = lambda lo, k: F.when((lo + k <= F.size("cuts")) & (F.get("cuts", lo + k - 1) < F.col(value)), lo + k).otherwise(lo)
-    placed = counts.join(ends, group).withColumn("part", F.aggregate(halves, F.lit(0), below)).drop("cuts")
-    before = placed.groupBy(group, "part").agg(F.sum("times").alias("size"))
-    along = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before = before.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).select(group, "part", "before")
+    placed = counts.join(ends, same).withColumn("part", F.aggregate(halves, F.lit(0), below)).drop("cuts", "_group")
+    before = placed.groupBy(F.col(group).alias("_group"), F.col("part").alias("_part")).agg(F.sum("times").alias("size"))
+    along = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = before.withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0))).select("_group", "_part", "before")
     within = W.partitionBy(group, "part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ordered = placed.join(before, [group, "part"]).withColumn("upto", F.col("before") + F.sum("times").over(within))
+    ordered = placed.join(before, same & (F.col("part") == F.col("_part"))).withColumn("upto", F.col("before") + F.sum("times").over(within))
     rank = lambda p: F.bround((F.col("all") - 1) * p)
     picks = [F.max(F.when((rank(p) < F.col("upto")) & (rank(p) >= F.col("upto") - F.col("times")), F.col(value))).alias(f"p{round(p * 100)}") for p in parts]
     return ordered.groupBy(group).agg(*picks)

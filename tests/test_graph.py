@@ -76,6 +76,23 @@ def test_nearest_rank_with_an_outlier(spark):
     assert got == {"a": (500.0, 950.0, 990.0), "b": (5.0, 5.0, 5.0), "d": (1.0, 1.0, 1.0)}
 
 
+def test_nearest_rank_makes_its_ranges_once(spark):
+    many = spark.range(0, 200_000, 1, 16).select(F.concat(F.lit("g"), F.col("id") % 2).alias("g"), (F.hash("id") % 100_003 + F.col("id") / 7).alias("v"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = {r["g"]: (r["p50"], r["p95"], r["p99"]) for r in memory.nearest_rank(many, "g", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    values = {g: sorted(r["v"] for r in many.where(F.col("g") == g).collect()) for g in ("g0", "g1")}
+    assert got == {g: tuple(v[round((len(v) - 1) * p)] for p in (0.5, 0.95, 0.99)) for g, v in values.items()}
+
+
+def test_nearest_rank_keeps_a_null_group(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert {r["g"]: (r["p50"], r["p99"]) for r in memory.nearest_rank(rows, "g", "v").collect()} == {None: (2.0, 3.0), "a": (5.0, 5.0)}
+
+
 def test_whole_reflections(spark):
     rows = [("s", "k1", "o/k1", "event", "cats run", ["t", "u", None], 0.0), ("s", "k2", "o/k2", "learning", None, ["t"], 86400.0 * 30), ("s", "k3", "o/k3", "event", "x", ["t", "a"], 86400.0 * 15)]
     obs = spark.createDataFrame(rows, "session_id string, key string, id string, memory_type string, content string, tags array<string>, created_at_unix double")
