@@ -40,10 +40,10 @@ def keywords(text: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: w.rlike("^[a-z]{3,}$")), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def keyword_overlap(query: Column, text: Column) -> Column:
-    """The part of the query's keywords that the text has; 0 if it has none."""
+def keyword_overlap(query: Column, text: Column, share: int = 1) -> Column:
+    """The part of the query's keywords that the text has, of it one in `share`; 0 if the query has none."""
     own = keywords(query)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, keywords(text))) / F.size(own)).otherwise(F.lit(0.0))
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, keywords(text))) / F.lit(share) / F.size(own)).otherwise(F.lit(0.0))
 
 
 def safe_key(path: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.scores import recency
-from ..functions.vectors import cosine, diversity
+from ..functions.vectors import cosine, diversity, norm
 from ..sources.stage import saved
 
 
@@ -126,12 +126,15 @@ def code_hop(beam: DataFrame, edges: DataFrame, vertices: DataFrame, hop: int, c
     new = found.where("dst is not null")
     new = new if cycles else new.where(~F.array_contains("path", F.col("dst")))
     new = new.join(vertices.select(F.col("id").alias("dst"), "embedding", "content"), "dst")
-    closest = F.array_max(F.transform("vectors", lambda v: cosine(v, F.col("embedding"))))
+    # the six digits of score and weight often leave a half at the seventh, so what is added up is rounded in one way alone: a vector is
+    # as close as 1 to itself, a tenth of the overlap is one of tenths, and the sum is rounded as a whole number
+    near = lambda v: F.when((v == F.col("embedding")) & (norm(v) > 0), F.lit(1.0)).otherwise(cosine(v, F.col("embedding")))
+    closest = F.array_max(F.transform("vectors", near))
     redundancy = F.when(F.col("embedding").isNull(), F.lit(0.0)).otherwise(F.coalesce(closest, F.lit(0.0)))
-    overlap = texts.keyword_overlap(F.col("words"), F.substring("content", 1, 1000))
-    score = F.greatest(F.lit(0.0), 0.6 * F.col("seed") + 0.3 * F.coalesce("weight", F.lit(0.5)) + 0.1 * overlap - 0.05 * hop - 0.2 * redundancy)
+    overlap = texts.keyword_overlap(F.col("words"), F.col("content"), 10)
+    score = F.greatest(F.lit(0.0), 0.6 * F.col("seed") + 0.3 * F.coalesce("weight", F.lit(0.5)) + overlap - 0.05 * hop - 0.2 * redundancy)
     vectors = F.when(F.col("embedding").isNull(), F.col("vectors")).otherwise(F.concat("vectors", F.array("embedding")))
-    new = new.select("query_id", "rank", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"), "seed", F.round(score, 6).alias("score"), "words", vectors.alias("vectors"), "n")
+    new = new.select("query_id", "rank", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"), "seed", (F.round(score * 1e6) / 1e6).alias("score"), "words", vectors.alias("vectors"), "n")
     return new.unionByName(dead.select(*new.columns))
 
 

@@ -1,5 +1,6 @@
 """Invariants of beams, and the greedy choice against a plain version."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,6 +43,26 @@ def test_diverse_choice(spark):
     assert got == [p[3] for p in chosen]
 
 
+def test_words_anywhere_in_a_text_count(spark):
+    seeds = spark.createDataFrame([(1, "a", 0.9)], "query_id int, id string, score double")
+    rows = [("a", [1.0, 0.0], ""), ("b", [0.0, 1.0], "x" * 5000 + " needle"), ("c", [0.0, 1.0], "needle")]
+    vertices = spark.createDataFrame(rows, "id string, embedding array<double>, content string")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], "needle")], "query_id int, q array<double>, words string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0)], "src string, dst string, weight double")
+    for mmr in (False, True):
+        got = {r["tail"]: r["score"] for r in graph.code_beam(seeds, edges, vertices, queries, hops=1, mmr=mmr).collect()}
+        assert got == {"b": 0.94, "c": 0.94}
+
+
+def test_scores_at_a_half_round_as_sql_does(spark):
+    seed, weight, n = 0.345179, 0.320677, 3
+    beam = spark.createDataFrame([(1, 1, ["a"], "a", seed, seed, "one two three", [[0.6, 0.8]])], "query_id int, rank int, path array<string>, tail string, seed double, score double, words string, vectors array<array<double>>")
+    edges = spark.createDataFrame([("a", "b", weight, 1)], "src string, dst string, weight double, n int")
+    vertices = spark.createDataFrame([("b", [0.6, 0.8], "one two three")], "id string, embedding array<double>, content string")
+    sql = f"select round(greatest(0, 0.6 * {seed}::double + 0.3 * {weight}::double + 0.1 * {n}::bigint / {n}::bigint - 0.05 * 1 - 0.2 * 1::double), 6)"
+    assert graph.code_hop(beam, edges, vertices, 1).first()["score"] == duckdb.connect().execute(sql).fetchone()[0] == 0.15331
+
+
 def test_missing_vectors_and_no_edges(spark):
     seeds = spark.createDataFrame([(1, "a", 0.9)], "query_id int, id string, score double")
     vertices = spark.createDataFrame([("a", None, 0.0), ("b", None, 0.0)], "id string, embedding array<double>, created_at_unix double")
