@@ -2,13 +2,17 @@
 
 import glob
 import os
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from compare import DATA
 from memgrid.operators import entities, paging
+from memgrid.plans import stores
+from memgrid.plans.tables import Tables
 from memgrid.sources import keyed
 from memgrid.sources.stage import stored
 from memgrid.streaming import streams
@@ -208,6 +212,14 @@ def test_related_weighs_names_without_overlaps(spark):
     assert [(r["id"], r["weight"]) for r in rows] == [(2, 1)]
 
 
+def test_every_observation_with_shared_mentions_is_a_seed(spark):
+    t = Tables(spark, DATA)
+    seeds = {r["seed"] for r in stores.related_by_entity(t).collect()}
+    edges = stores.mention_edges(t).collect()
+    shared = Counter(e["entity"] for e in edges)
+    assert seeds == {e["id"] for e in edges if shared[e["entity"]] > 1} and any(s % 20 for s in seeds)
+
+
 def test_hubs_are_capped(spark):
     edges = spark.createDataFrame([(i, "hub", 1 + (i == 77)) for i in range(300)] + [(1, "small", 1), (2, "small", 5)], "id long, entity string, n long")
     rows = entities.related(spark.createDataFrame([(9, 1)], "seed long, id long"), edges, fanout=2, beam=8).collect()
