@@ -12,6 +12,7 @@ from memgrid.functions import texts
 from memgrid.operators import graph, surprise, training
 from memgrid.plans.tables import Tables
 from memgrid.plans.walks import training_pairs
+from memgrid.sources import stage
 
 
 def arrays(rows):
@@ -103,6 +104,23 @@ def test_block_scores_equal_a_plain_model(spark, monkeypatch):
             assert found[i] == pytest.approx((len(own), sum(own) / len(own), max(own)))
 
 
+def test_rare_words_and_stored_pairs_move_once(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (2, "b c c"), (3, None)], "id long, text string")
+    words = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, n long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = surprise.with_rare(docs, "id", "text", str.split, words, spark.sparkContext.broadcast({"b": ()}), 3)
+        # asked words, the table, what is found, and the texts
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        assert {r["id"]: sorted(r["rare"]["n"] or []) for r in rows.collect()} == {None: [1, 3], 2: [3], 3: []}
+        kept = stage.bucketed(words, "word")
+        joined = words.join(kept, "word", "left")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and joined.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_blocks_have_their_context_and_any_model_may_score_them(spark):
     rows = surprise.blocks(spark.createDataFrame([(1, " ".join(map(str, range(130)))), (2, "")], "id long, text string"), "id", texts.window_words(F.col("text")))
     found = {x["block"]: (x["context"], x["targets"]) for x in rows.collect()}
